@@ -1,12 +1,15 @@
-"""The queries of the training-data operators, as the driver runs them."""
+"""The queries of the training-data operators, as the driver runs them, and
+their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from atlasframe.llm import simhash
+from atlasframe.llm import quality_rules, simhash, token_files, url_filters
 from atlasframe.llm.shared import documents
 
 
@@ -14,9 +17,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).drop("host").withColumn("host_rate", F.round("host_rate", 6))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filters.RULES, "rule string, action string")
+    return url_filters.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules).drop("component")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+    made = [op1_simhash_near_dedup, op4_quality_rules, op7_url_filters, op9_token_files]
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality_rules.ORACLE, "op7_url_filters": url_filters.ORACLE}
