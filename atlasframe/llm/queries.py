@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.llm import decontaminate, language_id, pieces, quality_crf, quality_rules, simhash, token_files, toxicity, url_filters
+from atlasframe.llm import decontaminate, language_id, pieces, quality_crf, quality_rules, simhash, substring_dedup, token_files, toxicity, url_filters
 from atlasframe.llm.shared import documents, fold
 
 
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).drop("host").withColumn("host_rate", F.round("host_rate", 6))
 
@@ -65,7 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_near_dedup, op2_language_id, op4_quality_rules, op5_quality_crf, op6_toxicity, op7_url_filters, op8_decontamination, op9_token_files, op10_sentencepiece]
+    made = [op1_simhash_near_dedup, op2_language_id, op3_substring_dedup, op4_quality_rules, op5_quality_crf, op6_toxicity, op7_url_filters, op8_decontamination, op9_token_files, op10_sentencepiece]
     return {f.__name__: f for f in made}
 
 
