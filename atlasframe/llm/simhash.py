@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-class _Forest:
+class Forest:
     """Union-find over ids; join() says whether the two were apart."""
 
     def __init__(self) -> None:
@@ -100,7 +100,7 @@ def _compare(radius: int):
     0, then the rows to compare them with. Returns a forest of links."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, own_rep, forest = None, [], [], _Forest()
+        key, own, own_rep, forest = None, [], [], Forest()
         left = rep = None
 
         def found(right: np.ndarray, right_rep: np.ndarray) -> list[tuple[int, int]]:
@@ -131,7 +131,7 @@ def _compare(radius: int):
                     continue
                 if (cell[s], sub[s]) != key:
                     rows += closed()
-                    key, own, own_rep, left, rep, forest = (cell[s], sub[s]), [], [], None, None, _Forest()
+                    key, own, own_rep, left, rep, forest = (cell[s], sub[s]), [], [], None, None, Forest()
                 if side[s] == 0:
                     own.append(fp[s:e])
                     own_rep.append(ids[s:e])

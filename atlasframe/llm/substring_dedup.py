@@ -247,7 +247,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     tie = F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0))
     rows = docs.withColumn("__own", tie)
     rows = rows.join(cuts, (rows[id_col] == cuts["__id"]) & (rows["__own"] == cuts["__tie"]), "left").select(*docs.columns, "__cuts")
-    at, width = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, width = names.index(text_col), len(names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,6 +262,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
                     texts.append(text)
             gone = [t == b"\0" and c.is_valid for t, c in zip(texts, b.column(width))]
             columns = [pa.array(texts, pa.binary()).cast(b.schema.field(i).type) if i == at else b.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array([not g for g in gone], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([not g for g in gone], pa.bool_()))
 
     return rows.mapInArrow(run, docs.schema)
