@@ -1 +1,53 @@
-"""Volumetric imaging tables on Spark."""
+"""Streams of a running acquisition; the same functions serve batches."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def detection_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Detections and mean value per sample and tumbling window; rows later than `late` are dropped."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", length), "sample_id")
+    return w.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "sample_id", "n", "mean")
+
+
+def sliding_background(events: DataFrame, length: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Mean value per sample over sliding windows, and the last value's difference to it, relative to it."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", length, step), "sample_id")
+    out = w.agg(F.avg("value").alias("background"), F.max_by("value", F.struct("ts", "value")).alias("last"))
+    relative = F.when(F.col("background") != 0, (F.col("last") - F.col("background")) / F.col("background")).otherwise(0.0)
+    return out.select(F.col("window.start").alias("start"), "sample_id", "background", relative.alias("relative"))
+
+
+def sample_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Runs of each sample's events with no pause of gap or more."""
+    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "sample_id")
+    return w.agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "sample_id", "n")
+
+
+def dedupe(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A cell seen in two overlapping tiles once: by sample, channel and rounded voxel,
+    with state no older than the watermark."""
+    keyed = events.withWatermark("ts", late).withColumns({f"_{c}": F.round(F.col(c), 0).cast("int") for c in "xyz"})
+    keys = ["sample_id", "channel", "_x", "_y", "_z"]
+    out = keyed.dropDuplicatesWithinWatermark(keys) if events.isStreaming else keyed.dropDuplicates(keys)
+    return out.drop("_x", "_y", "_z")
+
+
+def running_total(events: DataFrame) -> DataFrame:
+    """Detections so far per sample (complete mode: state is one row a sample)."""
+    return events.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def stream_planes(planes: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, late: str | None = None):
+    """Start a query that runs job on each batch of planes and appends its rows as
+    Parquet; the batch number in the path makes a repeated batch overwrite itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        job(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows = planes.withWatermark("ts", late) if late else planes
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
