@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Rounds in which all patterns are read in step; see covered().
-ROUNDS = 4
+#: Searches that go on at a time.
+SEARCHES = 200_000
 
 
 class _Bits:
@@ -116,51 +116,24 @@ class FmIndex:
 
 
 def covered(index: FmIndex, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, limit: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals (text, from, to) of each pattern that lie in a window of `window`
-    words found in a text whose owner is below the pattern's limit. Together they
-    cover every such window.
-
-    A pattern is read from the front: a search back from the end of a window that
-    fails at place f rules out all windows that begin before f and end there or
-    later, so the next window begins at f. A window that is found is widened to
-    the right by halving the distance to the pattern's end."""
+    """Intervals (text, from, to) of each pattern: runs of its windows of `window`
+    words that are found in a text whose owner is below the pattern's limit.
+
+    The searches of all windows go back in step, in blocks. Most end after a few
+    words; a search that skips ahead saves steps but leaves single patterns with
+    long chains of short array operations, which cost more."""
     texts, begins, stops = [], [], []
-    floor, last = first, first + size
-    at, end = np.arange(len(first)), first + window
-    at = at[end <= last]
-    end = end[at]
-    for _ in range(ROUNDS):
-        start = index.match_back(symbols, end, floor[at], limit[at])
-        hit = end - start >= window
-        # Widen: the largest end for which the match still begins at start.
-        low, high = end.copy(), np.where(hit, last[at] + 1, end + 1)
-        probe = last[at].copy()
-        while (open_ := np.flatnonzero(high - low > 1)).size:
-            back = index.match_back(symbols, probe[open_], start[open_], limit[at[open_]])
-            fits = back <= start[open_]
-            low[open_] = np.where(fits, probe[open_], low[open_])
-            high[open_] = np.where(fits, high[open_], probe[open_])
-            probe = (low + high) // 2
-        texts.append(at[hit])
-        begins.append((start - first[at])[hit])
-        stops.append((low - first[at])[hit])
-        # Only words not yet covered matter: a window that begins where the cover
-        # ends, or before, carries on from its own end; else ends are tried in order.
-        ahead = np.minimum(low + window, last[at])
-        on = np.flatnonzero(hit & (ahead > low))
-        on = on[index.match_back(symbols, ahead[on], ahead[on] - window, limit[at[on]]) <= ahead[on] - window]
-        end = np.where(hit, low + 1, start + window)
-        end[on] = ahead[on]
-        keep = end <= last[at]
-        at, end = at[keep], end[keep]
-    # What is left are a few patterns with many short steps: all their windows at once.
-    left = last[at] - end + 1
-    for i in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(left) // 200_000)) + 1):
-        of = np.repeat(at[i], left[i])
-        ends = np.repeat(end[i] - np.cumsum(left[i]) + left[i], left[i]) + np.arange(left[i].sum())
-        hit = index.match_back(symbols, ends, ends - window, limit[of]) <= ends - window
-        of, ends = of[hit], ends[hit]
-        texts.append(of)
-        begins.append(ends - window - first[of])
-        stops.append(ends - first[of])
+    windows = np.maximum(size - window + 1, 0)
+    for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(windows) // SEARCHES)) + 1):
+        of = np.repeat(part, windows[part])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
+        ends = first[of] + nth + window
+        hit = np.flatnonzero(index.match_back(symbols, ends, ends - window, limit[of]) <= ends - window)
+        # Hits one after the other in one pattern are one interval.
+        new = np.ones(len(hit), bool)
+        new[1:] = (np.diff(hit) > 1) | (np.diff(of[hit]) > 0)
+        last = np.append(new[1:], True)[: len(hit)]
+        texts.append(of[hit[new]])
+        begins.append(nth[hit[new]])
+        stops.append(nth[hit[last]] + window)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (texts, begins, stops))
