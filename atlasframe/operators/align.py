@@ -86,11 +86,14 @@ def refine_per_slice(points: DataFrame, atlas: DataFrame, slice_col: str = "slic
     def one(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if len(p) < least or len(q) < least:
             return pd.DataFrame(columns=["slice", "m", "error"])
-        m, error = _icp_2d(p[["x", "y"]].to_numpy(float), q[["x", "y"]].to_numpy(float))
+        m, error = _icp_2d(p[["x", "y"]].to_numpy(float), q[["u", "v"]].to_numpy(float))
         return pd.DataFrame({"slice": [key[0]], "m": [m.ravel().tolist()], "error": [error]})
 
     kind = points.schema[slice_col].dataType.simpleString()
-    return points.groupBy(slice_col).cogroup(atlas.groupBy(slice_col)).applyInPandas(one, f"slice {kind}, m array<double>, error double")
+    # Names of their own for the second side: both may derive from one table.
+    atlas = atlas.select(F.col(slice_col).alias("_s"), F.col("x").alias("u"), F.col("y").alias("v"))
+    points = points.select(F.col(slice_col), "x", "y")
+    return points.groupBy(slice_col).cogroup(atlas.groupBy("_s")).applyInPandas(one, f"slice {kind}, m array<double>, error double")
 
 
 def flip_decision(points: DataFrame, neighbour: DataFrame, width: float, slice_col: str = "slice") -> DataFrame:

@@ -30,7 +30,7 @@ def pairs_within(left: DataFrame, right: DataFrame, d: float, left_id: str, righ
     return a.join(b, "_cell").withColumn("distance", _distance(cols)).where(F.col("distance") <= d).select(left_id, "_right", "distance")
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, width: float, left_id: str, right_id: str, cols: Sequence[str] = XYZ, same: bool = True, rounds: int = 40) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, width: float, left_id: str, right_id: str, cols: Sequence[str] = XYZ, same: bool = True, rounds: int = 40, checkpoint=None) -> DataFrame:
     """(left_id, right_id as _right, distance, rank): the k nearest right points.
 
     A left point's answer is final once k right points lie within the cell width;
@@ -43,17 +43,21 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, width: float, left_id: s
     if span[0] is not None and left_span[0] is not None:
         reach = sum((max(span[f"b{c}"], left_span[f"b{c}"]) - min(span[f"a{c}"], left_span[f"a{c}"])) ** 2 for c in cols) ** 0.5
     w = Window.partitionBy(left_id).orderBy("distance", "_right")
-    out, todo = None, left
+    cut = checkpoint or (lambda df: df.checkpoint())
+    out, todo = None, left.select(left_id, *cols)
     for _ in range(rounds):
         near = pairs_within(todo, right, width, left_id, right_id, cols)
         near = near if same else near.where(F.col(left_id) != F.col("_right"))
         near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         if width >= reach:
             return near if out is None else out.unionByName(near)
+        near = cut(near)  # what follows reads it three times
         full = near.groupBy(left_id).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(left_id)
         done = near.join(full, left_id, "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, left_id, "left_anti")
+        todo = cut(todo.join(full, left_id, "left_anti"))
+        if todo.isEmpty():
+            return out
         width *= 2
     return out
 
