@@ -36,7 +36,7 @@ def make_tiles(voxels: DataFrame, options: Detection, by: Sequence[str] = ("samp
     rows = voxels
     for a, size, halo in zip(AXES, (options.nz, options.nxy, options.nxy), options.halo):
         first, last = F.floor((F.col(a) - 1 - halo) / size), F.floor((F.col(a) - 1 + halo) / size)
-        rows = rows.withColumn(f"t{a}", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).cast("int"))
+        rows = rows.withColumn(f"t{a}", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), last.cast("int"))))
     return rows
 
 
