@@ -14,11 +14,12 @@ rename at the end, so that a task that is run again leaves whole files only.
 
 from __future__ import annotations
 
+import functools
 import io
+import re
 import struct
-import unicodedata
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,43 +35,62 @@ SKIPPABLE = 0x184D2A5E
 MAGIC = 0x4B544631
 FRAME_IDS = 1 << 18
 #: Words whose ids a task keeps; it starts afresh beyond it.
-CACHE = 300_000
-_END_MARKS = frozenset(".,!?;:|)")
+CACHE = 500_000
 
 
 class WordIds(dict):
-    """Word -> its ids as bytes, by a tokenizer that drops white space: a text's
+    """Word (UTF-8) -> its ids as bytes, by a tokenizer that drops white space: a text's
     ids are those of its words, one after the other. On a first sight the word is
-    encoded; a letters-only word before one closing mark is two tokens to the
-    pre-tokenizer, so its two parts are looked up on their own."""
+    encoded. A letters-only word before a run of ASCII marks is two tokens to the
+    pre-tokenizer, so its parts are looked up on their own. A word of Latin letters
+    (ASCII and Latin-1) has its lower case's ids, and goes to the library's merge
+    model without the steps for other texts; a probe at the start turns both off
+    for a tokenizer for which they do not hold."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        if word[-1] in _END_MARKS and word[:-1].isalpha() and unicodedata.is_normalized("NFC", word):
-            ids = self[word[:-1]] + self[word[-1]]
+        self.merge = Tokenizer.from_file(path).model.tokenize
+        probe = ["ab", "xyzzy", "été", "ünï", "ñandú", "straße", "àáâãäåæçèêëìíîïðòóôõöøùúûýþÿ"]
+        self.latin = all(self._merged(w) == self._encoded(v) for w in probe for v in (w, w.capitalize()))
+        self.marks = self.latin and all(self._encoded(f"ab{m}") == self._merged("ab") + self._encoded(m) for m in (".", ",", "!!", "?", "***", "|", ")."))
+
+    def _encoded(self, word: str) -> bytes:
+        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        return np.array([t.id for t in self.merge(word.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+
+    def __missing__(self, key: bytes) -> bytes:
+        word = key.decode()
+        if self.marks and (parts := _marked(word)):
+            ids = self[parts[1].encode()] + self[parts[2].encode()]
+        elif self.latin and _latin(word):
+            low = word.lower()
+            ids = self._merged(word) if low == word else self[low.encode()]
         else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+            ids = self._encoded(word)
+        self[key] = ids
         return ids
 
-    def text(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").translate(_SPACES).split(" "))) if text else b""
+    def text(self, text: bytes | None) -> bytes:
+        """Splits at ASCII white space only: other white space is left to the tokenizer."""
+        if len(self) > CACHE:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split())) if text else b""
 
 
-#: ASCII white space only: other white space is left to the tokenizer.
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
+_latin = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_marked = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]+)").fullmatch
+#: Bytes that a byte-level model writes as characters beyond 255, in order.
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
-def _ids_of(path: str) -> Callable[[str | None], bytes]:
-    words = WordIds(path)
-    dict.__setitem__(words, "", b"")
-    return words.text
+@functools.cache
+def _words_of(path: str) -> WordIds:
+    """One per Python worker, kept from task to task."""
+    return WordIds(path)
 
 
 def _skippable(data: bytes) -> bytes:
@@ -135,8 +155,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
             if file is None and b.num_rows:
                 fs.create_dir(root)
                 sink = fs.open_output_stream(own := f"{root}/_{name}-{task.taskAttemptId()}")
-                file, ids_of = _File(sink, b.schema.field(0).type), _ids_of(tokenizer)
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                file, ids_of = _File(sink, b.schema.field(0).type), _words_of(tokenizer).text
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
                 file.add(doc_id, ids_of(text.as_py()) + end)
         if file is not None:
             file.close()
