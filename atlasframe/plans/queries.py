@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlasframe import functions as fn
 from atlasframe import sources, streaming
-from atlasframe.operators import clean, geometry, lookup, regions, series, spatial, stats, stencil, udf
+from atlasframe.operators import align, clean, geometry, lookup, points, regions, series, spatial, stats, stencil, tiles, udf
 from atlasframe.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -788,3 +788,90 @@ def flagship(s, d):
     named = n.join(fx.terms(s, d).where("term_set = 'substructure'").select("region_id", "name"), "region_id")
     rows = named.join(regions.region_volumes(a, 0.01, NZ), ["region_id", "side"])
     return rows.select("region_id", "side", "name", "n", F.round(F.col("n") / F.col("volume"), 3).alias("density"))
+
+
+# Jobs that SQL cannot express: their results are tested by brute force on small cases
+
+
+@query()
+def w7_connected_components(s, d):
+    mask = fx.voxels(s, d).where("value > 700").select(*BY, "y", "x", "z", "value")
+    return stats.component_stats(stencil.connected_components(mask, BY), [*BY, "component"]).drop("component")
+
+
+@query()
+def d4_detect_cells_3d(s, d):
+    return tiles.detect_cells_3d(fx.voxels(s, d), tiles.Detection(1.0, 0.5, 0.25, 16, 64))
+
+
+@query()
+def d5_detect_cells_2d(s, d):
+    # All samples in one stack, so that most places of a section have a value.
+    plane = fx.voxels(s, d).groupBy("z", "y", "x").agg(F.max("value").alias("value"))
+    return tiles.detect_cells_2d(plane, tiles.Detection(1.0, 0.3, 0.15), ["z"])
+
+
+@query()
+def d7_candidate_views(s, d):
+    c = clean.keep_in_volume(fx.cells(s, d).where("elongation < 1.3"), XYZ_SIZE).withColumn("cell_id", F.xxhash64("x", "y", "z", "intensity", "diameter"))
+    return tiles.candidate_views(c.dropDuplicates(["cell_id"]), fx.voxels(s, d), 1)
+
+
+@query()
+def d8_artifact_classifier(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("view"), (F.col("label") < 5).cast("int").alias("label"))
+    parts = stats.hash_split(e, "cell_id")
+    model = points.ArtifactClassifier().fit(parts.where("training"))
+    return model.score(parts).select("cell_id", "training", "label", "predicted")
+
+
+@query()
+def d12_extract_points_slices(s, d):
+    return points.extract_points_slices(fx.voxels(s, d), 0.9, 20, BY).select(*BY, "y", "x", "z")
+
+
+@query()
+def d14_cluster_points(s, d):
+    return spatial.cluster_points(fx.points(s, d).where("point_id % 10 = 0"), 2.0).select("point_id", "component")
+
+
+@query()
+def k5_thin_points(s, d):
+    return spatial.thin_points(fx.points(s, d).where("point_id % 10 = 0"), 3.0).select("point_id")
+
+
+@query()
+def k6_keep_by_distance(s, d):
+    return spatial.keep_by_distance(fx.points(s, d)).select("point_id")
+
+
+@query()
+def g26_fit_lines(s, d):
+    return stats.fit_lines(fx.points(s, d).withColumnRenamed("slice", "probe_id"))
+
+
+@query()
+def g32_poisson_cross_validated(s, d):
+    c = fx.cells(s, d).groupBy((F.col("y").cast("int") % 4).alias("fold"), "x", "z").agg(F.count("*").alias("n"))
+    return stats.poisson_cross_validated(c, ["x", "z"], "n", "fold")
+
+
+@query()
+def g33_projection_strength(s, d):
+    m = fx.cells(s, d).groupBy("sample_id", F.col("y").cast("int").alias("row")).agg(F.sum("intensity").alias("value"))
+    return stats.projection_strength(m, "row")
+
+
+@query()
+def a8_trace_probes(s, d):
+    p = fx.points(s, d).withColumnRenamed("slice", "probe_id")
+    return align.trace_probes(p, fx.annotation(s, d), fx.terms(s, d), SIZE, 40)
+
+
+@query(_TRILINEAR + """, moved as (select point_id, x - sx as x, y - sy as y, z - sz as z from (select point_id, x, y, z from points) join shift using (point_id))
+select point_id, round(x - 1.5, 4) as x, round(y / 2 - 1, 4) as y, round(z + 3, 4) as z from moved""")
+def j6_points_to_atlas(s, d):
+    back = [[1.0, 0, 0, 1.5], [0, 2.0, 0, 2.0], [0, 0, 1.0, -3.0], [0, 0, 0, 1]]
+    p = fx.points(s, d).withColumns({c: F.col(c) + 1 for c in "xyz"})
+    out = lookup.points_to_atlas(p, fx.field(s, d), [2.0, 2.0, 2.0], (40, 24, 32), [1, 2, 3], 1.0, back)
+    return rounded(out.select("point_id", "x", "y", "z"), ["x", "y", "z"])
