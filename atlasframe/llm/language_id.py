@@ -9,6 +9,7 @@ highest sum; the score is that language's share of the posterior.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ MOST_ROWS, MOST_WORDS, MOST_GRAMS = 5_000, 100_000, 40_000
 ORDERS = (5, 4, 3, 2, 1)
 STEP_DOWN = np.log(0.4)
 #: Words whose scores a task keeps; it starts afresh beyond it.
-CACHE = 200_000
+CACHE = 300_000
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 _words = regex.compile(_WORD).findall
 
@@ -33,17 +34,25 @@ _words = regex.compile(_WORD).findall
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
-
-
-def _log_table(rows: list, langs: list[str]) -> dict[str, np.ndarray]:
-    """term -> log frequency by language, with half a count added."""
-    table: dict[str, np.ndarray] = {}
-    for term, lang, n in rows:
-        table.setdefault(term, np.zeros(len(langs)))[langs.index(lang)] += n
-    total = sum(table.values(), np.zeros(len(langs))) + 0.5 * max(1, len(table))
-    return {t: np.log((c + 0.5) / total) for t, c in table.items()}
+    words: dict[str, int]  # row of the table
+    grams: list[dict[str, int]]  # one for each of ORDERS
+    table: np.ndarray  # log frequencies, terms x languages
+
+
+def _model(words: list, grams: list[list], langs: list[str]) -> Model:
+    """Log frequencies with half a count added; n-grams carry the cost of their steps down."""
+    places, tables, base = [], [], 0
+    for down, rows in enumerate([words, *grams]):
+        place: dict[str, int] = {}
+        for term, _, _ in rows:
+            place.setdefault(term, base + len(place))
+        counts = np.zeros((len(place), len(langs)))
+        for term, lang, n in rows:
+            counts[place[term] - base, langs.index(lang)] += n
+        tables.append(np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(place)))) + max(0, down - 1) * STEP_DOWN)
+        places.append(place)
+        base += len(place)
+    return Model(langs, places[0], places[1:], np.concatenate(tables))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS) -> Model:
@@ -63,44 +72,51 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for k in ORDERS:
         places = F.sequence(F.lit(1), F.length("term") - k + 1)
         cut = marked.where(F.length("term") >= k).select("lang", "n", F.explode(F.transform(places, lambda i: F.substring("term", i, F.lit(k)))).alias("term"))  # noqa: B023
-        grams.append(_log_table(cut.groupBy("term", "lang").agg(F.sum("n").alias("n")).orderBy(*order).limit(MOST_GRAMS).collect(), langs))
+        grams.append(cut.groupBy("term", "lang").agg(F.sum("n").alias("n")).orderBy(*order).limit(MOST_GRAMS).collect())
     drop_table(counts)
-    return Model(langs, _log_table(known, langs), grams)
+    return _model(known, grams, langs)
 
 
 class _Scores(dict):
-    """Word -> row of the score table; unseen words are scored on first sight."""
+    """Word -> row of the score table: the model's, then those of unseen words,
+    which are scored on first sight."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.table = np.zeros((1024, len(model.langs)))
+        self.pairs = [(k, g.get) for k, g in zip(ORDERS, model.grams)]
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.clear()
+        self.update(self.model.words)
+        self.used = len(self.model.table)
+        self.table = np.concatenate([self.model.table, np.zeros((1024, len(self.model.langs)))])
 
     def backoff(self, word: str) -> np.ndarray:
         word = f"<{word}>"
-        total, places = np.zeros(len(self.model.langs)), 0
-        for i in range(len(word)):
-            for down, (k, grams) in enumerate(zip(ORDERS, self.model.grams)):
-                if i + k <= len(word) and (row := grams.get(word[i : i + k])) is not None:
-                    total += row + down * STEP_DOWN
-                    places += 1
+        n, rows = len(word), []
+        for i in range(n):
+            for k, get in self.pairs:
+                if i + k <= n and (row := get(word[i : i + k])) is not None:
+                    rows.append(row)
                     break
-        return total / max(1, places)
+        return self.model.table[rows].mean(0) if rows else np.zeros(len(self.model.langs))
 
     def __missing__(self, word: str) -> int:
-        row = self.model.words.get(word)
-        at = len(self)
+        at = self.used
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.backoff(word) if row is None else row
+        self.table[at] = self.backoff(word)
         self[word] = at
+        self.used += 1
         return at
 
     def text(self, text: str) -> tuple[int, float]:
         words = _words(text.lower())
         if not words or not self.model.langs:
             return -1, 0.0
-        if len(self) > CACHE:
-            self.clear()
+        if self.used > CACHE + len(self.model.table):
+            self.fresh()
         rows = list(map(self.__getitem__, words))
         total = np.zeros(len(self.model.langs))
         for i in range(0, len(rows), 100_000):
@@ -110,15 +126,26 @@ class _Scores(dict):
         return best, float(share[best] / share.sum())
 
 
+_kept: dict[str, _Scores] = {}
+
+
+def _scores_of(key: str, model: Model) -> _Scores:
+    """One per Python worker and fitted model, kept from task to task."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = _Scores(model)
+    return _kept[key]
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row. Null texts and texts without a letter
     are 'und' with score 0; so is every text if nothing was learned. Ties take the
     first language by name. Repeated rows are scored each; other columns are
     ignored; an empty table gives an empty result."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(held.value)
+        scores = _scores_of(key, held.value)
         names = [*held.value.langs, "und"]
         for b in batches:
             found = [scores.text(t.as_py() or "") for t in b.column(1)]
