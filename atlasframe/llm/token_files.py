@@ -35,7 +35,7 @@ SKIPPABLE = 0x184D2A5E
 MAGIC = 0x4B544631
 FRAME_IDS = 1 << 18
 #: Words whose ids a task keeps; it starts afresh beyond it.
-CACHE = 500_000
+CACHE = 1_000_000
 
 
 class WordIds(dict):
@@ -60,15 +60,17 @@ class WordIds(dict):
         return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _merged(self, word: str) -> bytes:
-        return np.array([t.id for t in self.merge(word.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return _PACK[n](*[t.id for t in ids]) if (n := len(ids := self.merge(word))) < len(_PACK) else struct.pack(f"<{n}I", *[t.id for t in ids])
 
     def __missing__(self, key: bytes) -> bytes:
         word = key.decode()
-        if self.marks and (parts := _marked(word)):
-            ids = self[parts[1].encode()] + self[parts[2].encode()]
-        elif self.latin and _latin(word):
+        if self.latin and (word.isalpha() and word.isascii() or _latin(word)):
             low = word.lower()
             ids = self._merged(word) if low == word else self[low.encode()]
+        elif self.marks and (parts := _marked(word)):
+            ids = self[parts[1].encode()] + self[parts[2].encode()]
         else:
             ids = self._encoded(word)
         self[key] = ids
@@ -81,6 +83,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split())) if text else b""
 
 
+#: Packers of few ids, made once.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 _latin = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _marked = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]+)").fullmatch
 #: Bytes that a byte-level model writes as characters beyond 255, in order.
