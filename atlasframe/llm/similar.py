@@ -6,10 +6,13 @@ equal. For a similarity of 0.8 the fingerprint is widened to 256 bits over the
 set of shingles and links at up to `radius` bits are candidates. Texts of this
 similarity hold shingle counts within a factor 0.8, so that tiles are cut by
 count and those whose counts differ by more are never paired; within a pair the
-numpy comparison is complete. Each tile returns, per fingerprint, its nearest
-partner and a spanning forest (linear in the tile, whatever the size of a group
-of copies). These links are verified by the Jaccard similarity of the whole
-texts, and connected components over the verified ones are the groups.
+numpy comparison is complete. A first pass finds the documents that have any
+candidate. Only these are dealt again, with their shingle sets, and every
+candidate pair is decided by the exact Jaccard similarity before it is left out
+or joined: a pair is skipped only where verified links of its tile join its ends
+already. Each tile returns a spanning forest of verified links (linear in the
+tile, whatever the size of a group of copies), and connected components over
+them are the groups.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LANES, RADIUS = 4, 54
 TILE = 32_768
 _CHUNK = 256
+#: Shingles of the left rows that a tile holds at most while pairs are decided.
+TILE_SHINGLES = 1 << 22
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,15 +62,16 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, n, f0..f3) of (id, text)."""
+    """(id, n, f0..f3, h) of (id, text); h is a hash of the whole set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py()) for t in b.column(1).cast(pa.binary())]
             fp = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(fp[:, i]) for i in range(LANES))], names=["id", "n", *(f"f{i}" for i in range(LANES))])
+            h = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), *(pa.array(fp[:, i]) for i in range(LANES)), pa.array(h)], names=["id", "n", *(f"f{i}" for i in range(LANES)), "h"])
 
-    return docs.mapInArrow(run, "id long, n long, " + ", ".join(f"f{i} long" for i in range(LANES)))
+    return docs.mapInArrow(run, "id long, n long, " + ", ".join(f"f{i} long" for i in range(LANES)) + ", h long")
 
 
 def _near(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,106 +90,138 @@ def _near(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np
             yield x[keep] + i, y[keep] + j, d[keep]
 
 
-def _compare(radius: int):
-    """Rows (cell, sub, side, rep, lanes), sorted: a tile's own rows, side 0, then
-    the rows to compare them with."""
+def _over_tiles(out_schema: pa.Schema, found, carried: int):
+    """A function of batches of rows (cell, sub, side, rep, lanes, ...), sorted: a
+    tile's own rows, side 0, then the rows to compare them with. Of each it keeps
+    (fingerprints, ids, column `carried` or None) and yields, as one batch per
+    input batch, what found(left, right, forest) returns; right is left for a
+    tile's own pairs, and the forest is the tile's."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, own_ids, forest = None, [], [], Forest()
-        left = ids = None
-
-        def found(right: np.ndarray, right_ids: np.ndarray) -> list[tuple[int, int]]:
-            best = np.full(len(right), LANES * 64 + 1, np.int32)
-            nearest = np.zeros(len(right), np.int64)
-            out: list[tuple[int, int]] = []
-            for x, y, d in _near(left, right, radius):
-                real = ids[x] != right_ids[y]
-                x, y, d = x[real], y[real], d[real]
-                # Per right row the nearest of this block, and a forest over its firsts.
-                order = np.lexsort((x, d, y))
-                x, y, d = x[order], y[order], d[order]
-                at = np.unique(y, return_index=True)[1]
-                closer = at[d[at] < best[y[at]]]
-                best[y[closer]], nearest[y[closer]] = d[closer], ids[x[closer]]
-                first = np.repeat(x[at], np.diff(np.append(at, len(y))))
-                pairs = np.unique(np.stack([x, first]), axis=1)
-                for p, q in [*zip(right_ids[y[at]].tolist(), ids[x[at]].tolist()), *zip(ids[pairs[0]].tolist(), ids[pairs[1]].tolist())]:
-                    if p != q and forest.join(p, q):
-                        out.append((p, q))
-            has = best <= radius
-            return out + list(zip(right_ids[has].tolist(), nearest[has].tolist()))
+        key, own, left, forest = None, [], None, Forest()
 
-        def closed() -> list[tuple[int, int]]:
-            nonlocal left, ids
+        def closed() -> list[tuple]:
+            nonlocal left, own
             if left is None and own:
-                left, ids = np.concatenate(own), np.concatenate(own_ids)
-                return found(left, ids)
+                fps, ids, more = zip(*own)
+                left, own = (np.concatenate(fps), np.concatenate(ids), [x for m in more for x in m]), []
+                return found(left, left, forest)
             return []
 
-        def out(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-            a = np.array(rows, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            a = np.array(rows, np.int64).reshape(-1, len(out_schema))
+            return pa.RecordBatch.from_arrays([pa.array(a[:, i]) for i in range(a.shape[1])], schema=out_schema)
 
         for batch in batches:
             cell, sub, side = (batch.column(i).to_numpy() for i in range(3))
             fps = np.stack([batch.column(4 + i).to_numpy() for i in range(LANES)], axis=1).view(np.uint64)
             reps = batch.column(3).to_numpy()
             cuts = np.flatnonzero(np.diff(cell) | np.diff(sub) | np.diff(side)) + 1
-            rows: list[tuple[int, int]] = []
+            rows: list[tuple] = []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
                 if s == e:
                     continue
                 if (cell[s], sub[s]) != key:
                     rows += closed()
-                    key, own, own_ids, left, ids, forest = (cell[s], sub[s]), [], [], None, None, Forest()
+                    key, own, left, forest = (cell[s], sub[s]), [], None, Forest()
+                more = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(carried)[s:e]] if carried else []
+                part = fps[s:e], reps[s:e], more
                 if side[s] == 0:
-                    own.append(fps[s:e])
-                    own_ids.append(reps[s:e])
-                elif own:
+                    own.append(part)
+                elif own or left:
                     rows += closed()
-                    rows += found(fps[s:e], reps[s:e])
+                    rows += found(left, part, forest)
             yield out(rows)
         yield out(closed())
 
     return run
 
 
-def candidate_links(reps: DataFrame, similarity: float, radius: int, tile: int) -> DataFrame:
-    """(a, b) between representatives (rep, n, f0..): at most the nearest and a forest per tile."""
+def _with_candidate(radius: int):
+    """(rep) of rows that have another one within the radius."""
+
+    def found(left, right, forest) -> list[tuple]:
+        a, b = np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)
+        for x, y, _ in _near(left[0], right[0], radius):
+            real = left[1][x] != right[1][y]
+            a[x[real]] = b[y[real]] = True
+        return [(i,) for i in np.union1d(left[1][a], right[1][b]).tolist()]
+
+    return _over_tiles(pa.schema([("rep", pa.int64())]), found, 0)
+
+
+def _decide(radius: int, similarity: float):
+    """(a, b): links of at least the similarity that join all that any such pair
+    within the radius joins."""
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common >= similarity * (len(x) + len(y) - common)
+
+    def found(left, right, forest) -> list[tuple]:
+        (_, ids, sets), (_, right_ids, right_sets) = left, right
+        n, right_n = np.array(list(map(len, sets))), np.array(list(map(len, right_sets)))
+        out: list[tuple] = []
+
+        def roots(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+            some, at = np.unique(rows, return_inverse=True)
+            return np.array([forest.root(i) for i in of[some].tolist()], np.int64)[at]
+
+        for x, y, d in _near(left[0], right[0], radius):
+            few, many = np.minimum(n[x], right_n[y]), np.maximum(n[x], right_n[y])
+            real = (few >= similarity * many) & (x < y if right is left else ids[x] != right_ids[y])
+            x, y, d = x[real], y[real], d[real]
+            order = np.lexsort((d, y))
+            x, y, most = x[order], y[order], 1
+            # Each right row tries its nearest one, then twice as many, of those that are still apart from it.
+            while len(x):
+                apart = roots(x, ids) != roots(y, right_ids)
+                x, y = x[apart], y[apart]
+                start = np.unique(y, return_index=True)[1]
+                now = np.arange(len(y)) - np.repeat(start, np.diff(np.append(start, len(y)))) < most
+                for i, j in zip(x[now].tolist(), y[now].tolist()):
+                    p, q = int(ids[i]), int(right_ids[j])
+                    if forest.root(p) != forest.root(q) and similar(sets[i], right_sets[j]):
+                        forest.join(p, q)
+                        out.append((p, q))
+                x, y, most = x[~now], y[~now], most * 2
+        return out
+
+    return _over_tiles(pa.schema([("a", pa.int64()), ("b", pa.int64())]), found, 4 + LANES)
+
+
+def _tiles(reps: DataFrame, similarity: float, tile: int, shingles: int | None = None) -> DataFrame:
+    """Rows (cell, sub, side, rep, f0.., further columns) of (rep, n, f0.., ...) in tiles of at
+    most about so many left rows and, if given, shingles."""
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-float(np.log(similarity)))).cast("int")
     reps = reps.withColumn("cell", band)
+    subs = F.ceil(F.count("*") / tile)
+    subs = F.greatest(subs, F.ceil(F.sum("n") / shingles)) if shingles else subs
     # Bands are logarithms of counts: some hundred at most, whatever the input.
-    cells = F.broadcast(reps.groupBy("cell").count().select("cell", F.ceil(F.col("count") / tile).cast("int").alias("subs")))
-    lanes = [f"f{i}" for i in range(LANES)]
+    cells = F.broadcast(reps.groupBy("cell").agg(subs.cast("int").alias("subs")))
+    more = [c for c in reps.columns if c not in ("cell", "n", "rep")]
     placed = reps.join(cells, "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
     to = lambda last: F.explode(F.sequence(F.lit(0), last)).alias("sub")
-    left = placed.select("cell", F.col("own").alias("sub"), F.lit(0).alias("side"), "rep", *lanes)
-    same = placed.where("own > 0").select("cell", to(F.col("own") - 1), F.lit(1).alias("side"), "rep", *lanes)
-    below = reps.withColumn("cell", F.col("cell") - 1).join(cells, "cell").select("cell", to(F.col("subs") - 1), F.lit(1).alias("side"), "rep", *lanes)
-    rows = left.unionByName(same).unionByName(below).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "side")
-    return rows.mapInArrow(_compare(radius), "a long, b long").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    left = placed.select("cell", F.col("own").alias("sub"), F.lit(0).alias("side"), "rep", *more)
+    same = placed.where("own > 0").select("cell", to(F.col("own") - 1), F.lit(1).alias("side"), "rep", *more)
+    below = reps.withColumn("cell", F.col("cell") - 1).join(cells, "cell").select("cell", to(F.col("subs") - 1), F.lit(1).alias("side"), "rep", *more)
+    return left.unionByName(same).unionByName(below).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "side")
 
 
-def _verified(links: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The links whose texts have at least the similarity."""
+def verified_links(reps: DataFrame, docs: DataFrame, similarity: float, radius: int, tile: int) -> DataFrame:
+    """(a, b) between representatives (rep, n, f0..): a forest per tile over all pairs within
+    the radius whose texts have at least the similarity."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1).cast(pa.binary())], pa.binary())], names=["id", "set"])
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1).cast(pa.binary())], pa.binary())], names=["rep", "set"])
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    one = table(docs.join(ends, "id", "left_semi").mapInArrow(sets, "id long, set binary"), "shingles")
-    both = links.join(one.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    lanes = [f"f{i}" for i in range(LANES)]
+    reps = reps.select("rep", "n", *lanes)
+    near = table(_tiles(reps, similarity, tile).mapInArrow(_with_candidate(radius), "rep long").distinct(), "candidates")
+    one = docs.join(near.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(sets, "rep long, set binary")
+    rows = table(reps.join(one, "rep"), "shingles")
+    return _tiles(rows, similarity, tile, TILE_SHINGLES).mapInArrow(_decide(radius, similarity), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -195,11 +233,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     lanes = [f"f{i}" for i in range(LANES)]
     fps = table(_fingerprints(docs), "wide")
-    reps = table(fps.groupBy(*lanes, "n").agg(F.min("id").alias("rep")), "wide-reps")
-    links = table(candidate_links(reps, similarity, radius, tile), "candidates")
-    found = components(_verified(links, docs, similarity), "a", "b")
-    heads = reps.join(found, reps["rep"] == found["node"], "left").select(*lanes, "n", F.coalesce("component", "rep").alias("group_id"))
-    return fps.join(heads, [*lanes, "n"]).where("id <> group_id").select(F.col("id").alias(id_col), "group_id")
+    reps = table(fps.groupBy(*lanes, "n", "h").agg(F.min("id").alias("rep")), "wide-reps")
+    found = components(verified_links(reps, docs, similarity, radius, tile), "a", "b")
+    heads = reps.join(found, reps["rep"] == found["node"], "left").select(*lanes, "n", "h", F.coalesce("component", "rep").alias("group_id"))
+    return fps.join(heads, [*lanes, "n", "h"]).where("id <> group_id").select(F.col("id").alias(id_col), "group_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

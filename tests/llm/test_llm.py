@@ -88,6 +88,18 @@ def test_similar_groups_equal_brute_force(docs, texts):
     assert small == got
 
 
+def test_similar_keeps_verified_links_beside_refuted_ones(spark):
+    """Two parts of a text, each with a copy nearer to it than the text, are similar to the text but not to each other."""
+    r = random.Random(5)
+    rows = []
+    for family in range(12):
+        w = [f"{family}w{r.randrange(10**6)}" for _ in range(124)]
+        for k, words in enumerate((w[20:], w[:-20], w[20:-1], w[1:-20], w)):
+            rows.append((10 * family + k, " ".join(words)))
+    got = similar.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["group_id"] for x in got} == {i: i // 10 * 10 for i, _ in rows if i % 10}
+
+
 @pytest.mark.parametrize("hot", [2000, 0])
 def test_substring_dedup_equals_brute_force(spark, hot):
     r = random.Random(9)
