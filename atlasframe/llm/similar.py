@@ -17,7 +17,7 @@ them are the groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from atlasframe.llm.simhash import Forest
 
 SHINGLE, SIMILARITY = 5, 0.8
 LANES, RADIUS = 4, 54
+#: Fingerprints of few shingles scatter more: up to so many shingles the radius is this one at least.
+SHORT, SHORT_RADIUS = 64, 80
 TILE = 32_768
 _CHUNK = 256
 #: Shingles of the left rows that a tile holds at most while pairs are decided.
@@ -82,9 +84,11 @@ def _near(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np
             # Two lanes rule out nearly all pairs; the sum over lanes only grows.
             part = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
             part += np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+            if radius > RADIUS:  # two lanes would rule out too little
+                part += np.bitwise_count(a[:, None, 2] ^ b[None, :, 2])
             x, y = np.nonzero(part <= radius)
             d = part[x, y].astype(np.int32)
-            for lane in range(2, LANES):
+            for lane in range(3 if radius > RADIUS else 2, LANES):
                 d += np.bitwise_count(a[x, lane] ^ b[y, lane])
             keep = d <= radius
             yield x[keep] + i, y[keep] + j, d[keep]
@@ -94,8 +98,8 @@ def _over_tiles(out_schema: pa.Schema, found, carried: int):
     """A function of batches of rows (cell, sub, side, rep, lanes, ...), sorted: a
     tile's own rows, side 0, then the rows to compare them with. Of each it keeps
     (fingerprints, ids, column `carried` or None) and yields, as one batch per
-    input batch, what found(left, right, forest) returns; right is left for a
-    tile's own pairs, and the forest is the tile's."""
+    input batch, what found(left, right, forest, cell) returns; right is left for
+    a tile's own pairs, and the forest is the tile's."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, left, forest = None, [], None, Forest()
@@ -105,7 +109,7 @@ def _over_tiles(out_schema: pa.Schema, found, carried: int):
             if left is None and own:
                 fps, ids, more = zip(*own)
                 left, own = (np.concatenate(fps), np.concatenate(ids), [x for m in more for x in m]), []
-                return found(left, left, forest)
+                return found(left, left, forest, key[0])
             return []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -130,19 +134,19 @@ def _over_tiles(out_schema: pa.Schema, found, carried: int):
                     own.append(part)
                 elif own or left:
                     rows += closed()
-                    rows += found(left, part, forest)
+                    rows += found(left, part, forest, key[0])
             yield out(rows)
         yield out(closed())
 
     return run
 
 
-def _with_candidate(radius: int):
+def _with_candidate(radius: Callable[[int], int]):
     """(rep) of rows that have another one within the radius."""
 
-    def found(left, right, forest) -> list[tuple]:
+    def found(left, right, forest, cell) -> list[tuple]:
         a, b = np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)
-        for x, y, _ in _near(left[0], right[0], radius):
+        for x, y, _ in _near(left[0], right[0], radius(cell)):
             real = left[1][x] != right[1][y]
             a[x[real]] = b[y[real]] = True
         return [(i,) for i in np.union1d(left[1][a], right[1][b]).tolist()]
@@ -150,7 +154,7 @@ def _with_candidate(radius: int):
     return _over_tiles(pa.schema([("rep", pa.int64())]), found, 0)
 
 
-def _decide(radius: int, similarity: float):
+def _decide(radius: Callable[[int], int], similarity: float):
     """(a, b): links of at least the similarity that join all that any such pair
     within the radius joins."""
 
@@ -158,7 +162,7 @@ def _decide(radius: int, similarity: float):
         common = len(np.intersect1d(x, y, assume_unique=True))
         return common >= similarity * (len(x) + len(y) - common)
 
-    def found(left, right, forest) -> list[tuple]:
+    def found(left, right, forest, cell) -> list[tuple]:
         (_, ids, sets), (_, right_ids, right_sets) = left, right
         n, right_n = np.array(list(map(len, sets))), np.array(list(map(len, right_sets)))
         out: list[tuple] = []
@@ -167,7 +171,7 @@ def _decide(radius: int, similarity: float):
             some, at = np.unique(rows, return_inverse=True)
             return np.array([forest.root(i) for i in of[some].tolist()], np.int64)[at]
 
-        for x, y, d in _near(left[0], right[0], radius):
+        for x, y, d in _near(left[0], right[0], radius(cell)):
             few, many = np.minimum(n[x], right_n[y]), np.maximum(n[x], right_n[y])
             real = (few >= similarity * many) & (x < y if right is left else ids[x] != right_ids[y])
             x, y, d = x[real], y[real], d[real]
@@ -216,12 +220,17 @@ def verified_links(reps: DataFrame, docs: DataFrame, similarity: float, radius:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1).cast(pa.binary())], pa.binary())], names=["rep", "set"])
 
+    def within(cell: int) -> int:
+        # A cell's smallest count; its rows meet larger ones only.
+        least = similarity ** -float(cell)
+        return max(radius, SHORT_RADIUS) if least <= SHORT else radius
+
     lanes = [f"f{i}" for i in range(LANES)]
     reps = reps.select("rep", "n", *lanes)
-    near = table(_tiles(reps, similarity, tile).mapInArrow(_with_candidate(radius), "rep long").distinct(), "candidates")
+    near = table(_tiles(reps, similarity, tile).mapInArrow(_with_candidate(within), "rep long").distinct(), "candidates")
     one = docs.join(near.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(sets, "rep long, set binary")
     rows = table(reps.join(one, "rep"), "shingles")
-    return _tiles(rows, similarity, tile, TILE_SHINGLES).mapInArrow(_decide(radius, similarity), "a long, b long")
+    return _tiles(rows, similarity, tile, TILE_SHINGLES).mapInArrow(_decide(within, similarity), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

@@ -100,6 +100,17 @@ def test_similar_keeps_verified_links_beside_refuted_ones(spark):
     assert {x["doc_id"]: x["group_id"] for x in got} == {i: i // 10 * 10 for i, _ in rows if i % 10}
 
 
+def test_similar_finds_short_pairs(spark):
+    """Texts of 9 and 20 words and the same with one and three more or fewer words: Jaccard 0.8 or more on few shingles."""
+    r = random.Random(6)
+    rows = []
+    for k in range(300):
+        w = [f"{k}w{r.randrange(10**6)}" for _ in range(20)]
+        rows += [(4 * k, " ".join(w[:9])), (4 * k + 1, " ".join(w[:8]))] if k % 2 else [(4 * k, " ".join(w)), (4 * k + 1, " ".join(w[:17]))]
+    got = similar.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["group_id"] for x in got} == {4 * k + 1: 4 * k for k in range(300)}
+
+
 @pytest.mark.parametrize("hot", [2000, 0])
 def test_substring_dedup_equals_brute_force(spark, hot):
     r = random.Random(9)
