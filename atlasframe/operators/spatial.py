@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from itertools import product
 
@@ -106,13 +107,40 @@ def grid_downsample(points: DataFrame, width: float, by: Sequence[str] = (), col
     return points.groupBy(*by, *box).agg(*(F.avg(c).alias(c) for c in cols), F.count("*").alias("n")).drop(*(f"b{c}" for c in cols))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df without lineage: a Parquet table in the shared folder if there is one. A
+    checkpoint keeps the partitioning and ordering of its plan, which grow from round to round."""
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return df.checkpoint()
+    path = f"{shared.rstrip('/')}/points-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _heads(points: DataFrame, key: str, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Points folded by equal coordinates: (key, cols) of the smallest key of each
+    place, and (key, _head) of the others. Points without a place (null, NaN) are in neither."""
+    placed = points.select(key, *cols)
+    for c in cols:
+        placed = placed.where(F.col(c) - F.col(c) == 0)
+    heads = placed.groupBy(*cols).agg(F.min(key).alias("_head"))
+    copies = placed.join(heads, list(cols)).where(F.col(key) > F.col("_head")).select(key, "_head")
+    return heads.select(F.col("_head").alias(key), *cols), copies
+
+
 def thin_points(points: DataFrame, d: float, order: str = "point_id", cols: Sequence[str] = XYZ, checkpoint=None) -> DataFrame:
     """Greedy thinning in order: a point stays if it is at least d from all that
     stay before it. Rounds over the pairs closer than d: points without an earlier
     undecided neighbour stay, their later neighbours go, until all are decided;
-    the same points as the loop's, whatever the partitioning."""
-    cut = checkpoint or (lambda df: df.checkpoint())
-    pairs = cut(pairs_within(points, points, d, order, order, cols).where((F.col("distance") < d) & (F.col("_right") < F.col(order))).select(F.col(order).alias("late"), F.col("_right").alias("early")))
+    the same points as the loop's, whatever the partitioning. Of equal places only
+    the first can stay: what removes it removes the others as well."""
+    cut = checkpoint or _cut
+    if d <= 0:
+        return points
+    heads, copies = _heads(points, order, cols)
+    heads = cut(heads)
+    pairs = cut(pairs_within(heads, heads, d, order, order, cols).where((F.col("distance") < d) & (F.col("_right") < F.col(order))).select(F.col(order).alias("late"), F.col("_right").alias("early")))
     todo = cut(pairs.select(F.col("late").alias("id")).distinct())
     gone = None
     while not todo.isEmpty():
@@ -125,7 +153,8 @@ def thin_points(points: DataFrame, d: float, order: str = "point_id", cols: Sequ
         waiting = blocked.join(todo.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
         gone = cut(lost if gone is None else gone.unionByName(lost).distinct())
         todo = cut(waiting.join(gone, "id", "left_anti"))
-    return points if gone is None else points.join(gone.withColumnRenamed("id", order), order, "left_anti")
+    gone = copies.select(order) if gone is None else copies.select(order).unionByName(gone.withColumnRenamed("id", order))
+    return points.join(gone, order, "left_anti")
 
 
 def augment_controls(user: DataFrame, auto: DataFrame, d: float, cols: Sequence[str] = XYZ) -> DataFrame:
@@ -174,6 +203,24 @@ def link_components(edges: DataFrame, nodes: DataFrame, key: str, checkpoint=Non
 
 
 def cluster_points(points: DataFrame, d: float, key: str = "point_id", cols: Sequence[str] = XYZ, checkpoint=None) -> DataFrame:
-    """Single-linkage clusters: points closer than d are of one component."""
-    pairs = pairs_within(points, points, d, key, key, cols).where((F.col("distance") < d) & (F.col(key) < F.col("_right")))
-    return points.join(link_components(pairs.select(F.col(key).alias("a"), F.col("_right").alias("b")), points, key, checkpoint), key)
+    """Single-linkage clusters: points closer than d are of one component. Equal
+    places are one, and places of one cube whose diagonal is less than d are linked
+    through the smallest key; pairs are compared only across cubes."""
+    if d <= 0:
+        return points.withColumn("component", F.col(key))
+    heads, copies = _heads(points, key, cols)
+    # A little less than d / sqrt(n), so that rounding never links points d apart.
+    width = d / len(cols) ** 0.5 * (1 - 1e-9)
+    heads = heads.withColumn("_cube", F.array(*(F.floor(F.col(c) / width) for c in cols)))
+    cut = checkpoint or _cut
+    heads = cut(heads)
+    first = heads.groupBy("_cube").agg(F.min(key).alias("a"))
+    inner = heads.join(first, "_cube").where(F.col(key) > F.col("a")).select("a", F.col(key).alias("b"))
+    pairs = pairs_within(heads, heads, d, key, key, cols).where((F.col("distance") < d) & (F.col(key) < F.col("_right")))
+    cube = heads.select(F.col(key).alias("_k"), "_cube").join(first, "_cube").select("_k", "a")
+    # One link for each pair of cubes that have a pair of places closer than d.
+    across = pairs.join(cube.select(F.col("_k").alias(key), "a"), key).join(cube.select(F.col("_k").alias("_right"), F.col("a").alias("b")), "_right")
+    across = across.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = link_components(inner.unionByName(across), heads, key, cut)
+    others = copies.join(found.withColumnRenamed(key, "_head"), "_head").select(key, "component")
+    return points.join(found.unionByName(others), key, "left").withColumn("component", F.coalesce("component", key))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from atlasframe import functions as fn
 from atlasframe import sources, streaming
 from atlasframe.operators import align, geometry, lookup, points, regions, series, spatial, stats, stencil, tiles, udf
+from atlasframe.plans import fixtures as fx
+from atlasframe.plans import queries
+from conftest import DATA
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +74,23 @@ def test_knn_and_thinning_equal_brute_force(cloud):
     assert matched.where("point_id = _right").count() == 150
 
 
+
+def test_point_queries_take_all_points(spark):
+    p = fx.points(spark, DATA).toPandas().sort_values("point_id")
+    ids, xyz = p["point_id"].tolist(), p[list("xyz")].to_numpy()
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    kept: list[int] = []
+    for i in range(len(ids)):
+        if (d[i, kept] >= 3).all():
+            kept.append(i)
+    assert sorted(r["point_id"] for r in queries.QUERIES["k5_thin_points"](spark, DATA).collect()) == [ids[i] for i in kept]
+    label = np.arange(len(ids))
+    while ((least := np.where(d < 2, label[None], len(ids)).min(1)) < label).any():
+        label = least
+    got = {r["point_id"]: r["component"] for r in queries.QUERIES["d14_cluster_points"](spark, DATA).collect()}
+    assert got == {i: ids[k] for i, k in zip(ids, label)}
+
+
 def test_fits(spark, cloud):
     df, pdf = cloud
     a = 0.3
