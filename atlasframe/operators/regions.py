@@ -50,9 +50,10 @@ def region_relative(medians: DataFrame, by: Sequence[str] = ("sample_id", "chann
 
 
 def segment_join(rows: DataFrame, segments: DataFrame, axis: str = "z") -> DataFrame:
-    """Axis position to segment: [start, end), the last one closed. Segments are a short list of the cord's parts."""
-    last = segments.agg(F.max("end_z")).first()[0]
-    s = F.broadcast(segments.select("segment", "start_z", "end_z").limit(1000))
+    """Axis position to segment: [start, end), the last one closed. Up to 1000 segments, a short list of the cord's parts, are broadcast."""
+    last, n = segments.agg(F.max("end_z"), F.count("*")).first()
+    s = segments.select("segment", "start_z", "end_z")
+    s = F.broadcast(s) if n <= 1000 else s
     inside = (F.col(axis) >= F.col("start_z")) & ((F.col(axis) < F.col("end_z")) | ((F.col(axis) == F.lit(last)) & (F.col("end_z") == F.lit(last))))
     return rows.join(s, inside).drop("start_z", "end_z")
 

@@ -287,3 +287,9 @@ def test_empty_inputs_keep_their_schema(spark, cloud):
     assert spatial.knn_join(none, df, 1, 5.0, "point_id", "point_id").count() == 0
     assert spatial.thin_points(none, 1.0).count() == 0 and spatial.cluster_points(none, 1.0).count() == 0
     assert tiles.detect_cells_3d(_volume(spark, np.zeros((2, 2, 2))).where("false")).columns == ["sample_id", "channel", "x", "y", "z", "intensity", "diameter", "elongation"]
+
+
+def test_segment_join_takes_any_number_of_segments(spark):
+    segments = spark.range(1500).selectExpr("concat('C', id) as segment", "cast(id as double) as start_z", "cast(id + 1 as double) as end_z")
+    got = regions.segment_join(spark.range(1501).selectExpr("cast(id as double) as z"), segments).collect()
+    assert sorted((r["z"], r["segment"]) for r in got) == sorted([(float(i), f"C{i}") for i in range(1500)] + [(1500.0, "C1499")])
