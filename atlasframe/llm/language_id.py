@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from atlasframe.llm.shared import bounded_ids, drop_table, table
 
-#: Bounds of the model: labelled rows that it is fitted on, words, n-grams of each length.
-MOST_ROWS, MOST_WORDS, MOST_GRAMS = 5_000, 100_000, 40_000
+#: Labelled rows that a model is fitted on, at most, and how often a word or n-gram must
+#: occur in them, over all languages, to be known.
+MOST_ROWS, LEAST = 5_000, 3
 ORDERS = (5, 4, 3, 2, 1)
 STEP_DOWN = np.log(0.4)
 #: Words whose scores a task keeps; it starts afresh beyond it.
@@ -55,24 +56,32 @@ def _model(words: list, grams: list[list], langs: list[str]) -> Model:
     return Model(langs, places[0], places[1:], np.concatenate(tables))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS) -> Model:
+def _frequent(counts: DataFrame, least: int) -> list:
+    """(term, lang, n) of the terms whose counts over all languages reach least, sorted by term."""
+    wide = counts.groupBy("term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("total") >= least)
+    return sorted((r["term"], lang, n) for r in wide.select("term", "by").collect() for lang, n in r["by"])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS, least: int = LEAST) -> Model:
     """Counts over at most most_rows labelled rows (those with the smallest id
-    hashes), made on the cluster; the most frequent words and n-grams are kept, so
-    the model's size has a bound whatever the corpus holds."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    hashes), whole texts, made on the cluster. Every word and n-gram that occurs
+    `least` times or more is known, with its counts in all languages; the bounded
+    sample bounds the model. Rows with null ids, texts or languages are left out;
+    of several rows with one id each counts. An empty table gives a model that
+    answers 'und'."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
     ids = bounded_ids(rows, "id", most_rows)
     rows = rows.join(F.broadcast(ids), "id", "left_semi")
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("term"))
     counts = table(words.groupBy("term", "lang").agg(F.count("*").alias("n")), "words")
-    order = [F.col("n").desc(), "term", "lang"]
-    known = counts.orderBy(*order).limit(MOST_WORDS).collect()
-    langs = sorted({r[1] for r in known})
+    known = _frequent(counts, least)
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     marked = counts.select("lang", "n", F.concat(F.lit("<"), "term", F.lit(">")).alias("term"))
     grams = []
     for k in ORDERS:
         places = F.sequence(F.lit(1), F.length("term") - k + 1)
         cut = marked.where(F.length("term") >= k).select("lang", "n", F.explode(F.transform(places, lambda i: F.substring("term", i, F.lit(k)))).alias("term"))  # noqa: B023
-        grams.append(cut.groupBy("term", "lang").agg(F.sum("n").alias("n")).orderBy(*order).limit(MOST_GRAMS).collect())
+        grams.append(_frequent(cut.groupBy("term", "lang").agg(F.sum("n").alias("n")), least))
     drop_table(counts)
     return _model(known, grams, langs)
 
@@ -141,7 +150,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id, lang_pred, score) of every row. Null texts and texts without a letter
     are 'und' with score 0; so is every text if nothing was learned. Ties take the
     first language by name. Repeated rows are scored each; other columns are
-    ignored; an empty table gives an empty result."""
+    ignored; very long texts are read whole; an empty table gives an empty result."""
     held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
