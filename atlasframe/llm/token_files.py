@@ -28,6 +28,8 @@ from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from atlasframe.llm.shared import shared_dir, table
 
@@ -36,6 +38,8 @@ MAGIC = 0x4B544631
 FRAME_IDS = 1 << 18
 #: Words whose ids a task keeps; it starts afresh beyond it.
 CACHE = 1_000_000
+#: Tasks that read files; beyond it a task reads several.
+MOST_TASKS = 100_000
 
 
 class WordIds(dict):
@@ -220,7 +224,9 @@ def read_tokens(files: DataFrame, id_type: str = "long", with_ids: bool = False)
     files is what write_tokens() returned: one row per file, so the running sum
     over it is small whatever the corpus holds."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")).repartition("file")
+    placed = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # Dealt in turn to a number of its own, which is not merged into fewer: one file a task.
+    placed = placed.repartition(max(1, min(files.count(), MOST_TASKS)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,7 +241,7 @@ def read_tokens(files: DataFrame, id_type: str = "long", with_ids: bool = False)
                 yield _batch(rows)
 
     kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + with_ids]
-    id_arrow = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    id_arrow = to_arrow_type(StructType.fromDDL(f"id {id_type}")["id"].dataType)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * 5
@@ -245,7 +251,13 @@ def read_tokens(files: DataFrame, id_type: str = "long", with_ids: bool = False)
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs as token files into the shared folder and read the files back."""
+    """Write docs as token files into the shared folder and read the files back:
+    one row per row of docs, as read_tokens() gives them.
+
+    Null and empty texts have the end id alone, very long ones are one document of
+    one frame; rows with a null id come first, repeated rows are written and read as
+    often as they come; other columns are ignored; an empty table gives an empty
+    result."""
     path = f"{shared_dir(docs.sparkSession)}/tokens-{np.random.default_rng().integers(1 << 62):x}"
     files = write_tokens(docs, path, tokenizer, end_id, id_col, text_col)
     return read_tokens(files, docs.schema[id_col].dataType.simpleString())
