@@ -8,9 +8,10 @@ by line length, is the document's raw score, and a logistic fit on the training
 documents turns it into a probability.
 
 Labels are known for documents only, so a document's label is the label of its
-lines while training. Fitting uses a bounded sample of labelled documents,
-gradient steps on arrays of line features that the cluster has made; everything
-else runs in Arrow batches without a shuffle.
+lines while training. Fitting minimises one weighted negative log-likelihood of
+the chains, with a ridge, by gradient steps on arrays of line features that the
+cluster has made of a bounded sample of whole labelled documents; everything else
+runs in Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.llm.shared import bounded_ids
 
-#: Labelled documents that a model is fitted on, at most; lines of one document used in fitting, spread evenly over it.
-MOST_ROWS, MOST_LINES = 6_000, 400
+#: Labelled documents that a model is fitted on, at most, and all their lines.
+MOST_ROWS, MOST_LINES = 6_000, 300_000
 BINS = 10
 STEPS = 80
 _SLICE = 128
@@ -79,7 +80,7 @@ class Model:
 
 def _binned(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Place of each feature's bin in the flat weights."""
-    return np.column_stack([np.searchsorted(e, raw[:, i]) + i * BINS for i, e in enumerate(edges)])
+    return np.column_stack([(np.searchsorted(e, raw[:, i]) + i * BINS).astype(np.int16) for i, e in enumerate(edges)])
 
 
 def _unary(model: Model, bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -94,9 +95,11 @@ def _unary(model: Model, bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(unary: np.ndarray, sizes: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of good for each line, and expected label pairs (2 x 2) over all
-    chains. Chains are taken in step, longest first, so a step is one array operation."""
+def forward_backward(unary: np.ndarray, sizes: np.ndarray, chain: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of good for each line, expected label pairs (2 x 2) over all
+    chains, each line's pair with the one before counted by the line's weight, and
+    the log of each chain's normaliser. Chains are taken in step, longest first, so a
+    step is one array operation."""
     order = np.argsort(-sizes, kind="stable")
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[order]
     long = sizes[order]
@@ -122,10 +125,13 @@ def forward_backward(unary: np.ndarray, sizes: np.ndarray, chain: np.ndarray) ->
     inner = np.ones(len(unary), bool)
     inner[first] = False
     at = np.flatnonzero(inner)
+    own = 1.0 if weight is None else weight[at]
     for i in (0, 1):
         for j in (0, 1):
-            pairs[i, j] = np.exp(forward[i, at - 1] + chain[i, j] + (unary[at] if j else 0) + backward[j, at] - total[at]).sum()
-    return np.exp(both[1] - total), pairs
+            pairs[i, j] = (np.exp(forward[i, at - 1] + chain[i, j] + (unary[at] if j else 0) + backward[j, at] - total[at]) * own).sum()
+    normaliser = np.zeros(len(sizes))
+    normaliser[order] = total[first]
+    return np.exp(both[1] - total), pairs, normaliser
 
 
 def _scores(marginal: np.ndarray, length: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -150,61 +156,73 @@ def _adam(steps: int, rate: float, start: np.ndarray, gradient) -> np.ndarray:
     return x
 
 
+_WIDTH = 3 * FEATURES * BINS
+
+
+def _unpacked(x: np.ndarray, edges: np.ndarray) -> Model:
+    return Model(edges, x[:_WIDTH].reshape(3, FEATURES, BINS), x[_WIDTH], x[_WIDTH + 1 :].reshape(2, 2))
+
+
+def objective(x: np.ndarray, edges: np.ndarray, bins: np.ndarray, sizes: np.ndarray, label: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The weighted negative log-likelihood of chains whose lines all have their
+    document's label, with a ridge, per document, and its gradient. A document
+    weighs one by the square root of its lines, so long ones count more, but not in proportion."""
+    now = _unpacked(x, edges)
+    weight = 1 / np.sqrt(sizes)
+    by_line = np.repeat(weight, sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    start = np.zeros(len(bins), bool)
+    start[first] = True
+    after = np.flatnonzero(~start)
+    unary = _unary(now, bins, sizes)
+    marginal, pairs, normaliser = forward_backward(unary, sizes, now.chain, by_line)
+    own = label * np.add.reduceat(unary, first) + (sizes - 1) * now.chain[label, label]
+    value = (weight * (normaliser - own)).sum() + ridge / 2 * (x @ x)
+    off = (marginal - np.repeat(label, sizes)) * by_line
+    g = np.zeros_like(x)
+    for k, rows, of in ((0, after - 1, after), (1, slice(None), slice(None)), (2, after, after - 1)):
+        for f in range(FEATURES):  # feature by feature: the lines' bins are never copied as a whole
+            at = (k * FEATURES + f) * BINS
+            g[at : at + BINS] = np.bincount(bins[rows, f] - f * BINS, off[of], BINS)
+    g[_WIDTH] = off.sum()
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (label, label), weight * (sizes - 1))
+    g[_WIDTH + 1 :] = (pairs - seen).ravel()
+    return value / len(sizes), (g + ridge * x) / len(sizes)
+
+
 def _train(raw: np.ndarray, length: np.ndarray, sizes: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> Model:
     edges = np.quantile(raw, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     bins = _binned(raw, edges)
-    own = np.repeat(label, sizes).astype(float)
-    width = 3 * FEATURES * BINS
-    start = np.zeros(len(raw), bool)
-    start[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
-    after = np.flatnonzero(~start)
-    # Each document counts alike, however many lines it has.
-    weight = np.repeat(1 / np.sqrt(sizes), sizes)
-
-    def model(x: np.ndarray) -> Model:
-        return Model(edges, x[:width].reshape(3, FEATURES, BINS), x[width], x[width + 1 :].reshape(2, 2))
-
-    seen_pairs = np.zeros((2, 2))
-    seen_pairs[0, 0], seen_pairs[1, 1] = (sizes - 1)[label == 0].sum(), (sizes - 1)[label == 1].sum()
-
-    def gradient(x: np.ndarray) -> np.ndarray:
-        now = model(x)
-        marginal, pairs = forward_backward(_unary(now, bins, sizes), sizes, now.chain)
-        off = (marginal - own) * weight
-        g = np.zeros_like(x)
-        for k, rows, of in ((0, after - 1, after), (1, slice(None), slice(None)), (2, after, after - 1)):
-            g[k * FEATURES * BINS : (k + 1) * FEATURES * BINS] = np.bincount(bins[rows].ravel(), np.repeat(off[of], FEATURES), FEATURES * BINS)
-        g[width] = off.sum()
-        g[width + 1 :] = (pairs - seen_pairs).ravel() * weight.mean()
-        return (g + ridge * x) / len(sizes)
-
     # Two draws of any sample start alike: from zero, in full passes.
-    x = _adam(STEPS, 0.1, np.zeros(width + 5), gradient)
-    x[width + 1 :] = np.clip(x[width + 1 :], -2, 2)
-    fitted = model(x)
+    fitted = _unpacked(_adam(STEPS, 0.1, np.zeros(_WIDTH + 5), lambda x: objective(x, edges, bins, sizes, label, ridge)[1]), edges)
     z = _logit(_scores(forward_backward(_unary(fitted, bins, sizes), sizes, fitted.chain)[0], length, sizes))
     fitted.scale, fitted.shift = _adam(300, 0.05, np.array([1.0, 0.0]), lambda p: np.array([((q := 1 / (1 + np.exp(-p[0] * z - p[1]))) - label) @ z, (q - label).sum()]) / len(z) + 1e-3 * (p - [1, 0]))
     return fitted
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS, most_lines: int = MOST_LINES) -> Model:
     """Fit on at most most_rows labelled documents, those with the smallest id
-    hashes. Rows with null ids, texts or labels are left out; of an id with several
+    hashes, whole, as long as they have most_lines lines together at most (one
+    document at least). Rows with null ids, texts or labels are left out; of an id with several
     labels the smallest is taken. With fewer than one document of either label the
     model answers with the share of good ones (a half if there are none)."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     # The bound holds for the ids, so both broadcasts have it.
     ids = bounded_ids(rows.select("id").join(known, "id", "left_semi"), "id", most_rows)
-    picked = F.broadcast(known.join(F.broadcast(ids), "id", "left_semi"))
+    sized = rows.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("lines"))
+    # One row for each of the bounded ids.
+    order = Window.orderBy(F.xxhash64("id"), "id")
+    fitting = sized.withColumn("n", F.row_number().over(order)).withColumn("all", F.sum("lines").over(order)).where((F.col("n") == 1) | (F.col("all") <= most_lines))
+    picked = F.broadcast(known.join(F.broadcast(fitting.select("id")), "id", "left_semi"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 raw, length, _ = line_features([text])
-                keep = np.unique(np.linspace(0, len(raw) - 1, MOST_LINES).astype(int)) if len(raw) > MOST_LINES else slice(None)
-                out.append((raw[keep].tobytes(), length[keep].tobytes()))
+                out.append((raw.tobytes(), length.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), b.column(1)], names=["raw", "length", "label"])
 
     got = rows.join(picked, "id").select("text", "label").mapInArrow(run, "raw binary, length binary, label int").toArrow()
@@ -234,7 +252,8 @@ def _all_scores(column: pa.Array, model: Model) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row. Null texts score as empty ones: one line without
-    characters. Repeated rows are scored each; other columns are ignored; an empty
+    characters; very long texts are scored whole. Repeated rows and rows with null
+    ids are scored each; other columns are ignored; an empty
     table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -247,7 +266,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that score at least limit. No shuffle."""
+    """The rows of docs, all columns, that score at least limit. Null and empty texts
+    are scored as one empty line, very long ones whole; repeated rows and rows with
+    null ids are judged each; an empty table gives an empty result. No shuffle."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
