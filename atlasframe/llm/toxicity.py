@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from atlasframe.llm.shared import bounded_ids, drop_table, table
 
-#: Labelled documents that a model is fitted on, at most; words of one document used in fitting (longer ones give their sentences of the smallest hash).
-MOST_ROWS, MOST_WORDS = 12_000, 4_000
+#: Labelled documents that a model is fitted on, at most, each whole.
+MOST_ROWS = 12_000
 WIDTH = 1 << 18
 STEPS, RATE, RIDGE, SWAP, TELLING = 200, 0.05, 1e-4, 2.0, 3.0
 #: Words whose weights a task keeps; it starts afresh beyond it.
@@ -125,10 +125,6 @@ def _features(partner: dict[str, str]):
             out = []
             for text in b.column(0).to_pylist():
                 parts = sentences(text)
-                if sum(map(len, parts)) > MOST_WORDS:
-                    order = sorted(range(len(parts)), key=lambda i: crc32(" ".join(parts[i]).encode()))
-                    before = np.cumsum([len(parts[i]) for i in order])
-                    parts = [parts[i] for i in sorted(order[: max(1, int((before <= MOST_WORDS).sum()))])]
                 ids = np.array([places(w) for p in parts for w in p], "<i4").ravel()
                 swapped = np.array([places(partner[w]) + places(w) for p in parts for w in p if w in partner], "<i4")
                 out.append((ids.tobytes(), np.array([2 * len(p) for p in parts], "<i4").tobytes(), swapped.tobytes(), np.unique(ids).tolist()))
@@ -158,7 +154,7 @@ def _telling_only(weights: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS, identity: list[str] = IDENTITY, swap: float = SWAP) -> Model:
     """Fit on at most most_rows labelled documents, those with the smallest id
-    hashes. Features are made and counted on the cluster; the driver gets the
+    hashes, whole. Features are made and counted on the cluster; the driver gets the
     counts (one row per feature) and the sentences' telling features. Rows with
     null ids, texts or labels are left out; of an id with several labels the
     largest is taken. Without documents of both labels the model answers with the
@@ -215,7 +211,8 @@ class _Weights(dict):
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row: the probability of its worst sentence. Null texts
-    and texts without a word have the score of no evidence. Repeated rows are
+    and texts without a word have the score of no evidence; very long texts are
+    scored whole, sentence by sentence. Repeated rows and rows with null ids are
     scored each; other columns are ignored; an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
