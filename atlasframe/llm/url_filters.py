@@ -18,21 +18,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _after(url: Column) -> Column:
-    return F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
+    return F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
 
 
 def _lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def split_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds host, path and node: the url without fragment and with a lower-case
-    host, by which pages that are the same document meet; null without ://."""
-    rest = F.col("_rest")
-    rows = pages.withColumn("url", F.col(url_col).cast("string")).withColumn("_rest", F.coalesce(_after(F.col("url")), F.lit("")))
-    rows = rows.withColumn("host", _lower(F.regexp_extract(rest, r"^[^/?#]*", 0))).withColumn("path", F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1))
-    node = F.concat(F.col("host"), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
-    return rows.withColumn("node", F.when(F.col("host") != "", node)).drop("_rest")
+def url_parts(url: Column) -> tuple[Column, Column, Column]:
+    """host, path and node of a url: the node is the url without fragment and with a
+    lower-case host, by which pages that are the same document meet; null without ://."""
+    rest = F.coalesce(_after(url.cast("string")), F.lit(""))
+    host = _lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
+    node = F.concat(host, F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
+    return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.when(host != "", node)
 
 
 def _target(href: Column) -> Column:
@@ -88,19 +87,22 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     Repeated pages are judged each; other columns are ignored; an empty table
     gives an empty result.
     """
-    rows = split_urls(pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")))
+    host, path, node = url_parts(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), node.alias("node"), F.col(html_col).cast("string").alias("html"))
     edges = page_links(rows)
     if redirects is not None:
-        one, two = (split_urls(redirects.select(F.col(c).alias("url"), F.monotonically_increasing_id().alias("k"))).select("k", F.col("node").alias(c)) for c in ("from_url", "to_url"))
-        edges = edges.unionByName(one.join(two, "k").select(F.col("from_url").alias("node"), F.col("to_url").alias("target")))
-    rows = rows.drop("html")
+        edges = edges.unionByName(redirects.select(url_parts(F.col("from_url"))[2].alias("node"), url_parts(F.col("to_url"))[2].alias("target")))
+    # Urls without a host meet no rule and no alias: they stay out of the joins, where they would be one key.
+    lone = rows.where("node is null").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("component"))
+    rows = rows.where("node is not null").drop("html")
     groups = components(edges.withColumnRenamed("node", "a").withColumnRenamed("target", "b"), "a", "b")
     rows = rows.join(rule_matches(rows, rules), ["host", "path"], "left")
     rows = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = table(rows.select("id", "host", "path", "rule", "action", "component"), "urls")
     said = rows.where("action is not null").groupBy("component").agg(F.min("action").alias("by_alias"))  # allow sorts before block
     rows = rows.join(said, "component", "left")
-    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", "by_alias", F.lit("allow")).alias("verdict"), "component")
+    rows = rows.select("id", "host", "path", "rule", F.coalesce("action", "by_alias", F.lit("allow")).alias("verdict"), "component")
+    return rows.unionByName(lone).withColumnRenamed("id", id_col)
 
 
 #: The rules of the registered query: fixed by its contract.
