@@ -12,13 +12,15 @@ Work goes only where repeats can be, and every step spreads by content:
    FM-index over its runs (Burrows-Wheeler transform in a wavelet matrix), its
    runs are streamed through it by backward search, and intervals whose matching
    statistics reach 50 words in a document with a smaller id are reported.
-3. Hot anchors. An anchor with more than `hot` different runs (a passage in a
-   third of all documents, each with its own surroundings) has its runs cut into
+3. Hot anchors. An anchor with more than `hot` different runs or more words in
+   them than a shard (a passage in a third of all documents, each with its own
+   surroundings, or a text that repeats one line without end) has its runs cut into
    single windows, sharded by the windows' own hash and folded in the same way,
    so that no shard grows with it.
 4. Intervals are gathered by document and the covered words are taken out.
 
-Words are compared by 64-bit hash.
+Words are compared by 64-bit hash; runs and windows that are folded must agree in
+two 64-bit hashes, that of their anchor and that of all their words.
 """
 
 from __future__ import annotations
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasframe.llm.fm_index import FmIndex, covered
-from atlasframe.llm.shared import drop_table, table
+from atlasframe.llm.shared import drop_table, table, unused
 
 WINDOW, GRAM = 50, 12
-#: Words of one shard, on average, and different runs of one anchor beyond which it is cut into windows.
+#: Words of one shard, on average, and of one anchor's runs at most; different runs of one anchor beyond which it is cut into windows.
 SHARD_WORDS, HOT = 300_000, 2_000
 #: Words whose hashes a task keeps; it starts afresh beyond it.
 CACHE = 500_000
@@ -172,8 +174,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words
 
     one = kept.groupBy("anchor", "run").agg(F.min(F.struct("id", "tie", "a", "b")).alias("x"))
     one = table(one.select("anchor", "run", "x.*"), "different-runs")
-    several = one.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = one.join(several.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
+    several = one.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("b") - F.col("a")).alias("size")).where("n > 1")
+    wanted = one.join(several.select("anchor", ((F.col("n") > hot) | (F.col("size") > shard_words)).alias("hot")), "anchor")
     texts = table(_with_words(docs, wanted, window), "run-words")
 
     words = texts.where("words is not null").agg(F.sum(F.length("words"))).first()[0] or 0
@@ -189,7 +191,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words
     placed = kept.join(first, ["anchor", "run"])
     whole = placed.where("id > first").select("id", "tie", "a", "b")
     partly = placed.where("id = first").join(found, ["anchor", "run"]).select("id", "tie", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
-    return whole.unionByName(partly)
+    found = table(whole.unionByName(partly), "repeats")
+    for done in (kept, one, texts):
+        drop_table(done)
+    return found
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,7 +221,8 @@ def _gathered(docs: DataFrame, keyed: DataFrame, **options) -> DataFrame:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row.
 
-    Words split at ASCII white space; null texts have none. Rows with a null id
+    Words split at ASCII white space; null and empty texts have none; very long texts
+    are taken whole. Rows with a null id
     lose nothing and are no source of repeats; a document with an equal id is no
     smaller one. Repeated rows are returned as often as they come; other columns
     are ignored; an empty table gives an empty result.
@@ -239,14 +245,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, with repeated words taken out of their texts; texts that
     lose none stay as they are, the others are their kept words joined by one
-    space. Documents that lose every word are dropped."""
+    space. Documents that lose every word are dropped. Null, empty and very long
+    texts, null ids, repeated rows and empty tables are dealt with as by digests();
+    columns may have any names."""
     keyed = _keyed(docs, id_col, text_col)
-    # Names of their own, so that columns called id, tie or cuts do no harm.
+    own_id, own_tie, own_cuts, row_tie = (unused(docs.columns, f"_{n}") for n in ("id", "tie", "cuts", "own"))
     cuts = repeats(keyed, **options).groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("cuts").alias("__cuts"))
+    cuts = cuts.select(F.col("id").alias(own_id), F.col("tie").alias(own_tie), F.col("cuts").alias(own_cuts))
     tie = F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0))
-    rows = docs.withColumn("__own", tie)
-    rows = rows.join(cuts, (rows[id_col] == cuts["__id"]) & (rows["__own"] == cuts["__tie"]), "left").select(*docs.columns, "__cuts")
+    rows = docs.withColumn(row_tie, tie)
+    rows = rows.join(cuts, (rows[id_col] == cuts[own_id]) & (rows[row_tie] == cuts[own_tie]), "left").select(*docs.columns, own_cuts)
     names = docs.columns
     at, width = names.index(text_col), len(names)
 
