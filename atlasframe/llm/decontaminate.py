@@ -19,6 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of test items in one block, on average.
 BLOCK_CHARS = 4_000_000
@@ -126,12 +127,13 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05, id_col: str =
     occurrence within rate * length edits, as offsets into the normalised text.
 
     Both sides are lower-cased with white space as single spaces. Null and empty
-    texts match nothing; an item without text is no item. Rows with null ids are
+    texts match nothing; an item without text is no item; of several items with one
+    text each is reported. Very long texts are searched whole. Rows with null ids are
     searched and return a null id. Repeated rows are returned as often as they
     come; other columns are ignored; empty tables give an empty result.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = None
     for block in _blocks(items, item_col, item_text, block_chars):
@@ -151,7 +153,9 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05, id_col: str =
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.05, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no test item within its
-    budget. Rows with a null text stay."""
+    budget. Null and empty texts stay; rows with null ids and repeated rows are
+    judged each; very long texts are searched whole; without items every row stays,
+    and an empty table gives an empty result."""
     at = docs.columns.index(text_col)
     for block in _blocks(items, item_col, item_text, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(block)

@@ -182,7 +182,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no ids and decode to ''. A text that holds the meta
     mark itself decodes with a space in its place, as the model format has it.
-    Repeated rows are encoded each; other columns are ignored; an empty table
+    Very long texts are encoded whole. Repeated rows are encoded each, whatever
+    their ids; other columns are ignored; an empty table
     gives an empty result.
     """
 
@@ -203,7 +204,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_ids, ids_crc32, decoded_sha256, round_trip) of every row, from the
     same encoder and decoder: ids_crc32 over the ids as little-endian 32-bit
-    integers; round_trip true if the decoded text is the text (null as '')."""
+    integers; round_trip true if the decoded text is the text (null as ''). Null and
+    empty texts, very long ones, null ids, repeated rows, other columns and an empty
+    table are dealt with as by encode()."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)

@@ -6,13 +6,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlasframe.llm import decontaminate, language_id, pieces, quality_crf, quality_rules, simhash, substring_dedup, token_files, toxicity, url_filters
 from atlasframe.llm.shared import documents, fold
 
 
+def held_out(parts: int, rest: int) -> Column:
+    """Whether a row's remainder is the one held out of fitting; false for a row without an id."""
+    return F.coalesce(fold("doc_id", parts) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -21,7 +26,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.where(fold("doc_id", 4) != 2))
     found = language_id.predict(docs, model)
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +46,14 @@ def quality_model(docs: DataFrame, sf_dir: str) -> quality_crf.Model:
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = quality_crf.predict(docs, quality_model(docs, sf_dir))
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs.where(fold("doc_id", 4) != 2), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = toxicity.predict(docs, model)
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasframe.llm.shared import components, table
+from atlasframe.llm.shared import components, drop_table, table
 from atlasframe.llm.simhash import Forest
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -230,26 +230,36 @@ def verified_links(reps: DataFrame, docs: DataFrame, similarity: float, radius:
     near = table(_tiles(reps, similarity, tile).mapInArrow(_with_candidate(within), "rep long").distinct(), "candidates")
     one = docs.join(near.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(sets, "rep long, set binary")
     rows = table(reps.join(one, "rep"), "shingles")
-    return _tiles(rows, similarity, tile, TILE_SHINGLES).mapInArrow(_decide(within, similarity), "a long, b long")
+    links = table(_tiles(rows, similarity, tile, TILE_SHINGLES).mapInArrow(_decide(within, similarity), "a long, b long"), "links")
+    drop_table(near)
+    drop_table(rows)
+    return links
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(id, group_id) of every id that is not the smallest of its group.
 
-    Equal shingle sets are one representative, the smallest id. Ids are integers
+    docs may have any further columns, which are ignored. Equal shingle sets are one representative, the smallest id. Ids are integers
     and identify rows; rows with a null id are in no group. Texts without a word
     are equal to each other. An empty table gives an empty result."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     lanes = [f"f{i}" for i in range(LANES)]
     fps = table(_fingerprints(docs), "wide")
     reps = table(fps.groupBy(*lanes, "n", "h").agg(F.min("id").alias("rep")), "wide-reps")
-    found = components(verified_links(reps, docs, similarity, radius, tile), "a", "b")
+    links = verified_links(reps, docs, similarity, radius, tile)
+    found = components(links, "a", "b")
+    drop_table(links)
     heads = reps.join(found, reps["rep"] == found["node"], "left").select(*lanes, "n", "h", F.coalesce("component", "rep").alias("group_id"))
-    return fps.join(heads, [*lanes, "n", "h"]).where("id <> group_id").select(F.col("id").alias(id_col), "group_id")
+    out = table(fps.join(heads, [*lanes, "n", "h"]).where("id <> group_id").select(F.col("id").alias(id_col), "group_id"), "groups")
+    for done in (fps, reps, found):
+        drop_table(done)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, without those that have a smaller id in their group.
-    Rows with a null id stay."""
-    gone = groups(docs, id_col, text_col, **options).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    Rows with a null id stay, and so do repeated rows of an id that stays (an id is
+    one document). Null, empty and white-space texts are one group. Very long texts
+    are compared whole; an empty table gives an empty result."""
+    gone = groups(docs, id_col, text_col, **options).select(id_col)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
