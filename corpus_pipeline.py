@@ -1,6 +1,11 @@
 """A training corpus from raw documents: five stages, each one operator over all
 that the stage before it kept. Each stage's result is written as Parquet into the
-shared folder and read again before the next one."""
+shared folder and read again before the next one.
+
+Every stage takes documents with null, empty and very long texts, null ids,
+repeated rows and further columns of any names, as the operator that it calls
+describes, and gives an empty table for an empty one. All but the last return the
+columns that they were given."""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 
 from atlasframe.llm import decontaminate, pieces, quality_crf, similar, substring_dedup
 from atlasframe.llm.queries import quality_model
-from atlasframe.llm.shared import table
+from atlasframe.llm.shared import drop_table, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +54,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = table(stage(spark, docs, sf_dir), "stage-" + name.split(" ")[0].lower())
+        if before is not None:
+            drop_table(before)
+        before = docs
     return docs
 
 
