@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.operators.spatial import link_components
@@ -18,14 +18,28 @@ def _line(by: Sequence[str], axis: str, axes: Sequence[str], low: int, high: int
     return Window.partitionBy(*by, *(a for a in axes if a != axis)).orderBy(axis).rangeBetween(low, high)
 
 
+def _over_box(sources: DataFrame, targets: DataFrame, r: int, by: Sequence[str], axes: Sequence[str], values: dict[str, Column], how) -> DataFrame:
+    """targets with, for each of values, how (F.max, F.sum, ...) over the sources in
+    the box of +-r round the row; volumes may have gaps. Axis by axis a source goes
+    to the 2 r + 1 places that it reaches and equal places are folded at once (on the
+    map side first); along the last axis a window over the line does both. A place
+    between two voxels is carried whether or not a voxel is there."""
+    rows = sources.select(*by, *axes, *(c.alias(n) for n, c in values.items()))
+    for a in axes[:-1]:
+        rows = rows.withColumn(a, F.explode(F.sequence(F.col(a) - r, F.col(a) + r)))
+        rows = rows.groupBy(*by, *axes).agg(*(how(n).alias(n) for n in values))
+    own = targets.select(*by, *axes, *(F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in values), F.struct(*(F.col(c) for c in targets.columns)).alias("_own"))
+    both = rows.withColumn("_own", F.lit(None).cast(own.schema["_own"].dataType)).unionByName(own)
+    line = _line(by, axes[-1], axes, -r, r)
+    return both.withColumns({n: how(n).over(line) for n in values}).where("_own is not null").select("_own.*", *values)
+
+
 def local_extreme(voxels: DataFrame, r: int, by: Sequence[str], axes: Sequence[str] = AXES, most: bool = True, value: str = "value", out: str = "extreme") -> DataFrame:
-    """Adds the greatest (or least) value within +-r along every axis, axis by axis,
-    for volumes that have all their voxels (over several axes a gap hides what lies
-    behind it). Windows run along single lines of voxels."""
-    rows = voxels.withColumn(out, F.col(value))
-    for a in axes:
-        rows = rows.withColumn(out, (F.max if most else F.min)(out).over(_line(by, a, axes, -r, r)))
-    return rows
+    """Adds the greatest (or least) value of the present voxels in the box of +-r."""
+    how = F.max if most else F.min
+    if len(axes) == 1:
+        return voxels.withColumn(out, how(value).over(_line(by, axes[0], axes, -r, r)))
+    return _over_box(voxels, voxels, r, by, axes, {out: F.col(value)}, how)
 
 
 def local_max(voxels: DataFrame, r: int, by: Sequence[str], axes: Sequence[str] = AXES) -> DataFrame:
@@ -43,9 +57,8 @@ def find_peaks(voxels: DataFrame, r: int, threshold: float, by: Sequence[str], a
 
 def dilate(mask: DataFrame, r: int, voxels: DataFrame, by: Sequence[str], threshold: float, axes: Sequence[str] = AXES) -> DataFrame:
     """Voxels above threshold within the box of +-r round a mask voxel."""
-    seeds = mask.select(*by, *axes).distinct().withColumn("_seed", F.lit(1))
-    rows = voxels.join(seeds, [*by, *axes], "left").withColumn("_seed", F.coalesce("_seed", F.lit(0)))
-    return local_extreme(rows, r, by, axes, value="_seed", out="_near").where((F.col("_near") == 1) & (F.col("value") > threshold)).drop("_seed", "_near")
+    bright = voxels.where(F.col("value") > threshold)
+    return _over_box(mask, bright, r, by, axes, {"_near": F.lit(1)}, F.max).where("_near = 1").drop("_near")
 
 
 def dilate_ellipsoid(mask: DataFrame, radii: Sequence[float], by: Sequence[str], axes: Sequence[str] = AXES) -> DataFrame:
@@ -113,10 +126,11 @@ def gradient_magnitude(voxels: DataFrame, by: Sequence[str], axes: Sequence[str]
 
 
 def local_std(voxels: DataFrame, r: int, by: Sequence[str], axes: Sequence[str] = AXES) -> DataFrame:
-    """Adds std: sample deviation in the box of +-r over the present voxels, from sums along each axis."""
-    rows = voxels.withColumns({"_n": F.lit(1.0), "_s": F.col("value").cast("double"), "_q": F.col("value").cast("double") ** 2})
-    for a in axes:
-        w = _line(by, a, axes, -r, r)
-        rows = rows.withColumns({c: F.sum(c).over(w) for c in ("_n", "_s", "_q")})
+    """Adds std: sample deviation in the box of +-r over the present voxels, from sums
+    of values less their group's mean (so that a large mean costs no digits)."""
+    mean = voxels.groupBy(*by).agg(F.avg("value").alias("_mean"))
+    off = F.col("value").cast("double") - F.col("_mean")
+    near = voxels.join(mean, list(by)).select(*by, *axes, off.alias("_off"))
+    rows = _over_box(near, voxels, r, by, axes, {"_n": F.lit(1.0), "_s": F.col("_off"), "_q": F.col("_off") ** 2}, F.sum)
     var = F.when(F.col("_n") > 1, F.greatest((F.col("_q") - F.col("_s") ** 2 / F.col("_n")) / (F.col("_n") - 1), F.lit(0.0))).otherwise(0.0)
     return rows.withColumn("std", F.sqrt(var)).drop("_n", "_s", "_q")
