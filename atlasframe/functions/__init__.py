@@ -114,6 +114,29 @@ def channel_number(file) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+def channel_name(file) -> Column:
+    """The name in chan<n>_<name>.tif(f), null without one."""
+    found = F.regexp_extract(_c(file), r"^chan\d+_(.+)\.tiff?$", 1)
+    return F.when(found != "", found)
+
+
+def rotation_from_mean_normal(x, y, z) -> Column:
+    """Row-major 3 x 3 rotation (an array) from the mean (x, y, z) of slice normals as
+    they are saved, pointing back along the first axis: the mean is turned round and
+    scaled to length 1, the first axis turned onto it, axes then put in the order
+    third, first, second and the matrix transposed. Normals along the axis give the
+    identity or its negative."""
+    length = F.sqrt(_c(x) ** 2 + _c(y) ** 2 + _c(z) ** 2)
+    a, b, c = (-_c(v) / length for v in (x, y, z))
+    across = F.sqrt(b**2 + c**2)
+    # The turn about (0, -c, b) / across by the angle whose cosine is a and sine is across.
+    k = F.when(across > 1e-6, (1 - a) / across**2)
+    turn = [[a, -b, -c], [b, a + k * c**2, -k * b * c], [c, -k * b * c, a + k * b**2]]
+    order = (2, 0, 1)
+    plain = lambda i, j: F.when(across > 1e-6, turn[order[j]][order[i]]).otherwise(a if i == j else F.lit(0.0))
+    return F.array(*(plain(i, j) for i in range(3) for j in range(3)))
+
+
 def channel_file(channel, kind: str) -> Column:
     return F.format_string(f"chan%02d_{kind}", _c(channel).cast("int"))
 
@@ -128,8 +151,8 @@ def linspace(a: float, b: float, n: int) -> Column:
 
 def cumulative(values) -> Column:
     """Running sums of an array."""
-    v = _c(values)
-    return F.transform(v, lambda x, i: F.aggregate(F.slice(v, F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y))
+    none = F.struct(F.lit(0.0).alias("t"), F.array().cast("array<double>").alias("all"))
+    return F.aggregate(_c(values), none, lambda a, x: F.struct((a["t"] + x).alias("t"), F.concat(a["all"], F.array(a["t"] + x)).alias("all")), lambda a: a["all"])
 
 
 def differences(values) -> Column:

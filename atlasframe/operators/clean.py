@@ -104,7 +104,8 @@ def select_matched_controls(points: DataFrame) -> DataFrame:
 
 
 def exclude_divisions(df: DataFrame, name: str = "name", skipped: Sequence[str] = SKIPPED_DIVISIONS) -> DataFrame:
-    return df.where(~F.lower(name).rlike("|".join(skipped)))
+    """Rows without a name stay."""
+    return df.where(~F.coalesce(F.lower(name).rlike("|".join(skipped)), F.lit(False)))
 
 
 def side_of(z, nz: int) -> Column:

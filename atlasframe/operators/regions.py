@@ -15,11 +15,14 @@ def _filled(stats: DataFrame, regions: DataFrame, by: Sequence[str], sides: Sequ
     frame = regions.select("region_id").distinct()
     if sides:
         frame = frame.withColumn("side", F.explode(F.array(*map(F.lit, sides))))
-    if by:
-        frame = frame.join(stats.select(*by).distinct(), F.lit(True))  # groups are few: samples and channels
-    keys = [*by, "region_id", *(["side"] if sides else [])]
-    rows = frame.join(stats, keys, "left")
-    return rows if fill is None else rows.withColumns({c: F.coalesce(c, F.lit(fill)) for c in cols})
+    keys = ["region_id", *(["side"] if sides else [])]
+    # An atlas has some thousand regions: a group's rows, and the list of all regions, are
+    # one row each, so the statistics are computed once.
+    frame = F.broadcast(frame.agg(F.collect_list(F.struct(*keys)).alias("_frame")))
+    own = stats.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*keys), F.struct(*cols)))).alias("_own"))
+    rows = own.join(frame, F.lit(True)).select(*by, F.explode("_frame").alias("_k"), "_own").select(*by, "_k.*", F.col("_own")[F.col("_k")].alias("_v"))
+    value = lambda c: F.col("_v")[c]
+    return rows.select(*by, *keys, *((value(c) if fill is None else F.coalesce(value(c), F.lit(fill))).alias(c) for c in cols))
 
 
 def region_counts(points: DataFrame, regions: DataFrame, nz: int, by: Sequence[str] = ("sample_id", "channel"), fill: int | None = 0) -> DataFrame:
@@ -50,12 +53,16 @@ def region_relative(medians: DataFrame, by: Sequence[str] = ("sample_id", "chann
 
 
 def segment_join(rows: DataFrame, segments: DataFrame, axis: str = "z") -> DataFrame:
-    """Axis position to segment: [start, end), the last one closed. Up to 1000 segments, a short list of the cord's parts, are broadcast."""
-    last, n = segments.agg(F.max("end_z"), F.count("*")).first()
-    s = segments.select("segment", "start_z", "end_z")
-    s = F.broadcast(s) if n <= 1000 else s
+    """Axis position to segment: [start, end), the last one closed. Positions and
+    segments meet by stretches of the axis as long as a segment is on average: an
+    equi-join for any number of segments."""
+    last, width = segments.agg(F.max("end_z"), F.avg(F.col("end_z") - F.col("start_z"))).first()
+    if not width:
+        return rows.withColumn("segment", F.lit(None).cast("string")).limit(0)
+    at = lambda c: F.floor(F.col(c) / float(width)).cast("long")
+    s = segments.select("segment", "start_z", "end_z", F.explode(F.sequence(at("start_z"), at("end_z"))).alias("_at"))
     inside = (F.col(axis) >= F.col("start_z")) & ((F.col(axis) < F.col("end_z")) | ((F.col(axis) == F.lit(last)) & (F.col("end_z") == F.lit(last))))
-    return rows.join(s, inside).drop("start_z", "end_z")
+    return rows.withColumn("_at", at(axis)).join(s, "_at").where(inside).drop("start_z", "end_z", "_at")
 
 
 def region_segment_medians(voxels: DataFrame, labels: DataFrame, segments: DataFrame, by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
@@ -120,12 +127,17 @@ def rollup_cord(stats: DataFrame, tree: DataFrame, targets: Sequence[int], by: S
 
 def join_by_name_unique(terms: DataFrame, external: DataFrame, name: str = "name", key: str = "ext_name", value: str = "ext_value") -> DataFrame:
     """External rows whose name (lower case, no commas) holds that of a term or is
-    held by it, where exactly one does; else the value is missing. Terms are a short
-    list; external rows meet them word by word (a shared word is needed), not all with all."""
+    held by it, anywhere in it, where exactly one does; else the value is missing.
+    Empty names hold and are held by none. A name meets those that it may lie in by
+    its first three characters, so no name is compared with all others."""
     clean = lambda c: F.trim(F.translate(F.lower(c), ",", ""))
-    t = terms.select("region_id", name, clean(name).alias("_t")).withColumn("_w", F.explode(F.array_distinct(F.split("_t", r"\s+"))))
-    e = external.select(F.col(key), F.col(value), clean(key).alias("_e")).withColumn("_w", F.explode(F.array_distinct(F.split("_e", r"\s+"))))
-    hits = t.join(e, "_w").where(F.col("_e").contains(F.col("_t")) | F.col("_t").contains(F.col("_e"))).select("region_id", key, value).distinct()
+    parts = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substring(F.col(c), i, F.lit(k)) for k in (1, 2, 3))))))).alias("_w")
+    head = lambda c: F.substring(c, 1, 3).alias("_w")
+    t = terms.select("region_id", clean(name).alias("_t")).where("_t <> ''")
+    e = external.select(key, value, clean(key).alias("_e")).where("_e <> ''")
+    held = t.select("*", head("_t")).join(e.select("*", parts("_e")), "_w").where(F.col("_e").contains(F.col("_t")))
+    holds = t.select("*", parts("_t")).join(e.select("*", head("_e")), "_w").where(F.col("_t").contains(F.col("_e")))
+    hits = held.unionByName(holds).select("region_id", key, value).distinct()
     one = hits.groupBy("region_id").agg(F.count("*").alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
     return terms.select("region_id", name).join(one, "region_id", "left")
 

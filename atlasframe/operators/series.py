@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasframe.functions import matmul
-
 
 def moving_median(series: DataFrame, r: int, by: Sequence[str], order: str, value: str, out: str = "median") -> DataFrame:
     """Median of the rows at most r places away (a frame holds 2 r + 1 values)."""
@@ -47,7 +45,11 @@ def interpolate_slices(series: DataFrame, by: Sequence[str], order: str, value:
     beyond the ends; groups with fewer than least known values stay as they are."""
     n = F.count(value).over(Window.partitionBy(*by))
     v0, p0, v1, p1 = _around(by, order, value)
-    known = series.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("double").alias("p"), F.col(value).cast("double").alias("v")))).alias("_k"))
+    # The first two and the last two known values of each group: four rows at most.
+    w = Window.partitionBy(*by)
+    known = series.where(F.col(value).isNotNull()).select(*by, F.struct(F.col(order).cast("double").alias("p"), F.col(value).cast("double").alias("v")).alias("_k"))
+    known = known.withColumns({"_r": F.row_number().over(w.orderBy("_k")), "_l": F.row_number().over(w.orderBy(F.col("_k").desc()))}).where("_r <= 2 or _l <= 2")
+    known = known.groupBy(*by).agg(F.sort_array(F.collect_list("_k")).alias("_k"))
     rows = series.join(known, list(by), "left").withColumns({"_v0": v0, "_p0": p0, "_v1": v1, "_p1": p1, "_n": n})
     a, b = F.get("_k", F.lit(0)), F.get("_k", F.lit(1))
     y, z = F.get("_k", F.size("_k") - 2), F.get("_k", F.size("_k") - 1)
@@ -66,11 +68,17 @@ def unwrap_angle(series: DataFrame, by: Sequence[str], order: str, angle: str) -
 
 
 def compose_along(transforms: DataFrame, by: Sequence[str], order: str, m: str = "m", n: int = 4) -> DataFrame:
-    """Running product of each group's matrices (row-major arrays) in order; a
-    sample's slices are a few thousand, of which a frame holds those so far."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    one = F.array(*(F.lit(float(i // n == i % n)) for i in range(n * n)))
-    return transforms.withColumn(m, F.aggregate(F.collect_list(m).over(w), one, lambda a, x: matmul(a, x, n)))
+    """Running product of each group's matrices (row-major arrays) in order. A
+    sample's slices are a few thousand and are one task, which multiplies each once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, out = pdf.sort_values(order), np.eye(n), []
+        for x in pdf[m]:
+            now = now @ np.asarray(x, float).reshape(n, n)
+            out.append(now.ravel().tolist())
+        return pdf.assign(**{m: out})
+
+    return transforms.groupBy(*by).applyInPandas(run, transforms.schema)
 
 
 def smooth_path(path: DataFrame, by: str, order: str, values: Sequence[str], penalty: float) -> DataFrame:

@@ -80,18 +80,31 @@ def anti_join_within(auto: DataFrame, user: DataFrame, d: float, auto_id: str =
     return auto.join(pairs_within(auto, users, d, auto_id, "_uid", cols).select(auto_id).distinct(), auto_id, "left_anti")
 
 
-def nearest_slice(samples: DataFrame, atlas: DataFrame, pos: str = "pos", group: str | None = None) -> DataFrame:
-    """For each sample position the nearest atlas position, the smaller of ties: one
-    pass over both, sorted, taking the last atlas position before and the first after."""
+def nearest_slice(samples: DataFrame, atlas: DataFrame, pos: str = "pos", group: str | None = None, blocks: int = 4096) -> DataFrame:
+    """For each sample position the nearest atlas position, the smaller of ties; null
+    for a missing position or a group without an atlas position. The axis is cut
+    into blocks. Within one, a sorted pass takes the last atlas position before and
+    the first after; those beyond the block come from a table of the blocks' ends."""
     keys = [group] if group else []
-    a = atlas.select(*keys, F.col(pos).cast("double").alias("_p"), F.col(pos).cast("double").alias("_a"))
-    s = samples.withColumn("_s", F.struct(*samples.columns)).select(*keys, F.col(pos).cast("double").alias("_p"), F.lit(None).cast("double").alias("_a"), "_s")
+    low, high = atlas.agg(F.min(F.col(pos).cast("double")), F.max(F.col(pos).cast("double"))).first()
+    if low is None:
+        return samples.withColumn("nearest", F.lit(None).cast("double"))
+    part = F.least(F.greatest(F.floor((F.col("_p") - low) / ((high - low) or 1.0) * blocks), F.lit(0)), F.lit(blocks - 1)).alias("_block")
+    a = atlas.select(*keys, F.col(pos).cast("double").alias("_p")).where("_p is not null").select(*keys, "_p", part, F.col("_p").alias("_a"))
+    s = samples.select(*keys, F.col(pos).cast("double").alias("_p"), F.struct(*samples.columns).alias("_s")).select(*keys, "_p", part, F.lit(None).cast("double").alias("_a"), "_s")
+    # One row for each block that has anything.
+    ends = a.select(*keys, "_block", "_a").unionByName(s.select(*keys, "_block", "_a").distinct()).groupBy(*keys, "_block").agg(F.min("_a").alias("_first"), F.max("_a").alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    ends = ends.select(
+        *keys, "_block", F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_above")
+    )
     both = s.unionByName(a.withColumn("_s", F.lit(None).cast(s.schema["_s"].dataType)))
-    w = Window.partitionBy(*keys).orderBy("_p", F.col("_a").isNull()) if keys else Window.orderBy("_p", F.col("_a").isNull())
+    w = Window.partitionBy(*keys, "_block").orderBy("_p", F.col("_a").isNull())
     before = F.last("_a", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("_a", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = both.withColumn("_b", before).withColumn("_f", after).where("_s is not null")
-    near = F.when(F.col("_b").isNull(), F.col("_f")).when(F.col("_f").isNull(), F.col("_b")).when(F.col("_p") - F.col("_b") <= F.col("_f") - F.col("_p"), F.col("_b")).otherwise(F.col("_f"))
+    rows = both.withColumns({"_b": before, "_f": after}).where("_s is not null").join(ends, [*keys, "_block"], "left")
+    rows = rows.withColumns({"_b": F.coalesce("_b", "_below"), "_f": F.coalesce("_f", "_above")})
+    near = F.when(F.col("_p").isNull(), None).when(F.col("_b").isNull(), F.col("_f")).when(F.col("_f").isNull(), F.col("_b")).when(F.col("_p") - F.col("_b") <= F.col("_f") - F.col("_p"), F.col("_b")).otherwise(F.col("_f"))
     return rows.select("_s.*", near.alias("nearest"))
 
 

@@ -47,14 +47,15 @@ def density_variance(maps: DataFrame, weights: DataFrame) -> DataFrame:
     return s.select("y", "x", "z", (F.col("_s") / w).alias("mean"), var.alias("variance"))
 
 
-def intensity_map(voxels: DataFrame, weights: DataFrame, box: Sequence[tuple[int, int]]) -> DataFrame:
-    """Sum over samples of weight * (v - b) / b, b the median of positive values in the border box."""
+def intensity_map(voxels: DataFrame, weights: DataFrame, box: Sequence[tuple[int, int]], by: Sequence[str] = ()) -> DataFrame:
+    """Sum over samples (for each of by, such as a channel) of weight * (v - b) / b, b the
+    median of positive values in the border box."""
     inside = voxels
     for c, (a, b) in zip("yxz", box):
         inside = inside.where(F.col(c).between(a, b))
-    base = inside.where("value > 0").groupBy("sample_id").agg(F.percentile("value", F.lit(0.5)).alias("_b"))
-    rows = voxels.join(base, "sample_id").join(weights, "sample_id")
-    return rows.groupBy("y", "x", "z").agg(F.sum(F.col("weight") * (F.col("value") - F.col("_b")) / F.col("_b")).alias("value"))
+    base = inside.where("value > 0").groupBy("sample_id", *by).agg(F.percentile("value", F.lit(0.5)).alias("_b"))
+    rows = voxels.join(base, ["sample_id", *by]).join(weights, "sample_id")
+    return rows.groupBy(*by, "y", "x", "z").agg(F.sum(F.col("weight") * (F.col("value") - F.col("_b")) / F.col("_b")).alias("value"))
 
 
 def component_moments(labels: DataFrame, by: Sequence[str] = ("component",), value: str = "value") -> DataFrame:
@@ -268,6 +269,17 @@ def class_balance(df: DataFrame, label: str, key: str, seed: int = 1) -> DataFra
     return sample_per_group(df, int(least), [label], key, seed)
 
 
+def cap_per_class(df: DataFrame, n: int, label: str, key: str, seed: int = 1) -> DataFrame:
+    """At most n rows of each class, by hash."""
+    return sample_per_group(df, n, [label], key, seed)
+
+
+def deepest_point(points: DataFrame, by: Sequence[str], depth: str = "y", key: str = "point_id") -> DataFrame:
+    """The row of each group with the greatest depth, the largest key of ties."""
+    row = F.struct(*points.columns)
+    return points.groupBy(*by).agg(F.max_by(row, F.struct(depth, key)).alias("_row")).select("_row.*")
+
+
 def hash_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 1) -> DataFrame:
     """Adds training: true for the share of rows."""
     return df.withColumn("training", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -10,6 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasframe.functions import equiv_radius
+from atlasframe.operators.clean import size_filter
+from atlasframe.operators.stats import component_moments
+from atlasframe.operators.stencil import connected_components, dilate, find_peaks
+
 AXES = ("z", "y", "x")
 
 
@@ -121,27 +126,109 @@ def find_blobs(volume: np.ndarray, options: Detection) -> pd.DataFrame:
 def detect_cells_3d(voxels: DataFrame, options: Detection = Detection(), by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
     """Cells (by, x, y, z, intensity, diameter, elongation): every tile with its halo
     is one task's dense block, and a cell counts where its centre is the tile's own."""
-    own = dict(zip(AXES, (options.nz, options.nxy, options.nxy)))
 
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
         low = {a: int(pdf[a].min()) for a in AXES}
         dense = np.zeros([int(pdf[a].max()) - low[a] + 1 for a in AXES])
         dense[tuple((pdf[a] - low[a]).to_numpy() for a in AXES)] = pdf["value"]
-        found = find_blobs(dense, options)
-        for a in AXES:
-            found[a] += low[a]
-        head = pdf.iloc[0]
-        keep = np.ones(len(found), bool)
-        for a in AXES:
-            begin = int(head[f"t{a}"]) * own[a] + 1
-            keep &= (found[a] >= begin - 0.5) & (found[a] < begin + own[a] - 0.5)
-        keep &= (found["elongation"] <= 2.5) & (found["diameter"] >= options.radius) & (found["diameter"] <= 8 * options.radius) & (found["intensity"] > 0)
-        found = found[keep]
-        return found.assign(**{c: head[c] for c in by})[[*by, "x", "y", "z", "intensity", "diameter", "elongation"]]
-
-    kinds = ", ".join(f"{c} {voxels.schema[c].dataType.simpleString()}" for c in by)
+        return _own_cells(dense, low, pdf.iloc[0], options, by)
+
     tiles = make_tiles(voxels, options, by)
-    return tiles.groupBy(*by, "tz", "ty", "tx").applyInPandas(detect, f"{kinds}, x double, y double, z double, intensity double, diameter double, elongation double")
+    return tiles.groupBy(*by, "tz", "ty", "tx").applyInPandas(detect, _cell_columns(voxels, by))
+
+
+def _cell_columns(df: DataFrame, by: Sequence[str]) -> str:
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    return f"{kinds}, x double, y double, z double, intensity double, diameter double, elongation double"
+
+
+def _own_cells(dense: np.ndarray, low: dict[str, int], head: pd.Series, options: Detection, by: Sequence[str]) -> pd.DataFrame:
+    """The cells of a dense block that begins at low whose centres are the tile's own."""
+    found = find_blobs(dense, options)
+    keep = np.ones(len(found), bool)
+    for a, size in zip(AXES, (options.nz, options.nxy, options.nxy)):
+        found[a] += low[a]
+        begin = int(head[f"t{a}"]) * size + 1
+        keep &= (found[a] >= begin - 0.5) & (found[a] < begin + size - 0.5)
+    keep &= (found["elongation"] <= 2.5) & (found["diameter"] >= options.radius) & (found["diameter"] <= 8 * options.radius) & (found["intensity"] > 0)
+    return found[keep].assign(**{c: head[c] for c in by})[[*by, "x", "y", "z", "intensity", "diameter", "elongation"]]
+
+
+def plane_tiles(planes: DataFrame, options: Detection = Detection(), by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
+    """Planes (by, z, ny, nx, data uint16) cut to the tiles that they lie in, halos
+    included, clipped at the plane's edge: (by, tz, ty, tx, z, y0, x0, ny, nx, data).
+    A voxel stays two bytes of a block; it is never a row."""
+    hz, hy, hx = options.halo
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                plane = np.frombuffer(row.data, "<u2").reshape(row.ny, row.nx)
+                out = []
+                for tz in range(max(0, (row.z - 1 - hz) // options.nz), (row.z - 1 + hz) // options.nz + 1):
+                    for ty in range(-(-row.ny // options.nxy)):
+                        for tx in range(-(-row.nx // options.nxy)):
+                            y0, x0 = max(0, ty * options.nxy - hy), max(0, tx * options.nxy - hx)
+                            part = plane[y0 : (ty + 1) * options.nxy + hy, x0 : (tx + 1) * options.nxy + hx]
+                            out.append((*(getattr(row, c) for c in by), tz, ty, tx, row.z, y0 + 1, x0 + 1, *part.shape, part.tobytes()))
+                yield pd.DataFrame(out, columns=[*by, "tz", "ty", "tx", "z", "y0", "x0", "ny", "nx", "data"])
+
+    kinds = ", ".join(f"{c} {planes.schema[c].dataType.simpleString()}" for c in by)
+    return planes.select(*by, "z", "ny", "nx", "data").mapInPandas(cut, f"{kinds}, tz int, ty int, tx int, z int, y0 int, x0 int, ny int, nx int, data binary")
+
+
+def detect_cells_in_planes(planes: DataFrame, options: Detection = Detection(), by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
+    """detect_cells_3d from raw planes: a tile's pieces are stacked in one task; planes
+    that are missing between two others are empty."""
+
+    def detect(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = {"z": int(pdf["z"].min()), "y": int(pdf["y0"].min()), "x": int(pdf["x0"].min())}
+        dense = np.zeros((int(pdf["z"].max()) - low["z"] + 1, int(pdf["ny"].max()), int(pdf["nx"].max())))
+        for row in pdf.itertuples(index=False):
+            dense[row.z - low["z"], : row.ny, : row.nx] = np.frombuffer(row.data, "<u2").reshape(row.ny, row.nx)
+        return _own_cells(dense, low, pdf.iloc[0], options, by)
+
+    return plane_tiles(planes, options, by).groupBy(*by, "tz", "ty", "tx").applyInPandas(detect, _cell_columns(planes, by))
+
+
+def plane_voxels(planes: DataFrame, by: Sequence[str] = ("sample_id", "channel"), above: int = 0) -> DataFrame:
+    """(by, y, x, z, value) of the voxels of planes that are greater than above."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                plane = np.frombuffer(row.data, "<u2").reshape(row.ny, row.nx)
+                y, x = np.nonzero(plane > above)
+                yield pd.DataFrame({**{c: getattr(row, c) for c in by}, "y": y + 1, "x": x + 1, "z": row.z, "value": plane[y, x].astype(float)})
+
+    kinds = ", ".join(f"{c} {planes.schema[c].dataType.simpleString()}" for c in by)
+    return planes.select(*by, "z", "ny", "nx", "data").mapInPandas(spread, f"{kinds}, y int, x int, z int, value double")
+
+
+def union_tiles(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Detections of several tiles or runs as one table; columns that one lacks are null there."""
+    for df in others:
+        first = first.unionByName(df, allowMissingColumns=True)
+    return first
+
+
+def cell_mask(voxels: DataFrame, look: int, threshold: float, by: Sequence[str] = ("sample_id", "channel"), cube: int = 2) -> DataFrame:
+    """Voxels of bright spots in DataFrame functions: maxima of their plane's box of
+    +-look above threshold, and what lies within +-cube of one above 0.8 of it."""
+    peaks = find_peaks(voxels, look, threshold, [*by, "z"], ("y", "x"), 1e-3)
+    return dilate(peaks, cube, voxels, by, 0.8 * threshold)
+
+
+def detect_cells_sql(voxels: DataFrame, look: int, threshold: float, size: Sequence[int], by: Sequence[str] = ("sample_id", "channel"), cube: int = 2, voxel_volume: float = 1.0, checkpoint=None) -> DataFrame:
+    """Cells (by, x, y, z, n, intensity, diameter) without a band-pass: components of
+    cell_mask, of a tenth to ten times the cube's voxels, by their weighted centres,
+    more than a hundredth of the plane (size: y, x) away from its edge. The whole
+    volume is one mask, so no cell is cut by a batch of planes."""
+    parts = connected_components(cell_mask(voxels, look, threshold, by, cube), by, checkpoint=checkpoint)
+    cells = size_filter(component_moments(parts, [*by, "component"]), float((2 * cube + 1) ** 3))
+    for c, n in (("cy", size[0]), ("cx", size[1])):
+        cells = cells.where((F.col(c) > 0.01 * n) & (F.col(c) < 0.99 * n))
+    return cells.select(*by, F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "n", F.col("mean").alias("intensity"), equiv_radius("n", voxel_volume).alias("diameter"))
 
 
 def rank_background(plane: np.ndarray, r: int, rank: float = 0.5) -> np.ndarray:
@@ -183,6 +270,16 @@ def candidate_views(cells: DataFrame, voxels: DataFrame, half: int, by: Sequence
     return pick("yx", "y", "x").unionByName(pick("zx", "z", "x")).unionByName(pick("zy", "z", "y"))
 
 
+def preprocess_volume(planes: DataFrame, out: str, factor: int = 2, options: Detection = Detection()) -> tuple[DataFrame, DataFrame]:
+    """Raw planes to two Parquet sinks below out: 'registration', planes as from
+    preprocess_planes(), and 'tiles', the full-resolution planes, zeros filled and
+    3 x 3 medians taken, cut to plane_tiles() by sample, channel and tile. Returns both as read back."""
+    spark = planes.sparkSession
+    preprocess_planes(planes, factor).write.mode("overwrite").partitionBy("sample_id", "channel").parquet(f"{out}/registration")
+    plane_tiles(preprocess_planes(planes, 1), options).write.mode("overwrite").partitionBy("sample_id", "channel", "tz").parquet(f"{out}/tiles")
+    return spark.read.parquet(f"{out}/registration"), spark.read.parquet(f"{out}/tiles")
+
+
 def preprocess_planes(planes: DataFrame, factor: int = 2) -> DataFrame:
     """Raw planes (sample_id, channel, z, ny, nx, data uint16): zeros to the plane's
     mode, 3 x 3 median, and blocks of factor x factor averaged; one plane at a time."""

@@ -49,6 +49,14 @@ def _rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias("n"))
 
 
+#: An order-free digest of which rows are in a group.
+_PLACES = "round(sum((x * 64 + y) * 64 + z), 2) as places"
+
+
+def _placed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.groupBy(*cols).agg(F.count("*").alias("n"), F.expr(_PLACES))
+
+
 # Scans, sources, sinks
 
 
@@ -80,14 +88,14 @@ def s7_read_bbox(s, d):
     return rounded(box.groupBy(*BY).agg(F.count("*").alias("n"), F.sum("value").alias("total")), ["total"], 3)
 
 
-@query("select channel, count(*) as n from voxels where channel in (1, 3, 9) group by 1")
+@query(f"select channel, count(*) as n, {_PLACES} from voxels where channel in (1, 3, 9) group by 1")
 def s8_select_channels(s, d):
-    return _rows(sources.select_channels(fx.voxels(s, d), [1, 3, 9]), ["channel"])
+    return _placed(sources.select_channels(fx.voxels(s, d), [1, 3, 9]), ["channel"])
 
 
-@query("select channel, count(*) as n from cells where sample_id = 'S2' group by 1")
+@query(f"select channel, count(*) as n, {_PLACES} from cells where sample_id = 'S2' group by 1")
 def s12_load_sample_points(s, d):
-    return _rows(sources.load_sample_points(fx.cells(s, d).withColumn("space", F.lit("sample")), "S2", "sample"), ["channel"])
+    return _placed(sources.load_sample_points(fx.cells(s, d).withColumn("space", F.lit("sample")), "S2", "sample"), ["channel"])
 
 
 @query("select s_nationkey, count(case when s_acctbal >= 0 then 1 end) as known, count(*) as n from supplier group by 1", False)
@@ -170,20 +178,20 @@ def p7_keep_in_tissue(s, d):
     return _rows(lookup.keep_in_tissue(kept, fx.annotation(s, d)), ["sample_id", "region_id"])
 
 
-@query("select sample_id, count(*) as n from cells where z >= 9 and z < 17 and y >= 11 and y < 31 and x >= 1 and x < 13 group by 1")
+@query(f"select sample_id, count(*) as n, {_PLACES} from cells where z >= 9 and z < 17 and y >= 11 and y < 31 and x >= 1 and x < 13 group by 1")
 def p8_own_tile_only(s, d):
     c = fx.cells(s, d).withColumns({"z0": F.lit(9), "z1": F.lit(17), "y0": F.lit(11), "y1": F.lit(31), "x0": F.lit(1), "x1": F.lit(13)})
-    return _rows(clean.own_tile_only(c, ["z0", "y0", "x0"], ["z1", "y1", "x1"]), ["sample_id"])
+    return _placed(clean.own_tile_only(c, ["z0", "y0", "x0"], ["z1", "y1", "x1"]), ["sample_id"])
 
 
-@query("select sample_id, channel, count(*) as n from cells where elongation <= 2.5 and diameter >= 4 and diameter <= 32 and intensity > 0 group by all")
+@query(f"select sample_id, channel, count(*) as n, {_PLACES} from cells where elongation <= 2.5 and diameter >= 4 and diameter <= 32 and intensity > 0 group by all")
 def p9_shape_filter(s, d):
-    return _rows(clean.shape_filter(fx.cells(s, d), 4.0), list(BY))
+    return _placed(clean.shape_filter(fx.cells(s, d), 4.0), BY)
 
 
-@query("select sample_id, channel, count(*) as n from cells where 1 / elongation >= 0.7 and diameter >= 5 and intensity >= 200 group by all")
+@query(f"select sample_id, channel, count(*) as n, {_PLACES} from cells where 1 / elongation >= 0.7 and diameter >= 5 and intensity >= 200 group by all")
 def p10_shape_filter_2d(s, d):
-    return _rows(clean.shape_filter_2d(fx.cells(s, d).withColumn("circularity", 1 / F.col("elongation")), 10.0, 200.0), list(BY))
+    return _placed(clean.shape_filter_2d(fx.cells(s, d).withColumn("circularity", 1 / F.col("elongation")), 10.0, 200.0), BY)
 
 
 @query("select x, n from (select cast(floor(x) as bigint) as x, z, count(*) as n from cells group by 1, 2) where n between 12 and 1200 ")
@@ -198,9 +206,9 @@ def p12_auto_intensity_filter(s, d):
     return _rows(clean.auto_intensity_filter(_labelled(s, d), value="diameter"), ["region_id"])
 
 
-@query("select slice, count(*) as n from points where x > 2 and x <= 36 and y > 2 and y <= 20 and z > 2 and z <= 28 group by 1")
+@query("select point_id from points where x > 2 and x <= 36 and y > 2 and y <= 20 and z > 2 and z <= 28")
 def p13_edge_margin(s, d):
-    return _rows(clean.edge_margin(fx.points(s, d), (38, 22, 30), 0.1), ["slice"])
+    return clean.edge_margin(fx.points(s, d), (38, 22, 30), 0.1).select("point_id")
 
 
 @query("""select c.sample_id, round(sum(case when v = 0 then coalesce(m, 0) else v end), 2) as total from (select sample_id, channel, diameter % 7 as v from cells) c left join
@@ -222,16 +230,16 @@ def p16_rescale_to_range(s, d):
     return _rows(clean.rescale_to_range(fx.voxels(s, d), BY), [*BY, "value"])
 
 
-@query("""select sample_id, channel, round(min(v), 4) as low, round(max(v), 4) as high, round(sum(v), 2) as total from (select sample_id, channel, least(greatest(value, lo), hi) as v from voxels join
+@query("""select sample_id, channel, round(min(v), 4) as low, round(max(v), 4) as high, round(sum(v), 4) as total from (select sample_id, channel, least(greatest(value, lo), hi) as v from voxels join
 (select sample_id, channel, quantile_cont(value, 0.1) as lo, quantile_cont(value, 0.9) as hi from voxels where value > 0 group by all) using (sample_id, channel)) group by all""")
 def p17_clamp_background(s, d):
     c = clean.clamp_background(fx.voxels(s, d), BY).groupBy(*BY).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").alias("total"))
-    return rounded(rounded(c, ["low", "high"]), ["total"], 2)
+    return rounded(c, ["low", "high", "total"])
 
 
-@query("select view_id, side, count(*) as n from controls where view_id in (select view_id from controls group by 1 having count(case when side = 'sample' then 1 end) = count(case when side = 'atlas' then 1 end)) group by all")
+@query("select view_id, side, ordinal from controls where view_id in (select view_id from controls group by 1 having count(case when side = 'sample' then 1 end) = count(case when side = 'atlas' then 1 end))")
 def p18_select_matched_controls(s, d):
-    return _rows(clean.select_matched_controls(fx.control_points(s, d)), ["view_id", "side"])
+    return clean.select_matched_controls(fx.control_points(s, d)).select("view_id", "side", "ordinal")
 
 
 @query("select id, name from tree where not regexp_matches(lower(name), 'nerves|tracts|system|unassigned|white matter|canal|aqueduct|ventricle')")
@@ -333,37 +341,53 @@ def j5_apply_slice_transforms(s, d):
     return rounded(geometry.apply_slice_transforms(p, t).select("point_id", "x", "y"), ["x", "y"])
 
 
-@query("""select l.point_id, r.point_id as other, round(r.d, 4) as distance from (select * from points where point_id % 50 = 0) l, lateral (select b.point_id, sqrt((b.x - l.x) ** 2 + (b.y - l.y) ** 2 + (b.z - l.z) ** 2) as d from points b where b.point_id % 3 = 1 order by d, b.point_id limit 2) r""")
+@query("""select l.point_id, r.point_id as other, round(r.d, 4) as distance from (select * from points where point_id % 50 = 0) l, lateral (select b.point_id, sqrt((b.x - l.x) ** 2 + (b.y - l.y) ** 2 + (b.z - l.z) ** 2) as d from points b order by d, b.point_id limit 2) r""")
 def j7_knn_join(s, d):
     p = fx.points(s, d)
-    out = spatial.knn_join(p.where("point_id % 50 = 0"), p.where("point_id % 3 = 1"), 2, 3.0, "point_id", "point_id")
+    out = spatial.knn_join(p.where("point_id % 50 = 0"), p, 2, 3.0, "point_id", "point_id")
     return out.select("point_id", F.col("_right").alias("other"), F.round("distance", 4).alias("distance"))
 
 
-@query("select point_id from points p where point_id % 2 = 0 and not exists (select 1 from points u where u.point_id % 97 = 1 and sqrt((u.x - p.x) ** 2 + (u.y - p.y) ** 2 + (u.z - p.z) ** 2) <= 4)")
+#: Two further clouds: customers and suppliers at places of their own.
+_CLOUD = "{0} as point_id, ({0} * 7) % 38 + cast(0.25 as double) as x, ({0} * 5) % 22 + cast(0.5 as double) as y, ({0} * 11) % 30 + cast(0.75 as double) as z"
+_CLOUDS = f", atlas_cloud as (select {_CLOUD.format('s_suppkey')} from supplier), sample_cloud as (select {_CLOUD.format('c_custkey')} from customer)"
+
+
+def _cloud(s, d, table: str, key: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{table}.parquet").selectExpr(*(c.strip() for c in _CLOUD.format(key).split(", ")))
+
+
+@query(_CLOUDS + " select point_id from points p where not exists (select 1 from atlas_cloud u where sqrt((u.x - p.x) ** 2 + (u.y - p.y) ** 2 + (u.z - p.z) ** 2) <= 4)")
 def j9_anti_join_within(s, d):
-    p = fx.points(s, d)
-    return spatial.anti_join_within(p.where("point_id % 2 = 0"), p.where("point_id % 97 = 1"), 4.0).select("point_id")
+    return spatial.anti_join_within(fx.points(s, d), _cloud(s, d, "supplier", "s_suppkey"), 4.0).select("point_id")
 
 
-@query("select point_id, (select pos from (select distinct cast(floor(s_acctbal) as bigint) % 997 as pos from supplier) a order by abs(pos - value % 1000), pos limit 1) as nearest from points where point_id % 20 = 0")
+@query(_CLOUDS + """, near as (select s.point_id, a.point_id as other, sqrt((a.x - s.x) ** 2 + (a.y - s.y) ** 2 + (a.z - s.z) ** 2) as dist from sample_cloud s cross join atlas_cloud a),
+s as (select distinct point_id from near where dist <= 12), a as (select distinct other from near where dist <= 12),
+k as (select *, row_number() over (partition by point_id order by dist, other) as r from near join s using (point_id) join a using (other)),
+m as (select point_id, quantile_cont(dist, 0.5) as m from k where r <= 5 group by 1) select point_id, other, round(dist, 4) as distance from k join m using (point_id) where r = 1 and dist < 4 and m < 12""")
+def j8_match_clouds(s, d):
+    found = spatial.match_clouds(_cloud(s, d, "customer", "c_custkey"), _cloud(s, d, "supplier", "s_suppkey"), 12.0, 4.0, 5, 4.0)
+    return found.select("point_id", F.col("_right").alias("other"), F.round("distance", 4).alias("distance"))
+
+
+@query("select point_id, arg_min(pos, (abs(pos - value % 1000), pos)) as nearest from points cross join (select distinct cast(floor(s_acctbal) as bigint) % 997 as pos from supplier) group by 1")
 def j10_nearest_slice(s, d):
-    samples = fx.points(s, d).where("point_id % 20 = 0").select("point_id", (F.col("value") % 1000).alias("pos"), (F.col("point_id") % 16).alias("g"))
+    samples = fx.points(s, d).select("point_id", (F.col("value") % 1000).alias("pos"))
     atlas = s.read.parquet(f"{d}/supplier.parquet").selectExpr("cast(floor(s_acctbal) as bigint) % 997 as pos").distinct()
-    atlas = atlas.select("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("g"))
-    return spatial.nearest_slice(samples, atlas, group="g").select("point_id", F.col("nearest").cast("long").alias("nearest"))
+    return spatial.nearest_slice(samples, atlas).select("point_id", F.col("nearest").cast("long").alias("nearest"))
 
 
-@query("select c.pos, count(*) as n from points p, (select range * 3 + 1.5 as pos from range(10)) c where abs(p.z - c.pos) < 2.2 group by 1")
+@query("select c.pos, p.point_id from points p, (select range * 3 + 1.5 as pos from range(10)) c where abs(p.z - c.pos) < 2.2")
 def j11_slab_join(s, d):
     slabs = s.range(10).select((F.col("id") * 3 + 1.5).alias("pos"))
-    return _rows(spatial.slab_join(fx.points(s, d), slabs, 2.2), ["pos"])
+    return spatial.slab_join(fx.points(s, d), slabs, 2.2).select("pos", "point_id")
 
 
-@query("select sample_id, segment, count(*) as n from kept join segments on z >= start_z and (z < end_z or (z = end_z and end_z = 33)) group by all")
+@query(f"select sample_id, segment, count(*) as n, {_PLACES} from kept join segments on z >= start_z and (z < end_z or (z = end_z and end_z = 33)) group by all")
 def j12_segment_join(s, d):
     kept = clean.keep_in_volume(fx.cells(s, d), XYZ_SIZE)
-    return _rows(regions.segment_join(kept, fx.segments(s, d)), ["sample_id", "segment"])
+    return _placed(regions.segment_join(kept, fx.segments(s, d)), ["sample_id", "segment"])
 
 
 @query(", reach(id, d) as (select id, id from tree union select parent_id, id from tree union select t.parent_id, r.d from reach r join tree t on t.id = r.id) select id, count(distinct d) as n, sum(d) as total from (select distinct id, d from reach) group by 1")
@@ -378,12 +402,14 @@ def j14_path_to_levels(s, d):
     return regions.path_to_levels(t)
 
 
-@query("""select region_id, t.name, v as ext_value from (select * from terms where term_set = 'structure') t left join (select region_id, min(p_size) as v, count(*) as c from (select distinct region_id, name, p_partkey, p_size from (select * from terms where term_set = 'structure') t join (select p_partkey, p_size, concat('struct_', cast(p_partkey % 40 as varchar), ' extra') as e from part where p_partkey <= 4 or p_partkey > 30) x on contains(e, lower(name) || ' ')) group by 1 having count(*) = 1) using (region_id)""")
+_EXTERNAL = "case when s_suppkey % 3 = 0 then concat('left ', 'customer#', lpad(cast(s_suppkey % 60 as varchar(9)), 9, '0'), ', ', cast(s_suppkey as varchar(9))) else concat('TOMER#', lpad(cast(s_suppkey % 60 as varchar(9)), 9, '0')) end as ext_name"
+
+
+@query(f"""select region_id, c_name as name, v as ext_value from (select c_custkey as region_id, c_name from customer) left join (select region_id, min(v) as v from (select distinct c_custkey as region_id, e, v from customer join (select replace(lower(ext_name), ',', '') as e, s_nationkey as v from (select {_EXTERNAL}, s_nationkey from supplier))
+on contains(e, lower(c_name)) or contains(lower(c_name), e)) group by 1 having count(*) = 1) using (region_id)""", False)
 def j15_join_by_name_unique(s, d):
-    t = fx.terms(s, d).where("term_set = 'structure'").select("region_id", "name")
-    e = s.read.parquet(f"{d}/part.parquet").where("p_partkey <= 4 or p_partkey > 30").selectExpr("p_partkey", "concat('struct_', cast(p_partkey % 40 as string), ' extra') as ext_name", "p_size as ext_value")
-    # A name of its own for each row, so that equal names count as several hits.
-    return regions.join_by_name_unique(t, e.withColumn("ext_name", F.concat_ws(" ", "ext_name", "p_partkey")))
+    t = s.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as region_id", "c_name as name")
+    return regions.join_by_name_unique(t, s.read.parquet(f"{d}/supplier.parquet").selectExpr(_EXTERNAL, "s_nationkey as ext_value"))
 
 
 @query("""select sample_id, channel, count(*) as n, sum(z * 1000 + x) as total from (select v.sample_id, v.channel, case when d.f = 1 then 25 - v.x else v.x end as x, o.t as z from voxels v join (select range + 1 as o, case when range % 10 = 9 then -1 when range % 3 = 0 then 1 else 0 end as f from range(32)) d on v.z = d.o
@@ -395,11 +421,11 @@ def j16_reorder_slices(s, d):
     return out.groupBy(*BY).agg(F.count("*").alias("n"), F.sum(F.col("z") * 1000 + F.col("x")).alias("total"))
 
 
-@query("select p.slice, w.t as target, count(*) as n from points p join (select range % 20 + 1 as s, range + 1 as t from range(30)) w on w.s = p.slice group by all")
+@query("select p.slice, w.t as target, p.point_id from points p join (select range % 20 + 1 as s, range + 1 as t from range(30)) w on w.s = p.slice")
 def j17_warp_by_path(s, d):
     path = s.range(30).select((F.col("id") % 20 + 1).cast("int").alias("source"), (F.col("id") + 1).cast("int").alias("target"))
     out = geometry.warp_by_path(fx.points(s, d).withColumn("old", F.col("slice")), path, "slice")
-    return _rows(out.select(F.col("old").alias("slice"), F.col("slice").alias("target")), ["slice", "target"])
+    return out.select(F.col("old").alias("slice"), F.col("slice").alias("target"), "point_id")
 
 
 _LINE = """, lines as (select slice as probe_id, avg(y) as oy, avg(x) as ox, avg(z) as oz from points group by 1),
@@ -511,9 +537,9 @@ def g11_density_variance(s, d):
     return rounded(stats.density_variance(maps, _weights(s)), ["mean", "variance"])
 
 
-@query(_WEIGHTS + ", v as (select sample_id, y, x, z, value from voxels where channel = 1), b as (select sample_id, quantile_cont(value, 0.5) as b from v where value > 0 and y between 1 and 40 and x between 1 and 24 and z between 1 and 6 group by 1) select y, x, z, round(sum(weight * (value - b) / b), 4) + 0 as value from v join b using (sample_id) join weights using (sample_id) group by all")
+@query(_WEIGHTS + ", b as (select sample_id, channel, quantile_cont(value, 0.5) as b from voxels where value > 0 and y between 1 and 40 and x between 1 and 24 and z between 1 and 6 group by all) select channel, y, x, z, round(sum(weight * (value - b) / b), 4) + 0 as value from voxels join b using (sample_id, channel) join weights using (sample_id) group by all")
 def g12_intensity_map(s, d):
-    return rounded(stats.intensity_map(fx.voxels(s, d).where("channel = 1"), _weights(s), [(1, 40), (1, 24), (1, 6)]), ["value"])
+    return rounded(stats.intensity_map(fx.voxels(s, d), _weights(s), [(1, 40), (1, 24), (1, 6)], ["channel"]), ["value"])
 
 
 @query("select region_id, count(*) as n, round(avg(intensity), 3) as mean, round(sum(intensity * x) / sum(intensity), 4) as cx, round(sum(intensity * y) / sum(intensity), 4) as cy, round(sum(intensity * z) / sum(intensity), 4) as cz, round(sum(intensity * x * x) / sum(intensity) - (sum(intensity * x) / sum(intensity)) ** 2, 3) as mxx from labelled group by 1")
@@ -560,9 +586,9 @@ def g21_scan_pair_qc(s, d):
     return rounded(stats.scan_pair_qc(fx.cells(s, d), BY), ["median_intensity", "half_range"], 6)
 
 
-@query("select sample_id, channel, round(quantile_cont(value, 0.999) - quantile_cont(value, 0.001), 4) as range from voxels group by all")
+@query("select sample_id, channel, round(quantile_cont(value, 0.999) - quantile_cont(value, 0.001), 6) as range from voxels group by all")
 def g22_dynamic_range(s, d):
-    return rounded(stats.dynamic_range(fx.voxels(s, d), BY), ["range"])
+    return rounded(stats.dynamic_range(fx.voxels(s, d), BY), ["range"], 6)
 
 
 @query("select slice, round(sum(x * x), 2) as xx, round(sum(x * y), 2) as xy, round(sum(z), 2) as z1, round(sum(x * (x + 1)), 2) as xu, round(sum(y * 2 * y), 2) as yv from points group by 1")
@@ -609,10 +635,17 @@ def g35_retention_report(s, d):
 # Windows and neighbourhoods
 
 
-@query("""select v.sample_id, v.y, v.x, v.z, round(max(w.value), 4) as extreme from voxels v join voxels w on w.sample_id = v.sample_id and w.channel = 1 and w.z = v.z and w.y between v.y - 2 and v.y + 2 and w.x = v.x where v.channel = 1 group by all""")
+@query("""select v.sample_id, v.channel, v.y, v.x, v.z, round(max(w.value), 4) as extreme from voxels v join voxels w on w.sample_id = v.sample_id and w.channel = v.channel and w.z = v.z and w.y between v.y - 2 and v.y + 2 and w.x = v.x group by all""")
 def w1_local_max_line(s, d):
-    out = stencil.local_max(fx.voxels(s, d).where("channel = 1"), 2, ["sample_id", "x", "z"], ("y",))
-    return rounded(out.select("sample_id", "y", "x", "z", "extreme"), ["extreme"])
+    out = stencil.local_max(fx.voxels(s, d), 2, [*BY, "x", "z"], ("y",))
+    return rounded(out.select(*BY, "y", "x", "z", "extreme"), ["extreme"])
+
+
+@query("""select v.sample_id, v.channel, v.y, v.x, v.z, round(max(w.value), 4) as most, round(min(w.value), 4) as least from voxels v join voxels w on w.sample_id = v.sample_id and w.channel = v.channel and w.z between v.z - 1 and v.z + 1 and w.y between v.y - 1 and v.y + 1 and w.x between v.x - 1 and v.x + 1 group by all""")
+def w1_local_extremes_box(s, d):
+    v = fx.voxels(s, d)
+    most = stencil.local_extreme(v, 1, BY, out="most")
+    return rounded(stencil.local_extreme(most, 1, BY, most=False, out="least").drop("value"), ["most", "least"])
 
 
 @query("""select sample_id, y, z, round(value, 4) as value from (select sample_id, y, z, max(value) as value from voxels group by all) v where value > 300 and not exists (select 1 from (select sample_id, y, z, max(value) as value from voxels group by all) w where w.sample_id = v.sample_id and abs(w.y - v.y) <= 1 and abs(w.z - v.z) <= 1 and w.value > v.value)""")
@@ -696,9 +729,9 @@ def w19_straighten_transforms(s, d):
     return rounded(out.select("point_id", F.get("m", F.lit(0)).alias("m0"), F.get("m", F.lit(2)).alias("m2"), F.get("m", F.lit(5)).alias("m5")), ["m0", "m2", "m5"])
 
 
-@query("select slice, start, gap from (select slice, point_id as start, gap, row_number() over (partition by slice order by gap desc, point_id) as r from (select slice, point_id, lead(point_id) over (partition by slice order by point_id) - point_id as gap from points where point_id % 13 < 4) where gap is not null) where r = 1")
+@query("select slice, start, gap from (select slice, point_id as start, gap, row_number() over (partition by slice order by gap desc, point_id) as r from (select slice, point_id, lead(point_id) over (partition by slice order by point_id) - point_id as gap from points) where gap is not null) where r = 1")
 def w20_largest_gap(s, d):
-    return series.largest_gap(fx.points(s, d).where("point_id % 13 < 4"), ["slice"], "point_id")
+    return series.largest_gap(fx.points(s, d), ["slice"], "point_id")
 
 
 # Sorts, samples, sets, functions, streams
@@ -716,7 +749,7 @@ def k4_grid_downsample(s, d):
 
 @query("select slice, point_id from (select slice, point_id, row_number() over (partition by slice order by y desc, point_id desc) as r from points) where r = 1")
 def k8_deepest_point(s, d):
-    return fx.points(s, d).groupBy("slice").agg(F.max_by("point_id", F.struct("y", "point_id")).alias("point_id"))
+    return stats.deepest_point(fx.points(s, d), ["slice"]).select("slice", "point_id")
 
 
 @query("select distinct region_id from labelled")
@@ -764,9 +797,10 @@ def t4_sample_sessions(s, d):
     return streaming.sample_sessions(fx.events(s, d)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("select count(*) as n from (select distinct sample_id, channel, round(x), round(y), round(z) from cells)")
+@query("select distinct sample_id, channel, cast(round(x) as int) as x, cast(round(y) as int) as y, cast(round(z) as int) as z from cells")
 def t5_dedupe(s, d):
-    return streaming.dedupe(fx.cells(s, d).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))).agg(F.count("*").alias("n"))
+    once = streaming.dedupe(fx.cells(s, d).withColumn("ts", F.lit("2024-01-01").cast("timestamp")))
+    return once.select(*BY, *(F.round(c, 0).cast("int").alias(c) for c in "xyz"))
 
 
 @query("select sample_id, count(*) as n, round(sum(value), 2) as total from scans group by 1")
@@ -813,7 +847,7 @@ def d5_detect_cells_2d(s, d):
 
 @query()
 def d7_candidate_views(s, d):
-    c = clean.keep_in_volume(fx.cells(s, d).where("elongation < 1.3"), XYZ_SIZE).withColumn("cell_id", F.xxhash64("x", "y", "z", "intensity", "diameter"))
+    c = clean.keep_in_volume(fx.cells(s, d), XYZ_SIZE).withColumn("cell_id", F.xxhash64("x", "y", "z", "intensity", "diameter"))
     return tiles.candidate_views(c.dropDuplicates(["cell_id"]), fx.voxels(s, d), 1)
 
 
@@ -875,3 +909,231 @@ def j6_points_to_atlas(s, d):
     p = fx.points(s, d).withColumns({c: F.col(c) + 1 for c in "xyz"})
     out = lookup.points_to_atlas(p, fx.field(s, d), [2.0, 2.0, 2.0], (40, 24, 32), [1, 2, 3], 1.0, back)
     return rounded(out.select("point_id", "x", "y", "z"), ["x", "y", "z"])
+
+
+# More operators, each row of the result checked
+
+
+@query("select r_regionkey as id, r_name as name from region where r_name = 'ASIA'", False)
+def s11_atlas_registry(s, d):
+    return sources.atlas_registry(s.read.parquet(f"{d}/region.parquet").selectExpr("r_regionkey as id", "r_name as name"), "ASIA")
+
+
+_IMPLANTS = "s_suppkey as implant_id, cast(s_suppkey % 40 + 1 as double) as cy, s_suppkey % 24 + cast(0.5 as double) as cx, cast(s_suppkey % 32 + 1 as double) as cz, cast(1 + s_suppkey % 3 as double) as radius"
+_DISC = f""", implants as (select {_IMPLANTS} from supplier),
+disc as (select implant_id, dp.v as depth, radius, cast(a.g as double) as g1, cast(b.g as double) as g2, least(greatest(cy + a.g, 1), 40) as y, least(greatest(cx + b.g, 1), 24) as x, least(greatest(cz + dp.v, 1), 32) as z
+from implants, (values (0.0), (2.0)) dp(v), (select range - 6 as g from range(13)) a, (select range - 6 as g from range(13)) b where abs(a.g) <= 2 * radius and abs(b.g) <= 2 * radius)
+"""
+
+
+def _implants(s, d) -> DataFrame:
+    """Cylinders along z, their discs along y and x."""
+    axes = {"uy": 1.0, "ux": 0.0, "uz": 0.0, "vy": 0.0, "vx": 1.0, "vz": 0.0, "ny": 0.0, "nx": 0.0, "nz": 1.0}
+    return s.read.parquet(f"{d}/supplier.parquet").selectExpr(*(c.strip() for c in _IMPLANTS.split(", "))).withColumns({k: F.lit(v) for k, v in axes.items()})
+
+
+@query(_DISC + "select implant_id, cast(depth as double) as depth, g1, g2, coalesce(a.region_id, 0) as region_id from disc left join annotation a on a.y = round(disc.y) and a.x = round(disc.x) and a.z = round(disc.z)")
+def j19_sample_disc(s, d):
+    return lookup.sample_disc(_implants(s, d), fx.annotation(s, d), SIZE, [0.0, 2.0]).select("implant_id", "depth", "g1", "g2", "region_id")
+
+
+_DISC_VALUES = _DISC + """, flat as (select channel, y, x, z, max(value) as value from voxels group by all), chans as (select distinct channel from flat),
+vals as (select implant_id, depth, radius, g1, g2, c.channel, case when disc.x = floor(disc.x) then coalesce(a.value, 0) when a.value is null or b.value is null then 0 else a.value * (1 - disc.x + floor(disc.x)) + b.value * (disc.x - floor(disc.x)) end as value
+from disc cross join chans c left join flat a on a.channel = c.channel and a.y = disc.y and a.z = disc.z and a.x = floor(disc.x) left join flat b on b.channel = c.channel and b.y = disc.y and b.z = disc.z and b.x = floor(disc.x) + 1)
+"""
+
+
+def _disc_values(s, d) -> DataFrame:
+    flat = fx.voxels(s, d).groupBy("channel", "y", "x", "z").agg(F.max("value").alias("value"))
+    return lookup.sample_disc_intensity(_implants(s, d), flat, SIZE, [0.0, 2.0])
+
+
+@query(_DISC_VALUES + "select implant_id, cast(depth as double) as depth, g1, g2, channel, round(value, 4) as value from vals")
+def j20_sample_disc_intensity(s, d):
+    return rounded(_disc_values(s, d).select("implant_id", "depth", "g1", "g2", "channel", "value"), ["value"])
+
+
+@query(_DISC_VALUES + "select implant_id, cast(depth as double) as depth, channel, round(quantile_cont(value, 0.5), 6) as median from vals where g1 * g1 + g2 * g2 <= radius * radius group by all")
+def g28_depth_profile(s, d):
+    return rounded(stats.depth_profile(_disc_values(s, d)), ["median"], 6)
+
+
+@query("select vec_id as cell_id, nullif(label, 3) as label from embeddings where label <> 3", False)
+def j21_attach_labels(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet")
+    return lookup.attach_labels(e.select(F.col("vec_id").alias("cell_id")), e.select(F.col("vec_id").alias("cell_id"), F.expr("nullif(label, 3)").alias("label")))
+
+
+@query(""", src as (select g.y as oy, g.x as ox, g.z as oz, g.x - coalesce(dx, 0) as sx, g.y - coalesce(dy, 0) as sy, g.z - coalesce(dz, 0) as sz from grid g left join field f on f.i = g.x and f.j = g.y and f.k = g.z),
+corner as (select oy, ox, oz, floor(sx) + cx.v as x, floor(sy) + cy.v as y, floor(sz) + cz.v as z, (case when cx.v = 1 then sx - floor(sx) else 1 - sx + floor(sx) end) * (case when cy.v = 1 then sy - floor(sy) else 1 - sy + floor(sy) end) * (case when cz.v = 1 then sz - floor(sz) else 1 - sz + floor(sz) end) as w from src, (values (0), (1)) cx(v), (values (0), (1)) cy(v), (values (0), (1)) cz(v))
+select sample_id, channel, oy as y, ox as x, oz as z, round(sum(w * value), 5) as value from corner c join voxels v on v.y = c.y and v.x = c.x and v.z = c.z where w > 0 group by all""")
+def j25_warp_volume_field(s, d):
+    one = [[float(i == k) for k in range(4)] for i in range(4)]
+    return rounded(lookup.warp_volume_field(fx.voxels(s, d), fx.field(s, d), one, SIZE), ["value"], 5)
+
+
+_FLAT = ", flat as (select sample_id, y, z, max(value) as value from voxels group by all)"
+
+
+def _flat(s, d) -> DataFrame:
+    return fx.voxels(s, d).groupBy("sample_id", "y", "z").agg(F.max("value").alias("value"))
+
+
+@query(_FLAT + """, one as (select v.sample_id, v.y, v.z, sum(exp(-((w.y - v.y) ** 2) / 2.0) * w.value) / sum(exp(-((w.y - v.y) ** 2) / 2.0)) as value from flat v join flat w on w.sample_id = v.sample_id and w.z = v.z and abs(w.y - v.y) <= 3 group by all)
+select v.sample_id, v.y, v.z, round(sum(exp(-((w.z - v.z) ** 2) / 2.0) * w.value) / sum(exp(-((w.z - v.z) ** 2) / 2.0)), 4) as value from one v join one w on w.sample_id = v.sample_id and w.y = v.y and abs(w.z - v.z) <= 3 group by all""")
+def w5_gaussian_smooth(s, d):
+    return rounded(stencil.gaussian_smooth(_flat(s, d), 1.0, ["sample_id"], ("y", "z")), ["value"])
+
+
+@query(_FLAT + """, near as (select v.*, a.value as y0, b.value as y1, c.value as z0, e.value as z1 from flat v left join flat a on a.sample_id = v.sample_id and a.z = v.z and a.y = v.y - 1 left join flat b on b.sample_id = v.sample_id and b.z = v.z and b.y = v.y + 1
+left join flat c on c.sample_id = v.sample_id and c.y = v.y and c.z = v.z - 1 left join flat e on e.sample_id = v.sample_id and e.y = v.y and e.z = v.z + 1)
+select sample_id, y, z, round(sqrt(coalesce((y1 - y0) / 2, y1 - value, value - y0, 0) ** 2 + coalesce((z1 - z0) / 2, z1 - value, value - z0, 0) ** 2), 4) as gradient from near""")
+def w9_gradient_magnitude(s, d):
+    return rounded(stencil.gradient_magnitude(_flat(s, d), ["sample_id"], ("y", "z")).select("sample_id", "y", "z", "gradient"), ["gradient"])
+
+
+@query("select slice, point_id, round(sum(x) over (partition by slice order by point_id), 4) as shift from points")
+def w16_compose_along(s, d):
+    m = fx.points(s, d).select("slice", "point_id", F.array(F.lit(1.0), F.col("x"), F.lit(0.0), F.lit(1.0)).alias("m"))
+    return rounded(series.compose_along(m, ["slice"], "point_id", n=2).select("slice", "point_id", F.get("m", F.lit(1)).alias("shift")), ["shift"])
+
+
+@query("""select slice, point_id, round(median(y) over w, 4) as y, round(atan2(median(sin(x)) over w, median(cos(x)) over w), 4) as x from points window w as (partition by slice order by point_id rows between 2 preceding and 2 following)""")
+def w18_smooth_transforms(s, d):
+    return rounded(series.smooth_transforms(fx.points(s, d).select("slice", "point_id", "x", "y"), 2, ["slice"], "point_id", ["y"], "x"), ["x", "y"])
+
+
+@query("select channel, least(count(*), 400) as n from cells group by 1")
+def k7_cap_per_class(s, d):
+    c = fx.cells(s, d).withColumn("k", F.xxhash64("sample_id", "x", "y", "z", "intensity", "diameter"))
+    return _rows(stats.cap_per_class(c, 400, "channel", "k"), ["channel"])
+
+
+_FILES = "p_size as folder, case when p_partkey % 5 = 0 then concat('x', cast(p_partkey as varchar(9))) when p_partkey % 5 = 1 then concat('chan', lpad(cast(p_partkey % 100 as varchar(9)), 2, '0'), '.raw') else concat('chan', lpad(cast(p_partkey % 100 as varchar(9)), 2, '0'), '_', cast(p_partkey as varchar(9)), '.tif') end as name"
+
+
+@query(f"""select folder, name, place, coalesce(nullif(regexp_extract(name, '^chan[0-9]+_(.+)\\.tiff?$', 1), ''), concat('ch', cast(place as varchar))) as channel from (select *, row_number() over (partition by folder order by coalesce(try_cast(nullif(regexp_extract(name, '^chan([0-9]+)', 1), '') as int), 0), name) as place from (select {_FILES} from part))""", False)
+def k9_order_channels(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    files = p.selectExpr("p_size as folder", _FILES.split(" as folder, ", 1)[1])
+    return sources.order_channels(files)
+
+
+@query("select sample_id, channel, x, y, z, n from (select sample_id, channel, x, y, z, count(*) as n from cells where z < 17 group by all union all select sample_id, channel, x, y, z, count(*) as n from cells where z >= 17 group by all)")
+def u1_union_tiles(s, d):
+    c = fx.cells(s, d)
+    return _rows(tiles.union_tiles(c.where("z < 17"), c.where("z >= 17").withColumn("tile", F.lit(2))), [*BY, "x", "y", "z"])
+
+
+@query("select point_id, 0.0 as ex, 0.0 as ey, round(degrees(a), 4) as ez, 1.0 as az, round(a, 4) as angle, round(-sin(-a), 4) as flat_1, 0.1 + z as flat_2 from (select point_id, z, 0.1 + (point_id % 28) / 10.0 as a from points)")
+def f5_f6_f7_rotations(s, d):
+    a = fx.points(s, d).select("point_id", "z", (0.1 + (F.col("point_id") % 28) / 10.0).alias("a"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    r = [[F.cos("a"), -F.sin("a"), zero], [F.sin("a"), F.cos("a"), zero], [zero, zero, one]]
+    e, axis, flat = fn.euler_angles(r), fn.axis_angle(r), fn.rigid_3d_to_2d(r, [zero, 0.1 + F.col("z"), zero])
+    out = a.select("point_id", *(c.alias(f"e{n}") for c, n in zip(e, "xyz")), axis["z"].alias("az"), axis["angle"].alias("angle"), F.get(flat, F.lit(1)).alias("flat_1"), F.get(flat, F.lit(5)).alias("flat_2"))
+    return rounded(out, ["ex", "ey", "ez", "az", "angle", "flat_1"])
+
+
+@query("""select slice, round(a, 6) as r0, round(b * c * (a - 1) / (b * b + c * c), 6) + 0 as r_bc, round(-c, 6) as r_c, round(b, 6) as r_b, round(a + (1 - a) * b * b / (b * b + c * c), 6) as r_end from (select slice, -x / l as a, -y / l as b, -z / l as c from (select slice, avg(x) as x, avg(y) as y, avg(z) as z, sqrt(avg(x) ** 2 + avg(y) ** 2 + avg(z) ** 2) as l from points group by 1))""")
+def f8_rotation_from_mean_normal(s, d):
+    mean = fx.points(s, d).groupBy("slice").agg(*(F.avg(c).alias(c) for c in "xyz"))
+    m = mean.select("slice", fn.rotation_from_mean_normal("x", "y", "z").alias("m"))
+    # Axes come in the order third, first, second, transposed: entry (1, 1) is the turn's (0, 0).
+    at = lambda i, k: F.get("m", F.lit(3 * i + k))
+    return rounded(m.select("slice", at(1, 1).alias("r0"), at(0, 2).alias("r_bc"), at(0, 1).alias("r_c"), at(1, 2).alias("r_b"), at(0, 0).alias("r_end")), ["r0", "r_bc", "r_c", "r_b", "r_end"], 6)
+
+
+@query("select point_id, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from points")
+def f9_compose_and_invert(s, d):
+    there = geometry.apply_affine(fx.points(s, d), MATRIX)
+    return rounded(geometry.apply_affine(there, lookup.invert(MATRIX)).select("point_id", "x", "y", "z"), ["x", "y", "z"])
+
+
+@query("""select p_partkey, translate(lower(concat(p_name, ', A_b')), '_,', ' ') as plain, p_partkey % 40 as channel, concat('chan', lpad(cast(p_size as varchar), 2, '0'), '_counts') as file, case p_partkey % 3 when 0 then 7 when 1 then 8 end as code from part""", False)
+def f10_f11_f12_f15_names(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    return p.select(
+        "p_partkey", fn.plain_name(F.concat("p_name", F.lit(", A_b"))).alias("plain"), fn.channel_number(F.concat(F.lit("chan_"), (F.col("p_partkey") % 40).cast("string"), F.lit("_x.tif"))).alias("channel"),
+        fn.channel_file("p_size", "counts").alias("file"), fn.code_of((F.col("p_partkey") % 3).cast("string"), {"0": 7, "1": 8}).alias("code"),
+    )
+
+
+@query("""select vec_id, round(list_sum(list_transform(v, lambda x, i: x * (len(v) - i + 1))), 3) as running, round(v[len(v)] - v[1], 5) as steps, round(list_sum(list_transform(range(5), lambda k: 2 + k * 0.5)), 4) as line from (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)""", False)
+def f14_arrays(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    out = e.select("vec_id", total(fn.cumulative("v")).alias("running"), total(fn.differences("v")).alias("steps"), total(fn.linspace(2, 4, 5)).alias("line"))
+    return rounded(rounded(rounded(out, ["running"], 3), ["steps"], 5), ["line"])
+
+
+@query("""select point_id, round(case when a > 0.9 then -c / sqrt(c * c + a * a) else 0 end, 5) + 0 as ux, round(case when a > 0.9 then 0 else c / sqrt(c * c + b * b) end, 5) + 0 as uy, round(case when a > 0.9 then a / sqrt(c * c + a * a) else -b / sqrt(c * c + b * b) end, 5) + 0 as uz, 0.0 as dot from (select point_id, x / l as a, y / l as b, z / l as c from (select point_id, x, y, z, sqrt(x * x + y * y + z * z) as l from points))""")
+def f16_plane_basis(s, d):
+    p = fx.points(s, d)
+    length = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    n = p.select("point_id", *((F.col(c) / length).alias(c) for c in "xyz"))
+    b = fn.plane_basis("x", "y", "z")
+    dot = F.abs(b[0] * b[3] + b[1] * b[4] + b[2] * b[5]) + F.abs(b[3] * F.col("x") + b[4] * F.col("y") + b[5] * F.col("z"))
+    return rounded(n.select("point_id", *(c.alias(f"u{k}") for c, k in zip(b, "xyz")), dot.alias("dot")), ["ux", "uy", "uz", "dot"], 5)
+
+
+@query("""select sample_id, channel, tz, ty, tx, count(*) as voxels, tz * 16 + 1 as z0, ty * 16 + 1 as y0, tx * 16 + 1 as x0 from voxels v, (select range as tz from range(4)) a, (select range as ty from range(4)) b, (select range as tx from range(4)) c
+where v.z between tz * 16 and tz * 16 + 17 and v.y between ty * 16 - 3 and ty * 16 + 20 and v.x between tx * 16 - 3 and tx * 16 + 20 group by all""")
+def d1_tile_bounds(s, d):
+    options = tiles.Detection(1.0, nz=16, nxy=16)
+    return tiles.tile_bounds(tiles.make_tiles(fx.voxels(s, d), options), options)
+
+
+@query("""select v.sample_id, v.channel, v.y, v.x, v.z, round(v.value, 4) as value from voxels v where v.value > 480 and exists (select 1 from voxels p where p.sample_id = v.sample_id and p.channel = v.channel and p.value > 600 and abs(p.y - v.y) <= 1 and abs(p.x - v.x) <= 1 and abs(p.z - v.z) <= 1
+and not exists (select 1 from voxels w where w.sample_id = p.sample_id and w.channel = p.channel and w.z = p.z and abs(w.y - p.y) <= 2 and abs(w.x - p.x) <= 2 and w.value > p.value + 0.001))""")
+def d6_cell_mask(s, d):
+    return rounded(tiles.cell_mask(fx.voxels(s, d), 2, 600.0, cube=1).select(*BY, "y", "x", "z", "value"), ["value"])
+
+
+@query()
+def d6_detect_cells_sql(s, d):
+    return tiles.detect_cells_sql(fx.voxels(s, d), 2, 600.0, SIZE, cube=1)
+
+
+@query(_CLOUDS + """, near as (select a.point_id, b.point_id as other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as dist from sample_cloud a join sample_cloud b on a.point_id <> b.point_id),
+m as (select point_id, avg(dist) as m from (select *, row_number() over (partition by point_id order by dist, other) as r from near) where r <= 3 group by 1) select point_id from m where m <= (select round(avg(m) + stddev_samp(m), 9) from m)""")
+def d13_denoise_points(s, d):
+    return spatial.denoise_points(_cloud(s, d, "customer", "c_custkey"), 3, 4.0).select("point_id")
+
+
+@query(""", flat as (select y, x, z as slice, max(value) as value from voxels group by all), positions as (select distinct slice, slice * 3 - slice % 2 as position from flat),
+planes as (select unnest(range((select min(position) from positions), (select max(position) from positions) + 1)) as z), chosen as (select z, arg_min(slice, (abs(position - z), position)) as slice from planes cross join positions group by 1)
+select z, y, x, round(value, 4) as value from flat join chosen using (slice)""")
+def a6_place_slices(s, d):
+    flat = fx.voxels(s, d).groupBy("y", "x", F.col("z").alias("slice")).agg(F.max("value").alias("value"))
+    positions = flat.select("slice", (F.col("slice") * 3 - F.col("slice") % 2).alias("position")).distinct()
+    return rounded(align.place_slices(flat, positions), ["value"])
+
+
+@query("select slice as probe_id, count(*) as n, round(avg(x), 4) as ox, round(avg(y), 4) as oy, round(avg(z), 4) as oz from points group by 1 having count(*) >= 2")
+def g26_line_centres(s, d):
+    return rounded(stats.fit_lines(fx.points(s, d).withColumnRenamed("slice", "probe_id")).select("probe_id", "n", "ox", "oy", "oz"), ["ox", "oy", "oz"])
+
+
+@query("select sample_id, channel, x, y, z, round(intensity * 2, 4) as intensity, count(*) as n from cells group by sample_id, channel, x, y, z, intensity")
+def x2_map_batches(s, d):
+    c = fx.cells(s, d).select(*BY, "x", "y", "z", "intensity")
+    doubled = udf.map_batches(c, lambda p: p.assign(intensity=p["intensity"] * 2), c.schema)
+    return _rows(rounded(doubled, ["intensity"]), [*BY, "x", "y", "z", "intensity"])
+
+
+@query("select slice, kind, point_id from (select slice, 'first' as kind, min(point_id) as point_id from points group by 1 union all select slice, 'last', max(point_id) from points group by 1)")
+def x3_map_tiles(s, d):
+    p = fx.points(s, d).select("slice", "point_id")
+
+    def ends(pdf):
+        return pdf.iloc[[0, 0]].assign(kind=["first", "last"], point_id=[pdf["point_id"].min(), pdf["point_id"].max()])[["slice", "kind", "point_id"]]
+
+    return udf.map_tiles(p, ["slice"], ends, f"slice int, kind string, point_id {p.schema['point_id'].dataType.simpleString()}")
+
+
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda x: cast(x as double) * 2 + 1)), 3) as total from embeddings", False)
+def x4_map_values(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    out = udf.map_values(e, "v", lambda x: x * 2 + 1)
+    return out.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))

@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSystem
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from atlasframe.functions import channel_name
+
+#: Bytes of planes that a task reads at a time, about.
+RUN_BYTES = 64 << 20
+
 
 def read_raw_planes(spark: SparkSession, path: str, ny: int, nx: int, sample_id: str = "", channel: int = 1) -> DataFrame:
-    """Headerless uint16 files, plane after plane: planes(sample_id, channel, z, ny, nx,
-    data). z goes on from file to file in order of their names; each file has whole
-    planes. One file is one row before it is cut, so files are at most a batch's size."""
+    """Headerless uint16 files of any length, plane after plane: planes(sample_id,
+    channel, z, ny, nx, data). z goes on from file to file in order of their names; a
+    part of a plane at a file's end is left out. Spark lists the files; each task
+    seeks to a run of planes of one file and reads these alone."""
     size = 2 * ny * nx
-    files = spark.read.format("binaryFile").load(path)
-    before = {r[0]: r[1] for r in files.select("path", F.floor(F.col("length") / size)).collect()}  # file names and lengths only
-    start, z = {}, 0
-    for name in sorted(before):
-        start[name], z = z, z + before[name]
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    files = spark.read.format("binaryFile").load(path).select("path", F.floor(F.col("length") / size).alias("n"))
+    rows, z = [], 0
+    for name, n in sorted(map(tuple, files.collect())):  # file names and lengths only
+        rows.append((name, n, z))
+        z += n
+    run = max(1, RUN_BYTES // size)
+    parts = spark.createDataFrame(rows, "path string, n long, z0 long").where("n > 0").select("path", "n", "z0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))).alias("at"))
+    parts = parts.repartition(max(1, sum(-(-n // run) for _, n, _ in rows)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, data in zip(b["path"], b["content"]):
-                n = len(data) // size
-                yield pd.DataFrame({"z": range(start[name] + 1, start[name] + n + 1), "data": [data[i * size : (i + 1) * size] for i in range(n)]})
+            for name, n, z0, at in b.itertuples(index=False):
+                fs, own = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with fs.open_input_file(own) as f:
+                    for i in range(at, min(n, at + run)):
+                        yield pd.DataFrame({"z": [z0 + i + 1], "data": [f.read_at(size, i * size)]})
 
-    planes = files.select("path", "content").mapInPandas(cut, "z int, data binary")
+    planes = parts.mapInPandas(read, "z int, data binary")
     return planes.select(F.lit(sample_id).alias("sample_id"), F.lit(channel).alias("channel"), "z", F.lit(ny).alias("ny"), F.lit(nx).alias("nx"), "data")
 
 
@@ -55,6 +68,15 @@ def natural_sort(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_k", key).orderBy("_k", col).drop("_k")
 
 
+def order_channels(files: DataFrame, name: str = "name", by: Sequence[str] = ("folder",)) -> DataFrame:
+    """Adds place (1, 2, ... within its folder, in order of the number in chan<n>,
+    files without one first, equal ones by name) and channel: the rest of the file's
+    name, else ch and its place."""
+    rows = files.withColumn("_n", F.coalesce(F.regexp_extract(name, r"^chan(\d+)", 1).try_cast("int"), F.lit(0)))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_n", name))).drop("_n")
+    return rows.withColumn("channel", F.coalesce(channel_name(name), F.concat(F.lit("ch"), F.col("place").cast("string"))))
+
+
 def read_z_window(tiles: DataFrame, z0: int, z1: int, halo: int = 0) -> DataFrame:
     return tiles.where(F.col("z").between(z0 - halo, z1 + halo))
 

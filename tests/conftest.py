@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -36,7 +37,7 @@ def duck():
 
 def plain(v):
     """A value as text, numbers of any type alike."""
-    if v is None or v != v or str(v) == "NaT":
+    if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
         return ""
     if hasattr(v, "tolist") and not hasattr(v, "strftime"):
         v = v.tolist()

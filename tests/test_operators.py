@@ -144,6 +144,118 @@ def test_components_and_stats(spark):
     assert np.allclose(ramp["gradient"], 1)
 
 
+def test_neighbourhoods_of_volumes_with_holes(spark):
+    r = np.random.default_rng(8)
+    a = np.where(r.random((5, 9, 8)) < 0.25, np.round(r.random((5, 9, 8)) * 50) + 1e6, np.nan)
+    voxels = _volume(spark, a).where("not isnan(value)")
+    at = np.argwhere(~np.isnan(a))
+    box = {tuple(p): a[tuple(slice(max(0, c - 2), c + 3) for c in p)] for p in at}
+    key = lambda row: (row["z"] - 1, row["y"] - 1, row["x"] - 1)
+    assert {key(x): x["extreme"] for x in stencil.local_max(voxels, 2, ["sample_id"]).collect()} == {p: np.nanmax(b) for p, b in box.items()}
+    assert {key(x): x["extreme"] for x in stencil.local_min(voxels, 2, ["sample_id"]).collect()} == {p: np.nanmin(b) for p, b in box.items()}
+    assert {key(x) for x in stencil.find_peaks(voxels, 2, 1e6 + 20, ["sample_id"]).collect()} == {p for p, b in box.items() if a[p] == np.nanmax(b) and a[p] > 1e6 + 20}
+    got = {key(x): x["std"] for x in stencil.local_std(voxels, 2, ["sample_id"]).collect()}
+    assert got.keys() == box.keys() and all(abs(got[p] - (np.nanstd(b, ddof=1) if (~np.isnan(b)).sum() > 1 else 0)) < 1e-6 for p, b in box.items())
+    near = stencil.dilate(voxels.where("value > 1e6 + 45"), 2, voxels, ["sample_id"], 1e6 + 10)
+    assert near.columns == voxels.columns
+    assert {key(x) for x in near.collect()} == {p for p, b in box.items() if np.nanmax(b) > 1e6 + 45 and a[p] > 1e6 + 10}
+
+
+def test_cells_without_band_pass_equal_brute_force(spark):
+    r = np.random.default_rng(9)
+    a = r.random((9, 14, 13)) * 0.5
+    for z, y, x in ((2, 4, 4), (2, 4, 7), (6, 9, 8), (5, 2, 11)):
+        a[z, y, x] = 2
+        a[z - 1 : z + 2, y, x] += 1
+    got = tiles.detect_cells_sql(_volume(spark, a), 2, 0.8, (14, 13), ["sample_id"], cube=1).toPandas().sort_values(["x", "y"])
+    wide = np.pad(a, ((0, 0), (2, 2), (2, 2)), constant_values=-1)
+    top = np.max([wide[:, i : i + 14, k : k + 13] for i in range(5) for k in range(5)], axis=0)
+    peaks = np.pad((a > top - 1e-3) & (a > 0.8), 1)
+    mask = np.any([peaks[h : h + 9, i : i + 14, k : k + 13] for h in range(3) for i in range(3) for k in range(3)], axis=0) & (a > 0.64)
+    left, want = set(map(tuple, np.argwhere(mask))), []
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            p = todo.pop()
+            part.append(p)
+            near = {q for q in left if max(abs(i - k) for i, k in zip(p, q)) <= 1}
+            left -= near
+            todo += near
+        w = np.array([a[p] for p in part])
+        z, y, x = (np.array(part).T * w).sum(1) / w.sum() + 1
+        if 2.7 <= len(part) <= 270 and 0.14 < y < 13.86 and 0.13 < x < 12.87:
+            want.append((x, y, z, len(part), w.mean()))
+    want.sort(key=lambda v: (v[0], v[1]))
+    assert len(want) >= 3 and np.allclose(got[["x", "y", "z", "n", "intensity"]].to_numpy(float), want)
+
+
+def test_cells_from_planes_equal_cells_from_voxels(spark, tmp_path):
+    a = np.full((16, 40, 44), 10, "<u2")
+    for z, y, x in ((8, 10, 10), (8, 30, 28), (12, 20, 40)):
+        a[z - 2 : z + 2, y - 2 : y + 2, x - 2 : x + 2] = 200
+    (tmp_path / "a.raw").write_bytes(a[:9].tobytes())
+    (tmp_path / "b.raw").write_bytes(a[9:].tobytes() + b"rest")
+    planes = sources.read_raw_planes(spark, str(tmp_path / "*.raw"), 40, 44, "S")
+    options = tiles.Detection(2.0, 0.5, 0.25, 16, 24)
+    flat = tiles.plane_voxels(planes).toPandas()
+    assert len(flat) == a.size and (flat["value"].to_numpy() == a[flat["z"] - 1, flat["y"] - 1, flat["x"] - 1]).all()
+    order = ["x", "y", "z"]
+    one, two = (df.toPandas().sort_values(order)[order].to_numpy() for df in (tiles.detect_cells_in_planes(planes, options), tiles.detect_cells_3d(_volume(spark, a), options)))
+    assert len(one) == len(two) >= 3 and np.allclose(one, two)
+    small, full = tiles.preprocess_volume(planes, str(tmp_path / "out"), 2, options)
+    assert small.count() == 16 and small.first()["ny"] == 20 and full.where("tz = 0 and ty = 0 and tx = 0").count() == 16
+    part = full.where("z = 3 and ty = 1 and tx = 0").first()
+    assert (part["y0"], part["x0"], part["ny"], part["nx"]) == (17, 1, 24, 32)
+
+
+def test_samples_by_hash(spark):
+    df = spark.range(5000).withColumn("k", F.col("id") % 7)
+    one, two = (sorted(r[0] for r in stats.sample_n(df.repartition(n), 100, "id").select("id").collect()) for n in (1, 5))
+    assert one == two and len(set(one)) == 100
+    part = {r[0] for r in stats.sample_fraction(df, 0.3, "id").select("id").collect()}
+    assert part == {r[0] for r in stats.sample_fraction(df.repartition(3), 0.3, "id").select("id").collect()} and 1300 < len(part) < 1700
+    assert part <= {r[0] for r in stats.sample_fraction(df, 0.5, "id").select("id").collect()}
+    capped = stats.cap_per_class(df, 50, "k", "id").groupBy("k").count().collect()
+    assert {(r["k"], r["count"]) for r in capped} == {(k, 50) for k in range(7)}
+    user, auto = (spark.createDataFrame(rows, "point_id int, x double, y double, z double") for rows in ([(1, 0.0, 0.0, 0.0)], [(2, 0.5, 0.0, 0.0), (3, 9.0, 0.0, 0.0), (4, 9.5, 0.0, 0.0), (5, 20.0, 0.0, 0.0)]))
+    assert {(r["point_id"], r["weight"]) for r in spatial.augment_controls(user, auto, 2.0).collect()} == {(1, 1.0), (3, 1.0), (5, 1.0)}
+    assert {(r["point_id"], r["weight"]) for r in spatial.augment_controls(user.where("false"), auto, 2.0).collect()} == {(2, 0.5), (3, 0.5), (5, 0.5)}
+
+
+def test_nearest_slice_across_blocks_and_groups(spark):
+    r = np.random.default_rng(2)
+    atlas = spark.createDataFrame([(int(g), float(p)) for g in (0, 1) for p in np.round(r.normal(0, 9, 20), 1)], "g int, pos double")
+    rows = [(i, int(i % 3), float(p)) for i, p in enumerate(np.round(r.normal(0, 15, 200), 1))] + [(900, 0, None)]
+    samples = spark.createDataFrame(rows, "i int, g int, pos double")
+    places = {g: sorted(x["pos"] for x in atlas.collect() if x["g"] == g) for g in (0, 1, 2)}
+    every = sorted(places[0] + places[1])
+    near = lambda p, all_: min(all_, key=lambda a: (abs(a - p), a)) if p is not None and all_ else None
+    for blocks in (1, 7, 4096):
+        assert {x["i"]: x["nearest"] for x in spatial.nearest_slice(samples, atlas, blocks=blocks).collect()} == {i: near(p, every) for i, g, p in rows}
+        assert {x["i"]: x["nearest"] for x in spatial.nearest_slice(samples, atlas, group="g", blocks=blocks).collect()} == {i: near(p, places[g]) for i, g, p in rows}
+    assert {x["nearest"] for x in spatial.nearest_slice(samples, atlas.where("false")).collect()} == {None}
+
+
+def test_names_that_lie_in_each_other(spark):
+    terms = spark.createDataFrame([(1, "CA1"), (2, "Layer 2, outer"), (3, "ab"), (4, "none"), (5, None), (6, "")], "region_id int, name string")
+    other = spark.createDataFrame([("field CA1sp", 10), ("layer 2", 20), ("xaby", 30), ("b", 31), ("", 40), (None, 50)], "ext_name string, ext_value int")
+    got = {r["region_id"]: r["ext_value"] for r in regions.join_by_name_unique(terms, other).collect()}
+    assert got == {1: 10, 2: 20, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_divisions_that_are_missing_stay(spark):
+    df = spark.createDataFrame([("Fiber tracts",), ("Cortex",), (None,)], "name string")
+    from atlasframe.operators import clean
+
+    assert {r[0] for r in clean.exclude_divisions(df).collect()} == {"Cortex", None}
+
+
+def test_lines_beyond_the_ends(spark):
+    rows = [("a", i, {2: 4.0, 4: 8.0, 7: 8.0, 8: 10.0}.get(i)) for i in range(11)] + [("b", 1, 5.0), ("b", 2, None)]
+    got = {(r["k"], r["i"]): r["v"] for r in series.interpolate_slices(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "i", "v").collect()}
+    assert [got["a", i] for i in range(11)] == [0, 2, 4, 6, 8, 8, 8, 8, 10, 12, 14] and got["b", 2] is None
+
+
 def test_detection_does_not_depend_on_tiles_for_separate_blobs(spark):
     a = np.full((16, 40, 40), 10.0)
     for z, y, x in ((8, 10, 10), (8, 30, 28)):
