@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,16 @@ def running_total(events: DataFrame) -> DataFrame:
     return events.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def plane_files(spark: SparkSession, folder: str, ny: int, nx: int, sample_id: str = "", channel: int = 1, per_batch: int = 64) -> DataFrame:
+    """A stream of planes(sample_id, channel, z, ny, nx, data) from a folder that an
+    acquisition writes one raw uint16 plane a file to; z is the last number of the
+    file's name. Files of another length are left out, as they are not finished."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).load(folder)
+    number = F.regexp_extract(F.substring_index("path", "/", -1), r"(\d+)\D*$", 1).cast("int")
+    planes = files.where(F.col("length") == 2 * ny * nx)
+    return planes.select(F.lit(sample_id).alias("sample_id"), F.lit(channel).alias("channel"), number.alias("z"), F.lit(ny).alias("ny"), F.lit(nx).alias("nx"), F.col("content").alias("data"))
+
+
 def stream_planes(planes: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, late: str | None = None):
     """Start a query that runs job on each batch of planes and appends its rows as
     Parquet; the batch number in the path makes a repeated batch overwrite itself."""

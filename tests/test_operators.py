@@ -376,6 +376,71 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == e.count()
 
 
+def test_planes_are_streamed_from_files(spark, tmp_path):
+    raw = np.arange(5 * 4 * 6, dtype="<u2").reshape(5, 4, 6)
+    (tmp_path / "in").mkdir()
+    for z, plane in enumerate(raw):
+        (tmp_path / "in" / f"chan1_{z + 1:03d}.raw").write_bytes(plane.tobytes())
+    (tmp_path / "in" / "chan1_099.raw").write_bytes(b"half")
+    stream = streaming.plane_files(spark, str(tmp_path / "in"), 4, 6, "S", per_batch=2)
+    q = streaming.stream_planes(stream, tiles.preprocess_planes, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    (tmp_path / "all.raw").write_bytes(raw.tobytes())
+    want = tiles.preprocess_planes(sources.read_raw_planes(spark, str(tmp_path / "all.raw"), 4, 6, "S")).orderBy("z").collect()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch").orderBy("z").collect()
+    assert len(got) == 5 and got == want
+
+
+def test_components_query_equals_brute_force(spark):
+    v = fx.voxels(spark, DATA).where("value > 700").toPandas()
+    got = queries.QUERIES["w7_connected_components"](spark, DATA).toPandas()
+    want = []
+    for (sample, channel), g in v.groupby(["sample_id", "channel"]):
+        left = {(y, x, z): w for y, x, z, w in g[["y", "x", "z", "value"]].itertuples(index=False)}
+        while left:
+            todo, part = [left.popitem()], []
+            while todo:
+                p = todo.pop()
+                part.append(p)
+                near = [q for q in left if max(abs(i - k) for i, k in zip(q, p[0])) <= 1]
+                todo += [(q, left.pop(q)) for q in near]
+            w = np.array([x for _, x in part])
+            want.append((sample, channel, len(part), *np.round((np.array([p for p, _ in part]) * w[:, None]).sum(0) / w.sum(), 6)))
+    assert sorted(want) == sorted((r.sample_id, r.channel, r.n, round(r.cy, 6), round(r.cx, 6), round(r.cz, 6)) for r in got.itertuples())
+
+
+def test_point_jobs_equal_brute_force(spark):
+    p = fx.points(spark, DATA).toPandas().sort_values("point_id")
+    xyz = p[list("xyz")].to_numpy()
+    off = xyz - xyz.mean(0)
+    far = np.einsum("ij,jk,ik->i", off, np.linalg.inv(np.cov(xyz.T)), off)
+    keep = p["point_id"].to_numpy()[np.lexsort((p["point_id"], -np.round(far, 9)))][: int(0.8 * len(p))]
+    got = {r[0] for r in queries.QUERIES["k6_keep_by_distance"](spark, DATA).collect()}
+    assert len(got ^ set(keep.tolist())) <= 2  # ties within rounding
+    for r in queries.QUERIES["g26_fit_lines"](spark, DATA).collect():
+        own = p[p["slice"] == r["probe_id"]][list("xyz")].to_numpy()
+        v = np.linalg.svd(own - own.mean(0))[2][0]
+        assert abs(abs(v @ [r["dx"], r["dy"], r["dz"]]) - 1) < 1e-6 and r["dy"] >= 0
+    cells = fx.cells(spark, DATA).toPandas()
+    m = cells.assign(row=np.floor(cells["y"]).astype(int)).pivot_table(index="row", columns="sample_id", values="intensity", aggfunc="sum").dropna()
+    u, d, vt = np.linalg.svd(m.to_numpy())
+    first = pd.Series(np.abs(u[:, 0]) / np.median(np.abs(u[:, 0])), m.index)
+    got = {r["row"]: r["strength"] for r in queries.QUERIES["g33_projection_strength"](spark, DATA).collect()}
+    assert got.keys() == set(first.index) and all(abs(got[k] - first[k]) < 1e-3 for k in got)
+
+
+def test_slice_samples_are_the_strongest_gradients(spark):
+    v = stencil.gradient_magnitude(fx.voxels(spark, DATA), [*queries.BY, "z"], ("y", "x")).toPandas()
+    got = queries.QUERIES["d12_extract_points_slices"](spark, DATA).toPandas()
+    sizes = got.groupby(["sample_id", "channel", "z"]).size()
+    rows = set(got[["sample_id", "channel", "y", "x", "z"]].itertuples(index=False, name=None))
+    for key, g in v.groupby(["sample_id", "channel", "z"]):
+        strong = g[g["gradient"] > np.quantile(g["gradient"], 0.9)]
+        own = set(strong[["sample_id", "channel", "y", "x", "z"]].itertuples(index=False, name=None))
+        assert sizes.get(key, 0) == min(20, len(own)) == len(own & rows)
+
+
 def test_tracing(spark):
     a = np.zeros((20, 20, 20))
     a[4:10] = 1
