@@ -110,7 +110,7 @@ def best_offset(slices: DataFrame, atlas: DataFrame, offsets: Sequence[float], h
     shifted = slices.withColumn("offset", F.explode(F.array(*(F.lit(float(o)) for o in offsets))))
     keyed = shifted.withColumn("slice", F.concat_ws("|", "slice", "offset"))
     places = keyed.groupBy("slice").agg(F.first(F.col("pos") + F.col("offset")).alias("at"))
-    slab = atlas.withColumn("_b", F.explode(F.array(*(F.floor(F.col("z") / half) + s for s in (-1, 0, 1)))))
+    slab = atlas.select("x", "y", "z").withColumn("_b", F.explode(F.array(*(F.floor(F.col("z") / half) + s for s in (-1, 0, 1)))))
     slab = slab.join(places.withColumn("_b", F.floor(F.col("at") / half)), "_b").where(F.abs(F.col("z") - F.col("at")) < half)
     found = refine_per_slice(keyed, slab, least=least).withColumn("offset", F.split("slice", r"\|")[1].cast("double"))
     return found.groupBy("offset").agg(F.avg("error").alias("error"), F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlasframe import functions as fn
@@ -1137,3 +1137,86 @@ def x4_map_values(s, d):
     e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     out = udf.map_values(e, "v", lambda x: x * 2 + 1)
     return out.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+# Fits and alignments whose result is known: the tables' points and the same under a known map
+
+
+def _matrix(s, m) -> DataFrame:
+    return s.createDataFrame([(i, k, round(float(v), 5) + 0.0) for i, row in enumerate(m) for k, v in enumerate(row)], "i int, k int, value double")
+
+
+def _known(m, table: str = "points") -> str:
+    rows = ", ".join(f"({i}, {k}, cast({v} as double))" for i, row in enumerate(m) for k, v in enumerate(row))
+    return f"select i, k, value from (values {rows}) known(i, k, value) where (select count(*) from {table}) > 0"
+
+
+#: A turn about z of which sine and cosine are 0.6 and 0.8, and a shift; the same with scale 2.5.
+TURN = [[0.8, -0.6, 0.0, 1.5], [0.6, 0.8, 0.0, -2.0], [0.0, 0.0, 1.0, 0.25], [0.0, 0.0, 0.0, 1.0]]
+SCALED = [[2.0, -1.5, 0.0, 1.5], [1.5, 2.0, 0.0, -2.0], [0.0, 0.0, 2.5, 0.25], [0.0, 0.0, 0.0, 1.0]]
+SHIFT = [[1.0, 0.0, 0.0, -0.125], [0.0, 1.0, 0.0, 0.0625], [0.0, 0.0, 1.0, 0.25], [0.0, 0.0, 0.0, 1.0]]
+
+
+def _pairs(s, d, m) -> DataFrame:
+    p = fx.points(s, d).select("point_id", "x", "y", "z")
+    moved = geometry.apply_affine(p.withColumns({"u": F.col("x"), "v": F.col("y"), "w": F.col("z")}), m, cols=("u", "v", "w"))
+    return moved
+
+
+@query(_known(MATRIX))
+def g23_fit_affine(s, d):
+    return _matrix(s, stats.fit_affine(_pairs(s, d, MATRIX)))
+
+
+@query(_known(SCALED))
+def g24_fit_similarity(s, d):
+    return _matrix(s, stats.fit_similarity(_pairs(s, d, SCALED)))
+
+
+@query(_known(TURN))
+def g24_fit_rigid(s, d):
+    return _matrix(s, stats.fit_rigid(_pairs(s, d, TURN)))
+
+
+@query(_known(MATRIX))
+def a7_live_fit(s, d):
+    pairs = _pairs(s, d, MATRIX).withColumn("view_id", F.lit(1))
+    side = lambda name, cols: pairs.select("view_id", F.col("point_id").alias("ordinal"), F.lit(name).alias("side"), *(F.col(c).alias(k) for c, k in zip(cols, "xyz")))
+    return _matrix(s, align.live_fit(side("sample", "xyz").unionByName(side("atlas", "uvw")), None)[0])
+
+
+@query(_known(SHIFT, "customer"))
+def a1_icp(s, d):
+    c = _cloud(s, d, "customer", "c_custkey")
+    moved = geometry.apply_affine(c, SHIFT, inverse=True)
+    return _matrix(s, align.icp(c, moved, rounds=4, width=2.0)[0])
+
+
+@query("select slice, true as flipped, 0.0 as error from points group by 1 having count(*) >= 10")
+def a4_flip_decision(s, d):
+    p = fx.points(s, d).withColumn("x", F.col("x") + 0.03 * F.col("point_id") % 7)  # no mirror image of itself
+    found = align.flip_decision(p.select("slice", (39 + 1 - F.col("x")).alias("x"), "y"), p.select("slice", "x", "y"), 39)
+    return rounded(found.select("slice", "flipped", "error"), ["error"])
+
+
+@query("select slice, 1.0 as m0, 0.0 as m1, 0.0 as m2, 1.0 as m4, 0.0 as m5, 0.0 as error from points group by 1 having count(*) >= 10")
+def a5_refine_per_slice(s, d):
+    p = fx.points(s, d).select("slice", "x", "y")
+    found = align.refine_per_slice(p.select("slice", (F.col("x") + 0.01).alias("x"), "y"), p.select("slice", (F.col("x") + 0.01).alias("x"), "y"))
+    return rounded(found.select("slice", *(F.get("m", F.lit(i)).alias(f"m{i}") for i in (0, 1, 2, 4, 5)), "error"), ["m0", "m1", "m2", "m4", "m5", "error"])
+
+
+@query("select 2.0 as offset_at, count(*) as n from (select z from points group by 1 having count(*) >= 20)")
+def a3_best_offset(s, d):
+    p = fx.points(s, d)
+    slices = p.select(F.col("z").cast("string").alias("slice"), (F.col("z") - 2).alias("pos"), "x", "y")
+    found = align.best_offset(slices, p, [0.0, 1.0, 2.0, 3.0], 0.4, 20)
+    return found.where("round(error, 6) = 0").select(F.col("offset").alias("offset_at"), "n")
+
+
+@query("select slice, point_id, round(2.0 * row_number() over (partition by slice order by point_id) + 1, 3) as v from points")
+def w17_smooth_path(s, d):
+    w = Window.partitionBy("slice").orderBy("point_id")
+    p = fx.points(s, d).select("slice", "point_id", F.row_number().over(w).alias("r"))
+    path = p.select("slice", "point_id", F.when(F.col("r") % 3 == 1, 2.0 * F.col("r") + 1).alias("v"))
+    return rounded(series.smooth_path(path, "slice", "point_id", ["v"], 0.5), ["v"], 3)
