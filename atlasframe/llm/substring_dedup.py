@@ -121,8 +121,9 @@ def _all_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted runs, as hashes: (anchor, run, id, hot, words), hot
-    ones as their windows: (anchor, run, id, hot, words null, at, sub)."""
+    """The words of the wanted runs, as hashes: (anchor, run, id, words), hot ones as
+    their different windows: (anchor, run, id, words null, at, sub), at being the
+    places of a window in its run."""
     per_doc = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("anchor", "run", "hot", "a", "b")).alias("wanted"))
     rows = docs.select("id", "tie", "text").join(per_doc, ["id", "tie"]).select("id", "text", "wanted")
 
@@ -137,15 +138,16 @@ def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     for w in want:
                         if w["hot"]:
                             at = np.arange(w["a"], w["b"] - window + 1)
-                            own = grams.hash(at, at + window).view(np.int64).tolist()
-                            out += [(w["anchor"], w["run"], doc_id, None, k, h) for k, h in enumerate(own)]
+                            subs, which = np.unique(grams.hash(at, at + window).view(np.int64), return_inverse=True)
+                            places = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])
+                            out += [(w["anchor"], w["run"], doc_id, None, p.tolist(), h) for p, h in zip(places, subs.tolist())]
                         else:
                             out.append((w["anchor"], w["run"], doc_id, hashes[w["a"] : w["b"]].tobytes(), None, None))
                 cols = list(zip(*out)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), part.schema.field(0).type, pa.binary(), pa.int32(), pa.int64()]
+                kinds = [pa.int64(), pa.int64(), part.schema.field(0).type, pa.binary(), pa.list_(pa.int32()), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "run", "id", "words", "at", "sub"])
 
-    return rows.mapInArrow(run, f"anchor long, run long, id {docs.schema['id'].dataType.simpleString()}, words binary, at int, sub long")
+    return rows.mapInArrow(run, f"anchor long, run long, id {docs.schema['id'].dataType.simpleString()}, words binary, at array<int>, sub long")
 
 
 def _search(window: int):
@@ -165,8 +167,8 @@ def _search(window: int):
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
-    """(id, tie, a, b): stretches of words that lie in windows found in a
-    document with a smaller id. docs: (id, tie, text)."""
+    """(id, tie, cuts array of (a, b)): stretches of words that lie in windows found in
+    a document with a smaller id, a row for each run. docs: (id, tie, text)."""
     every = table(_all_runs(docs, window, gram), "runs")
     shared = every.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     kept = table(every.join(shared, "anchor"), "shared-runs")
@@ -184,13 +186,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words
     found = cold.groupBy("shard").applyInArrow(_search(window), "anchor long, run long, `from` int, `to` int")
     single = texts.where("sub is not null")
     least = single.groupBy("anchor", "sub").agg(F.min("id").alias("lo"))
-    hits = single.join(least, ["anchor", "sub"]).where("lo < id").select("anchor", "run", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
-    found = found.unionByName(hits)
+    hits = single.join(least, ["anchor", "sub"]).where("lo < id")
+    # Windows one after the other are one stretch; a run's stretches are one row.
+    hits = hits.groupBy("anchor", "run").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    before, after = (lambda i, s=s: F.get("at", (i + s).cast("int")) for s in (-1, 1))
+    starts = F.filter("at", lambda x, i: F.coalesce(x - before(i) > 1, F.lit(True)))
+    ends = F.filter("at", lambda x, i: F.coalesce(after(i) - x > 1, F.lit(True)))
+    hits = hits.select("anchor", "run", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("from"), (b + window).alias("to"))).alias("parts"))
+    found = found.groupBy("anchor", "run").agg(F.collect_list(F.struct("from", "to")).alias("parts")).unionByName(hits)
 
     first = one.select("anchor", "run", F.col("id").alias("first"))
     placed = kept.join(first, ["anchor", "run"])
-    whole = placed.where("id > first").select("id", "tie", "a", "b")
-    partly = placed.where("id = first").join(found, ["anchor", "run"]).select("id", "tie", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
+    whole = placed.where("id > first").select("id", "tie", F.array(F.struct("a", "b")).alias("cuts"))
+    moved = F.transform("parts", lambda p: F.struct((F.col("a") + p["from"]).alias("a"), (F.col("a") + p["to"]).alias("b")))
+    partly = placed.where("id = first").join(found, ["anchor", "run"]).select("id", "tie", moved.alias("cuts"))
     found = table(whole.unionByName(partly), "repeats")
     for done in (kept, one, texts):
         drop_table(done)
@@ -214,7 +223,7 @@ def kept_words(text: bytes, cuts: list[dict] | None) -> tuple[list[bytes], int]:
 
 
 def _gathered(docs: DataFrame, keyed: DataFrame, **options) -> DataFrame:
-    cuts = repeats(keyed, **options).groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    cuts = repeats(keyed, **options).groupBy("id", "tie").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     return docs.join(cuts, ["id", "tie"], "left")
 
 
@@ -250,7 +259,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     columns may have any names."""
     keyed = _keyed(docs, id_col, text_col)
     own_id, own_tie, own_cuts, row_tie = (unused(docs.columns, f"_{n}") for n in ("id", "tie", "cuts", "own"))
-    cuts = repeats(keyed, **options).groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    cuts = repeats(keyed, **options).groupBy("id", "tie").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
     cuts = cuts.select(F.col("id").alias(own_id), F.col("tie").alias(own_tie), F.col("cuts").alias(own_cuts))
     tie = F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0))
     rows = docs.withColumn(row_tie, tie)
