@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.functions import clamp
+from atlasframe.operators.quantiles import group_quantiles
 
 XYZ = ("x", "y", "z")
 SKIPPED_DIVISIONS = ["nerves", "tracts", "system", "unassigned", "white matter", "canal", "aqueduct", "ventricle"]
@@ -84,7 +85,7 @@ def relative_to_background(df: DataFrame, value: str = "value", background: str
 
 def rescale_to_range(voxels: DataFrame, by: Sequence[str], low: float = 0.01, high: float = 0.99, bits: int = 8, value: str = "value") -> DataFrame:
     """Stretch between two quantiles of each group to whole numbers of `bits` bits."""
-    q = voxels.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    q = group_quantiles(voxels, by, value, {"_lo": low, "_hi": high})
     top = float((1 << bits) - 1)
     v = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     return voxels.join(q, list(by)).withColumn(value, F.round(clamp(v, 0.0, 1.0) * top, 0)).drop("_lo", "_hi")
@@ -92,9 +93,8 @@ def rescale_to_range(voxels: DataFrame, by: Sequence[str], low: float = 0.01, hi
 
 def clamp_background(voxels: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Values held between the 10 % and 90 % quantiles of the positive ones of their group."""
-    pos = F.when(F.col(value) > 0, F.col(value))
-    q = voxels.groupBy(*by).agg(F.percentile(pos, F.lit(0.1)).alias("_lo"), F.percentile(pos, F.lit(0.9)).alias("_hi"))
-    return voxels.join(q, list(by)).withColumn(value, clamp(value, "_lo", "_hi")).drop("_lo", "_hi")
+    q = group_quantiles(voxels, by, F.when(F.col(value) > 0, F.col(value)), {"_lo": 0.1, "_hi": 0.9})
+    return voxels.join(q, list(by), "left").withColumn(value, clamp(value, "_lo", "_hi")).drop("_lo", "_hi")
 
 
 def select_matched_controls(points: DataFrame) -> DataFrame:
@@ -118,10 +118,9 @@ def assign_side(points: DataFrame, nz: int, z: str = "z") -> DataFrame:
 
 def signal_qc(stats: DataFrame, by: Sequence[str], value: str = "value", floor: float = 0.0) -> DataFrame:
     """Adds good: not below median - 2 robust SD of its group, nor below floor."""
-    median = stats.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("_med"))
-    rows = stats.join(median, list(by))
-    sd = rows.groupBy(*by).agg((F.percentile(F.abs(F.col(value) - F.col("_med")), F.lit(0.5)) * 1.4826).alias("_sd"))
-    return rows.join(sd, list(by)).withColumn("good", (F.col(value) >= F.col("_med") - 2 * F.col("_sd")) & (F.col(value) >= floor)).drop("_med", "_sd")
+    rows = stats.join(group_quantiles(stats, by, value, {"_med": 0.5}), list(by), "left")
+    sd = group_quantiles(rows, by, F.abs(F.col(value) - F.col("_med")) * 1.4826, {"_sd": 0.5})
+    return rows.join(sd, list(by), "left").withColumn("good", (F.col(value) >= F.col("_med") - 2 * F.col("_sd")) & (F.col(value) >= floor)).drop("_med", "_sd")
 
 
 def crop_axis(df: DataFrame, axis: str, low: int, high: int) -> DataFrame:

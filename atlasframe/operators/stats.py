@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlasframe.operators.quantiles import group_quantiles
+
 XYZ = ("x", "y", "z")
 
 
@@ -23,10 +25,12 @@ def midpoint_quantile(values: Column, p: float) -> Column:
 
 def robust_stats(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """median, robust SD (1.4826 median absolute deviations), quantiles, smallest mode."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    first = df.groupBy(*by).agg(p(0.5).alias("median"), p(0.01).alias("q01"), p(0.99).alias("q99"), F.mode(value, True).alias("mode"), F.count(value).alias("n"))
-    dev = df.join(first.select(*by, F.col("median").alias("_m")), list(by)).groupBy(*by).agg((F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)) * 1.4826).alias("robust_sd"))
-    return first.join(dev, list(by))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    most = counts.groupBy(*by).agg(F.min_by(F.col(value), F.struct(-F.col("_c"), F.col(value))).alias("mode"), F.sum("_c").alias("n"))
+    first = group_quantiles(df, by, value, {"median": 0.5, "q01": 0.01, "q99": 0.99})
+    off = df.join(first.select(*by, F.col("median").alias("_m")), list(by))
+    dev = group_quantiles(off, by, F.abs(F.col(value) - F.col("_m")) * 1.4826, {"robust_sd": 0.5})
+    return first.join(most, list(by)).join(dev, list(by))
 
 
 def density_map(points: DataFrame, weights: DataFrame, nz: int, by: Sequence[str] = ()) -> DataFrame:
@@ -131,13 +135,15 @@ def cluster_size_filter(clusters: DataFrame, share: float = 0.1, by: Sequence[st
 
 def scan_pair_qc(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """Count, median intensity and diameter, half of the central 95 % range."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return cells.groupBy(*by).agg(F.count("*").alias("n"), p("intensity", 0.5).alias("median_intensity"), p("diameter", 0.5).alias("median_diameter"), ((p("intensity", 0.975) - p("intensity", 0.025)) / 2).alias("half_range"))
+    bright = group_quantiles(cells, by, "intensity", {"median_intensity": 0.5, "_a": 0.025, "_b": 0.975})
+    wide = group_quantiles(cells, by, "diameter", {"median_diameter": 0.5})
+    n = cells.groupBy(*by).agg(F.count("*").alias("n")).join(bright, list(by), "left").join(wide, list(by), "left")
+    return n.withColumn("half_range", (F.col("_b") - F.col("_a")) / 2).drop("_a", "_b")
 
 
 def dynamic_range(voxels: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.001), F.lit(0.999)))
-    return voxels.groupBy(*by).agg((F.get(q, F.lit(1)) - F.get(q, F.lit(0))).alias("range"))
+    q = group_quantiles(voxels, by, value, {"_a": 0.001, "_b": 0.999})
+    return q.select(*by, (F.col("_b") - F.col("_a")).alias("range"))
 
 
 def pair_moments(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

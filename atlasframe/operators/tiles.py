@@ -127,7 +127,12 @@ def detect_cells_3d(voxels: DataFrame, options: Detection = Detection(), by: Seq
     """Cells (by, x, y, z, intensity, diameter, elongation): every tile with its halo
     is one task's dense block, and a cell counts where its centre is the tile's own."""
 
+    columns = [*by, "x", "y", "z", "intensity", "diameter", "elongation"]
+
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [(pdf[a] - 1) // size == pdf[f"t{a}"] for a, size in zip(AXES, (options.nz, options.nxy, options.nxy))]
+        if not np.logical_and.reduce(own).any():  # nothing but halo, beyond the volume's end
+            return pd.DataFrame(columns=columns)
         low = {a: int(pdf[a].min()) for a in AXES}
         dense = np.zeros([int(pdf[a].max()) - low[a] + 1 for a in AXES])
         dense[tuple((pdf[a] - low[a]).to_numpy() for a in AXES)] = pdf["value"]
@@ -181,7 +186,11 @@ def detect_cells_in_planes(planes: DataFrame, options: Detection = Detection(),
     """detect_cells_3d from raw planes: a tile's pieces are stacked in one task; planes
     that are missing between two others are empty."""
 
+    columns = [*by, "x", "y", "z", "intensity", "diameter", "elongation"]
+
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not ((pdf["z"] - 1) // options.nz == pdf["tz"]).any():
+            return pd.DataFrame(columns=columns)
         low = {"z": int(pdf["z"].min()), "y": int(pdf["y0"].min()), "x": int(pdf["x0"].min())}
         dense = np.zeros((int(pdf["z"].max()) - low["z"] + 1, int(pdf["ny"].max()), int(pdf["nx"].max())))
         for row in pdf.itertuples(index=False):
