@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from atlasframe.llm.shared import table
 
 WHITE = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[#*$%&|<>]"
+WORD = r"[^\x20\x09-\x0D]"
+SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
@@ -21,7 +22,8 @@ def _repeats(rows: DataFrame) -> DataFrame:
     """n_repeat_words from the column words: words in a 5-word window that is
     found twice or more in the text. Windows are compared by 64-bit hash; only
     texts in which one comes back have their windows sorted."""
-    item = lambda i, k: F.element_at("words", (i + k + 1).cast("int"))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))  # each word once
+    item = lambda i, k: F.get("hashes", (i + k).cast("int"))
     windows = F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(item(i, k) for k in range(WINDOW))))
     rows = rows.withColumn("windows", F.when(F.size("words") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("again", F.size(F.array_distinct("windows")) < F.size("windows"))
@@ -44,21 +46,24 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text.alias("text"))
     rows = rows.withColumn("words", F.array_remove(F.split("text", WHITE), ""))
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, WHITE, "")) > 0))
+    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
     rows = _repeats(rows)
     return rows.select(
         "id", "host",
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, host_rate): the share of failed documents of each host, shrunk by a
-    beta prior that is fitted to all hosts by moments (documents as weights)."""
+    """(host, host_rate): the mean of each host's beta posterior, its share of failed
+    documents shrunk by a prior that is fitted to all hosts by moments (documents as
+    weights). The prior weighs as many documents as the hosts' spread beyond chance
+    tells, 1 at least and 1,000,000 at most, where they hardly differ (a spread of
+    less than 1e-9 counts as that)."""
     hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
     # Three sums over all hosts; n * p * p is f * f / n.
     n, f, hosts_n, ff = hosts.agg(F.sum("n"), F.sum("f"), F.count("*"), F.sum(F.col("f") * F.col("f") / F.col("n"))).first()
@@ -75,9 +80,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """One row per document: the measures, base_failed, host_rate and kept.
 
     A document is kept if it passes the base rules and its host's shrunk failure
-    rate is at most host_limit. Null and empty texts have no words and fail.
-    Documents with a null host form one host. Repeated rows are judged each;
-    other columns are ignored; an empty table gives an empty result.
+    rate is at most host_limit. Null and empty texts have no words and fail; very
+    long ones are measured whole. Documents with a null host form one host. Repeated
+    rows and rows with null ids are judged each; other columns are ignored; an empty
+    table gives an empty result.
     """
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     judged = table(measures(docs, id_col, text_col, host_col).withColumn("base_failed", failed), "rules")
