@@ -914,9 +914,9 @@ def j6_points_to_atlas(s, d):
 # More operators, each row of the result checked
 
 
-@query("select r_regionkey as id, r_name as name from region where r_name = 'ASIA'", False)
+@query("select s_suppkey as id, s_name as name from supplier where s_name = 'Supplier#000000003'", False)
 def s11_atlas_registry(s, d):
-    return sources.atlas_registry(s.read.parquet(f"{d}/region.parquet").selectExpr("r_regionkey as id", "r_name as name"), "ASIA")
+    return sources.atlas_registry(s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as id", "s_name as name"), "Supplier#000000003")
 
 
 _IMPLANTS = "s_suppkey as implant_id, cast(s_suppkey % 40 + 1 as double) as cy, s_suppkey % 24 + cast(0.5 as double) as cx, cast(s_suppkey % 32 + 1 as double) as cz, cast(1 + s_suppkey % 3 as double) as radius"
