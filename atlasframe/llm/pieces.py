@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and pairs that a task keeps; it starts afresh beyond it.
-CACHE, PAIRS = 300_000, 1_000_000
+CACHE, PAIRS = 300_000, 500_000
 _SLICE = 256
 _UNIGRAM = 1
 

@@ -41,7 +41,7 @@ WINDOW, GRAM = 50, 12
 #: Words of one shard, on average, and of one anchor's runs at most; different runs of one anchor beyond which it is cut into windows.
 SHARD_WORDS, HOT = 300_000, 2_000
 #: Words whose hashes a task keeps; it starts afresh beyond it.
-CACHE = 500_000
+CACHE = 250_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
