@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.llm import decontaminate, language_id, pieces, quality_crf, quality_rules, simhash, substring_dedup, token_files, toxicity, url_filters
+from atlasframe.llm import byte_pieces, decontaminate, language_id, pieces, quality_crf, quality_rules, simhash, substring_dedup, token_files, toxicity, url_filters
 from atlasframe.llm.shared import documents, fold
 
 
@@ -73,8 +73,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pieces.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_near_dedup, op2_language_id, op3_substring_dedup, op4_quality_rules, op5_quality_crf, op6_toxicity, op7_url_filters, op8_decontamination, op9_token_files, op10_sentencepiece]
+    made = [op1_simhash_near_dedup, op2_language_id, op3_substring_dedup, op4_quality_rules, op5_quality_crf, op6_toxicity, op7_url_filters, op8_decontamination, op9_token_files, op10_sentencepiece, op13_byte_bpe]
     return {f.__name__: f for f in made}
 
 
