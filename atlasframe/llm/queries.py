@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe.llm import byte_pieces, decontaminate, language_id, pieces, quality_crf, quality_rules, simhash, substring_dedup, token_files, toxicity, url_filters
+from atlasframe.llm import byte_pieces, decontaminate, importance, language_id, pieces, quality_crf, quality_rules, simhash, substring_dedup, token_files, toxicity, url_filters, whitening
 from atlasframe.llm.shared import documents, fold
 
 
@@ -73,14 +73,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=1, buckets=10_000, share=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pieces.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_simhash_near_dedup, op2_language_id, op3_substring_dedup, op4_quality_rules, op5_quality_crf, op6_toxicity, op7_url_filters, op8_decontamination, op9_token_files, op10_sentencepiece, op13_byte_bpe]
+    made = [op1_simhash_near_dedup, op2_language_id, op3_substring_dedup, op4_quality_rules, op5_quality_crf, op6_toxicity, op7_url_filters, op8_decontamination, op9_token_files, op10_sentencepiece, op11_whitening, op12_importance, op13_byte_bpe]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE, "op7_url_filters": url_filters.ORACLE}
+    return {"op4_quality_rules": quality_rules.ORACLE, "op7_url_filters": url_filters.ORACLE, "op12_importance": importance.ORACLE}
