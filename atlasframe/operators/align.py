@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from atlasframe.functions import plane_basis
 from atlasframe.operators.clean import select_matched_controls
-from atlasframe.operators.geometry import apply_affine
-from atlasframe.operators.lookup import run_lengths, sample_disc, sample_disc_intensity, sample_line, with_region_names
+from atlasframe.operators.geometry import apply_affine, from_display_space
+from atlasframe.operators.lookup import points_to_atlas, run_lengths, sample_disc, sample_disc_intensity, sample_line, with_region_names
 from atlasframe.operators.regions import regions_under_implant
 from atlasframe.operators.spatial import knn_join
 from atlasframe.operators.stats import depth_profile, fit_affine, fit_cylinders, fit_lines, fit_rigid, fit_similarity
@@ -144,15 +145,42 @@ def live_fit(controls: DataFrame, initial: np.ndarray, least: int = 16) -> tuple
     return (np.eye(4) if initial is None else np.asarray(initial)), "initial"
 
 
-def trace_probes(points: DataFrame, labels: DataFrame, terms: DataFrame, size: Sequence[int], reach: int = 100) -> DataFrame:
-    """Regions along all probes in one pass: line fit, samples, runs, names."""
-    lines = fit_lines(points)
+@dataclass(frozen=True)
+class Placement:
+    """How points marked on a displayed registration volume get to the atlas: undo the
+    display's flips and order (shown: y, x, z size of what is shown; perm: its axes,
+    negative where turned round; scale: native voxels a shown one), go through the
+    registration (voxel and size of the native volume, in its axes' order, the same
+    perm, the displacement field, the atlas voxel and the affine map), and name the
+    atlas axes: `order` has the axis (0, 1, 2) that becomes x, y and z."""
+
+    shown: Sequence[int]
+    perm: Sequence[int]
+    scale: float
+    voxel: Sequence[float]
+    size: Sequence[int]
+    field: DataFrame
+    atlas_voxel: float
+    matrix: Sequence[Sequence[float]]
+    order: Sequence[int] = (0, 1, 2)
+
+    def to_atlas(self, points: DataFrame) -> DataFrame:
+        native = from_display_space(points, self.shown, self.perm, self.scale)
+        moved = points_to_atlas(native, self.field, self.voxel, self.size, self.perm, self.atlas_voxel, self.matrix)
+        return moved.withColumns({c: F.col("xyz"[i]) for c, i in zip("xyz", self.order)})
+
+
+def trace_probes(points: DataFrame, labels: DataFrame, terms: DataFrame, size: Sequence[int], reach: int = 100, placement: Placement | None = None) -> DataFrame:
+    """Regions along all probes in one pass: to the atlas, line fit, samples, runs,
+    names. Points are in atlas voxels already where there is no placement."""
+    lines = fit_lines(placement.to_atlas(points) if placement else points)
     return with_region_names(run_lengths(sample_line(lines, labels, size, reach)), terms)
 
 
-def trace_implants(points: DataFrame, labels: DataFrame, voxels: DataFrame, size: Sequence[int], depths: Sequence[float], step: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(regions under each implant, median intensity per depth and channel)."""
-    c = fit_cylinders(points)
+def trace_implants(points: DataFrame, labels: DataFrame, voxels: DataFrame, size: Sequence[int], depths: Sequence[float], step: float = 1.0, placement: Placement | None = None, radius: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(regions under each implant, median intensity per depth and channel), depths
+    counted from the implant's bottom along its axis."""
+    c = fit_cylinders(placement.to_atlas(points) if placement else points, radius=radius)
     basis = plane_basis("nx", "ny", "nz")
     c = c.withColumns(dict(zip(("ux", "uy", "uz", "vx", "vy", "vz"), basis)))
     under = regions_under_implant(sample_disc(c, labels, size, depths, step))

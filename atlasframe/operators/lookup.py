@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atlasframe.functions import clamp
@@ -72,42 +73,66 @@ def _corners(points: DataFrame, axes: Sequence[str]) -> DataFrame:
     return rows.withColumn("_w", weight).withColumns({f"_{a}": F.col(f"_{a}.i").cast("int") for a in axes})
 
 
-def interpolate(points: DataFrame, grid: DataFrame, key: str, axes: dict[str, str], values: Sequence[str], outside: float | None = 0.0, also: Sequence[str] = ()) -> DataFrame:
-    """(key, values) by linear interpolation of grid at points: one equi-join of the
-    corners and one sum per key. axes: point column -> grid column. A point with a
-    corner that the grid lacks is outside: it gets that value (None drops it).
-    also: further equal columns, such as a slice or channel."""
-    corners = _corners(points.select(key, *axes, *also), list(axes))
-    g = grid.select(*(F.col(c).alias(f"_{a}") for a, c in axes.items()), *also, *(F.col(v).alias(f"_v{i}") for i, v in enumerate(values)))
-    hit = corners.join(g, [f"_{a}" for a in axes] + list(also), "left")
-    sums = [F.sum(F.col("_w") * F.col(f"_v{i}")).alias(v) for i, v in enumerate(values)]
-    out = hit.groupBy(key, *also).agg(F.count_if(F.col("_v0").isNull()).alias("_lost"), *sums)
-    if outside is None:
-        return out.where("_lost = 0").drop("_lost")
-    return out.withColumns({v: F.when(F.col("_lost") > 0, F.lit(outside)).otherwise(F.col(v)) for v in values}).drop("_lost")
-
-
-def displace_points(points: DataFrame, field: DataFrame, key: str = "point_id", voxel: float = 1.0) -> DataFrame:
-    """Points minus the field (i, j, k, dx, dy, dz) at their place; outside it they stay."""
-    d = interpolate(points, field, key, {"x": "i", "y": "j", "z": "k"}, ["dx", "dy", "dz"])
-    return points.join(d, key).withColumns({c: F.col(c) - F.col(f"d{c}") / voxel for c in "xyz"}).drop("dx", "dy", "dz")
-
-
-def displace_points_2d(points: DataFrame, field: DataFrame, key: str = "point_id", voxel: float = 1.0) -> DataFrame:
+def _grid_cells(grid: DataFrame, axes: Sequence[str], values: Sequence[str], also: Sequence[str]) -> DataFrame:
+    """A row for each cell that a place of the grid is a corner of: _axis is its lower
+    corner, _c0, _c1, ... the values at its corners, null where the grid has none."""
+    corners = list(product((0, 1), repeat=len(axes)))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *((F.col(f"_{a}") - s).cast("int").alias(a) for a, s in zip(axes, step))) for k, step in enumerate(corners)))).alias("_at")
+    rows = grid.select(*also, F.struct(*values).alias("_v"), each)
+    return rows.groupBy(*also, *(F.col(f"_at.{a}").alias(f"_{a}") for a in axes)).agg(*(F.max(F.when(F.col("_at.k") == k, F.col("_v"))).alias(f"_c{k}") for k in range(len(corners))))
+
+
+def interpolate(points: DataFrame, grid: DataFrame, axes: dict[str, str], values: dict[str, str], outside: float | None = 0.0, also: Sequence[str] = ()) -> DataFrame:
+    """points with further columns: values (new column -> grid column) by linear
+    interpolation of the grid, which has one row a place. axes: point column -> grid
+    column. The grid is brought to one row a cell, so that a point meets its cell in
+    one equi-join, whether points repeat or have no key. A point with a corner of
+    weight that the grid lacks, or without a place, is outside: it gets that value
+    (None drops it). also: further equal columns, such as a slice or channel."""
+    names = list(axes)
+    g = grid.select(*(F.col(c).alias(f"_{a}") for a, c in axes.items()), *also, *(F.col(c).alias(f"_v{i}") for i, c in enumerate(values.values())))
+    cells = _grid_cells(g, names, [f"_v{i}" for i in range(len(values))], also)
+    rows = points.withColumns({f"_{a}": F.floor(F.col(a)).cast("int") for a in names})
+    hit = rows.join(cells, [f"_{a}" for a in names] + list(also), "left")
+    out: dict[str, Column] = {}
+    for i, v in enumerate(values):
+        total = F.lit(0.0)
+        for k, step in enumerate(product((0, 1), repeat=len(names))):
+            w = F.lit(1.0)
+            for a, s in zip(names, step):
+                part = F.col(a) - F.floor(F.col(a))
+                w = w * (part if s else 1 - part)
+            # A corner without weight need not be there.
+            total = total + F.when(w > 0, w * F.col(f"_c{k}._v{i}")).when(w == 0, 0.0)
+        out[v] = total
+    hit = hit.withColumns(out)
+    lost = F.col(next(iter(values))).isNull()
+    hit = hit.where(~lost) if outside is None else hit.withColumns({v: F.coalesce(v, F.lit(outside)) for v in values})
+    return hit.select(*points.columns, *values)
+
+
+def displace_points(points: DataFrame, field: DataFrame, voxel: float = 1.0) -> DataFrame:
+    """Points minus the field (i, j, k, dx, dy, dz) at their place; outside it they
+    stay. Rows of one id, or of none, are moved each for itself."""
+    moved = interpolate(points, field, {"x": "i", "y": "j", "z": "k"}, {f"_d{c}": f"d{c}" for c in "xyz"})
+    return moved.withColumns({c: F.col(c) - F.col(f"_d{c}") / voxel for c in "xyz"}).drop(*(f"_d{c}" for c in "xyz"))
+
+
+def displace_points_2d(points: DataFrame, field: DataFrame, voxel: float = 1.0) -> DataFrame:
     """Each slice's points by its own field (slice, i, j, dx, dy)."""
-    d = interpolate(points, field, key, {"x": "i", "y": "j"}, ["dx", "dy"], also=["slice"]).drop("slice")
-    return points.join(d, key).withColumns({c: F.col(c) - F.col(f"d{c}") / voxel for c in "xy"}).drop("dx", "dy")
+    moved = interpolate(points, field, {"x": "i", "y": "j"}, {"_dx": "dx", "_dy": "dy"}, also=["slice"])
+    return moved.withColumns({c: F.col(c) - F.col(f"_d{c}") / voxel for c in "xy"}).drop("_dx", "_dy").select(*points.columns)
 
 
-def points_to_atlas(points: DataFrame, field: DataFrame, voxel: Sequence[float], size: Sequence[int], perm: Sequence[int], atlas_voxel: float, matrix: Sequence[Sequence[float]], key: str = "point_id") -> DataFrame:
+def points_to_atlas(points: DataFrame, field: DataFrame, voxel: Sequence[float], size: Sequence[int], perm: Sequence[int], atlas_voxel: float, matrix: Sequence[Sequence[float]]) -> DataFrame:
     """The whole chain: registration space, displacement, affine map back."""
-    moved = displace_points(to_registration_space(points, voxel, size, perm, atlas_voxel), field, key)
+    moved = displace_points(to_registration_space(points, voxel, size, perm, atlas_voxel), field)
     return apply_affine(moved, matrix, inverse=True)
 
 
-def slice_points_to_atlas(points: DataFrame, field: DataFrame, transforms: DataFrame, positions: DataFrame, matrix: Sequence[Sequence[float]], key: str = "point_id") -> DataFrame:
+def slice_points_to_atlas(points: DataFrame, field: DataFrame, transforms: DataFrame, positions: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:
     """Section series: 2-D displacement and transform of each slice, the slice's position as z, then the rigid map back."""
-    flat = apply_slice_transforms(displace_points_2d(points, field, key), transforms)
+    flat = apply_slice_transforms(displace_points_2d(points, field), transforms)
     return apply_affine(flat.join(positions.select("slice", F.col("position").cast("double").alias("z")), "slice"), matrix, inverse=True)
 
 
@@ -138,50 +163,48 @@ def sample_disc(implants: DataFrame, labels: DataFrame, size: Sequence[int], dep
 
 def sample_disc_intensity(implants: DataFrame, voxels: DataFrame, size: Sequence[int], depths: Sequence[float], step: float = 1.0) -> DataFrame:
     """Linear intensity of each channel over the same grid."""
-    grid = disc_grid(implants, size, depths, step).withColumn("_k", F.concat_ws("|", "implant_id", "depth", "g1", "g2"))
-    every = grid.join(voxels.select("channel").distinct(), F.lit(True))  # a row per channel
-    value = interpolate(every, voxels, "_k", {c: c for c in GRID}, ["value"], also=["channel"])
-    return grid.join(value, "_k").drop("_k")
+    every = disc_grid(implants, size, depths, step).join(voxels.select("channel").distinct(), F.lit(True))  # a row per channel
+    return interpolate(every, voxels, {c: c for c in GRID}, {"value": "value"}, also=["channel"])
 
 
-def warp_volume(voxels: DataFrame, matrix: Sequence[Sequence[float]], size: Sequence[int], mode: str = "linear", fill: float = 0.0, by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
-    """Resample onto a grid of `size` by the inverse of matrix: linear for
-    intensities, nearest for labels. Linear values are pushed from the output grid
-    to its corners in the input, joined and summed; missing corners count as fill."""
-    spark = voxels.sparkSession
+def _output_grid(spark: SparkSession, size: Sequence[int]) -> DataFrame:
     ny, nx, nz = size
-    grid = spark.range(ny * nx * nz).select((F.col("id") % ny + 1).cast("int").alias("y"), (F.floor(F.col("id") / ny) % nx + 1).cast("int").alias("x"), (F.floor(F.col("id") / (ny * nx)) + 1).cast("int").alias("z"))
-    out = [F.col(c).alias(f"out_{c}") for c in GRID]
-    source = apply_affine(grid.select("*", *out).withColumns({c: F.col(c).cast("double") for c in GRID}), matrix, inverse=True, cols=GRID)
-    groups = voxels.select(*by).distinct()
+    return spark.range(ny * nx * nz).select((F.col("id") % ny + 1).cast("int").alias("out_y"), (F.floor(F.col("id") / ny) % nx + 1).cast("int").alias("out_x"), (F.floor(F.col("id") / (ny * nx)) + 1).cast("int").alias("out_z"))
+
+
+def _resample(voxels: DataFrame, source: DataFrame, mode: str, fill: float, by: Sequence[str]) -> DataFrame:
+    """Values of each group of voxels at source (out_y, out_x, out_z and the place in
+    the input). What has no voxel at all at its corners of weight is left out where
+    fill is 0, and is fill otherwise."""
+    out = [F.col(f"out_{c}").alias(c) for c in GRID]
     if mode == "nearest":
-        source = source.withColumns({c: F.round(F.col(c), 0).cast("int") for c in GRID})
-        hit = voxels.join(source, list(GRID))
-        return hit.select(*by, *(F.col(f"out_{c}").alias(c) for c in GRID), "value")
-    corners = _corners(source, GRID)
-    v = voxels.select(*by, *(F.col(c).alias(f"_{c}") for c in GRID), "value")
-    hit = corners.join(v, [f"_{c}" for c in GRID])
-    summed = hit.groupBy(*by, *(f"out_{c}" for c in GRID)).agg(F.sum(F.col("_w") * F.col("value")).alias("value"), F.sum("_w").alias("_w"))
-    summed = summed.select(*by, *(F.col(f"out_{c}").alias(c) for c in GRID), (F.col("value") + (1 - F.col("_w")) * fill).alias("value"))
+        near = source.withColumns({c: F.round(F.col(c), 0).cast("int") for c in GRID})
+        found = voxels.join(near, list(GRID)).select(*by, *out, "value")
+    else:
+        v = voxels.select(*by, *(F.col(c).alias(f"_{c}") for c in GRID), "value")
+        hit = _corners(source, GRID).join(v, [f"_{c}" for c in GRID])
+        summed = hit.groupBy(*by, *(f"out_{c}" for c in GRID)).agg(F.sum(F.col("_w") * F.col("value")).alias("value"), F.sum("_w").alias("_w"))
+        found = summed.select(*by, *out, (F.col("value") + (1 - F.col("_w")) * fill).alias("value"))
     if fill == 0:
-        return summed
-    every = groups.join(grid, F.lit(True))
-    return every.join(summed, [*by, *GRID], "left").withColumn("value", F.coalesce("value", F.lit(fill)))
+        return found
+    every = source.select(*out).join(voxels.select(*by).distinct(), F.lit(True))  # every output voxel of every group is a row of the result
+    return every.join(found, [*by, *GRID], "left").select(*by, *GRID, F.coalesce("value", F.lit(fill)).alias("value"))
+
 
+def warp_volume(voxels: DataFrame, matrix: Sequence[Sequence[float]], size: Sequence[int], mode: str = "linear", fill: float = 0.0, by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
+    """Resample onto a grid of `size` by the inverse of matrix: linear for
+    intensities, nearest for labels; missing corners count as fill. A row per voxel
+    and corner: for sparse volumes; dense ones go through blocks.warp_blocks."""
+    grid = _output_grid(voxels.sparkSession, size)
+    source = apply_affine(grid.withColumns({c: F.col(f"out_{c}").cast("double") for c in GRID}), matrix, inverse=True, cols=GRID)
+    return _resample(voxels, source, mode, fill, by)
 
-def warp_volume_field(voxels: DataFrame, field: DataFrame, matrix: Sequence[Sequence[float]], size: Sequence[int], mode: str = "linear", by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
+
+def warp_volume_field(voxels: DataFrame, field: DataFrame, matrix: Sequence[Sequence[float]], size: Sequence[int], mode: str = "linear", fill: float = 0.0, by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
     """warp_volume with a displacement of the output grid before the affine map."""
-    spark = voxels.sparkSession
-    ny, nx, nz = size
-    grid = spark.range(ny * nx * nz).select(F.col("id").alias("point_id"), (F.col("id") % ny + 1).alias("oy"), (F.floor(F.col("id") / ny) % nx + 1).alias("ox"), (F.floor(F.col("id") / (ny * nx)) + 1).alias("oz"))
-    points = grid.withColumns({c: F.col(f"o{c}").cast("double") for c in "yxz"})
-    source = apply_affine(displace_points(points, field), matrix, inverse=True)
-    if mode == "nearest":
-        source = source.withColumns({c: F.round(F.col(c), 0).cast("int") for c in GRID})
-        return voxels.join(source, list(GRID)).select(*by, *(F.col(f"o{c}").cast("int").alias(c) for c in GRID), "value")
-    v = voxels.select(*by, *(F.col(c).alias(f"_{c}") for c in GRID), "value")
-    hit = _corners(source, GRID).join(v, [f"_{c}" for c in GRID])
-    return hit.groupBy(*by, *(F.col(f"o{c}").cast("int").alias(c) for c in GRID)).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
+    grid = _output_grid(voxels.sparkSession, size)
+    points = grid.withColumns({c: F.col(f"out_{c}").cast("double") for c in GRID})
+    return _resample(voxels, apply_affine(displace_points(points, field), matrix, inverse=True), mode, fill, by)
 
 
 def run_lengths(samples: DataFrame, by: str = "probe_id", order: str = "step", label: str = "region_id", per_voxel: int = 10) -> DataFrame:

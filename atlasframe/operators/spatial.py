@@ -25,7 +25,15 @@ def _distance(cols: Sequence[str]) -> Column:
 
 
 def pairs_within(left: DataFrame, right: DataFrame, d: float, left_id: str, right_id: str, cols: Sequence[str] = XYZ) -> DataFrame:
-    """(left_id, right_id as _right, distance) of all pairs at most d apart."""
+    """(left_id, right_id as _right, distance) of all pairs at most d apart; at d = 0
+    the pairs of equal places, and none below. Rows with a null or NaN have no place."""
+    if d < 0:
+        return left.join(right.select(F.col(right_id).alias("_right")), F.lit(False)).select(left_id, "_right", F.lit(0.0).alias("distance"))
+    if d == 0:
+        # 0.0 is added so that zeros of both signs are one place.
+        a = left.select(left_id, *((F.col(c).cast("double") + 0.0).alias(f"_{c}") for c in cols)).where(" and ".join(f"_{c} - _{c} = 0" for c in cols))
+        b = right.select(F.col(right_id).alias("_right"), *((F.col(c).cast("double") + 0.0).alias(f"_{c}") for c in cols))
+        return a.join(b, [f"_{c}" for c in cols]).select(left_id, "_right", F.lit(0.0).alias("distance"))
     a = _cells(left.select(left_id, *(F.col(c).alias(f"_l{c}") for c in cols)), [f"_l{c}" for c in cols], d, True)
     b = _cells(right.select(F.col(right_id).alias("_right"), *(F.col(c).alias(f"_r{c}") for c in cols)), [f"_r{c}" for c in cols], d, False)
     return a.join(b, "_cell").withColumn("distance", _distance(cols)).where(F.col("distance") <= d).select(left_id, "_right", "distance")
@@ -37,7 +45,9 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, width: float, left_id: s
     A left point's answer is final once k right points lie within the cell width;
     the rest are asked again with doubled width, over ever fewer points, until
     the width spans the data and everything left is final. Ties by right id.
-    same=False leaves out pairs of one id (a cloud with itself)."""
+    same=False leaves out pairs of one id (a cloud with itself). Rows with a null, NaN
+    or infinite coordinate take no part; points undecided after `rounds` are an error."""
+    left, right = (df.where(" and ".join(f"{c} - {c} = 0" for c in cols)) for df in (left, right))
     span = right.agg(*(f(c).alias(f"{n}{c}") for c in cols for n, f in (("a", F.min), ("b", F.max)))).first()
     left_span = left.agg(*(f(c).alias(f"{n}{c}") for c in cols for n, f in (("a", F.min), ("b", F.max)))).first()
     reach = 0.0
@@ -60,7 +70,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, width: float, left_id: s
         if todo.isEmpty():
             return out
         width *= 2
-    return out
+    raise ValueError(f"undecided after {rounds} rounds: start with a greater width than {width / 2**rounds}")
 
 
 def match_clouds(sample: DataFrame, atlas: DataFrame, far: float = 50.0, near: float = 20.0, k: int = 40, width: float = 10.0) -> DataFrame:

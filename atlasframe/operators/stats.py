@@ -213,30 +213,60 @@ def fit_lines(points: DataFrame, by: str = "probe_id") -> DataFrame:
     return m.mapInPandas(direction, f"{by} {kind}, n long, ox double, oy double, oz double, dx double, dy double, dz double")
 
 
-def fit_cylinders(points: DataFrame, by: str = "implant_id") -> DataFrame:
-    """Axis, centre and radius of each implant's points (marked by hand: a few dozen
-    rows), four at least: the axis is the direction of least spread of the circle's
-    plane, the circle an algebraic fit, collinear points fall back to their mean."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[list(XYZ)].to_numpy(float)
-        if len(p) < 4:
-            return pd.DataFrame(columns=[by, "cx", "cy", "cz", "nx", "ny", "nz", "radius"])
-        centre = p.mean(0)
-        _, spread, axes = np.linalg.svd(p - centre, full_matrices=False)
-        normal, u, v = axes[2], axes[0], axes[1]
-        normal = normal if normal[1] >= 0 else -normal
-        a, b = (p - centre) @ u, (p - centre) @ v
-        if spread[1] < 1e-9 * max(spread[0], 1e-9):
-            radius, shift = float(np.sqrt((a**2 + b**2).mean())), np.zeros(2)
-        else:
-            s = np.linalg.lstsq(np.column_stack([2 * a, 2 * b, np.ones(len(a))]), a**2 + b**2, rcond=None)[0]
-            shift, radius = s[:2], float(np.sqrt(max(s[2] + s[0] ** 2 + s[1] ** 2, 0)))
-        c = centre + shift[0] * u + shift[1] * v
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "cx": c[0], "cy": c[1], "cz": c[2], "nx": normal[0], "ny": normal[1], "nz": normal[2], "radius": radius})
+def _axes_and_centres(moments: DataFrame, by: str) -> DataFrame:
+    """(by, n, o*, a*, p*, q*): centre, direction of greatest spread and two unit
+    vectors across it, from each group's moments (n, o*, m**)."""
 
-    kind = points.schema[by].dataType.simpleString()
-    return points.groupBy(by).applyInPandas(one, f"{by} {kind}, cx double, cy double, cz double, nx double, ny double, nz double, radius double")
+    def frame(batches):
+        for b in batches:
+            mat = np.array([[b[f"m{min(i, k)}{max(i, k)}"] for k in XYZ] for i in XYZ]).transpose(2, 0, 1)
+            axis = np.linalg.eigh(mat)[1][:, :, 2]
+            helper = np.where(np.abs(axis[:, :1]) > 0.9, [[0.0, 1.0, 0.0]], [[1.0, 0.0, 0.0]])
+            p = np.cross(axis, helper)
+            p /= np.linalg.norm(p, axis=1, keepdims=True)
+            sides = {"a": axis, "p": p, "q": np.cross(axis, p)}
+            yield b[[by, "n", *(f"o{c}" for c in XYZ)]].assign(**{n + c: v[:, i] for n, v in sides.items() for i, c in enumerate(XYZ)})
+
+    kind = moments.schema[by].dataType.simpleString()
+    return moments.mapInPandas(frame, f"`{by}` {kind}, n long, " + ", ".join(f"{n}{c} double" for n in "oapq" for c in XYZ))
+
+
+def fit_cylinders(points: DataFrame, by: str = "implant_id", radius: float = 0.0) -> DataFrame:
+    """(by, n, cx, cy, cz, nx, ny, nz, radius): the cylinder on whose side each
+    implant's points lie; four points at least, others have no row.
+
+    The axis is the direction of greatest spread; across it a circle is fitted by
+    least squares. The axis points to where the points beyond its 95 % quantile have
+    a median y not less than the mean (deeper), and the centre is moved along it to
+    the 99 % quantile of the points' depth, the implant's bottom. Where points are in
+    line across the axis the circle has no answer: the centre stays on the mean and
+    the radius is `radius`, the expected one. Rows with a null or NaN coordinate are
+    left out. Everything is grouped sums and quantiles over counted values; what
+    Python sees is one row of moments for each implant.
+    """
+    points = points.select(by, *(F.col(c).cast("double").alias(c) for c in XYZ))
+    for c in XYZ:
+        points = points.where(F.col(c) - F.col(c) == 0)
+    moments = points.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"o{c}") for c in XYZ), *(F.covar_pop(a, b).alias(f"m{a}{b}") for i, a in enumerate(XYZ) for b in XYZ[i:])).where("n >= 4")
+    frames = _axes_and_centres(moments, by)
+    along = lambda n: sum(((F.col(c) - F.col(f"o{c}")) * F.col(f"{n}{c}") for c in XYZ), F.lit(0.0))
+    flat = points.join(frames, by).select(by, "y", "oy", along("a").alias("t"), along("p").alias("g"), along("q").alias("h"))
+    sq = F.col("g") ** 2 + F.col("h") ** 2
+    sums = flat.groupBy(by).agg(F.avg(F.col("g") ** 2).alias("gg"), F.avg(F.col("g") * F.col("h")).alias("gh"), F.avg(F.col("h") ** 2).alias("hh"), F.avg(F.col("g") * sq).alias("gs"), F.avg(F.col("h") * sq).alias("hs"), F.avg(F.col("t") ** 2).alias("tt"))
+    # The sums of g and h are zero, so the normal equations are two by two.
+    det = F.col("gg") * F.col("hh") - F.col("gh") ** 2
+    flatness = det <= 1e-12 * F.greatest(F.col("gg") + F.col("hh"), F.col("tt") * 1e-12) ** 2
+    circle = sums.select(
+        by, F.when(flatness, 0.0).otherwise((F.col("hh") * F.col("gs") - F.col("gh") * F.col("hs")) / (2 * det)).alias("_g"), F.when(flatness, 0.0).otherwise((F.col("gg") * F.col("hs") - F.col("gh") * F.col("gs")) / (2 * det)).alias("_h"), flatness.alias("_flat"), (F.col("gg") + F.col("hh")).alias("_s")
+    )
+    depth = group_quantiles(flat, [by], "t", {"_low": 0.01, "_end": 0.95, "_high": 0.99})
+    far = group_quantiles(flat.join(depth.select(by, "_end"), by).where("t > _end"), [by], F.col("y") - F.col("oy"), {"_dy": 0.5})
+    found = frames.join(circle, by).join(depth, by).join(far, by, "left")
+    sign = F.when(F.col("_dy") < 0, -1.0).otherwise(1.0)
+    bottom = F.when(F.col("_dy") < 0, F.col("_low")).otherwise(F.col("_high"))
+    centre = [(F.col(f"o{c}") + F.col("_g") * F.col(f"p{c}") + F.col("_h") * F.col(f"q{c}") + bottom * F.col(f"a{c}")).alias(f"c{c}") for c in XYZ]
+    size = F.when(F.col("_flat"), F.lit(float(radius))).otherwise(F.sqrt(F.col("_s") + F.col("_g") ** 2 + F.col("_h") ** 2))
+    return found.select(by, "n", *centre, *((sign * F.col(f"a{c}")).alias(f"n{c}") for c in XYZ), size.alias("radius"))
 
 
 def depth_profile(pixels: DataFrame) -> DataFrame:

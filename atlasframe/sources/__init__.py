@@ -18,15 +18,18 @@ RUN_BYTES = 64 << 20
 
 def read_raw_planes(spark: SparkSession, path: str, ny: int, nx: int, sample_id: str = "", channel: int = 1) -> DataFrame:
     """Headerless uint16 files of any length, plane after plane: planes(sample_id,
-    channel, z, ny, nx, data). z goes on from file to file in order of their names; a
-    part of a plane at a file's end is left out. Spark lists the files; each task
-    seeks to a run of planes of one file and reads these alone."""
+    channel, z, ny, nx, data). z goes on from file to file in natural order of their
+    names (plane2 before plane10); a file whose length is no whole number of planes is
+    an error. Spark lists the files; each task seeks to a run of planes of one file
+    and reads these alone."""
     size = 2 * ny * nx
-    files = spark.read.format("binaryFile").load(path).select("path", F.floor(F.col("length") / size).alias("n"))
+    files = natural_sort(spark.read.format("binaryFile").load(path).select("path", "length"), "path")
     rows, z = [], 0
-    for name, n in sorted(map(tuple, files.collect())):  # file names and lengths only
-        rows.append((name, n, z))
-        z += n
+    for name, length in files.collect():  # file names and lengths only
+        if length % size:
+            raise ValueError(f"{name} has {length} bytes, which is no multiple of a plane's {size}")
+        rows.append((name, length // size, z))
+        z += length // size
     run = max(1, RUN_BYTES // size)
     parts = spark.createDataFrame(rows, "path string, n long, z0 long").where("n > 0").select("path", "n", "z0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))).alias("at"))
     parts = parts.repartition(max(1, sum(-(-n // run) for _, n, _ in rows)))

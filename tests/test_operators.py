@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlasframe import functions as fn
 from atlasframe import sources, streaming
-from atlasframe.operators import align, geometry, lookup, points, regions, series, spatial, stats, stencil, tiles, udf
+from atlasframe.operators import align, blocks, geometry, lookup, points, regions, series, spatial, stats, stencil, tiles, udf
 from atlasframe.plans import fixtures as fx
 from atlasframe.plans import queries
 from conftest import DATA
@@ -101,16 +101,96 @@ def test_fits(spark, cloud):
     assert stats.transform_mse(pairs, stats.fit_affine(pairs)).first()[0] < 1e-12
     rigid = stats.fit_rigid(spark.createDataFrame(pdf.assign(u=pdf.x, v=pdf.y, w=-pdf.z)))
     assert np.linalg.det(rigid[:3, :3]) > 0
-    t = np.linspace(0, 2 * math.pi, 8, endpoint=False)
-    n = np.array([0.0, 0.8, 0.6])
-    u, v = np.array([1.0, 0, 0]), np.cross(n, [1.0, 0, 0])
-    ring = np.array([10, 11, 12]) + 4 * (np.cos(t)[:, None] * u + np.sin(t)[:, None] * v)
-    c = stats.fit_cylinders(spark.createDataFrame(pd.DataFrame(ring, columns=list("xyz")).assign(implant_id=1))).first()
-    assert np.allclose([c["cx"], c["cy"], c["cz"], c["radius"]], [10, 11, 12, 4]) and np.allclose([c["nx"], c["ny"], c["nz"]], n)
     line = stats.fit_lines(spark.createDataFrame(pd.DataFrame({"probe_id": 1, "x": [0.0, 0, 0], "y": [1.0, 2, 3], "z": [2.0, 4, 6]}))).first()
     assert np.allclose([line["dx"], line["dy"], line["dz"]], np.array([0, 1, 2]) / math.sqrt(5))
 
 
+def _side(axis, n, length, radius, centre=(10.0, 20.0, 30.0), seed=3, arc=2 * math.pi):
+    """Points on a cylinder's side, its middle at centre, and its bottom face's centre."""
+    r = np.random.default_rng(seed)
+    axis = np.array(axis, float) / np.linalg.norm(axis)
+    u = np.cross(axis, [0.3, 0.2, -0.9])
+    u /= np.linalg.norm(u)
+    t, a = np.linspace(-length / 2, length / 2, n), r.uniform(0, arc, n)
+    return np.array(centre) + t[:, None] * axis + radius * (np.cos(a)[:, None] * u + np.sin(a)[:, None] * np.cross(axis, u))
+
+
+def _cylinder_by_hand(p):
+    """The fit once more in numpy: (bottom, axis, radius)."""
+    mean = p.mean(0)
+    axis = np.linalg.eigh(np.cov((p - mean).T))[1][:, -1]
+    e1 = np.cross(axis, [1.0, 0, 0] if abs(axis[0]) <= 0.9 else [0, 1.0, 0])
+    e1 /= np.linalg.norm(e1)
+    e2 = np.cross(axis, e1)
+    a, b = (p - mean) @ e1, (p - mean) @ e2
+    g, h, d = np.linalg.lstsq(np.column_stack([2 * a, 2 * b, np.ones(len(a))]), a**2 + b**2, rcond=None)[0]
+    along = p @ axis
+    if np.median(p[along > np.quantile(along, 0.95), 1]) < mean[1]:
+        axis = -axis
+    centre = mean + g * e1 + h * e2
+    return centre + np.quantile((p - centre) @ axis, 0.99) * axis, axis, math.sqrt(d + g * g + h * h)
+
+
+def test_cylinders(spark):
+    """Long cylinders, a short one, a slanted one marked on half its side, one whose y hardly changes; collinear and too few points."""
+    made = {1: _side([0, 1, 0], 60, 50, 4), 2: _side([0.2, -1, 0.5], 400, 80, 6, seed=5), 3: _side([1, 0.1, 0], 200, 30, 3, seed=6, arc=math.pi), 4: _side([0.4, 0.5, 0.8], 100, 25, 5, seed=7)}
+    rows = [(k, *map(float, p)) for k, ps in made.items() for p in ps]
+    rows += [(5, 1.0 * i, 2.0 * i, 3.0 * i) for i in range(10)] + [(6, 1.0, 2.0, 3.0)] * 3 + [(1, None, 1.0, 2.0), (1, float("nan"), 1.0, 2.0), (None, 1.0, 1.0, 1.0)]
+    got = {r["implant_id"]: r for r in stats.fit_cylinders(spark.createDataFrame(rows, "implant_id int, x double, y double, z double").repartition(5), radius=2.5).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for k, p in made.items():
+        bottom, axis, radius = _cylinder_by_hand(p)
+        r = got[k]
+        assert np.allclose([r["cx"], r["cy"], r["cz"]], bottom, atol=1e-6) and np.allclose([r["nx"], r["ny"], r["nz"]], axis, atol=1e-8) and math.isclose(r["radius"], radius, rel_tol=1e-6) and r["n"] == len(p)
+    assert abs(got[1]["ny"]) > 0.99 and abs(got[1]["radius"] - 4) < 0.5 and got[1]["cy"] > 20 + 50 / 2 - 3
+    assert got[5]["radius"] == 2.5 and np.allclose([got[5]["nx"], got[5]["ny"], got[5]["nz"]], np.array([1, 2, 3]) / math.sqrt(14))
+
+
+def test_points_are_moved_whatever_their_keys(spark):
+    """Repeated and null ids, null places, the last grid place and places outside."""
+    field = spark.createDataFrame([(i, j, k, 1.0, 0.0, float(i)) for i in range(1, 5) for j in range(1, 4) for k in range(1, 4)], "i int, j int, k int, dx double, dy double, dz double")
+    rows = [(1, 2.0, 2.0, 2.0), (1, 2.5, 1.5, 1.0), (1, 2.0, 2.0, 2.0), (None, 3.25, 3.0, 3.0), (2, 4.0, 3.0, 3.0), (3, 4.5, 3.0, 3.0), (4, None, 1.0, 1.0), (5, 40.0, 1.0, 1.0)]
+    got = sorted(map(str, (tuple(r) for r in lookup.displace_points(spark.createDataFrame(rows, "point_id int, x double, y double, z double"), field).collect())))
+    want = [(1, 1.0, 2.0, 0.0), (1, 1.5, 1.5, -1.5), (1, 1.0, 2.0, 0.0), (None, 2.25, 3.0, -0.25), (2, 3.0, 3.0, -1.0), (3, 4.5, 3.0, 3.0), (4, None, 1.0, 1.0), (5, 40.0, 1.0, 1.0)]
+    assert got == sorted(map(str, want))
+    flat = spark.createDataFrame([(s, i, j, 1.0 * s, 2.0) for s in (1, 2) for i in range(1, 4) for j in range(1, 4)], "slice int, i int, j int, dx double, dy double")
+    two = [(7, 1, 2.0, 2.0), (7, 2, 2.0, 2.0), (None, 2, 1.5, 3.0), (8, None, 2.0, 2.0), (9, 3, 2.0, 2.0)]
+    got = {(r["point_id"], r["slice"]): (r["x"], r["y"]) for r in lookup.displace_points_2d(spark.createDataFrame(two, "point_id int, slice int, x double, y double"), flat).collect()}
+    assert got == {(7, 1): (1.0, 0.0), (7, 2): (0.0, 0.0), (None, 2): (-0.5, 1.0), (8, None): (2.0, 2.0), (9, 3): (2.0, 2.0)}
+
+
+def test_warps_fill_what_they_do_not_hit(spark):
+    v = spark.createDataFrame([("S", 1, 1, 1, 1, 5.0)], "sample_id string, channel int, y int, x int, z int, value double")
+    move = [[1.0, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 1], [0, 0, 0, 1]]
+    for mode in ("nearest", "linear"):
+        got = {r["z"]: r["value"] for r in lookup.warp_volume(v, move, (1, 1, 3), mode, 7.0).collect()}
+        assert got == {1: 7.0, 2: 5.0, 3: 7.0}, mode
+        assert {r["z"]: r["value"] for r in lookup.warp_volume(v, move, (1, 1, 3), mode).collect()} == {2: 5.0}
+    field = spark.createDataFrame([(1, 1, k, 0.0, 0.0, 1.0) for k in range(1, 4)], "i int, j int, k int, dx double, dy double, dz double")
+    one = np.eye(4).tolist()
+    assert {r["z"]: r["value"] for r in lookup.warp_volume_field(v, field, one, (1, 1, 3), "nearest", 7.0).collect()} == {1: 7.0, 2: 5.0, 3: 7.0}
+
+
+def test_distance_joins_at_and_below_zero(spark):
+    p = spark.createDataFrame([(1, 0.0, 1.0), (2, -0.0, 1.0), (3, 2.0, 1.0), (4, None, 1.0), (5, float("nan"), 1.0)], "point_id int, x double, y double")
+    pairs = lambda d: {(r[0], r[1]) for r in spatial.pairs_within(p, p, d, "point_id", "point_id", ("x", "y")).collect()}
+    assert pairs(0) == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)} and pairs(-1.0) == set() and pairs(2.0) >= {(1, 3), (3, 2)}
+    assert {(r["point_id"], r["_right"]) for r in spatial.knn_join(p, p, 1, 1.0, "point_id", "point_id", ("x", "y"), same=False).collect()} == {(1, 2), (2, 1), (3, 1)}
+    assert {r["point_id"] for r in spatial.anti_join_within(p, p.where("point_id = 1"), 0.0, cols=("x", "y")).collect()} == {3, 4, 5}
+    with pytest.raises(ValueError, match="undecided"):
+        spatial.knn_join(p, p, 3, 1e-6, "point_id", "point_id", ("x", "y"), rounds=2)
+
+
+def test_raw_planes_in_natural_order_and_whole(spark, tmp_path):
+    for n in (10, 2, 1):
+        (tmp_path / f"plane{n}.raw").write_bytes(np.full((2, 3), n, "<u2").tobytes())
+    got = {r["z"]: np.frombuffer(r["data"], "<u2")[0] for r in sources.read_raw_planes(spark, str(tmp_path / "*.raw"), 2, 3).collect()}
+    assert got == {1: 1, 2: 2, 3: 10}
+    (tmp_path / "plane3.raw").write_bytes(b"\0" * 13)
+    with pytest.raises(ValueError, match="plane3.raw has 13 bytes"):
+        sources.read_raw_planes(spark, str(tmp_path / "*.raw"), 2, 3)
+
+
 def test_icp_finds_a_small_shift(cloud):
     df, pdf = cloud
     moved = df.withColumns({"x": F.col("x") + 0.4, "y": F.col("y") - 0.3})
@@ -470,3 +550,73 @@ def test_segment_join_takes_any_number_of_segments(spark):
     segments = spark.range(1500).selectExpr("concat('C', id) as segment", "cast(id as double) as start_z", "cast(id + 1 as double) as end_z")
     got = regions.segment_join(spark.range(1501).selectExpr("cast(id as double) as z"), segments).collect()
     assert sorted((r["z"], r["segment"]) for r in got) == sorted([(float(i), f"C{i}") for i in range(1500)] + [(1500.0, "C1499")])
+
+
+def _mask(spark, present, by=("S", 1)):
+    rows = [(*by, *map(int, p + 1), float(i)) for i, p in enumerate(np.argwhere(present))]
+    return spark.createDataFrame(rows, "sample_id string, channel int, y int, x int, z int, value double")
+
+
+@pytest.mark.parametrize("connectivity", [18, 26])
+def test_components_of_tiles_equal_those_of_voxels(spark, connectivity):
+    """Volumes with holes: noise, a shell with a hollow, a winding line over many tiles; two groups; tiles of 4, 7 and 64."""
+    r = np.random.default_rng(11)
+    noise = r.random((13, 11, 12)) < 0.16
+    y, x, z = np.indices((13, 13, 13)) - 6
+    shell = (np.abs(np.sqrt(y**2 + x**2 + z**2) - 5) < 0.8) & ~((y == 0) & (x > 0))
+    line = np.zeros((13, 13, 13), bool)
+    for k in range(13):
+        line[k, :, 0 if k % 4 == 0 else 0] = k % 2 == 0
+        line[k, 0 if k % 4 == 3 else 12, 0] = True
+    mask = _mask(spark, noise).unionByName(_mask(spark, shell, ("S", 2))).unionByName(_mask(spark, line, ("T", 1)))
+    want = {tuple(r)[:6]: tuple(r["component"]) for r in stencil.connected_components(mask, ["sample_id", "channel"], connectivity).collect()}
+    for edge in (4, 64) if connectivity == 26 else (7,):
+        got = blocks.connected_components(mask.repartition(5), ["sample_id", "channel"], connectivity, edge=edge)
+        assert got.columns == [*mask.columns, "component"]
+        assert {tuple(r)[:6]: tuple(r["component"]) for r in got.collect()} == want
+    if connectivity == 18:
+        return
+    flat = mask.where("z = 1 and sample_id = 'T'").select("sample_id", "y", "x")
+    plane = {tuple(r)[:3]: tuple(r["component"]) for r in stencil.connected_components(flat, ["sample_id"], 8, ("y", "x")).collect()}
+    assert {tuple(r)[:3]: tuple(r["component"]) for r in blocks.connected_components(flat, ["sample_id"], 8, ("y", "x"), 3).collect()} == plane
+    assert blocks.connected_components(mask.where("false"), ["sample_id", "channel"]).count() == 0
+
+
+def test_only_faces_leave_their_tiles(spark):
+    """A solid cube of 16^3 in tiles of 8: the voxels that meet others are the outer ones."""
+    met = []
+    def cut(df):
+        out = df.checkpoint()
+        met.append((out.columns, out.count()))
+        return out
+    solid = _mask(spark, np.ones((16, 16, 16), bool))
+    found = blocks.connected_components(solid, ["sample_id", "channel"], edge=8, checkpoint=cut)
+    assert found.select("component").distinct().count() == 1 and found.count() == 16**3
+    faces = next(n for c, n in met if "_label" in c)
+    assert faces == 8 * (8**3 - 6**3)
+    assert max(n for c, n in met if c == ["a", "b"]) <= 2 * 8 * 7
+
+
+def _same_rows(a, b):
+    key = lambda df: {tuple(r[c] for c in ("sample_id", "channel", "y", "x", "z")): r["value"] for r in df.collect()}
+    a, b = key(a), key(b)
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9, abs_tol=1e-9) for k in a)
+    return len(a)
+
+
+@pytest.mark.parametrize("mode", ["linear", "nearest"])
+@pytest.mark.parametrize("fill", [0.0, 7.0])
+def test_warps_of_cubes_equal_those_of_voxels(spark, mode, fill):
+    r = np.random.default_rng(4)
+    v = _mask(spark, r.random((11, 9, 10)) < 0.6).unionByName(_mask(spark, r.random((11, 9, 10)) < 0.05, ("T", 2)))
+    turn = [[0.9, 0.2, 0.0, 1.5], [-0.2, 0.8, 0.1, 2.25], [0.0, 0.0, 1.5, -3.0], [0, 0, 0, 1]]
+    shrink = [[0.25, 0, 0, 0.5], [0, 0.3, 0, 0.25], [0, 0, 0.5, 1], [0, 0, 0, 1]]
+    field = spark.createDataFrame([(i, j, k, (i * j % 5) / 4 - 0.5, (j + k) % 3 / 2, (i - k) % 4 / 3) for i in range(1, 10) for j in range(1, 8) for k in range(1, 11)], "i int, j int, k int, dx double, dy double, dz double")
+    for edge, size in ((4, (11, 9, 10)), (64, (6, 12, 5))):
+        cubes = blocks.volume(v, edge)
+        for m in (turn, shrink) if edge == 4 else (turn,):
+            n = _same_rows(lookup.warp_volume(v, m, size, mode, fill), blocks.warp(cubes, m, size, mode, fill).voxels())
+            assert n > 0 and (fill == 0 or n == 2 * size[0] * size[1] * size[2])
+        _same_rows(lookup.warp_volume_field(v, field, turn, size, mode, fill), blocks.warp(cubes, turn, size, mode, fill, field).voxels())
+    assert _same_rows(v, blocks.volume(v, 4).voxels()) == v.count()
+    assert blocks.warp(blocks.volume(v.where("false")), turn, (3, 3, 3)).voxels().count() == 0
