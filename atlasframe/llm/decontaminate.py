@@ -7,8 +7,10 @@ hit marks the stretch in which its item could lie, and Myers' bit-parallel
 distance decides over the merged stretches. Nothing is skipped, so an
 occurrence within the budget is always found.
 
-Items are taken in blocks of bounded size, one pass over the documents each;
-only one block at a time is on an executor. Documents are never shuffled.
+Items are taken in blocks of bounded size, one pass over the documents each. With
+more than one block each pass ends in a table before the next begins, and its block
+is taken off the executors, so that one block at a time is there, in as many
+automata as an executor has cores. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from atlasframe.llm.shared import drop_table, table
+
 #: Characters of test items in one block, on average.
 BLOCK_CHARS = 4_000_000
 
@@ -112,14 +116,14 @@ class Matcher:
         return found
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
-    """The items as (id, normalised text), about block_chars characters at a time:
-    a block never grows with the benchmark."""
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The items as (id, normalised text), about block_chars characters at a time, and
+    whether there is more than one block: a block never grows with the benchmark."""
     items = items.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     blocks = int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) + 1
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        yield [(r[0], t) for r in part.collect() if (t := normal(r[1]))]
+        yield [(r[0], t) for r in part.collect() if (t := normal(r[1]))], blocks > 1
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -136,7 +140,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05, id_col: str =
     item_arrow = to_arrow_type(items.schema[item_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     found = None
-    for block in _blocks(items, item_col, item_text, block_chars):
+    for block, several in _blocks(items, item_col, item_text, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -147,6 +151,9 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.05, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], item_arrow), *(pa.array(c, pa.int32()) for c in cols[2:])], names=["id", "item", "distance", "start", "end"])
 
         got = rows.mapInArrow(run, f"id {id_type}, item {item_type}, distance int, start int, end int")
+        if several:
+            got = table(got, "matches")
+            held.destroy()
         found = got if found is None else found.unionByName(got)
     return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
@@ -156,8 +163,8 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.05, text_col: str =
     budget. Null and empty texts stay; rows with null ids and repeated rows are
     judged each; very long texts are searched whole; without items every row stays,
     and an empty table gives an empty result."""
-    at = docs.columns.index(text_col)
-    for block in _blocks(items, item_col, item_text, block_chars):
+    at, given = docs.columns.index(text_col), docs
+    for block, several in _blocks(items, item_col, item_text, block_chars):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -165,5 +172,11 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = 0.05, text_col: str =
             for b in batches:
                 yield b.filter(pa.array([not search(normal(t.as_py() or "")) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        kept = docs.mapInArrow(run, docs.schema)
+        if several:
+            kept = table(kept, "clean")
+            held.destroy()
+            if docs is not given:
+                drop_table(docs)
+        docs = kept
     return docs

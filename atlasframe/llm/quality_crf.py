@@ -22,8 +22,9 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from atlasframe.llm.shared import bounded_ids
 
@@ -203,8 +204,9 @@ def _train(raw: np.ndarray, length: np.ndarray, sizes: np.ndarray, label: np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = MOST_ROWS, most_lines: int = MOST_LINES) -> Model:
     """Fit on at most most_rows labelled documents, those with the smallest id
-    hashes, whole, as long as they have most_lines lines together at most (one
-    document at least). Rows with null ids, texts or labels are left out; of an id with several
+    hashes, whole; of these, in order of the hash, each one that does not bring the
+    lines above most_lines together (a longer one is passed over, and later ones may
+    still be taken). Rows with null ids, texts or labels are left out; of an id with several
     labels the smallest is taken. With fewer than one document of either label the
     model answers with the share of good ones (a half if there are none)."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
@@ -212,10 +214,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     # The bound holds for the ids, so both broadcasts have it.
     ids = bounded_ids(rows.select("id").join(known, "id", "left_semi"), "id", most_rows)
     sized = rows.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("lines"))
-    # One row for each of the bounded ids.
-    order = Window.orderBy(F.xxhash64("id"), "id")
-    fitting = sized.withColumn("n", F.row_number().over(order)).withColumn("all", F.sum("lines").over(order)).where((F.col("n") == 1) | (F.col("all") <= most_lines))
-    picked = F.broadcast(known.join(F.broadcast(fitting.select("id")), "id", "left_semi"))
+    fitting, total = [], 0
+    for r in sized.orderBy(F.xxhash64("id"), "id").collect():  # one row for each of the bounded ids
+        if total + r["lines"] <= most_lines:
+            fitting.append((r["id"],))
+            total += r["lines"]
+    chosen = docs.sparkSession.createDataFrame(fitting, StructType([StructField("id", rows.schema["id"].dataType)]))
+    picked = F.broadcast(known.join(F.broadcast(chosen), "id", "left_semi"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -86,7 +86,7 @@ def telling(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(keep, np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1)), 0)
 
 
-def train(first: np.ndarray, words: np.ndarray, starts: np.ndarray, docs: np.ndarray, label: np.ndarray, gained: np.ndarray, lost: np.ndarray, swap: float = SWAP) -> Model:
+def train(first: np.ndarray, words: np.ndarray, starts: np.ndarray, docs: np.ndarray, label: np.ndarray, gained: np.ndarray, lost: np.ndarray, copies: np.ndarray, swap: float = SWAP) -> Model:
     """words: features of all sentences (0 counts for nothing), starts: where each
     sentence begins, docs: where each document's sentences begin, label of each
     document; gained and lost: for each swapped sentence copy, features that came in
@@ -107,9 +107,9 @@ def train(first: np.ndarray, words: np.ndarray, starts: np.ndarray, docs: np.nda
         chosen = np.repeat(starts[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at]) + np.arange(sizes[at].sum())
         g = np.append(np.bincount(words[chosen], np.repeat(off, sizes[at]), WIDTH), off.sum()) / len(label)
         if len(gained):
-            change = (x[gained] - x[lost]).sum(1)
+            change = np.bincount(copies, (x[gained] - x[lost]).sum(1))
             for side, sign in ((gained, 1), (lost, -1)):
-                g[:-1] += sign * swap * np.bincount(side.ravel(), np.repeat(change, side.shape[1]), WIDTH) / len(gained)
+                g[:-1] += sign * swap * np.bincount(side.ravel(), np.repeat(change[copies], side.shape[1]), WIDTH) / len(change)
         g[:-1] += RIDGE * x[:-1]
         g *= fitted
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -118,7 +118,8 @@ def train(first: np.ndarray, words: np.ndarray, starts: np.ndarray, docs: np.nda
 
 
 def _features(partner: dict[str, str]):
-    """(words, sizes, swapped, label, own) of each training text."""
+    """(words, sizes, swapped, label, own) of each training text; swapped has the
+    sentence, the features that come in and those that go out for each swapped term."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +127,8 @@ def _features(partner: dict[str, str]):
             for text in b.column(0).to_pylist():
                 parts = sentences(text)
                 ids = np.array([places(w) for p in parts for w in p], "<i4").ravel()
-                swapped = np.array([places(partner[w]) + places(w) for p in parts for w in p if w in partner], "<i4")
+                # A sentence that names terms has one copy, with all of them swapped.
+                swapped = np.array([[n, *places(partner[w]), *places(w)] for n, p in enumerate(parts) for w in p if w in partner], "<i4")
                 out.append((ids.tobytes(), np.array([2 * len(p) for p in parts], "<i4").tobytes(), swapped.tobytes(), np.unique(ids).tolist()))
             kinds = [pa.binary()] * 3 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)), b.column(1)], names=["words", "sizes", "swapped", "own", "label"])
@@ -135,7 +137,8 @@ def _features(partner: dict[str, str]):
 
 
 def _telling_only(weights: np.ndarray):
-    """Sentences without the features that have no weight; one of those left with nothing stays for its document."""
+    """Sentences without the features that have no weight. Where some are left with
+    nothing, one of them stays, as scoring counts them: with a sum of zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,8 +147,9 @@ def _telling_only(weights: np.ndarray):
                 words, sizes = np.frombuffer(words, "<i4"), np.frombuffer(sizes, "<i4")
                 keep = weights[words] != 0
                 left = np.add.reduceat(keep, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-                ids, left = words[keep], left[left > 0]
-                ids, left = np.insert(ids, 0, 0), np.insert(left, 0, 1)
+                ids, empty, left = words[keep], (left == 0).any(), left[left > 0]
+                if empty:
+                    ids, left = np.insert(ids, 0, 0), np.insert(left, 0, 1)
                 out.append((ids.astype("<i4").tobytes(), left.astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)), b.column(2), b.column(3)], names=["words", "sizes", "swapped", "label"])
 
@@ -180,8 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     words, sizes, swapped = (np.frombuffer(b"".join(p[i] for p in parts), "<i4") for i in range(3))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     docs_at = np.concatenate([[0], np.cumsum([len(p[1]) // 4 for p in parts])[:-1]])
-    pairs = swapped.reshape(-1, 4)
-    return train(first, words, starts, docs_at, np.array([p[3] for p in parts]), pairs[:, :2], pairs[:, 2:], swap)
+    terms = swapped.reshape(-1, 5)
+    of_text = np.repeat(np.arange(len(parts)), [len(p[2]) // 20 for p in parts])
+    copies = np.unique(np.stack([of_text, terms[:, 0]]), axis=1, return_inverse=True)[1].ravel()
+    return train(first, words, starts, docs_at, np.array([p[3] for p in parts]), terms[:, 1:3], terms[:, 3:], copies, swap)
 
 
 class _Weights(dict):
