@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,23 @@ def pairs_within(left: DataFrame, right: DataFrame, d: float, left_id: str, righ
     return a.join(b, "_cell").withColumn("distance", _distance(cols)).where(F.col("distance") <= d).select(left_id, "_right", "distance")
 
 
+def any_within(left: DataFrame, right: DataFrame, d: float, left_id: str, cols: Sequence[str] = XYZ) -> DataFrame:
+    """Ids of the left points that have a right point at most d away. No pair leaves the
+    join: a left point ends at its first hit, and one whose cube (of a diagonal below
+    d) holds a right point needs none."""
+    if d <= 0:
+        return pairs_within(left, right.withColumn("_rid", F.lit(0)), d, left_id, "_rid", cols).select(left_id).distinct()
+    width = d / len(cols) ** 0.5 * (1 - 1e-9)
+    cube = [F.floor(F.col(c) / width) for c in cols]
+    full = right.select(F.array(*cube).alias("_cube")).distinct()
+    placed = left.select(left_id, *cols, F.array(*cube).alias("_cube"))
+    sure = placed.join(full, "_cube", "left_semi").select(left_id)
+    a = _cells(placed.join(full, "_cube", "left_anti").select(left_id, *(F.col(c).alias(f"_l{c}") for c in cols)), [f"_l{c}" for c in cols], d, True)
+    b = _cells(right.select(*(F.col(c).alias(f"_r{c}") for c in cols)), [f"_r{c}" for c in cols], d, False).withColumnRenamed("_cell", "_rcell")
+    hit = a.join(b, (F.col("_cell") == F.col("_rcell")) & (_distance(cols) <= d), "left_semi").select(left_id)
+    return sure.unionByName(hit).distinct()
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, width: float, left_id: str, right_id: str, cols: Sequence[str] = XYZ, same: bool = True, rounds: int = 40, checkpoint=None) -> DataFrame:
     """(left_id, right_id as _right, distance, rank): the k nearest right points.
 
@@ -77,8 +96,8 @@ def match_clouds(sample: DataFrame, atlas: DataFrame, far: float = 50.0, near: f
     """Pairs (point_id, _right, distance): points far from the other cloud go, then a
     sample point is matched if its nearest is closer than near and the median of its
     k nearest distances below far."""
-    s = sample.join(pairs_within(sample, atlas, far, "point_id", "point_id").select("point_id").distinct(), "point_id", "left_semi")
-    a = atlas.join(pairs_within(atlas, sample, far, "point_id", "point_id").select("point_id").distinct(), "point_id", "left_semi")
+    s = sample.join(any_within(sample, atlas, far, "point_id"), "point_id", "left_semi")
+    a = atlas.join(any_within(atlas, sample, far, "point_id"), "point_id", "left_semi")
     near_all = knn_join(s, a, k, width, "point_id", "point_id")
     median = near_all.groupBy("point_id").agg(F.percentile("distance", F.lit(0.5)).alias("_m"))
     return near_all.where(F.col("rank") == 1).join(median, "point_id").where((F.col("distance") < near) & (F.col("_m") < far)).select("point_id", "_right", "distance")
@@ -86,14 +105,14 @@ def match_clouds(sample: DataFrame, atlas: DataFrame, far: float = 50.0, near: f
 
 def anti_join_within(auto: DataFrame, user: DataFrame, d: float, auto_id: str = "point_id", cols: Sequence[str] = XYZ) -> DataFrame:
     """Points farther than d from every user point."""
-    users = user.withColumn("_uid", F.monotonically_increasing_id())
-    return auto.join(pairs_within(auto, users, d, auto_id, "_uid", cols).select(auto_id).distinct(), auto_id, "left_anti")
+    return auto.join(any_within(auto, user, d, auto_id, cols), auto_id, "left_anti")
 
 
 def nearest_slice(samples: DataFrame, atlas: DataFrame, pos: str = "pos", group: str | None = None, blocks: int = 4096) -> DataFrame:
     """For each sample position the nearest atlas position, the smaller of ties; null
-    for a missing position or a group without an atlas position. The axis is cut
-    into blocks. Within one, a sorted pass takes the last atlas position before and
+    for a missing position or a group without an atlas position. Samples before the
+    first or behind the last position of their group are answered by these two. For
+    the others the axis is cut into blocks. Within one, a sorted pass takes the last atlas position before and
     the first after; those beyond the block come from a table of the blocks' ends."""
     keys = [group] if group else []
     low, high = atlas.agg(F.min(F.col(pos).cast("double")), F.max(F.col(pos).cast("double"))).first()
@@ -101,7 +120,14 @@ def nearest_slice(samples: DataFrame, atlas: DataFrame, pos: str = "pos", group:
         return samples.withColumn("nearest", F.lit(None).cast("double"))
     part = F.least(F.greatest(F.floor((F.col("_p") - low) / ((high - low) or 1.0) * blocks), F.lit(0)), F.lit(blocks - 1)).alias("_block")
     a = atlas.select(*keys, F.col(pos).cast("double").alias("_p")).where("_p is not null").select(*keys, "_p", part, F.col("_p").alias("_a"))
-    s = samples.select(*keys, F.col(pos).cast("double").alias("_p"), F.struct(*samples.columns).alias("_s")).select(*keys, "_p", part, F.lit(None).cast("double").alias("_a"), "_s")
+    all_samples = samples.select(*keys, F.col(pos).cast("double").alias("_p"), F.struct(*samples.columns).alias("_s"))
+    if keys:
+        all_samples = all_samples.join(a.groupBy(*keys).agg(F.min("_a").alias("_low"), F.max("_a").alias("_high")), keys, "left")
+    else:
+        all_samples = all_samples.withColumns({"_low": F.lit(low), "_high": F.lit(high)})
+    inner = F.coalesce((F.col("_p") > F.col("_low")) & (F.col("_p") < F.col("_high")), F.lit(False))
+    ended = all_samples.where(~inner).select("_s.*", F.when(F.col("_p") <= F.col("_low"), F.col("_low")).when(F.col("_p") >= F.col("_high"), F.col("_high")).alias("nearest"))
+    s = all_samples.where(inner).select(*keys, "_p", part, F.lit(None).cast("double").alias("_a"), "_s")
     # One row for each block that has anything.
     ends = a.select(*keys, "_block", "_a").unionByName(s.select(*keys, "_block", "_a").distinct()).groupBy(*keys, "_block").agg(F.min("_a").alias("_first"), F.max("_a").alias("_last"))
     along = Window.partitionBy(*keys).orderBy("_block")
@@ -115,7 +141,7 @@ def nearest_slice(samples: DataFrame, atlas: DataFrame, pos: str = "pos", group:
     rows = both.withColumns({"_b": before, "_f": after}).where("_s is not null").join(ends, [*keys, "_block"], "left")
     rows = rows.withColumns({"_b": F.coalesce("_b", "_below"), "_f": F.coalesce("_f", "_above")})
     near = F.when(F.col("_p").isNull(), None).when(F.col("_b").isNull(), F.col("_f")).when(F.col("_f").isNull(), F.col("_b")).when(F.col("_p") - F.col("_b") <= F.col("_f") - F.col("_p"), F.col("_b")).otherwise(F.col("_f"))
-    return rows.select("_s.*", near.alias("nearest"))
+    return rows.select("_s.*", near.alias("nearest")).unionByName(ended)
 
 
 def slab_join(points: DataFrame, slices: DataFrame, half: float, axis: str = "z", pos: str = "pos") -> DataFrame:
@@ -152,32 +178,82 @@ def _heads(points: DataFrame, key: str, cols: Sequence[str]) -> tuple[DataFrame,
     return heads.select(F.col("_head").alias(key), *cols), copies
 
 
-def thin_points(points: DataFrame, d: float, order: str = "point_id", cols: Sequence[str] = XYZ, checkpoint=None) -> DataFrame:
-    """Greedy thinning in order: a point stays if it is at least d from all that
-    stay before it. Rounds over the pairs closer than d: points without an earlier
-    undecided neighbour stay, their later neighbours go, until all are decided;
-    the same points as the loop's, whatever the partitioning. Of equal places only
-    the first can stay: what removes it removes the others as well."""
+def _greedy(key: np.ndarray, place: np.ndarray, state: np.ndarray, own: np.ndarray, d: float) -> np.ndarray:
+    """States after one pass in order of key. state: 1 kept, 0 undecided; own: whether
+    the point is decided here. A point goes (-1) if one kept before it is closer than
+    d, stays undecided if an undecided one is, and is kept otherwise."""
+    order = np.argsort(key, kind="stable")
+    cells = np.floor(place / d).astype(np.int64)
+    near = list(product((-1, 0, 1), repeat=place.shape[1]))
+    known: dict[tuple, tuple[list, list]] = {}
+    out, limit = state.copy(), d * d
+    places, cell_of = place.tolist(), cells.tolist()
+    for i in order.tolist():
+        p, c = places[i], cell_of[i]
+        if own[i] and state[i] == 0:
+            around = [known[k] for s in near if (k := tuple(a + b for a, b in zip(c, s))) in known]
+            close = lambda q: sum((a - b) ** 2 for a, b in zip(p, q)) < limit  # noqa: B023, E731
+            out[i] = -1 if any(close(q) for kept, _ in around for q in kept) else 0 if any(close(q) for _, open_ in around for q in open_) else 1
+        if out[i] >= 0:
+            known.setdefault(tuple(c), ([], []))[0 if out[i] else 1].append(p)
+    return out
+
+
+def thin_points(points: DataFrame, d: float, order: str = "point_id", cols: Sequence[str] = XYZ, checkpoint=None, tile_points: int = 50_000) -> DataFrame:
+    """Greedy thinning in order: a point stays if it is at least d from all that stay
+    before it; the same points as the loop's, whatever the partitioning.
+
+    Space is cut into tiles of about tile_points undecided points (and not less than
+    2 d wide). In one round each tile goes through its points in order, with the kept
+    and undecided ones within d of its border: a point goes if one kept before it is
+    near, waits if an undecided one of another tile, or one that waits, is, and stays
+    otherwise. The next round takes what waits, in tiles as wide as that allows, so a
+    chain of any length inside a tile takes one round. Of equal places only the
+    first can stay: what removes it removes the others as well; so can repeated rows
+    of one id only stay or go together. Points without a place (null, NaN, infinite)
+    stay.
+    """
     cut = checkpoint or _cut
     if d <= 0:
         return points
     heads, copies = _heads(points, order, cols)
-    heads = cut(heads)
-    pairs = cut(pairs_within(heads, heads, d, order, order, cols).where((F.col("distance") < d) & (F.col("_right") < F.col(order))).select(F.col(order).alias("late"), F.col("_right").alias("early")))
-    todo = cut(pairs.select(F.col("late").alias("id")).distinct())
-    gone = None
-    while not todo.isEmpty():
-        # An undecided point with no earlier neighbour that is undecided or kept stays now.
-        blocked = pairs.join(todo.withColumnRenamed("id", "late"), "late", "left_semi")
-        if gone is not None:
-            blocked = blocked.join(gone.withColumnRenamed("id", "early"), "early", "left_anti")
-        kept_early = blocked.join(todo.withColumnRenamed("id", "early"), "early", "left_anti")
-        lost = kept_early.select(F.col("late").alias("id")).distinct()
-        waiting = blocked.join(todo.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
-        gone = cut(lost if gone is None else gone.unionByName(lost).distinct())
-        todo = cut(waiting.join(gone, "id", "left_anti"))
-    gone = copies.select(order) if gone is None else copies.select(order).unionByName(gone.withColumnRenamed("id", order))
-    return points.join(gone, order, "left_anti")
+    kind = points.schema[order].dataType.simpleString()
+    placed = [F.col(c).cast("double").alias(f"_{c}") for c in cols]
+    now = cut(heads.select(F.col(order).alias("_k"), *placed, F.lit(0).alias("_s")))
+    names = [f"_{c}" for c in cols]
+    tile = [f"_t{i}" for i in range(len(cols))]
+    ends = now.agg(*(f(c) for c in names for f in (F.min, F.max))).first()
+    origin = {n: ends[2 * i] or 0.0 for i, n in enumerate(names)}
+    width = max(2 * d, *((ends[2 * i + 1] or 0.0) - origin[n] for i, n in enumerate(names))) * 1.001
+    at = lambda n, width, shift=0.0: F.floor((F.col(n) - origin[n] + shift) / width)
+    schema = f"_k {kind}, " + ", ".join(f"{n} double" for n in names) + ", _s int"
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["_own"].to_numpy(bool)
+        pdf = pdf.assign(_s=_greedy(pdf["_k"].to_numpy(), pdf[names].to_numpy(float), pdf["_s"].to_numpy(), own, d))
+        return pdf.loc[own, ["_k", *names, "_s"]]
+
+    def fits(rows: DataFrame, width: float) -> bool:
+        most = rows.groupBy(*(at(n, width) for n in names)).count().agg(F.max("count")).first()[0]
+        return (most or 0) <= tile_points
+
+    while not (todo := now.where("_s = 0")).isEmpty():
+        while width / 2 >= 2 * d and not fits(todo, width):
+            width /= 2
+        base = [at(n, width).alias(t) for n, t in zip(names, tile)]
+        busy = todo.select(*base).distinct()
+        spread = now.where("_s >= 0").withColumn("_base", F.array(*(at(n, width) for n in names)))
+        for n, t in zip(names, tile):
+            spread = spread.withColumn(t, F.explode(F.sequence(at(n, width, -d), at(n, width, d))))
+        spread = spread.withColumn("_own", (F.col("_base") == F.array(*tile)) & (F.col("_s") == 0))
+        # An own point comes once: in its base tile. Kept points are needed where something waits.
+        found = spread.join(busy, tile, "left_semi").groupBy(*tile).applyInPandas(decide, schema)
+        now = cut(now.where("_s <> 0").unionByName(found))
+        if fits(now.where("_s = 0"), 2 * width):
+            width *= 2
+    gone = now.where("_s < 0").select(F.col("_k").alias(order))
+    lost = copies.select(order).unionByName(gone)
+    return points.join(lost.distinct(), order, "left_anti")
 
 
 def augment_controls(user: DataFrame, auto: DataFrame, d: float, cols: Sequence[str] = XYZ) -> DataFrame:
@@ -190,8 +266,6 @@ def augment_controls(user: DataFrame, auto: DataFrame, d: float, cols: Sequence[
 
 def keep_by_distance(points: DataFrame, share: float = 0.8, key: str = "point_id", cols: Sequence[str] = XYZ) -> DataFrame:
     """The share of points with the largest Mahalanobis distance from the mean."""
-    import numpy as np
-
     moments = points.agg(*(F.avg(c).alias(f"m{c}") for c in cols), *(F.covar_samp(a, b).alias(f"{a}{b}") for a in cols for b in cols), F.count("*").alias("n")).first()
     inverse = np.linalg.inv(np.array([[moments[f"{a}{b}"] for b in cols] for a in cols]))
     diff = [F.col(c) - moments[f"m{c}"] for c in cols]

@@ -620,3 +620,52 @@ def test_warps_of_cubes_equal_those_of_voxels(spark, mode, fill):
         _same_rows(lookup.warp_volume_field(v, field, turn, size, mode, fill), blocks.warp(cubes, turn, size, mode, fill, field).voxels())
     assert _same_rows(v, blocks.volume(v, 4).voxels()) == v.count()
     assert blocks.warp(blocks.volume(v.where("false")), turn, (3, 3, 3)).voxels().count() == 0
+
+
+def _thinned(ids, xyz, d):
+    kept: list[int] = []
+    for i in np.argsort(ids):
+        if all(math.dist(xyz[i], xyz[k]) >= d for k in kept):
+            kept.append(int(i))
+    return sorted(int(ids[k]) for k in kept)
+
+
+def test_thinning_by_tiles_equals_the_loop(spark):
+    """Random order, a line in id order, a dense place; tiles of few points and one tile; two and three axes."""
+    r = np.random.default_rng(8)
+    cases = [(r.permutation(300), r.uniform(0, 30, (300, 3))), (np.arange(120), np.column_stack([np.arange(120) * 0.9, np.zeros(120), np.zeros(120)])), (r.permutation(200), np.concatenate([r.normal(0, 0.4, (150, 3)), r.uniform(-6, 6, (50, 3))]))]
+    for n, (ids, xyz) in enumerate(cases):
+        df = spark.createDataFrame([(int(i), *map(float, p)) for i, p in zip(ids, xyz)], "point_id long, x double, y double, z double").repartition(4)
+        want = _thinned(ids, xyz, 1.0)
+        for most in (50_000, 40):
+            rounds = []
+
+            def cut(frame):
+                rounds.append(1)
+                return frame.checkpoint()
+
+            got = sorted(x["point_id"] for x in spatial.thin_points(df, 1.0, checkpoint=cut, tile_points=most).collect())
+            assert got == want
+            assert most == 40 or len(rounds) == 2, (n, len(rounds))
+    flat = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.5, 0.0), (3, 1.0, 0.0), (4, None, 1.0), (5, float("nan"), 0.0), (6, -0.0, 0.0)], "point_id int, x double, y double")
+    assert sorted(x["point_id"] for x in spatial.thin_points(flat, 1.0, cols=("x", "y")).collect()) == [1, 1, 3, 4, 5]
+
+
+def test_existence_joins_equal_pairs(spark):
+    r = np.random.default_rng(9)
+    make = lambda n, s: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(r.normal(0, s, (n, 3)))], "point_id long, x double, y double, z double")
+    a, b = make(200, 5), make(150, 3)
+    for d in (0.5, 2.0):
+        want = {x[0] for x in spatial.pairs_within(a, b, d, "point_id", "point_id").collect()}
+        assert {x[0] for x in spatial.any_within(a, b, d, "point_id").collect()} == want
+    plan = spatial.any_within(a, b, 2.0, "point_id")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "Cartesian" not in plan
+
+
+def test_nearest_slice_beyond_the_ends(spark):
+    atlas = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("b", 10.0), ("c", None)], "g string, pos double")
+    samples = spark.createDataFrame([(1, "a", -3.0), (2, "a", 1.0), (3, "a", 3.0), (4, "a", 3.1), (5, "a", 99.0), (6, "b", 3.0), (7, "b", 10.0), (8, "c", 1.0), (9, "d", 1.0), (10, "a", None), (11, "b", 11.0)], "k int, g string, pos double")
+    got = {r["k"]: r["nearest"] for r in spatial.nearest_slice(samples, atlas, group="g").collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 5.0, 5: 5.0, 6: 10.0, 7: 10.0, 8: None, 9: None, 10: None, 11: 10.0}
+    plain = {r["k"]: r["nearest"] for r in spatial.nearest_slice(samples, atlas.select("pos")).collect()}
+    assert plain == {1: 1.0, 2: 1.0, 3: 1.0, 4: 5.0, 5: 10.0, 6: 1.0, 7: 10.0, 8: 1.0, 9: 1.0, 10: None, 11: 10.0}
