@@ -14,6 +14,7 @@ from atlasframe.functions import plane_basis
 from atlasframe.operators.clean import select_matched_controls
 from atlasframe.operators.geometry import apply_affine, from_display_space
 from atlasframe.operators.lookup import points_to_atlas, run_lengths, sample_disc, sample_disc_intensity, sample_line, with_region_names
+from atlasframe.operators.quantiles import table_quantiles
 from atlasframe.operators.regions import regions_under_implant
 from atlasframe.operators.spatial import knn_join
 from atlasframe.operators.stats import depth_profile, fit_affine, fit_cylinders, fit_lines, fit_rigid, fit_similarity
@@ -44,12 +45,13 @@ def icp(model: DataFrame, data: DataFrame, rounds: int = 20, kind: str = "huber"
     for _ in range(rounds):
         near = knn_join(now, model, 1, width, "point_id", "point_id")
         pairs = cut(now.join(near, "point_id").join(target, "_right"))
-        mean, scale = pairs.agg(F.avg("distance"), F.percentile("distance", F.lit(0.5)) * 1.4826).first()
+        mean = pairs.agg(F.avg("distance")).first()[0]
         if mean is None or abs(before - mean) < tolerance:
             break
         before = mean
-        weighted = pairs.withColumn("_w", robust_weight("distance", kind, max(float(scale), 1e-9)))
-        step = fit_affine(weighted.where("_w > 0.1")) if affine else fit_rigid(weighted, "_w")
+        (middle,) = table_quantiles(pairs, "distance", [0.5])
+        weighted = pairs.withColumn("_w", robust_weight("distance", kind, max(1.4826 * middle, 1e-9)))
+        step = fit_affine(weighted, "_w") if affine else fit_rigid(weighted, "_w")
         total = step @ total
         now = cut(apply_affine(now, step))
     return total, float(mean if mean is not None else np.nan)

@@ -3,7 +3,8 @@ shuffles carry cubes and faces, never a row for each voxel and neighbour."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -77,10 +78,10 @@ class Volume:
         return self.cubes.select(*by, *PLACE, "value").mapInArrow(spread, _kinds(self.cubes, by) + "y int, x int, z int, value double")
 
 
-def volume(voxels: DataFrame, edge: int = 32, by: Sequence[str] = ("sample_id", "channel")) -> Volume:
+def volume(voxels: DataFrame, edge: int = 32, by: Sequence[str] = ("sample_id", "channel"), size: Sequence[int] | None = None) -> Volume:
     """Rows (by, y, x, z, value), each voxel once, as cubes: one shuffle of the rows. A
     null or NaN value is no voxel."""
-    return Volume(_cubes(voxels, edge, by, ["value"]), edge, tuple(by))
+    return Volume(_cubes(voxels, edge, by, ["value"]), edge, tuple(by), tuple(size) if size else None)
 
 
 def _positions(place: Sequence[int], edge: int, size: Sequence[int], inverse: np.ndarray, field: Sequence[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +186,137 @@ def warp(source: Volume, matrix: Sequence[Sequence[float]], size: Sequence[int],
     return Volume(made, out, source.by, size)
 
 
+# ---- filters over halo cubes ----------------------------------------------------------------
+
+
+def halo_cubes(v: Volume, halo: int) -> DataFrame:
+    """(by, b_y, b_x, b_z, low array<int>, shape array<int>, data): each cube with
+    `halo` voxels (the edge at most) of its neighbours on all sides, clipped at the
+    volume's size; absent voxels are 0. A cube sends its sides to its neighbours as
+    blocks of doubles; a cube that is not there is not made."""
+    edge, by = v.edge, list(v.by)
+    if not 0 <= halo <= edge:
+        raise ValueError(f"a halo of {halo} does not fit cubes of {edge}")
+    if v.size is None:
+        raise ValueError("the volume's size must be known")
+    size = tuple(v.size)
+
+    def sides(step: int) -> slice:
+        """The part that a cube sends to the neighbour `step` away."""
+        return slice(None) if step == 0 else slice(edge - halo, edge) if step > 0 else slice(0, halo)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                cube = np.frombuffer(row.value).reshape((edge,) * 3)
+                out = []
+                for step in product((-1, 0, 1), repeat=3):
+                    part = cube[tuple(map(sides, step))]
+                    to = [getattr(row, p) + s for p, s in zip(PLACE, step)]
+                    if part.size and all(t >= 0 for t in to):
+                        out.append((*(getattr(row, c) for c in by), *to, *step, part.tobytes()))
+                yield pd.DataFrame(out, columns=[*by, *PLACE, "sy", "sx", "sz", "part"])
+
+    sent = v.cubes.select(*by, *PLACE, "value").mapInPandas(send, _kinds(v.cubes, by) + "b_y int, b_x int, b_z int, sy int, sx int, sz int, part binary")
+    met = sent.groupBy(*by, *PLACE).agg(F.collect_list(F.struct("sy", "sx", "sz", "part")).alias("parts"), F.max((F.col("sy") == 0) & (F.col("sx") == 0) & (F.col("sz") == 0)).alias("own")).where("own")
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                full = np.zeros((edge + 2 * halo,) * 3)
+                for p in row.parts:
+                    steps = (p["sy"], p["sx"], p["sz"])
+                    # A neighbour on the far side sent its near side, and the other way round.
+                    at = tuple(slice(halo, halo + edge) if s == 0 else slice(0, halo) if s > 0 else slice(halo + edge, None) for s in steps)
+                    full[at] = np.nan_to_num(np.frombuffer(p["part"]).reshape(full[at].shape))
+                low = [getattr(row, c) * edge + 1 - halo for c in PLACE]
+                cut = tuple(slice(max(0, 1 - a), min(edge + 2 * halo, n - a + 1)) for a, n in zip(low, size))
+                full = full[cut]
+                out.append((*(getattr(row, c) for c in [*by, *PLACE]), [max(1, a) for a in low], list(full.shape), full.tobytes()))
+            yield pd.DataFrame(out, columns=[*by, *PLACE, "low", "shape", "data"])
+
+    return met.select(*by, *PLACE, "parts").mapInPandas(join, _kinds(v.cubes, by) + "b_y int, b_x int, b_z int, low array<int>, shape array<int>, data binary")
+
+
+def filtered(v: Volume, halo: int, how: Callable[[np.ndarray], np.ndarray]) -> Volume:
+    """The volume after how (an array to one of its shape), each cube by itself with its halo."""
+    edge, by, size = v.edge, list(v.by), tuple(v.size or ())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = []
+            for row in b.itertuples(index=False):
+                done = how(np.frombuffer(row.data).reshape(row.shape))
+                first = [getattr(row, p) * edge + 1 for p in PLACE]
+                n = [min(edge, s - f + 1) for s, f in zip(size, first)]
+                cube = np.full((edge,) * 3, np.nan)
+                cube[tuple(slice(0, k) for k in n)] = done[tuple(slice(f - a, f - a + k) for f, a, k in zip(first, row.low, n))]
+                data.append(cube.tobytes())
+            yield b[[*by, *PLACE]].assign(value=data)
+
+    return Volume(halo_cubes(v, halo).mapInPandas(run, _kinds(v.cubes, by) + "b_y int, b_x int, b_z int, value binary"), edge, v.by, v.size)
+
+
+def cube_quantile(cubes: DataFrame, q: float) -> float | None:
+    """The quantile, exact and linear between neighbours, of all values in cubes; None
+    without any. Values stay in their cubes: each of four scans counts the next 16 bits
+    of their ordered binary form among those that agree so far with the ranks asked for."""
+
+    def count(shift: int, prefixes: list[int]) -> dict[tuple[int, int], int]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(prefixes), 1 << 16), np.int64)
+            for b in batches:
+                for data in b.column(0):
+                    bits = np.frombuffer(data.as_buffer()) + 0.0
+                    bits = bits[~np.isnan(bits)].view(np.uint64)
+                    bits = np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+                    for i, p in enumerate(prefixes):
+                        own = bits if shift == 48 else bits[bits >> np.uint64(shift + 16) == np.uint64(p)]
+                        total[i] += np.bincount((own >> np.uint64(shift)).astype(np.int64) & 0xFFFF, minlength=1 << 16)
+            i, k = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[i, k])], names=["i", "k", "c"])
+
+        found = cubes.select("value").mapInArrow(run, "i int, k int, c long").groupBy("i", "k").agg(F.sum("c").alias("c")).collect()
+        return {(prefixes[r["i"]], r["k"]): r["c"] for r in found}
+
+    counts = count(48, [0])
+    n = sum(counts.values())
+    if not n:
+        return None
+    at = (n - 1) * q
+    ranks = [math.floor(at), math.ceil(at)]
+    prefixes, rest = [0, 0], list(ranks)
+    for shift in (48, 32, 16, 0):
+        counts = counts if shift == 48 else count(shift, sorted(set(prefixes)))
+        for j in (0, 1):
+            for (p, k), c in sorted(counts.items()):
+                if p != prefixes[j]:
+                    continue
+                if rest[j] < c:
+                    prefixes[j] = p << 16 | k
+                    break
+                rest[j] -= c
+    bits = np.array(prefixes, np.uint64)
+    low, high = np.where(bits >> np.uint64(63) == 1, bits ^ np.uint64(1 << 63), ~bits).view(float)
+    return float(low + (high - low) * (at - ranks[0]))
+
+
+def voxels_above(v: Volume, threshold: float) -> DataFrame:
+    """(by, y, x, z, value) of the voxels above threshold: no others become rows."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = []
+            for value in b["value"]:
+                cube = np.frombuffer(value)
+                data.append(np.where(cube > threshold, cube, np.nan).tobytes())
+            yield b.assign(value=data)
+
+    bright = v.cubes.select(*v.by, *PLACE, "value").mapInPandas(keep, _kinds(v.cubes, v.by) + "b_y int, b_x int, b_z int, value binary")
+    return Volume(bright, v.edge, v.by, v.size).voxels()
+
+
 # ---- components -----------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.functions import clamp
-from atlasframe.operators.quantiles import group_quantiles
+from atlasframe.operators.quantiles import group_quantiles, table_quantiles
 
 XYZ = ("x", "y", "z")
 SKIPPED_DIVISIONS = ["nerves", "tracts", "system", "unassigned", "white matter", "canal", "aqueduct", "ventricle"]
@@ -51,9 +51,10 @@ def size_filter(components: DataFrame, element: float, factor: float = 10.0, col
 def auto_intensity_threshold(points: DataFrame, inside: str = "region_id", value: str = "intensity") -> DataFrame:
     """One row: the half of (most frequent value of rejected points + 1 % quantile of
     accepted ones), at least 1, and 1 where the former is above the latter."""
-    bad, good = F.col(inside) == 0, F.col(inside) > 0
-    found = points.agg(F.mode(F.when(bad, F.col(value)), True).alias("m"), F.percentile(F.when(good, F.col(value)), F.lit(0.01)).alias("q"))
-    return found.select(F.when(F.col("m") > F.col("q"), 1.0).otherwise(F.greatest(F.lit(1.0), (F.coalesce("m", F.lit(0.0)) + F.coalesce("q", F.lit(0.0))) / 2)).alias("threshold"))
+    counts = points.where((F.col(inside) == 0) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    found = counts.agg(F.min_by("v", F.struct(-F.col("c"), F.col("v"))).alias("m"))
+    (q,) = table_quantiles(points.where(F.col(inside) > 0), value, [0.01])
+    return found.withColumn("q", F.lit(q).cast("double")).select(F.when(F.col("m") > F.col("q"), 1.0).otherwise(F.greatest(F.lit(1.0), (F.coalesce("m", F.lit(0.0)) + F.coalesce("q", F.lit(0.0))) / 2)).alias("threshold"))
 
 
 def auto_intensity_filter(points: DataFrame, inside: str = "region_id", value: str = "intensity") -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasframe.operators import blocks
 from atlasframe.operators.clean import annotation_boundary, edge_margin
 from atlasframe.operators.stats import sample_fraction, sample_per_group
 from atlasframe.operators.stencil import gradient_magnitude, local_std
+from atlasframe.operators.tiles import bandpass
 
 VOXEL = ("y", "x", "z")
 
@@ -35,6 +39,21 @@ def extract_points_std(voxels: DataFrame, r: int, q: float, by: Sequence[str], s
     return sample_fraction(hit, share, "_k").drop("_k")
 
 
+def extract_points_highpass(v: blocks.Volume, radius: float, q: float = 0.99, share: float = 0.1, halo: int | None = None) -> DataFrame:
+    """Voxels of fine structure: (by, y, x, z, value) where the band-passed volume is
+    above half its q quantile over all voxels, off the first and last y, thinned to
+    `share`. The band lies between a third and six times the corner length
+    pi * radius / 2. Cubes are filtered each with its halo (the band's longer end, or
+    the edge), and the quantile is counted where they lie, so only hits become rows."""
+    corner = math.pi * radius / 2
+    wide = min(v.edge, math.ceil(6 * corner)) if halo is None else halo
+    band = blocks.filtered(v, wide, lambda a: bandpass(a, 6 * corner, corner / 3))
+    band = replace(band, cubes=band.cubes.checkpoint())
+    limit = blocks.cube_quantile(band.cubes, q)
+    hit = blocks.voxels_above(band, math.inf if limit is None else limit / 2).where((F.col("y") > 1) & (F.col("y") < v.size[0]))
+    return sample_fraction(hit.withColumn("_k", F.xxhash64(*v.by, *VOXEL)), share, "_k").drop("_k")
+
+
 def extract_points_slices(voxels: DataFrame, q: float, n: int, by: Sequence[str]) -> DataFrame:
     """At most n voxels per slice of those whose in-plane gradient is above the slice's quantile."""
     keys = [*by, "z"]

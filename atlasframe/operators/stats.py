@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasframe.operators.quantiles import group_quantiles
+from atlasframe.operators.quantiles import group_quantiles, table_quantiles
 
 XYZ = ("x", "y", "z")
 
@@ -146,18 +146,19 @@ def dynamic_range(voxels: DataFrame, by: Sequence[str], value: str = "value") ->
     return q.select(*by, (F.col("_b") - F.col("_a")).alias("range"))
 
 
-def pair_moments(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sums that any linear fit of pairs (x, y, z) -> (u, v, w) needs."""
+def pair_moments(pairs: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Sums that any linear fit of pairs (x, y, z) -> (u, v, w) needs, rows weighted where a column is named."""
     ones = [*XYZ, "1"]
     at = lambda c: F.lit(1.0) if c == "1" else F.col(c)
-    left = [F.sum(at(a) * at(b)).alias(f"{a}{b}") for i, a in enumerate(ones) for b in ones[i:]]
-    right = [F.sum(at(a) * F.col(b)).alias(f"{a}{b}") for a in ones for b in "uvw"]
-    return pairs.groupBy(*by).agg(*left, *right, F.sum(F.col("u") ** 2 + F.col("v") ** 2 + F.col("w") ** 2).alias("tt"))
+    w = F.col(weight) if weight else F.lit(1.0)
+    left = [F.sum(w * at(a) * at(b)).alias(f"{a}{b}") for i, a in enumerate(ones) for b in ones[i:]]
+    right = [F.sum(w * at(a) * F.col(b)).alias(f"{a}{b}") for a in ones for b in "uvw"]
+    return pairs.groupBy(*by).agg(*left, *right, F.sum(w * (F.col("u") ** 2 + F.col("v") ** 2 + F.col("w") ** 2)).alias("tt"))
 
 
-def fit_affine(pairs: DataFrame) -> np.ndarray:
-    """4 x 4 least-squares affine; only the sums reach the driver."""
-    m = pair_moments(pairs).first()
+def fit_affine(pairs: DataFrame, weight: str | None = None) -> np.ndarray:
+    """4 x 4 least-squares affine, rows weighted where a column is named; only the sums reach the driver."""
+    m = pair_moments(pairs, weight=weight).first()
     ones = [*XYZ, "1"]
     a = np.array([[m[f"{min(i, j, key=ones.index)}{max(i, j, key=ones.index)}"] for j in ones] for i in ones])
     b = np.array([[m[f"{i}{j}"] for j in "uvw"] for i in ones])
@@ -299,10 +300,20 @@ def sample_per_group(df: DataFrame, n: int, by: Sequence[str], key: str, seed: i
 
 
 def class_balance(df: DataFrame, label: str, key: str, seed: int = 1) -> DataFrame:
-    """As many rows of each class as the smallest has, by hash."""
-    sizes = df.groupBy(label).count()
-    least = sizes.agg(F.min("count")).first()[0] or 0
-    return sample_per_group(df, int(least), [label], key, seed)
+    """As many rows of each class as the smallest has, by hash. Rows are counted by the
+    first 16 bits of their hash; what lies below the part where a class has enough is
+    taken as it is, and only that part, a 65,536th of the class or so, is ranked."""
+    h = F.xxhash64(key, F.lit(seed))
+    rows = df.withColumns({"_h": h, "_b": F.shiftright(h, 48)})
+    sizes = rows.groupBy(label, "_b").agg(F.count("*").alias("_c"))
+    least = sizes.groupBy(label).agg(F.sum("_c").alias("n")).agg(F.min("n")).first()[0] or 0
+    upto = F.sum("_c").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    edge = sizes.withColumn("_before", F.coalesce(upto, F.lit(0))).where((F.col("_before") < least) & (F.col("_before") + F.col("_c") >= least)).select(F.col(label).alias("_label"), F.col("_b").alias("_edge"), "_before")
+    met = rows.join(edge, F.col(label).eqNullSafe(F.col("_label")))
+    sure = met.where("_b < _edge")
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    last = met.where("_b = _edge").withColumn("_r", place).where(F.col("_r") + F.col("_before") <= least).drop("_r")
+    return sure.unionByName(last).select(*df.columns)
 
 
 def cap_per_class(df: DataFrame, n: int, label: str, key: str, seed: int = 1) -> DataFrame:
@@ -331,7 +342,7 @@ def projection_strength(matrix: DataFrame, row: str, sample: str = "sample_id",
     and their factors (one number each) pass through the driver."""
     samples = [r[0] for r in matrix.select(sample).distinct().collect()]
     good = matrix.groupBy(row).agg(F.count_if(F.col(value) > 0).alias("_n")).where(F.col("_n") == len(samples)).select(row)
-    m = matrix.join(good, row, "left_semi")
+    m = matrix.select(row, sample, value).join(good, row, "left_semi").checkpoint()  # read twice a round
     factor = dict.fromkeys(samples, 1.0)
     for _ in range(rounds):
         f = F.element_at(F.create_map(*(F.lit(x) for k in factor.items() for x in k)), F.col(sample))
@@ -342,7 +353,7 @@ def projection_strength(matrix: DataFrame, row: str, sample: str = "sample_id",
         if not new or max(abs(new[k] - factor[k]) for k in new) < 1e-9 * max(map(abs, new.values())):
             break
         factor = new
-    middle = strength.agg(F.percentile("strength", F.lit(0.5))).first()[0]
+    (middle,) = table_quantiles(strength, "strength", [0.5])
     return strength.select(row, (F.col("strength") / middle).alias("strength"))
 
 

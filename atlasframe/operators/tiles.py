@@ -308,34 +308,3 @@ def preprocess_planes(planes: DataFrame, factor: int = 2) -> DataFrame:
             yield pd.DataFrame(out, columns=["sample_id", "channel", "z", "ny", "nx", "data"])
 
     return planes.select("sample_id", "channel", "z", "ny", "nx", "data").mapInPandas(run, "sample_id string, channel int, z int, ny int, nx int, data binary")
-
-
-def build_slice_stack(planes: DataFrame, threshold: float) -> DataFrame:
-    """Sections cropped to what lies above threshold and padded, centred, to the
-    largest section's size with their own background (1 % quantile)."""
-
-    def crop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.itertuples():
-                a = np.frombuffer(row.data, "<u2").reshape(row.ny, row.nx)
-                ys, xs = np.nonzero(a > threshold)
-                cut = a[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] if len(ys) else a[:0, :0]
-                out.append((row.sample_id, row.channel, row.z, *cut.shape, cut.tobytes(), int(np.quantile(a, 0.01)) if a.size else 0))
-            yield pd.DataFrame(out, columns=["sample_id", "channel", "z", "ny", "nx", "data", "back"])
-
-    def pad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.itertuples():
-                a = np.frombuffer(row.data, "<u2").reshape(row.ny, row.nx)
-                full = np.full((row.my, row.mx), row.back, "<u2")
-                y, x = (row.my - row.ny) // 2, (row.mx - row.nx) // 2
-                full[y : y + row.ny, x : x + row.nx] = a
-                out.append((row.sample_id, row.channel, row.z, row.my, row.mx, full.tobytes()))
-            yield pd.DataFrame(out, columns=["sample_id", "channel", "z", "ny", "nx", "data"])
-
-    base = "sample_id string, channel int, z int, ny int, nx int, data binary"
-    cut = planes.select("sample_id", "channel", "z", "ny", "nx", "data").mapInPandas(crop, base + ", back int")
-    most = F.broadcast(cut.agg(F.max("ny").cast("int").alias("my"), F.max("nx").cast("int").alias("mx")))  # a single row
-    return cut.join(most, F.lit(True)).mapInPandas(pad, base)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlasframe import functions as fn
 from atlasframe import sources, streaming
-from atlasframe.operators import align, blocks, geometry, lookup, points, regions, series, spatial, stats, stencil, tiles, udf
+from atlasframe.operators import align, blocks, geometry, lookup, points, quantiles, regions, sections, series, spatial, stats, stencil, tiles, udf
 from atlasframe.plans import fixtures as fx
 from atlasframe.plans import queries
 from conftest import DATA
@@ -359,8 +359,8 @@ def test_planes(spark, tmp_path):
     assert sources.plane_catalog(spark, str(tmp_path), 4, 6).first()["planes"] == 2
     small = tiles.preprocess_planes(planes).orderBy("z").first()
     assert (small["ny"], small["nx"]) == (2, 3)
-    stack = tiles.build_slice_stack(planes, 30).collect()
-    assert {(r["ny"], r["nx"]) for r in stack} == {(3, 6)}
+    stack = sections.build_slice_stack(planes, buffer=1).collect()
+    assert {(r["ny"], r["nx"]) for r in stack} == {(4, 6)}
     with pytest.raises(ValueError):
         sources.assert_uniform_shape(planes.withColumn("ny", F.col("z")), ["sample_id"])
 
@@ -669,3 +669,127 @@ def test_nearest_slice_beyond_the_ends(spark):
     assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 5.0, 5: 5.0, 6: 10.0, 7: 10.0, 8: None, 9: None, 10: None, 11: 10.0}
     plain = {r["k"]: r["nearest"] for r in spatial.nearest_slice(samples, atlas.select("pos")).collect()}
     assert plain == {1: 1.0, 2: 1.0, 3: 1.0, 4: 5.0, 5: 10.0, 6: 1.0, 7: 10.0, 8: 1.0, 9: 1.0, 10: None, 11: 10.0}
+
+
+def test_table_quantiles_equal_numpy(spark):
+    r = np.random.default_rng(2)
+    values = np.concatenate([r.normal(0, 1e-3, 700), r.normal(5e6, 1, 200), np.full(400, 0.25), [-1e12, 1e12]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").repartition(5)
+    for most, bins in ((100_000, 4096), (3, 5)):
+        for q in (0.0, 0.01, 0.31, 0.5, 0.777, 0.99, 1.0):
+            assert math.isclose(quantiles.table_quantiles(df, "v", [q], most, bins)[0], np.quantile(values, q), rel_tol=1e-12, abs_tol=1e-15), (q, most)
+    assert quantiles.table_quantiles(df.where("v > 1e13"), "v", [0.5, 0.1]) == [None, None]
+    two = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    assert quantiles.table_quantiles(two, "v", [0.5], 1, 2) == [1.5]
+
+
+def test_quantiles_of_cubes_equal_numpy(spark):
+    a = np.random.default_rng(5).normal(size=(9, 8, 7)) * 10.0 ** np.random.default_rng(6).integers(-3, 4, (9, 8, 7))
+    a[:3, 0, 0] = 0.0
+    cubes = blocks.volume(_volume(spark, a.transpose(2, 0, 1)), 4).cubes
+    for q in (0.0, 0.013, 0.5, 0.99, 1.0):
+        assert math.isclose(blocks.cube_quantile(cubes, q), np.quantile(a, q), rel_tol=1e-12, abs_tol=1e-300)
+    assert blocks.cube_quantile(cubes.where("false"), 0.5) is None
+
+
+def test_filters_over_halo_cubes_equal_the_whole_volume(spark):
+    """A filter that reaches no farther than the halo gives what it gives on the whole volume."""
+    r = np.random.default_rng(7)
+    a = r.uniform(1, 9, (10, 9, 11))  # y, x, z
+    v = blocks.volume(_volume(spark, a.transpose(2, 0, 1)), 4, size=a.shape)
+    box = lambda x: tiles._moving(x, 2, np.maximum)
+    got = {(x["y"], x["x"], x["z"]): x["value"] for x in blocks.filtered(v, 2, box).voxels().collect()}
+    assert len(got) == a.size and all(np.isclose(got[p[0] + 1, p[1] + 1, p[2] + 1], w) for p, w in np.ndenumerate(box(a)))
+    with pytest.raises(ValueError, match="halo"):
+        blocks.halo_cubes(v, 5)
+
+
+def test_highpass_points_equal_brute_force(spark):
+    r = np.random.default_rng(12)
+    a = r.uniform(0, 1, (16, 14, 12))
+    a[5:7, 5:7, 5:7] += 20
+    a[0, 3, 3] += 40
+    v = blocks.volume(_volume(spark, a.transpose(2, 0, 1)), 16, size=a.shape)
+    band = tiles.bandpass(a, 6 * math.pi / 2, math.pi / 6)
+    want = {(y + 1, x + 1, z + 1) for y, x, z in zip(*np.nonzero(band > np.quantile(band, 0.99) / 2)) if 0 < y < 15}
+    got = points.extract_points_highpass(v, 1.0, share=1.0).collect()
+    assert {(p["y"], p["x"], p["z"]) for p in got} == want and len(got) == len(want) > 8
+    part = points.extract_points_highpass(v, 1.0, share=0.4).collect()
+    assert 0 < len(part) < len(got) and {(p["y"], p["x"], p["z"]) for p in part} <= want
+    assert points.extract_points_highpass(blocks.volume(_volume(spark, a[:2, :2, :2]).where("false"), 16, size=a.shape), 1.0).count() == 0
+
+
+def _planes(spark, made):
+    return spark.createDataFrame([("S", c, z, *p.shape, p.astype("<u2").tobytes()) for (c, z), p in made.items()], "sample_id string, channel int, z int, ny int, nx int, data binary").repartition(3)
+
+
+def _section(shape, box, level, seed, dust=()):
+    p = np.random.default_rng(seed).integers(8, 13, shape).astype(float)
+    p[box[0] : box[1], box[2] : box[3]] += level
+    for y, x in dust:
+        p[y : y + 2, x : x + 2] += level
+    return p
+
+
+def test_section_stacks_share_one_crop(spark):
+    """Channels of a section lie on each other; dust away from the tissue is no tissue; crops are centred and the shared margin goes."""
+    made = {}
+    for z, box in ((1, (20, 60, 30, 80)), (2, (25, 55, 20, 90))):
+        made[1, z] = _section((100, 120), box, 200, z, [(5, 110)])
+        second = np.full((100, 120), 10.0)
+        second[box[0], box[2]] = 900  # a pixel of the second channel in the tissue's corner
+        made[2, z] = second
+    made[2, 2][0, 0] = 0
+    stack = {(r["channel"], r["z"]): np.frombuffer(r["data"], "<u2").reshape(r["ny"], r["nx"]) for r in sections.build_slice_stack(_planes(spark, made), median=0, buffer=4, neighbours=20).collect()}
+    assert {p.shape for p in stack.values()} == {(48, 78)} and len(stack) == 4
+    for z, box in ((1, (20, 60, 30, 80)), (2, (25, 55, 20, 90))):
+        y, x = (int(v[0]) for v in np.nonzero(stack[2, z] == 900))
+        inside = stack[1, z] > 100
+        ys, xs = np.nonzero(inside)
+        assert (ys.min(), xs.min()) == (y, x) and (ys.max() - ys.min() + 1, xs.max() - xs.min() + 1) == (box[1] - box[0], box[3] - box[2])
+        assert y == (48 - (box[1] - box[0])) // 2 and x == (78 - (box[3] - box[2])) // 2
+    roomy = sections.build_slice_stack(_planes(spark, made), median=0, buffer=4, neighbours=20, size=(90, 100)).collect()
+    assert {(r["ny"], r["nx"]) for r in roomy} == {(90 - (90 - 48) // 4 * 2, 100 - (100 - 78) // 4 * 2)}
+    half = sections.build_slice_stack(_planes(spark, made), scale=0.5, median=1, buffer=2, neighbours=0).collect()
+    assert {(r["ny"], r["nx"]) for r in half} == {(24, 39)}
+    assert sections.build_slice_stack(_planes(spark, made).where("false")).count() == 0
+
+
+def test_resize_is_the_mean_of_what_a_pixel_covers():
+    a = np.random.default_rng(3).uniform(0, 9, (6, 8))
+    assert np.allclose(sections.resize(a, 0.5), a.reshape(3, 2, 4, 2).mean((1, 3)))
+    fine = np.repeat(np.repeat(a, 20, 0), 20, 1)  # 20 x 20 parts of each pixel
+    assert np.allclose(sections.resize(a, 0.4)[:2, :3], fine[:100, :150].reshape(2, 50, 3, 50).mean((1, 3)))
+    assert sections.resize(a, 0.4).shape == (3, 4) and np.allclose(sections.resize(a, 2.0)[::2, ::2], a) and sections.resize(a, 1.0) is a
+
+
+def test_single_linkage_equals_brute_force():
+    r = np.random.default_rng(4)
+    for n, d, spread in ((150, 2.0, 20), (120, 5.0, 30), (200, 1.5, 8)):
+        xy = r.integers(0, spread, (n, 2))
+        near = ((xy[:, None] - xy[None]) ** 2).sum(2) < d * d
+        label = np.arange(n)
+        while (least := np.where(near, label[None], n).min(1)).tolist() != label.tolist():
+            label = least
+        assert sections.single_linkage(xy, d).tolist() == label.tolist()
+
+
+def test_section_points(spark):
+    made = {(1, 1): _section((60, 70), (20, 40, 25, 50), 300, 1, [(2, 2)]), (1, 2): np.zeros((10, 10))}
+    got = sections.section_points(_planes(spark, made), border=3, neighbours=10).toPandas()
+    assert set(got["z"]) == {1} and got["x"].between(26, 50).all() and got["y"].between(21, 40).all() and 300 < len(got) <= 500
+    few = sections.section_points(_planes(spark, made), most=50, neighbours=5).toPandas()
+    assert 30 < len(few) <= 50
+
+
+def test_classes_are_balanced_by_hash(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 3 == 0, "b").alias("label"))
+    got = stats.class_balance(df, "label", "k").toPandas()
+    want = df.toPandas()
+    assert got.groupby("label", dropna=False).size().tolist() == [300, 300, 300] and got["k"].is_unique
+    h = {r["k"]: r["h"] for r in df.select("k", F.xxhash64("k", F.lit(1)).alias("h")).collect()}
+    for label, rows in want.groupby("label", dropna=False):
+        first = sorted(rows["k"], key=lambda k: (h[k], k))[:300]
+        mine = got[got["label"].isna()] if pd.isna(label) else got[got["label"] == label]
+        assert sorted(mine["k"]) == sorted(first)
+    assert stats.class_balance(df.where("false"), "label", "k").count() == 0
