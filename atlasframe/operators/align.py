@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasframe.functions import plane_basis
+from atlasframe.operators import blocks
 from atlasframe.operators.clean import select_matched_controls
 from atlasframe.operators.geometry import apply_affine, from_display_space
 from atlasframe.operators.lookup import points_to_atlas, run_lengths, sample_disc, sample_disc_intensity, sample_line, with_region_names
 from atlasframe.operators.quantiles import table_quantiles
 from atlasframe.operators.regions import regions_under_implant
-from atlasframe.operators.spatial import knn_join
-from atlasframe.operators.stats import depth_profile, fit_affine, fit_cylinders, fit_lines, fit_rigid, fit_similarity
+from atlasframe.operators.spatial import knn_join, nearest_slice
+from atlasframe.operators.stats import depth_profile, fit_affine, fit_cylinders, fit_lines, fit_rigid, fit_similarity, sample_per_group
 
 
 def robust_weight(distance, kind: str, scale: float):
@@ -61,42 +62,135 @@ def icp_affine(model: DataFrame, data: DataFrame, **options) -> tuple[np.ndarray
     return icp(model, data, affine=True, **options)
 
 
-def _icp_2d(p: np.ndarray, q: np.ndarray, rounds: int = 15, keep: float = 0.9) -> tuple[np.ndarray, float]:
-    """Rigid 2-D map of p onto q, nearest points in blocks; the share `keep` of closest pairs counts."""
-    m, error = np.eye(3), np.inf
-    for _ in range(rounds):
-        moved = p @ m[:2, :2].T + m[:2, 2]
-        near = np.concatenate([((moved[i : i + 256, None] - q[None]) ** 2).sum(2).argmin(1) for i in range(0, len(p), 256)])
-        d = np.sqrt(((moved - q[near]) ** 2).sum(1))
-        use = d <= np.quantile(d, keep)
-        a, b = moved[use], q[near[use]]
-        u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
-        r = vt.T @ np.diag([1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T
-        step = np.eye(3)
-        step[:2, :2], step[:2, 2] = r, b.mean(0) - r @ a.mean(0)
-        m = step @ m
-        if abs(error - d[use].mean()) < 1e-6:
-            break
-        error = d[use].mean()
-    return m, float(error)
-
-
-def refine_per_slice(points: DataFrame, atlas: DataFrame, slice_col: str = "slice", least: int = 10) -> DataFrame:
-    """(slice, m, error): each slice's points (slice, x, y) onto the atlas points of
-    its slab, which carry the same slice number; both are samples of bounded size
-    per slice. Slices with fewer than least points are left out."""
+class Nearest:
+    """The nearest of some points in the plane: points are sorted into square cells, and
+    a query looks at the nine cells round its own, of twice the width as long as its
+    answer is farther away than a cell is wide."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = points
+        self.low = points.min(0)
+        extent = np.maximum(points.max(0) - self.low, 1e-9)
+        self.width = float(np.sqrt(extent[0] * extent[1] / len(points)) * 1.5) or 1e-9
+        self.width = max(self.width, float(extent.max()) / 4096)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _cells(self, at: np.ndarray, level: int) -> np.ndarray:
+        return np.floor((at - self.low) / (self.width * 2**level)).astype(np.int64)
+
+    def _level(self, level: int):
+        while len(self.levels) <= level:
+            c = self._cells(self.points, len(self.levels))
+            key = c[:, 0] * (1 << 31) + c[:, 1]
+            order = np.argsort(key, kind="stable")
+            names, start = np.unique(key[order], return_index=True)
+            self.levels.append((order, names, start, np.append(start[1:], len(order))))
+        return self.levels[level]
+
+    def query(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, row) of the nearest point, the first row of ties."""
+        best, row = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+        todo, level = np.arange(len(at)), 0
+        while len(todo):
+            for i in range(0, len(todo), 4096):
+                self._look(at, todo[i : i + 4096], level, best, row)
+            todo = todo[best[todo] > (self.width * 2**level) ** 2]
+            level += 1
+        return np.sqrt(best), row
+
+    def _look(self, at: np.ndarray, some: np.ndarray, level: int, best: np.ndarray, row: np.ndarray) -> None:
+        order, names, start, end = self._level(level)
+        cells = self._cells(at[some], level)
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                key = (cells[:, 0] + dy) * (1 << 31) + cells[:, 1] + dx
+                k = np.minimum(np.searchsorted(names, key), len(names) - 1)
+                hit = np.flatnonzero(names[k] == key)
+                n = (end - start)[k[hit]]
+                if not n.sum():
+                    continue
+                q = np.repeat(some[hit], n)
+                r = order[np.repeat(start[k[hit]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                d = ((at[q] - self.points[r]) ** 2).sum(1)
+                by = np.lexsort((r, d, q))
+                q, d, r = q[by], d[by], r[by]
+                first = np.concatenate([[True], q[1:] != q[:-1]])
+                q, d, r = q[first], d[first], r[first]
+                better = (d < best[q]) | ((d == best[q]) & (r < row[q]))
+                best[q[better]], row[q[better]] = d[better], r[better]
+
+
+def _rigid_step(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rigid 3 x 3 map of a onto b by least squares, without mirror images."""
+    u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
+    r = vt.T @ np.diag([1, np.sign(np.linalg.det(vt.T @ u.T)) or 1]) @ u.T
+    step = np.eye(3)
+    step[:2, :2], step[:2, 2] = r, b.mean(0) - r @ a.mean(0)
+    return step
+
+
+def _affine_step(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    step = np.eye(3)
+    step[:2] = np.linalg.lstsq(np.column_stack([a, np.ones(len(a))]), b, rcond=None)[0].T
+    return step
+
+
+def icp_2d(data: np.ndarray, model: np.ndarray, centre: bool = True, affine: bool = False, rounds: int = 100, keep: float = 0.9, tolerance: float = 1e-6) -> tuple[np.ndarray, float, float]:
+    """(m, to_model, to_data): 3 x 3 map of data onto model by their nearest points, the
+    share `keep` of closest pairs counting; rigid, after moving the means onto each
+    other where centre is set, then affine if asked for. The residuals are the mean
+    distance of the moved data to the model and of the model to the moved data."""
+    index, m = Nearest(model), np.eye(3)
+    if centre:
+        m[:2, 2] = model.mean(0) - data.mean(0)
+    for fit in (_rigid_step, _affine_step) if affine else (_rigid_step,):
+        before = np.inf
+        for _ in range(rounds):
+            moved = data @ m[:2, :2].T + m[:2, 2]
+            d, near = index.query(moved)
+            use = d <= np.quantile(d, keep)
+            if use.sum() < 4 or abs(before - (mean := float(d[use].mean()))) < tolerance:
+                break
+            before = mean
+            m = fit(moved[use], model[near[use]]) @ m
+    moved = data @ m[:2, :2].T + m[:2, 2]
+    return m, float(index.query(moved)[0].mean()), float(Nearest(moved).query(model)[0].mean())
+
+
+def _bounded(points: DataFrame, by: Sequence[str], names: Sequence[str], most: int, finite: Sequence[str] = ("x", "y")) -> DataFrame:
+    """At most `most` points of each group, by the hash of their place; those without a place left out."""
+    rows = points.select(*by, *(F.col(c).cast("double").alias(n) for c, n in zip(finite, names)))
+    for n in names:
+        rows = rows.where(F.col(n) - F.col(n) == 0)
+    return sample_per_group(rows.withColumn("_k", F.xxhash64(*names)), most, by, "_k").drop("_k")
+
+
+def refine_per_slice(points: DataFrame, atlas: DataFrame, slice_col: str | Sequence[str] = "slice", least: int = 10, centre: bool = True, affine: bool = False, most: int = 6000, most_atlas: int = 1500) -> DataFrame:
+    """(slice, m, error, back, n, n_atlas): the 3 x 3 map of each slice's points (slice,
+    x, y) onto the atlas points of its slab, which carry the same slice number: the
+    inverse of the map that brings the slab's points onto the slice's by closest
+    points, their means first where centre is set, affine at the end if asked for.
+    error is the mean distance of the slice's points to the nearest moved atlas
+    point, back the other way round, both in the slice's units. Groups are bounded:
+    at most `most` and `most_atlas` points of each, by hash. Slices with fewer than
+    least points on a side, or whose map cannot be inverted, are left out."""
+    by = [slice_col] if isinstance(slice_col, str) else list(slice_col)
+    out = [*by, "m", "error", "back", "n", "n_atlas"]
 
     def one(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if len(p) < least or len(q) < least:
-            return pd.DataFrame(columns=["slice", "m", "error"])
-        m, error = _icp_2d(p[["x", "y"]].to_numpy(float), q[["u", "v"]].to_numpy(float))
-        return pd.DataFrame({"slice": [key[0]], "m": [m.ravel().tolist()], "error": [error]})
-
-    kind = points.schema[slice_col].dataType.simpleString()
+            return pd.DataFrame(columns=out)
+        p, q = p.sort_values(["x", "y"])[["x", "y"]].to_numpy(), q.sort_values(["u", "v"])[["u", "v"]].to_numpy()
+        m, back, error = icp_2d(q, p, centre, affine)
+        if abs(np.linalg.det(m)) < 1e-12:
+            return pd.DataFrame(columns=out)
+        return pd.DataFrame({**dict(zip(by, ([k] for k in key))), "m": [np.linalg.inv(m).ravel().tolist()], "error": [error], "back": [back], "n": [len(p)], "n_atlas": [len(q)]})
+
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by)
     # Names of their own for the second side: both may derive from one table.
-    atlas = atlas.select(F.col(slice_col).alias("_s"), F.col("x").alias("u"), F.col("y").alias("v"))
-    points = points.select(F.col(slice_col), "x", "y")
-    return points.groupBy(slice_col).cogroup(atlas.groupBy("_s")).applyInPandas(one, f"slice {kind}, m array<double>, error double")
+    names = [f"_s{i}" for i in range(len(by))]
+    slab = _bounded(atlas.select(*(F.col(c).alias(n) for c, n in zip(by, names)), "x", "y"), names, ("u", "v"), most_atlas)
+    return _bounded(points, by, ("x", "y"), most).groupBy(*by).cogroup(slab.groupBy(*names)).applyInPandas(one, f"{kinds}, m array<double>, error double, back double, n long, n_atlas long")
 
 
 def flip_decision(points: DataFrame, neighbour: DataFrame, width: float, slice_col: str = "slice") -> DataFrame:
@@ -104,33 +198,45 @@ def flip_decision(points: DataFrame, neighbour: DataFrame, width: float, slice_c
     plain = refine_per_slice(points, neighbour, slice_col).withColumn("flipped", F.lit(False))
     turned = refine_per_slice(points.withColumn("x", width + 1 - F.col("x")), neighbour, slice_col).withColumn("flipped", F.lit(True))
     both = plain.unionByName(turned)
-    return both.groupBy("slice").agg(F.min_by(F.struct("flipped", "m", "error"), F.struct("error", "flipped")).alias("b")).select("slice", "b.*")
+    return both.groupBy(slice_col).agg(F.min_by(F.struct("flipped", "m", "error"), F.struct("error", "flipped")).alias("b")).select(slice_col, "b.*")
 
 
-def best_offset(slices: DataFrame, atlas: DataFrame, offsets: Sequence[float], half: float, least: int = 100) -> DataFrame:
-    """(offset, error, n): mean residual of all slices against the atlas points of the
-    slab at their position plus each offset; slices: (slice, pos, x, y), atlas: (x, y, z)."""
-    shifted = slices.withColumn("offset", F.explode(F.array(*(F.lit(float(o)) for o in offsets))))
-    keyed = shifted.withColumn("slice", F.concat_ws("|", "slice", "offset"))
-    places = keyed.groupBy("slice").agg(F.first(F.col("pos") + F.col("offset")).alias("at"))
+def offset_errors(slices: DataFrame, atlas: DataFrame, offsets: Sequence[float], half: float, least: int = 100, slice_col: str = "slice", centre: bool = False, affine: bool = False) -> DataFrame:
+    """(slice, offset, m, error, back, n, n_atlas): each slice aligned with the atlas points within
+    half of its position plus each offset, and the residuals both ways; slices: (slice,
+    pos, x, y), atlas: (x, y, z). Slabs of fewer than least atlas points are left out."""
+    keyed = slices.withColumn("offset", F.explode(F.array(*(F.lit(float(o)) for o in offsets))))
+    places = keyed.groupBy(slice_col, "offset").agg(F.min(F.col("pos") + F.col("offset")).alias("at"))
     slab = atlas.select("x", "y", "z").withColumn("_b", F.explode(F.array(*(F.floor(F.col("z") / half) + s for s in (-1, 0, 1)))))
     slab = slab.join(places.withColumn("_b", F.floor(F.col("at") / half)), "_b").where(F.abs(F.col("z") - F.col("at")) < half)
-    found = refine_per_slice(keyed, slab, least=least).withColumn("offset", F.split("slice", r"\|")[1].cast("double"))
-    return found.groupBy("offset").agg(F.avg("error").alias("error"), F.count("*").alias("n"))
+    enough = slab.groupBy(slice_col, "offset").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return refine_per_slice(keyed, slab.join(enough, [slice_col, "offset"], "left_semi"), [slice_col, "offset"], 4, centre, affine)
+
 
+def best_offset(slices: DataFrame, atlas: DataFrame, offsets: Sequence[float], half: float, least: int = 100, slice_col: str = "slice") -> DataFrame:
+    """(slice, offset, m, error, back): the offset of each slice with the least sum of both residuals, the smallest of ties."""
+    found = offset_errors(slices, atlas, offsets, half, least, slice_col)
+    best = found.groupBy(slice_col).agg(F.min_by(F.struct("offset", "m", "error", "back"), F.struct(F.col("error") + F.col("back"), F.col("offset"))).alias("b"))
+    return best.select(slice_col, "b.*")
 
-def place_slices(voxels: DataFrame, positions: DataFrame) -> DataFrame:
+
+def place_slices(voxels: DataFrame, positions: DataFrame, matrix: Sequence[Sequence[float]] | None = None, size: Sequence[int] | None = None, mode: str = "linear", fill: float = 0.0) -> DataFrame:
     """Slices at their atlas index, and planes between two of them from the nearer
-    (the earlier of ties): voxels (slice, y, x, value), positions (slice, position)."""
+    (the earlier of ties): voxels (slice, y, x, value), positions (slice, position).
+    With a matrix (on y, x, z) the placed volume is then resampled by it onto a grid
+    of `size` (y, x, z), as cubes: the final rigid map into the atlas."""
     span = positions.agg(F.min("position"), F.max("position")).first()
     if span[0] is None:
-        return voxels.select(F.col("slice").alias("z"), "y", "x", "value").limit(0)
-    planes = voxels.sparkSession.range(int(span[0]), int(span[1]) + 1).select(F.col("id").alias("z"))
-    from atlasframe.operators.spatial import nearest_slice
-
-    near = nearest_slice(planes.withColumn("pos", F.col("z").cast("double")), positions.select(F.col("position").alias("pos")))
-    chosen = near.join(positions, near["nearest"] == positions["position"]).select("z", "slice")
-    return voxels.join(chosen, "slice").select("z", "y", "x", "value")
+        placed = voxels.select(F.col("slice").alias("z"), "y", "x", "value").limit(0)
+    else:
+        planes = voxels.sparkSession.range(int(span[0]), int(span[1]) + 1).select(F.col("id").alias("z"))
+        near = nearest_slice(planes.withColumn("pos", F.col("z").cast("double")), positions.select(F.col("position").alias("pos")))
+        chosen = near.join(positions, near["nearest"] == positions["position"]).select("z", "slice")
+        placed = voxels.join(chosen, "slice").select("z", "y", "x", "value")
+    if matrix is None:
+        return placed
+    source = blocks.volume(placed.withColumns({"sample_id": F.lit(""), "channel": F.lit(1)}))
+    return blocks.warp(source, matrix, size, mode, fill).voxels().select("z", "y", "x", "value")
 
 
 def live_fit(controls: DataFrame, initial: np.ndarray, least: int = 16) -> tuple[np.ndarray, str]:

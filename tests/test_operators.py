@@ -793,3 +793,107 @@ def test_classes_are_balanced_by_hash(spark):
         mine = got[got["label"].isna()] if pd.isna(label) else got[got["label"] == label]
         assert sorted(mine["k"]) == sorted(first)
     assert stats.class_balance(df.where("false"), "label", "k").count() == 0
+
+
+def test_nearest_in_the_plane_equals_brute_force():
+    r = np.random.default_rng(1)
+    for q, p in ((r.normal(size=(300, 2)), r.normal(size=(200, 2)) * 3), (np.repeat(r.integers(0, 4, (50, 2)), 3, 0).astype(float), r.uniform(-50, 50, (40, 2))), (np.array([[1.0, 2.0]]), r.normal(size=(5, 2))), (np.column_stack([np.arange(90.0), np.zeros(90)]), r.uniform(0, 90, (60, 2)))):
+        d, row = align.Nearest(q).query(p)
+        all_d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
+        assert np.allclose(d, all_d.min(1)) and (row == all_d.argmin(1)).all()
+
+
+def _outline(n, seed, noise=0.0):
+    """Noisy points of an outline without symmetry."""
+    r = np.random.default_rng(seed)
+    t = r.uniform(0, 2 * math.pi, n)
+    rad = 20 + 5 * np.cos(t) + 3 * np.sin(2 * t) + 2 * np.cos(3 * t + 1)
+    return np.column_stack([rad * np.cos(t) * 1.4, rad * np.sin(t)]) + r.normal(0, noise, (n, 2))
+
+
+def test_slices_are_refined_from_disjoint_noisy_samples(spark):
+    """A turn, a shift of several widths between points, and a stretch, from other points of the same outline."""
+    a = 0.2
+    turn = np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]])
+    stretch = turn @ np.diag([1.1, 0.95])
+    rows, atlas, want = [], [], {}
+    for k, (m, shift) in enumerate(((turn, [30.0, -12.0]), (np.eye(2), [0.0, 0.0]), (stretch, [5.0, 3.0]))):
+        p = _outline(900, 10 + k, 0.1)
+        q = _outline(700, 20 + k, 0.1) @ m.T + shift
+        rows += [(k, *map(float, x)) for x in p]
+        atlas += [(k, *map(float, x)) for x in q]
+        want[k] = (m, shift)
+    rows += [(7, 1.0, 2.0)] * 30 + [(0, None, 1.0), (0, float("nan"), 1.0)]
+    s, t = (spark.createDataFrame(x, "slice int, x double, y double").repartition(4) for x in (rows, atlas))
+    for affine in (False, True):
+        got = {r["slice"]: r for r in align.refine_per_slice(s, t, affine=affine).collect()}
+        assert set(got) == {0, 1, 2}
+        for k, (m, shift) in want.items():
+            if k == 2 and not affine:
+                continue
+            own = np.array(got[k]["m"]).reshape(3, 3)
+            probe = _outline(50, 99)
+            off = np.abs(probe @ own[:2, :2].T + own[:2, 2] - (probe @ m.T + shift)).max()
+            assert off < 0.7 and got[k]["error"] < 0.4 and got[k]["back"] < 0.4, (k, affine, off)
+    assert got[2]["error"] < 0.4 < {r["slice"]: r for r in align.refine_per_slice(s, t).collect()}[2]["error"]
+    few = align.refine_per_slice(s, t, most=200, most_atlas=150).first()
+    assert few["n"] <= 200 and few["n_atlas"] <= 150
+
+
+def test_offsets_are_found_by_residuals_both_ways(spark):
+    """An atlas whose outline grows along z: each slice fits the slab it was cut from."""
+    atlas = [(*map(float, p * (1 + z / 10)), float(z)) for z in range(8) for p in _outline(300, 40 + z, 0.05)]
+    slices = [(f"s|{z}", float(z - 2), *map(float, p * (1 + z / 10))) for z in (3, 5) for p in _outline(400, 60 + z, 0.05)]
+    at = spark.createDataFrame(atlas, "x double, y double, z double")
+    sl = spark.createDataFrame(slices, "slice string, pos double, x double, y double")
+    grid = align.offset_errors(sl, at, [0.0, 1.0, 2.0, 3.0], 0.5).collect()
+    assert len(grid) == 8 and all(r["error"] >= 0 and r["back"] >= 0 for r in grid)
+    got = {r["slice"]: r["offset"] for r in align.best_offset(sl, at, [0.0, 1.0, 2.0, 3.0], 0.5).collect()}
+    assert got == {"s|3": 2.0, "s|5": 2.0}
+    assert align.offset_errors(sl, at, [0.0], 0.5, least=301).count() == 0
+
+
+def test_placed_slices_are_mapped_at_the_end(spark):
+    v = spark.createDataFrame([(s, y, x, 10.0 * s + y) for s in (1, 2) for y in (1, 2, 3) for x in (1, 2)], "slice int, y int, x int, value double")
+    at = spark.createDataFrame([(1, 2), (2, 5)], "slice int, position int")
+    placed = {(r["z"], r["y"], r["x"]): r["value"] for r in align.place_slices(v, at).collect()}
+    assert {z: placed[z, 1, 1] for z in range(2, 6)} == {2: 11.0, 3: 11.0, 4: 21.0, 5: 21.0}
+    move = [[1.0, 0, 0, 1.0], [0, 1, 0, 0], [0, 0, 1, -1.0], [0, 0, 0, 1]]
+    got = {(r["z"], r["y"], r["x"]): r["value"] for r in align.place_slices(v, at, move, (4, 2, 6)).collect()}
+    assert got == {(z - 1, y + 1, x): w for (z, y, x), w in placed.items() if y + 1 <= 4}
+
+
+def test_tracing_from_display_space(spark):
+    """Points of a probe and an implant, taken back to the display by hand, are traced as in the atlas."""
+    size = (60, 40, 50)  # y, x, z
+    perm, shown, voxel, native, av = [2, -1, 3], (50, 60, 40), [2.0, 3.0, 4.0], (60, 50, 40), 1.0
+    field = spark.createDataFrame([], "i int, j int, k int, dx double, dy double, dz double")
+    matrix = [[1.0, 0, 0, 3.0], [0, 1.0, 0, -2.0], [0, 0, 2.0, 1.0], [0, 0, 0, 1]]
+    place = align.Placement(shown, perm, 1.0, voxel, native, field, av, matrix, (2, 1, 0))
+    r = np.random.default_rng(3)
+    display = np.column_stack([r.uniform(1, n, 12) for n in shown])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(display)], "point_id int, x double, y double, z double")
+    got = {q["point_id"]: (q["x"], q["y"], q["z"]) for q in place.to_atlas(df).collect()}
+    for i, p in enumerate(display):
+        back = [0.0] * 3
+        for a, (c, n, k) in enumerate(zip(p, shown, perm)):
+            back[abs(k) - 1] = n + 1 - c if k < 0 else c
+        mm = [(c - 1) * v for c, v in zip(back, voxel)]
+        reg = [((native[abs(k) - 1] - 1) * voxel[abs(k) - 1] - mm[abs(k) - 1] if k < 0 else mm[abs(k) - 1]) / 2 for k in perm]
+        atlas = np.linalg.solve(np.array(matrix), [*reg, 1.0])[:3]
+        assert np.allclose(got[i], [atlas[2], atlas[1], atlas[0]])
+    probe = df.withColumn("probe_id", F.lit(1))
+    labels = spark.range(size[0] * size[1] * size[2]).select((F.col("id") % 60 + 1).cast("int").alias("y"), (F.floor(F.col("id") / 60) % 40 + 1).cast("int").alias("x"), (F.floor(F.col("id") / 2400) + 1).cast("int").alias("z")).withColumn("region_id", (1 + F.floor(F.col("y") / 20) + F.floor(F.col("x") / 20)).cast("int"))
+    terms = spark.createDataFrame([(k, "substructure", f"r{k}", f"a{k}", 1, 2, 3) for k in range(1, 6)], "region_id int, term_set string, name string, acronym string, red int, green int, blue int")
+    line = np.column_stack([np.full(9, 20.0), np.linspace(5, 55, 9), np.full(9, 25.0)])
+    on = spark.createDataFrame([(1, *map(float, p)) for p in line], "probe_id int, x double, y double, z double")
+    runs = sorted((q["region_id"], q["acronym"]) for q in align.trace_probes(on, labels, terms, size, 60).collect())
+    assert runs == [(2, "a2"), (3, "a3"), (4, "a4"), (5, "a5")]
+    assert align.trace_probes(probe, labels, terms, size, 60, place).count() > 0
+    ring = spark.createDataFrame([(1, *map(float, p)) for p in _side([0, 1, 0.02], 80, 30, 3, centre=(20.0, 25.0, 25.0))], "implant_id int, x double, y double, z double")
+    voxels = labels.select(F.lit(1).alias("channel"), "y", "x", "z", F.col("y").cast("double").alias("value"))
+    under, depth = align.trace_implants(ring, labels, voxels, size, [0.0, 5.0])
+    # The bottom lies at y = 40: depth 0 and 5 are planes y = 40 and 45, give or take the fit.
+    got = {q["depth"]: q["median"] for q in depth.collect()}
+    assert abs(got[0.0] - 40) < 1.5 and abs(got[5.0] - 45) < 1.5
+    assert {q["region_id"] for q in under.collect()} >= {4}
