@@ -189,11 +189,12 @@ def warp(source: Volume, matrix: Sequence[Sequence[float]], size: Sequence[int],
 # ---- filters over halo cubes ----------------------------------------------------------------
 
 
-def halo_cubes(v: Volume, halo: int) -> DataFrame:
+def halo_cubes(v: Volume, halo: int, absent: float = 0.0, every: bool = False) -> DataFrame:
     """(by, b_y, b_x, b_z, low array<int>, shape array<int>, data): each cube with
     `halo` voxels (the edge at most) of its neighbours on all sides, clipped at the
-    volume's size; absent voxels are 0. A cube sends its sides to its neighbours as
-    blocks of doubles; a cube that is not there is not made."""
+    volume's size; absent voxels are `absent`. A cube sends its sides to its neighbours
+    as blocks of doubles. A cube that is not there is made only where `every` is set
+    and a neighbour is."""
     edge, by = v.edge, list(v.by)
     if not 0 <= halo <= edge:
         raise ValueError(f"a halo of {halo} does not fit cubes of {edge}")
@@ -218,18 +219,19 @@ def halo_cubes(v: Volume, halo: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=[*by, *PLACE, "sy", "sx", "sz", "part"])
 
     sent = v.cubes.select(*by, *PLACE, "value").mapInPandas(send, _kinds(v.cubes, by) + "b_y int, b_x int, b_z int, sy int, sx int, sz int, part binary")
-    met = sent.groupBy(*by, *PLACE).agg(F.collect_list(F.struct("sy", "sx", "sz", "part")).alias("parts"), F.max((F.col("sy") == 0) & (F.col("sx") == 0) & (F.col("sz") == 0)).alias("own")).where("own")
+    met = sent.groupBy(*by, *PLACE).agg(F.collect_list(F.struct("sy", "sx", "sz", "part")).alias("parts"), F.max((F.col("sy") == 0) & (F.col("sx") == 0) & (F.col("sz") == 0)).alias("own")).where(F.col("own") | F.lit(every))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                full = np.zeros((edge + 2 * halo,) * 3)
+                full = np.full((edge + 2 * halo,) * 3, absent)
                 for p in row.parts:
                     steps = (p["sy"], p["sx"], p["sz"])
                     # A neighbour on the far side sent its near side, and the other way round.
                     at = tuple(slice(halo, halo + edge) if s == 0 else slice(0, halo) if s > 0 else slice(halo + edge, None) for s in steps)
-                    full[at] = np.nan_to_num(np.frombuffer(p["part"]).reshape(full[at].shape))
+                    part = np.frombuffer(p["part"]).reshape(full[at].shape)
+                    full[at] = np.where(np.isnan(part), absent, part)
                 low = [getattr(row, c) * edge + 1 - halo for c in PLACE]
                 cut = tuple(slice(max(0, 1 - a), min(edge + 2 * halo, n - a + 1)) for a, n in zip(low, size))
                 full = full[cut]
@@ -239,8 +241,9 @@ def halo_cubes(v: Volume, halo: int) -> DataFrame:
     return met.select(*by, *PLACE, "parts").mapInPandas(join, _kinds(v.cubes, by) + "b_y int, b_x int, b_z int, low array<int>, shape array<int>, data binary")
 
 
-def filtered(v: Volume, halo: int, how: Callable[[np.ndarray], np.ndarray]) -> Volume:
-    """The volume after how (an array to one of its shape), each cube by itself with its halo."""
+def filtered(v: Volume, halo: int, how: Callable[[np.ndarray], np.ndarray], absent: float = 0.0) -> Volume:
+    """The volume after how (an array to one of its shape), each cube by itself with
+    its halo; absent voxels are `absent` before it."""
     edge, by, size = v.edge, list(v.by), tuple(v.size or ())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,7 +258,63 @@ def filtered(v: Volume, halo: int, how: Callable[[np.ndarray], np.ndarray]) -> V
                 data.append(cube.tobytes())
             yield b[[*by, *PLACE]].assign(value=data)
 
-    return Volume(halo_cubes(v, halo).mapInPandas(run, _kinds(v.cubes, by) + "b_y int, b_x int, b_z int, value binary"), edge, v.by, v.size)
+    return Volume(halo_cubes(v, halo, absent).mapInPandas(run, _kinds(v.cubes, by) + "b_y int, b_x int, b_z int, value binary"), edge, v.by, v.size)
+
+
+def _windowed_rank(a: np.ndarray, r: int, axes: Sequence[int], rank: float) -> np.ndarray:
+    """Quantile, linear between neighbours, of the numbers in the window of +-r along
+    axes round each number; NaN where there is none, and NaN stays NaN."""
+    pads = [(r, r) if i in axes else (0, 0) for i in range(a.ndim)]
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(a, pads, constant_values=np.nan), [2 * r + 1] * len(axes), axis=tuple(axes))
+    out = np.full(a.shape, np.nan)
+    for i in range(a.shape[0]):  # a slab's windows at a time
+        flat = np.sort(windows[i].reshape(*a.shape[1:], -1), axis=-1)  # NaN last
+        n = (~np.isnan(flat)).sum(-1)
+        at = np.maximum(n - 1, 0) * rank
+        low = np.floor(at).astype(int)
+        take = lambda k: np.take_along_axis(flat, k[..., None], -1)[..., 0]  # noqa: B023, E731
+        a0, a1 = take(low), take(np.minimum(low + 1, np.maximum(n - 1, 0)))
+        out[i] = a0 + (a1 - a0) * (at - low)
+    return np.where(np.isnan(a), np.nan, out)
+
+
+def rank_filter(v: Volume, r: int, rank: float = 0.5, axes: Sequence[str] = ("y", "x")) -> Volume:
+    """The median, or another rank, of the present voxels in the window of +-r along
+    axes: stencil.median_filter on cubes, without a row for each neighbour."""
+    along = [AXES.index(a) for a in axes]
+    return filtered(v, r, lambda a: _windowed_rank(a, r, along, rank), float("nan"))
+
+
+def candidate_views(cells: DataFrame, v: Volume, half: int, key: str = "cell_id") -> DataFrame:
+    """(key, view_yx, view_zx, view_zy array<double>): greatest-value projections of
+    the box of +-half round each cell (by, y, x, z), rows of (2 half + 1)^2 values in
+    order of the view's first axis, voxels outside the volume and absent ones 0. Cells go
+    to the halo cube that they lie in, so a voxel is never a row. Cells without a place are left out."""
+    edge, by, side = v.edge, list(v.by), 2 * half + 1
+    halos = halo_cubes(v, half, every=True)
+    at = cells.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in by), *(F.round(F.col(a), 0).cast("int").alias(f"_{a}") for a in AXES)).where("_y is not null and _x is not null and _z is not null")
+    at = at.withColumns({f"_{p}": F.floor((F.col(f"_{a}") - 1) / edge).cast("int") for a, p in zip(AXES, PLACE)})
+    names = ["view_yx", "view_zx", "view_zy"]
+
+    def views(_, here: pd.DataFrame, cube: pd.DataFrame) -> pd.DataFrame:
+        data = low = None
+        if len(cube):
+            data, low = np.frombuffer(cube["data"].iloc[0]).reshape(cube["shape"].iloc[0]), cube["low"].iloc[0]
+        out = []
+        for cell, *centre in here[["_key", "_y", "_x", "_z"]].itertuples(index=False, name=None):
+            box = np.zeros((side,) * 3)
+            if data is not None:
+                first = [c - half - a for c, a in zip(centre, low)]
+                src = tuple(slice(max(0, f), max(0, min(n, f + side))) for f, n in zip(first, data.shape))
+                to = tuple(slice(s.start - f, s.start - f + max(0, s.stop - s.start)) for s, f in zip(src, first))
+                box[to] = data[src]
+            # Of y, x, z: along z for (y, x), along y for (z, x), along x for (z, y).
+            out.append((cell, box.max(2).ravel().tolist(), box.max(0).T.ravel().tolist(), box.max(1).T.ravel().tolist()))
+        return pd.DataFrame(out, columns=[key, *names])
+
+    kind = cells.schema[key].dataType.simpleString()
+    groups = at.groupBy(*(f"_{c}" for c in [*by, *PLACE])).cogroup(halos.groupBy(*by, *PLACE))
+    return groups.applyInPandas(views, f"`{key}` {kind}, " + ", ".join(f"{n} array<double>" for n in names))
 
 
 def cube_quantile(cubes: DataFrame, q: float) -> float | None:

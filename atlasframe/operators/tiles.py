@@ -182,24 +182,48 @@ def plane_tiles(planes: DataFrame, options: Detection = Detection(), by: Sequenc
     return planes.select(*by, "z", "ny", "nx", "data").mapInPandas(cut, f"{kinds}, tz int, ty int, tx int, z int, y0 int, x0 int, ny int, nx int, data binary")
 
 
+def cells_of_pieces(pieces: pd.DataFrame, head: pd.Series, options: Detection, by: Sequence[str]) -> pd.DataFrame:
+    """The cells of one halo tile (head: by, tz, ty, tx) from its pieces of planes."""
+    low = {"z": int(pieces["z"].min()), "y": int(pieces["y0"].min()), "x": int(pieces["x0"].min())}
+    dense = np.zeros((int(pieces["z"].max()) - low["z"] + 1, int(pieces["ny"].max()), int(pieces["nx"].max())))
+    for row in pieces.itertuples(index=False):
+        dense[row.z - low["z"], : row.ny, : row.nx] = np.frombuffer(row.data, "<u2").reshape(row.ny, row.nx)
+    return _own_cells(dense, low, head, options, by)
+
+
 def detect_cells_in_planes(planes: DataFrame, options: Detection = Detection(), by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
     """detect_cells_3d from raw planes: a tile's pieces are stacked in one task; planes
     that are missing between two others are empty."""
 
-    columns = [*by, "x", "y", "z", "intensity", "diameter", "elongation"]
-
     def detect(pdf: pd.DataFrame) -> pd.DataFrame:
         if not ((pdf["z"] - 1) // options.nz == pdf["tz"]).any():
-            return pd.DataFrame(columns=columns)
-        low = {"z": int(pdf["z"].min()), "y": int(pdf["y0"].min()), "x": int(pdf["x0"].min())}
-        dense = np.zeros((int(pdf["z"].max()) - low["z"] + 1, int(pdf["ny"].max()), int(pdf["nx"].max())))
-        for row in pdf.itertuples(index=False):
-            dense[row.z - low["z"], : row.ny, : row.nx] = np.frombuffer(row.data, "<u2").reshape(row.ny, row.nx)
-        return _own_cells(dense, low, pdf.iloc[0], options, by)
+            return pd.DataFrame(columns=[*by, "x", "y", "z", "intensity", "diameter", "elongation"])
+        return cells_of_pieces(pdf, pdf.iloc[0], options, by)
 
     return plane_tiles(planes, options, by).groupBy(*by, "tz", "ty", "tx").applyInPandas(detect, _cell_columns(planes, by))
 
 
+def planes_of(voxels: DataFrame, ny: int, nx: int, by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
+    """Planes (by, z, ny, nx, data uint16) of rows (by, y, x, z, value): values rounded
+    and held in 0..65535, voxels that are not there 0, rows outside ny x nx left out."""
+    at = ((F.col("y") - 1) * nx + F.col("x") - 1).cast("int")
+    level = F.least(F.greatest(F.round("value", 0), F.lit(0.0)), F.lit(65535.0)).cast("int")
+    inside = voxels.where(F.col("y").between(1, ny) & F.col("x").between(1, nx))
+    lists = inside.groupBy(*by, "z").agg(F.collect_list(F.struct(at.alias("at"), level.alias("v"))).alias("v"))  # a plane's pixels
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = []
+            for entries in b["v"]:
+                plane = np.zeros(ny * nx, "<u2")
+                plane[[e["at"] for e in entries]] = [e["v"] for e in entries]
+                data.append(plane.tobytes())
+            yield b[[*by, "z"]].assign(ny=ny, nx=nx, data=data)
+
+    kinds = "".join(f"{c} {lists.schema[c].dataType.simpleString()}, " for c in [*by, "z"])
+    return lists.mapInPandas(dense, f"{kinds}ny int, nx int, data binary")
+
+
 def plane_voxels(planes: DataFrame, by: Sequence[str] = ("sample_id", "channel"), above: int = 0) -> DataFrame:
     """(by, y, x, z, value) of the voxels of planes that are greater than above."""
 

@@ -140,7 +140,7 @@ def s19_region_cell_counts(s, d):
 # Projections, filters, predicates
 
 
-@query("select point_id, round((23 * 2.0 - (y - 1) * 2.0) / 20 * 0 + (39 * 2.0 - (y - 1) * 2.0) / 20, 4) as x, round((x - 1) * 3.0 / 20, 4) as y, round((31 * 4.0 - (z - 1) * 4.0) / 20, 4) as z from points")
+@query("select point_id, round((23 * 2.0 - (y - 1) * 2.0) + (39 * 2.0 - (y - 1) * 2.0) / 20, 4) as x, round((x - 1) * 3.0 / 20, 4) as y, round((31 * 4.0 - (z - 1) * 4.0) / 20, 4) as z from points")
 def p1_to_registration_space(s, d):
     out = geometry.to_registration_space(fx.points(s, d), [3.0, 2.0, 4.0], XYZ_SIZE, [-2, 1, -3], 10.0)
     return rounded(out.select("point_id", "x", "y", "z"), ["x", "y", "z"])
@@ -456,8 +456,11 @@ def j23_locate_ids(s, d):
     return lookup.locate_ids(ids, s.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey as id", "p_partkey * 2 as pos"))
 
 
-@query("""select sample_id, channel, oy as y, ox as x, oz as z, round(sum(w * value), 6) as value from (select sample_id, channel, y + gy.v as oy, x + gx.v as ox, z as oz, (case when gy.v = 1 then 0.75 else 0.25 end) * (case when gx.v = 1 then 0.5 else 0.5 end) as w, value
-from voxels, (values (1), (2)) gy(v), (values (0), (1)) gx(v)) where oy between 1 and 40 and ox between 1 and 24 group by all""")
+J24_SQL = """select sample_id, channel, oy as y, ox as x, oz as z, round(sum(w * value), 6) as value from (select sample_id, channel, y + gy.v as oy, x + gx.v as ox, z as oz, (case when gy.v = 1 then 0.75 else 0.25 end) * (case when gx.v = 1 then 0.5 else 0.5 end) as w, value
+from voxels, (values (1), (2)) gy(v), (values (0), (1)) gx(v)) where oy between 1 and 40 and ox between 1 and 24 group by all"""
+
+
+@query(J24_SQL)
 def j24_warp_volume(s, d):
     move = [[1, 0, 0, 1.25], [0, 1, 0, 0.5], [0, 0, 1, 0], [0, 0, 0, 1]]
     return rounded(lookup.warp_volume(fx.voxels(s, d), move, SIZE), ["value"], 6)
@@ -769,7 +772,7 @@ def u4_intersect_ids(s, d):
     return regions.intersect_ids(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 5 = 0"), "o_custkey")
 
 
-@query("""select point_id, cast(round(x) as bigint) as f1_round, cast(round(y) + (round(x) - 1) * 40 + (round(z) - 1) * 960 as bigint) as f2_index, round(atan2(sin(x - y), cos(x - y)), 4) as f3_circ, round(cbrt(z * 6 / pi()), 4) as f4_diameter, case when x > 20 then 1 + (x - 20) / 18 * 254 else 1 end * 0 + round((x - 1) / 39 * 254 + 1, 4) as f17_scaled from points""")
+@query("""select point_id, cast(round(x) as bigint) as f1_round, cast(round(y) + (round(x) - 1) * 40 + (round(z) - 1) * 960 as bigint) as f2_index, round(atan2(sin(x - y), cos(x - y)), 4) as f3_circ, round(cbrt(z * 6 / pi()), 4) as f4_diameter, round((x - 1) / 39 * 254 + 1, 4) as f17_scaled from points""")
 def f_scalar_functions(s, d):
     p = fx.points(s, d)
     out = p.select("point_id", fn.round_away("x").alias("f1_round"), fn.sub2ind(SIZE, fn.round_away("y"), fn.round_away("x"), fn.round_away("z")).alias("f2_index"), fn.circ_dist("x", "y").alias("f3_circ"), fn.equiv_diameter("z").alias("f4_diameter"), fn.scale_between("x", 1.0, 40.0, 1.0, 255.0).alias("f17_scaled"))
@@ -964,9 +967,12 @@ def j21_attach_labels(s, d):
     return lookup.attach_labels(e.select(F.col("vec_id").alias("cell_id")), e.select(F.col("vec_id").alias("cell_id"), F.expr("nullif(label, 3)").alias("label")))
 
 
-@query(""", src as (select g.y as oy, g.x as ox, g.z as oz, g.x - coalesce(dx, 0) as sx, g.y - coalesce(dy, 0) as sy, g.z - coalesce(dz, 0) as sz from grid g left join field f on f.i = g.x and f.j = g.y and f.k = g.z),
+J25_SQL = """, src as (select g.y as oy, g.x as ox, g.z as oz, g.x - coalesce(dx, 0) as sx, g.y - coalesce(dy, 0) as sy, g.z - coalesce(dz, 0) as sz from grid g left join field f on f.i = g.x and f.j = g.y and f.k = g.z),
 corner as (select oy, ox, oz, floor(sx) + cx.v as x, floor(sy) + cy.v as y, floor(sz) + cz.v as z, (case when cx.v = 1 then sx - floor(sx) else 1 - sx + floor(sx) end) * (case when cy.v = 1 then sy - floor(sy) else 1 - sy + floor(sy) end) * (case when cz.v = 1 then sz - floor(sz) else 1 - sz + floor(sz) end) as w from src, (values (0), (1)) cx(v), (values (0), (1)) cy(v), (values (0), (1)) cz(v))
-select sample_id, channel, oy as y, ox as x, oz as z, round(sum(w * value), 5) as value from corner c join voxels v on v.y = c.y and v.x = c.x and v.z = c.z where w > 0 group by all""")
+select sample_id, channel, oy as y, ox as x, oz as z, round(sum(w * value), 5) as value from corner c join voxels v on v.y = c.y and v.x = c.x and v.z = c.z where w > 0 group by all"""
+
+
+@query(J25_SQL)
 def j25_warp_volume_field(s, d):
     one = [[float(i == k) for k in range(4)] for i in range(4)]
     return rounded(lookup.warp_volume_field(fx.voxels(s, d), fx.field(s, d), one, SIZE), ["value"], 5)
@@ -1199,24 +1205,12 @@ def a4_flip_decision(s, d):
     return rounded(found.select("slice", "flipped", "error"), ["error"])
 
 
-@query("select slice, 1.0 as m0, 0.0 as m1, 0.0 as m2, 1.0 as m4, 0.0 as m5, 0.0 as error from points group by 1 having count(*) >= 10")
-def a5_refine_per_slice(s, d):
-    p = fx.points(s, d).select("slice", "x", "y")
-    found = align.refine_per_slice(p.select("slice", (F.col("x") + 0.01).alias("x"), "y"), p.select("slice", (F.col("x") + 0.01).alias("x"), "y"))
-    return rounded(found.select("slice", *(F.get("m", F.lit(i)).alias(f"m{i}") for i in (0, 1, 2, 4, 5)), "error"), ["m0", "m1", "m2", "m4", "m5", "error"])
-
-
-@query("select 2.0 as offset_at, count(*) as n from (select z from points group by 1 having count(*) >= 20)")
-def a3_best_offset(s, d):
-    p = fx.points(s, d)
-    slices = p.select(F.col("z").cast("string").alias("slice"), (F.col("z") - 2).alias("pos"), "x", "y")
-    found = align.best_offset(slices, p, [0.0, 1.0, 2.0, 3.0], 0.4, 20)
-    return found.where("round(error, 6) = 0").select(F.col("offset").alias("offset_at"), "n")
-
-
 @query("select slice, point_id, round(2.0 * row_number() over (partition by slice order by point_id) + 1, 3) as v from points")
 def w17_smooth_path(s, d):
     w = Window.partitionBy("slice").orderBy("point_id")
     p = fx.points(s, d).select("slice", "point_id", F.row_number().over(w).alias("r"))
     path = p.select("slice", "point_id", F.when(F.col("r") % 3 == 1, 2.0 * F.col("r") + 1).alias("v"))
     return rounded(series.smooth_path(path, "slice", "point_id", ["v"], 0.5), ["v"], 3)
+
+
+from atlasframe.plans import jobs  # noqa: E402, F401  (registers its queries)

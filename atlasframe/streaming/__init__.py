@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atlasframe.operators.tiles import Detection, cells_of_pieces, plane_tiles
+
 
 def detection_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Detections and mean value per sample and tumbling window; rows later than `late` are dropped."""
@@ -52,6 +56,46 @@ def plane_files(spark: SparkSession, folder: str, ny: int, nx: int, sample_id: s
     return planes.select(F.lit(sample_id).alias("sample_id"), F.lit(channel).alias("channel"), number.alias("z"), F.lit(ny).alias("ny"), F.lit(nx).alias("nx"), F.col("content").alias("data"))
 
 
+def stream_cells(planes: DataFrame, n_planes: int, options: Detection = Detection(), by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
+    """The cells of a stream of planes (by, z, ny, nx, data) of an acquisition of n_planes
+    planes, as tiles.detect_cells_in_planes finds them in all planes at once.
+
+    State is kept for each halo tile: the pieces of planes that have come, in any
+    order and over any batches, a repeated one once. When the last piece of a tile with its halo
+    is there the tile is searched, its cells leave and its pieces are dropped; so
+    state holds the tiles that the acquisition is in, and no cell is cut by a batch.
+    A tile of which a plane never comes is never searched. Works on a batch as well.
+    """
+    nz, hz = options.nz, options.halo[0]
+    columns = [*by, "x", "y", "z", "intensity", "diameter", "elongation"]
+    keys = [*by, "tz", "ty", "tx"]
+
+    def gather(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tz = key[len(by)]
+        wanted = set(range(max(1, tz * nz + 1 - hz), min(n_planes, (tz + 1) * nz + hz) + 1))
+        have = dict(zip(*state.get)) if state.exists else {}
+        done = have.get(0) is not None
+        for b in batches:
+            for row in b.itertuples(index=False):
+                have.setdefault(row.z, struct.pack("<4i", row.y0, row.x0, row.ny, row.nx) + row.data)
+        if done or not wanted <= have.keys():
+            if not done:
+                state.update((list(have), list(have.values())))
+            return
+        state.update(([0], [b""]))  # searched: pieces that come again change nothing
+        if tz * nz + 1 > n_planes:
+            return
+        pieces = [(z, *struct.unpack_from("<4i", have[z]), have[z][16:]) for z in sorted(wanted)]
+        found = cells_of_pieces(pd.DataFrame(pieces, columns=["z", "y0", "x0", "ny", "nx", "data"]), pd.Series(dict(zip(keys, key))), options, by)
+        if len(found):
+            yield found[columns]
+
+    pieces = plane_tiles(planes, options, by)
+    kinds = ", ".join(f"{c} {planes.schema[c].dataType.simpleString()}" for c in by)
+    out = f"{kinds}, x double, y double, z double, intensity double, diameter double, elongation double"
+    return pieces.groupBy(*keys).applyInPandasWithState(gather, out, "zs array<int>, pieces array<binary>", "append", "NoTimeout")
+
+
 def stream_planes(planes: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, late: str | None = None):
     """Start a query that runs job on each batch of planes and appends its rows as
     Parquet; the batch number in the path makes a repeated batch overwrite itself."""

@@ -897,3 +897,51 @@ def test_tracing_from_display_space(spark):
     got = {q["depth"]: q["median"] for q in depth.collect()}
     assert abs(got[0.0] - 40) < 1.5 and abs(got[5.0] - 45) < 1.5
     assert {q["region_id"] for q in under.collect()} >= {4}
+
+
+def test_views_from_cubes_equal_those_of_voxels(spark):
+    r = np.random.default_rng(6)
+    v = _mask(spark, r.random((9, 8, 10)) < 0.5).unionByName(_mask(spark, r.random((9, 8, 10)) < 0.03, ("T", 2)))
+    rows = [(i, s, c, float(r.uniform(0.6, 9)), float(r.uniform(0.6, 8)), float(r.uniform(0.6, 10))) for i, (s, c) in enumerate([("S", 1)] * 25 + [("T", 2)] * 25 + [("U", 1)] * 2)] + [(90, "S", 1, None, 1.0, 1.0), (91, "S", 1, -30.0, 4.0, 4.0)]
+    cells = spark.createDataFrame(rows, "cell_id int, sample_id string, channel int, y double, x double, z double")
+    long = {(q["cell_id"], q["view"], q["u"], q["v"]): q["value"] for q in tiles.candidate_views(cells.where("y is not null"), v, 2).collect()}
+    for edge in (4, 16):
+        got = {}
+        for q in blocks.candidate_views(cells.repartition(3), blocks.volume(v, edge, size=(9, 8, 10)), 2).collect():
+            for view in ("yx", "zx", "zy"):
+                for k, value in enumerate(q[f"view_{view}"]):
+                    got[q["cell_id"], view, k // 5 - 2, k % 5 - 2] = value
+        assert got == long
+
+
+def test_rank_filters_of_cubes_equal_those_of_voxels(spark):
+    v = _mask(spark, np.random.default_rng(3).random((9, 8, 7)) < 0.6)
+    for r, rank, axes in ((1, 0.5, ("y", "x")), (2, 0.3, ("y", "x", "z"))):
+        want = stencil.median_filter(v, r, [c for c in ("sample_id", "channel", "z") if c not in axes], axes, rank)
+        _same_rows(want, blocks.rank_filter(blocks.volume(v, 4, size=(9, 8, 7)), r, rank, axes).voxels())
+
+
+@pytest.mark.parametrize("per_batch", [1, 5])
+def test_a_stream_of_planes_finds_the_cells_of_the_batch(spark, tmp_path, per_batch):
+    """Planes in an order of their own, some twice, in batches that cut every cell."""
+    r = np.random.default_rng(2)
+    a = r.integers(90, 110, (14, 48, 52)).astype(float)
+    z, y, x = np.indices(a.shape)
+    for cz, cy, cx in ((4, 12, 12), (5, 30, 40), (9, 20, 25), (10, 38, 10)):
+        a += 900 * np.exp(-((z - cz) ** 2 + (y - cy) ** 2 + (x - cx) ** 2) / 4)
+    options = tiles.Detection(2.0, 0.5, 0.25, 5, 32)
+    folder = tmp_path / "planes"
+    folder.mkdir()
+    for k in r.permutation(14):
+        (folder / f"p_{k + 1:03d}.raw").write_bytes(a[k].astype("<u2").tobytes())
+    for k in (3, 8):
+        (folder / f"again_{k:03d}.raw").write_bytes(a[k - 1].astype("<u2").tobytes())
+    (folder / "part_099.raw").write_bytes(b"short")
+    planes = streaming.plane_files(spark, str(folder), 48, 52, "S", 1, per_batch)
+    cells = streaming.stream_cells(planes, 14, options)
+    out = str(tmp_path / "cells")
+    cells.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
+    batch = spark.createDataFrame([("S", 1, k + 1, 48, 52, p.astype("<u2").tobytes()) for k, p in enumerate(a)], "sample_id string, channel int, z int, ny int, nx int, data binary")
+    key = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in q) for q in df.collect())
+    want = key(tiles.detect_cells_in_planes(batch, options))
+    assert len(want) >= 4 and key(spark.read.parquet(out)) == want
