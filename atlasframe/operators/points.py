@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from atlasframe.operators import blocks
 from atlasframe.operators.clean import annotation_boundary, edge_margin
+from atlasframe.operators.quantiles import group_quantiles
+from atlasframe.operators.spatial import denoise_points
 from atlasframe.operators.stats import sample_fraction, sample_per_group
 from atlasframe.operators.stencil import gradient_magnitude, local_std
 from atlasframe.operators.tiles import bandpass
@@ -19,18 +21,21 @@ VOXEL = ("y", "x", "z")
 
 
 def _above_quantile(rows: DataFrame, value: str, q: float, by: Sequence[str]) -> DataFrame:
-    limit = rows.groupBy(*by).agg(F.percentile(value, F.lit(q)).alias("_l"))
+    limit = group_quantiles(rows, by, value, {"_l": q})
     return rows.join(limit, list(by)).where(F.col(value) > F.col("_l")).drop("_l")
 
 
-def extract_points_gradient(voxels: DataFrame, threshold: float, size: Sequence[int], by: Sequence[str], share: float = 0.1) -> DataFrame:
+def extract_points_gradient(voxels: DataFrame, threshold: float, size: Sequence[int], by: Sequence[str], share: float = 0.1, neighbours: int = 0, width: float = 4.0) -> DataFrame:
     """Voxels whose gradient per intensity is above threshold and whose intensity is
-    above twice the 5 % quantile of their third of the volume, away from the edge, thinned."""
+    above twice the 5 % quantile of their third of the volume, away from the edge,
+    thinned; with `neighbours`, without those whose mean distance to so many nearest
+    ones of all groups is more than a deviation above the mean (see spatial.denoise_points)."""
     rows = gradient_magnitude(voxels, by).withColumn("_t", F.floor((F.col("z") - 1) * 3 / size[2]))
-    floor = rows.groupBy(*by, "_t").agg((2 * F.percentile("value", F.lit(0.05))).alias("_f"))
+    floor = group_quantiles(rows, [*by, "_t"], "value", {"_q": 0.05}).select(*by, "_t", (2 * F.col("_q")).alias("_f"))
     hit = rows.join(floor, [*by, "_t"]).where((F.col("value") > F.col("_f")) & (F.col("gradient") > threshold * F.col("value"))).drop("_t", "_f")
     hit = edge_margin(hit, size, cols=VOXEL).withColumn("_k", F.xxhash64(*by, *VOXEL))
-    return sample_fraction(hit, share, "_k").drop("_k")
+    thin = sample_fraction(hit, share, "_k")
+    return (denoise_points(thin.checkpoint(), neighbours, width, "_k", VOXEL) if neighbours else thin).drop("_k")
 
 
 def extract_points_std(voxels: DataFrame, r: int, q: float, by: Sequence[str], share: float = 1.0) -> DataFrame:

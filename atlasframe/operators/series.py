@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
+
+from atlasframe.functions import matmul
 
 
 def moving_median(series: DataFrame, r: int, by: Sequence[str], order: str, value: str, out: str = "median") -> DataFrame:
@@ -68,17 +73,38 @@ def unwrap_angle(series: DataFrame, by: Sequence[str], order: str, angle: str) -
 
 
 def compose_along(transforms: DataFrame, by: Sequence[str], order: str, m: str = "m", n: int = 4) -> DataFrame:
-    """Running product of each group's matrices (row-major arrays) in order. A
-    sample's slices are a few thousand and are one task, which multiplies each once."""
+    """Running product of each group's matrices (row-major arrays) in order. Rows are
+    dealt by ranges of (by, order), as many as the shuffle has partitions; each range
+    multiplies its own matrices, the products of whole ranges, one a group and range, are multiplied up,
+    and each row then takes what stands before its range. So a series of any length is
+    many tasks, and rows of one place in the order (ties) come in any order."""
+
+    def product(a: np.ndarray, b) -> np.ndarray:
+        return a @ np.asarray(b, float).reshape(n, n)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, now, out = pdf.sort_values(order), np.eye(n), []
         for x in pdf[m]:
-            now = now @ np.asarray(x, float).reshape(n, n)
+            now = product(now, x)
             out.append(now.ravel().tolist())
-        return pdf.assign(**{m: out})
+        return pdf.assign(**{m: out, "_last": np.arange(len(out)) == len(out) - 1})
 
-    return transforms.groupBy(*by).applyInPandas(run, transforms.schema)
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, now, out = pdf.sort_values("_part"), np.eye(n), []
+        for x in pdf["_all"]:
+            out.append(now.ravel().tolist())
+            now = product(now, x)
+        return pdf.assign(_before=out)[[*by, "_part", "_before"]]
+
+    spark = transforms.sparkSession
+    dealt = transforms.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by, order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    own = dealt.groupBy(*by, "_part").applyInPandas(within, StructType([*dealt.schema.fields, StructField("_last", BooleanType())])).checkpoint()
+    keys = [transforms.schema[c] for c in by]
+    ends = own.where("_last").select(*by, "_part", F.col(m).alias("_all"))
+    # A row for each group and range that holds rows of it.
+    ahead = ends.groupBy(*by).applyInPandas(before, StructType([*keys, StructField("_part", IntegerType()), StructField("_before", ArrayType(DoubleType()))]))
+    met = own.join(ahead.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)}).withColumnRenamed("_part", "_at"), (F.col("_part") == F.col("_at")) & reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)), F.lit(True)))
+    return met.withColumn(m, matmul(F.col("_before"), F.col(m), n)).select(*transforms.columns)
 
 
 def _five_diagonals(main: np.ndarray, one: np.ndarray, two: np.ndarray, right: np.ndarray) -> np.ndarray:

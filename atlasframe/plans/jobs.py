@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from atlasframe import sources
 from atlasframe.operators import align, blocks, clean, points, sections, spatial, stats, stencil, tiles
 from atlasframe.plans import fixtures as fx
-from atlasframe.plans.queries import BY, J24_SQL, J25_SQL, NX, NY, SIZE, query, rounded
+from atlasframe.plans.queries import BY, J24_SQL, J25_SQL, MATRIX, NX, NY, SCALED, SIZE, TURN, query, rounded
 
 IDENTITY = [[float(i == k) for k in range(4)] for i in range(4)]
 
@@ -61,6 +61,69 @@ def g27_fit_cylinders(s, d):
     return rounded(rounded(stats.fit_cylinders(_implants(s, d)), ["cx", "cy", "cz", "radius"], 3), ["nx", "ny", "nz"], 4)
 
 
+#: Pairs under a map, with noise that the rows' values give.
+_NOISE = [("u", "(value % 7 - 3) / 10"), ("v", "(value % 5 - 2) / 10"), ("w", "(value % 11 - 5) / 10")]
+
+
+def _noisy(m) -> str:
+    at = [f"{m[i][0]} * x + {m[i][1]} * y + {m[i][2]} * z + {m[i][3]} + {e} as {n}" for i, (n, e) in enumerate(_NOISE)]
+    return f", pairs as (select point_id, x, y, z, {', '.join(at)} from points)"
+
+
+def _noisy_pairs(s, d, m) -> DataFrame:
+    at = [F.expr(f"{m[i][0]} * x + {m[i][1]} * y + {m[i][2]} * z + {m[i][3]} + {e}").alias(n) for i, (n, e) in enumerate(_NOISE)]
+    return fx.points(s, d).select("point_id", "x", "y", "z", *at)
+
+
+def _entries(s, m) -> DataFrame:
+    return s.createDataFrame([(i, k, round(float(v), 5) + 0.0) for i, row in enumerate(m[:3]) for k, v in enumerate(row)], "i int, k int, value double")
+
+
+#: Least squares by the inverse of the 3 x 3 covariance of x, y, z.
+_AFFINE = """, c as (select avg(x) as mx, avg(y) as my, avg(z) as mz, covar_pop(x, x) as a, covar_pop(x, y) as b, covar_pop(x, z) as c, covar_pop(y, y) as d, covar_pop(y, z) as e, covar_pop(z, z) as f from pairs),
+inv as (select *, (d*f - e*e) / t as ia, (c*e - b*f) / t as ib, (b*e - c*d) / t as ic, (a*f - c*c) / t as id, (b*c - a*e) / t as ie, (a*d - b*b) / t as if_ from (select *, a * (d*f - e*e) - b * (b*f - c*e) + c * (b*e - c*d) as t from c)),
+long as (select 0 as i, x, y, z, u as o from pairs union all select 1, x, y, z, v from pairs union all select 2, x, y, z, w from pairs),
+sx as (select i, avg(o) as mo, covar_pop(x, o) as p, covar_pop(y, o) as q, covar_pop(z, o) as r from long group by 1),
+co as (select i, mo, mx, my, mz, ia*p + ib*q + ic*r as cx, ib*p + id*q + ie*r as cy, ic*p + ie*q + if_*r as cz from sx, inv)
+select i, k, round(case k when 0 then cx when 1 then cy when 2 then cz else mo - cx*mx - cy*my - cz*mz end, 5) + 0 as value from co, (values (0), (1), (2), (3)) as kk(k)"""
+
+#: The best turn by the greatest eigenvector of the 4 x 4 matrix of covariances (powers by squaring).
+_TURN = """, s as (select avg(x) as mx, avg(y) as my, avg(z) as mz, avg(u) as mu, avg(v) as mv, avg(w) as mw, covar_pop(x, u) as xx, covar_pop(x, v) as xy, covar_pop(x, w) as xz, covar_pop(y, u) as yx, covar_pop(y, v) as yy, covar_pop(y, w) as yz,
+  covar_pop(z, u) as zx, covar_pop(z, v) as zy, covar_pop(z, w) as zz, var_pop(x) + var_pop(y) + var_pop(z) as spread from pairs),
+n as (select [xx + yy + zz, yz - zy, zx - xz, xy - yx, yz - zy, xx - yy - zz, xy + yx, zx + xz, zx - xz, xy + yx, yy - xx - zz, yz + zy, xy - yx, zx + xz, yz + zy, zz - xx - yy] as m from s),
+pw as (select 0 as step, list_transform(range(16), lambda i: (m[i + 1] + case when i % 5 = 0 then l else 0 end) / l) as p from (select m, sqrt(list_sum(list_transform(m, lambda v: v * v))) as l from n)
+  union all select step + 1, list_transform(q, lambda v: v / (q[1] + q[6] + q[11] + q[16])) from (select step, list_transform(range(16), lambda i: list_sum(list_transform(range(4), lambda k: p[4 * (i // 4) + k + 1] * p[4 * k + i % 4 + 1]))) as q from pw where step < 40)),
+col as (select list_transform(range(4), lambda k: p[4 * k + big]) as v from (select p, case when p[1] >= p[6] and p[1] >= p[11] and p[1] >= p[16] then 1 when p[6] >= p[11] and p[6] >= p[16] then 2 when p[11] >= p[16] then 3 else 4 end as big from pw where step = 40)),
+q as (select list_transform(v, lambda t: t / sqrt(list_sum(list_transform(v, lambda o: o * o)))) as q from col),
+r as (select [1 - 2 * (q[3]*q[3] + q[4]*q[4]), 2 * (q[2]*q[3] - q[1]*q[4]), 2 * (q[2]*q[4] + q[1]*q[3]), 2 * (q[2]*q[3] + q[1]*q[4]), 1 - 2 * (q[2]*q[2] + q[4]*q[4]), 2 * (q[3]*q[4] - q[1]*q[2]), 2 * (q[2]*q[4] - q[1]*q[3]), 2 * (q[3]*q[4] + q[1]*q[2]), 1 - 2 * (q[2]*q[2] + q[3]*q[3])] as r,
+  {scale} as scale, s.* from q, n, s),
+ij as (select i, k, case when k < 3 then scale * r[3 * i + k + 1] else [mu, mv, mw][i + 1] - scale * (r[3 * i + 1] * mx + r[3 * i + 2] * my + r[3 * i + 3] * mz) end as value from r, (values (0), (1), (2)) as ii(i), (values (0), (1), (2), (3)) as kk(k))
+select i, k, round(value, 5) + 0 as value from ij"""
+_SCALE = "list_sum(list_transform(range(16), lambda i: m[i + 1] * q[i // 4 + 1] * q[i % 4 + 1])) / spread"
+
+
+@query(_noisy(MATRIX) + _AFFINE)
+def g23_fit_affine(s, d):
+    return _entries(s, stats.fit_affine(_noisy_pairs(s, d, MATRIX)))
+
+
+@query(_noisy(SCALED) + _TURN.replace("{scale}", _SCALE))
+def g24_fit_similarity(s, d):
+    return _entries(s, stats.fit_similarity(_noisy_pairs(s, d, SCALED)))
+
+
+@query(_noisy(TURN) + _TURN.replace("{scale}", "1.0"))
+def g24_fit_rigid(s, d):
+    return _entries(s, stats.fit_rigid(_noisy_pairs(s, d, TURN)))
+
+
+@query(_noisy(MATRIX) + _AFFINE)
+def a7_live_fit(s, d):
+    pairs = _noisy_pairs(s, d, MATRIX).withColumn("view_id", F.lit(1))
+    side = lambda name, cols: pairs.select("view_id", F.col("point_id").alias("ordinal"), F.lit(name).alias("side"), *(F.col(c).alias(k) for c, k in zip(cols, "xyz")))
+    return _entries(s, align.live_fit(side("sample", "xyz").unionByName(side("atlas", "uvw")), None)[0])
+
+
 @query()
 def a9_trace_implants(s, d):
     """Regions below the bottom of each implant; the intensities below it are g28's."""

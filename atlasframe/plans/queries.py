@@ -120,27 +120,27 @@ def _full_stats(s, d):
     return n.join(v, ["region_id", "side"], "left").join(m.withColumnRenamed("median", "signal"), [*BY, "region_id", "side"], "left")
 
 
-@query(_STATS_SQL + """select channel, region_id, round(max(case when side = 'R' then signal end), 4) as right_side_intensity, round(max(case when side = 'L' then signal end), 4) as left_side_intensity,
+@query(_STATS_SQL + """select sample_id, channel, region_id, round(max(case when side = 'R' then signal end), 4) as right_side_intensity, round(max(case when side = 'L' then signal end), 4) as left_side_intensity,
 round(max(case when side = 'R' then volume end), 6) as right_side_volume, round(max(case when side = 'L' then volume end), 6) as left_side_volume, name
-from full_stats left join (select region_id, name from terms where term_set = 'substructure') using (region_id) where sample_id = 'S1' group by channel, region_id, name""")
+from full_stats left join (select region_id, name from terms where term_set = 'substructure') using (region_id) group by sample_id, channel, region_id, name""")
 def s18_region_intensities(s, d):
     names = fx.terms(s, d).where("term_set = 'substructure'").select("region_id", "name")
-    out = sources.region_intensities(_full_stats(s, d).where("sample_id = 'S1'"), names)
+    out = sources.region_intensities(_full_stats(s, d), names, BY)
     return rounded(rounded(out, ["right_side_intensity", "left_side_intensity"]), ["right_side_volume", "left_side_volume"], 6)
 
 
-@query(_STATS_SQL + """select channel, region_id, max(case when side = 'R' then n end) as right_side_count, max(case when side = 'L' then n end) as left_side_count,
+@query(_STATS_SQL + """select sample_id, channel, region_id, max(case when side = 'R' then n end) as right_side_count, max(case when side = 'L' then n end) as left_side_count,
 round(max(case when side = 'R' then volume end), 6) as right_side_volume, round(max(case when side = 'L' then volume end), 6) as left_side_volume, name
-from full_stats left join (select region_id, name from terms where term_set = 'substructure') using (region_id) where sample_id = 'S1' group by channel, region_id, name""")
+from full_stats left join (select region_id, name from terms where term_set = 'substructure') using (region_id) group by sample_id, channel, region_id, name""")
 def s19_region_cell_counts(s, d):
     names = fx.terms(s, d).where("term_set = 'substructure'").select("region_id", "name")
-    return rounded(sources.region_cell_counts(_full_stats(s, d).where("sample_id = 'S1'"), names), ["right_side_volume", "left_side_volume"], 6)
+    return rounded(sources.region_cell_counts(_full_stats(s, d), names, BY), ["right_side_volume", "left_side_volume"], 6)
 
 
 # Projections, filters, predicates
 
 
-@query("select point_id, round((23 * 2.0 - (y - 1) * 2.0) + (39 * 2.0 - (y - 1) * 2.0) / 20, 4) as x, round((x - 1) * 3.0 / 20, 4) as y, round((31 * 4.0 - (z - 1) * 4.0) / 20, 4) as z from points")
+@query("select point_id, round((39 * 2.0 - (y - 1) * 2.0) / 20, 4) as x, round((x - 1) * 3.0 / 20, 4) as y, round((31 * 4.0 - (z - 1) * 4.0) / 20, 4) as z from points")
 def p1_to_registration_space(s, d):
     out = geometry.to_registration_space(fx.points(s, d), [3.0, 2.0, 4.0], XYZ_SIZE, [-2, 1, -3], 10.0)
     return rounded(out.select("point_id", "x", "y", "z"), ["x", "y", "z"])
@@ -712,12 +712,14 @@ def w13_fill_nearest(s, d):
     return rounded(series.fill_nearest(_gaps(s, d), ["slice"], "point_id", "v"), ["v"])
 
 
-@query(_GAPS + "select slice, point_id, case when v is not null then round(v, 4) when p0 is not null and p1 is not null then round(v0 + (v1 - v0) / (p1 - p0) * (point_id - p0)) end as v from h where p0 is not null and p1 is not null")
+@query(_GAPS + """, k as (select slice, point_id as p, v, row_number() over (partition by slice order by point_id) as r, row_number() over (partition by slice order by point_id desc) as l, count(*) over (partition by slice) as n from h where v is not null),
+e as (select slice, max(n) as n, max(case when r = 1 then p end) as pa, max(case when r = 1 then v end) as va, max(case when r = 2 then p end) as pb, max(case when r = 2 then v end) as vb,
+  max(case when l = 2 then p end) as py, max(case when l = 2 then v end) as vy, max(case when l = 1 then p end) as pz, max(case when l = 1 then v end) as vz from k group by 1)
+select slice, point_id, case when h.v is not null then round(h.v, 4) when e.n < 4 or e.n is null then null when p0 is null then round(va + (vb - va) / (pb - pa) * (point_id - pa)) when p1 is null then round(vy + (vz - vy) / (pz - py) * (point_id - py))
+  else round(v0 + (v1 - v0) / (p1 - p0) * (point_id - p0)) end as v from h left join e using (slice)""")
 def w14_interpolate_slices(s, d):
-    g = _gaps(s, d)
-    inner = g.where("v is not null").groupBy("slice").agg(F.min("point_id").alias("a"), F.max("point_id").alias("b"))
-    out = series.interpolate_slices(g, ["slice"], "point_id", "v").join(inner, "slice").where("point_id between a and b")
-    return rounded(out.select("slice", "point_id", "v"), ["v"])
+    """All places, those beyond the known ones as well."""
+    return rounded(series.interpolate_slices(_gaps(s, d), ["slice"], "point_id", "v").select("slice", "point_id", "v"), ["v"])
 
 
 @query("select slice, point_id, round(a - 2 * pi() * sum(t) over (partition by slice order by point_id), 4) as a from (select *, coalesce(round((a - lag(a) over (partition by slice order by point_id)) / (2 * pi())), 0) as t from (select slice, point_id, (value % 628) / 100 - 3.14 as a from points))")
@@ -998,10 +1000,13 @@ def w9_gradient_magnitude(s, d):
     return rounded(stencil.gradient_magnitude(_flat(s, d), ["sample_id"], ("y", "z")).select("sample_id", "y", "z", "gradient"), ["gradient"])
 
 
-@query("select slice, point_id, round(sum(x) over (partition by slice order by point_id), 4) as shift from points")
+@query("""select slice, point_id, round(exp(sum(ln(k)) over w), 6) as scale, round(sum(shift * coalesce(before, 1)) over w, 4) as shift
+from (select *, exp(sum(ln(k)) over (partition by slice order by point_id rows between unbounded preceding and 1 preceding)) as before from (select slice, point_id, 1 + (x - 20) / 1000 as k, y as shift from points)) window w as (partition by slice order by point_id)""")
 def w16_compose_along(s, d):
-    m = fx.points(s, d).select("slice", "point_id", F.array(F.lit(1.0), F.col("x"), F.lit(0.0), F.lit(1.0)).alias("m"))
-    return rounded(series.compose_along(m, ["slice"], "point_id", n=2).select("slice", "point_id", F.get("m", F.lit(1)).alias("shift")), ["shift"])
+    """Scales and shifts, which do not commute."""
+    m = fx.points(s, d).select("slice", "point_id", F.array(1 + (F.col("x") - 20) / 1000, F.col("y"), F.lit(0.0), F.lit(1.0)).alias("m"))
+    found = series.compose_along(m, ["slice"], "point_id", n=2).select("slice", "point_id", F.get("m", F.lit(0)).alias("scale"), F.get("m", F.lit(1)).alias("shift"))
+    return rounded(rounded(found, ["shift"]), ["scale"], 6)
 
 
 @query("""select slice, point_id, round(median(y) over w, 4) as y, round(atan2(median(sin(x)) over w, median(cos(x)) over w), 4) as x from points window w as (partition by slice order by point_id rows between 2 preceding and 2 following)""")
@@ -1169,28 +1174,6 @@ def _pairs(s, d, m) -> DataFrame:
     return moved
 
 
-@query(_known(MATRIX))
-def g23_fit_affine(s, d):
-    return _matrix(s, stats.fit_affine(_pairs(s, d, MATRIX)))
-
-
-@query(_known(SCALED))
-def g24_fit_similarity(s, d):
-    return _matrix(s, stats.fit_similarity(_pairs(s, d, SCALED)))
-
-
-@query(_known(TURN))
-def g24_fit_rigid(s, d):
-    return _matrix(s, stats.fit_rigid(_pairs(s, d, TURN)))
-
-
-@query(_known(MATRIX))
-def a7_live_fit(s, d):
-    pairs = _pairs(s, d, MATRIX).withColumn("view_id", F.lit(1))
-    side = lambda name, cols: pairs.select("view_id", F.col("point_id").alias("ordinal"), F.lit(name).alias("side"), *(F.col(c).alias(k) for c, k in zip(cols, "xyz")))
-    return _matrix(s, align.live_fit(side("sample", "xyz").unionByName(side("atlas", "uvw")), None)[0])
-
-
 @query(_known(SHIFT, "customer"))
 def a1_icp(s, d):
     c = _cloud(s, d, "customer", "c_custkey")

@@ -184,16 +184,16 @@ def transforms_from_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "kind", m.alias("m"))
 
 
-def region_intensities(stats: DataFrame, names: DataFrame) -> DataFrame:
-    """Report rows (channel, name, region_id, right and left intensity and volume) from (channel, region_id, side, signal, volume)."""
+def region_intensities(stats: DataFrame, names: DataFrame, by: Sequence[str] = ("channel",)) -> DataFrame:
+    """Report rows (by, name, region_id, right and left intensity and volume) from (channel, region_id, side, signal, volume)."""
     at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    wide = stats.groupBy("channel", "region_id").agg(at("R", "signal").alias("right_side_intensity"), at("L", "signal").alias("left_side_intensity"), at("R", "volume").alias("right_side_volume"), at("L", "volume").alias("left_side_volume"))
+    wide = stats.groupBy(*by, "region_id").agg(at("R", "signal").alias("right_side_intensity"), at("L", "signal").alias("left_side_intensity"), at("R", "volume").alias("right_side_volume"), at("L", "volume").alias("left_side_volume"))
     return wide.join(names, "region_id", "left")
 
 
-def region_cell_counts(stats: DataFrame, names: DataFrame) -> DataFrame:
+def region_cell_counts(stats: DataFrame, names: DataFrame, by: Sequence[str] = ("channel",)) -> DataFrame:
     at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    wide = stats.groupBy("channel", "region_id").agg(at("R", "n").alias("right_side_count"), at("L", "n").alias("left_side_count"), at("R", "volume").alias("right_side_volume"), at("L", "volume").alias("left_side_volume"))
+    wide = stats.groupBy(*by, "region_id").agg(at("R", "n").alias("right_side_count"), at("L", "n").alias("left_side_count"), at("R", "volume").alias("right_side_volume"), at("L", "volume").alias("left_side_volume"))
     return wide.join(names, "region_id", "left")
 
 
