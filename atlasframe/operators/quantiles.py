@@ -17,7 +17,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, quant
     v = F.col(value) if isinstance(value, str) else value
     counts = df.select(*by, v.cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counts.withColumn("_upto", F.sum("_c").over(order)).join(counts.groupBy(*by).agg(F.sum("_c").alias("_n")), list(by))
+    rows = counts.withColumns({"_upto": F.sum("_c").over(order), "_n": F.sum("_c").over(Window.partitionBy(*by))})
     out = []
     for name, q in quantiles.items():
         at = (F.col("_n") - 1) * F.lit(float(q))

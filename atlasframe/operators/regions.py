@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.operators.clean import exclude_divisions, side_of
+from atlasframe.operators.quantiles import group_quantiles
 
 
 def _filled(stats: DataFrame, regions: DataFrame, by: Sequence[str], sides: Sequence[str], cols: Sequence[str], fill) -> DataFrame:
@@ -41,7 +42,7 @@ def region_volumes(labels: DataFrame, voxel_mm: float, nz: int | None = None) ->
 def region_medians(voxels: DataFrame, labels: DataFrame, nz: int, by: Sequence[str] = ("sample_id", "channel"), regions: DataFrame | None = None, fill: float | None = 0.0) -> DataFrame:
     """Median intensity per region and side; that of region 0 is the side's background level."""
     rows = voxels.join(labels, ["y", "x", "z"]).withColumn("side", side_of("z", nz))
-    stats = rows.groupBy(*by, "region_id", "side").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    stats = group_quantiles(rows, [*by, "region_id", "side"], "value", {"median": 0.5})
     return _filled(stats, labels if regions is None else regions, by, ["L", "R"], ["median"], fill)
 
 
@@ -68,7 +69,7 @@ def segment_join(rows: DataFrame, segments: DataFrame, axis: str = "z") -> DataF
 def region_segment_medians(voxels: DataFrame, labels: DataFrame, segments: DataFrame, by: Sequence[str] = ("sample_id", "channel")) -> DataFrame:
     """Median by region and segment, and relative to region 0 of that segment."""
     rows = segment_join(voxels.join(labels, ["y", "x", "z"]), segments)
-    med = rows.groupBy(*by, "region_id", "segment").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    med = group_quantiles(rows, [*by, "region_id", "segment"], "value", {"median": 0.5})
     base = med.where("region_id = 0").select(*by, "segment", F.col("median").alias("_b"))
     return med.join(base, [*by, "segment"], "left").withColumn("relative", F.when(F.col("_b") != 0, (F.col("median") - F.col("_b")) / F.col("_b"))).drop("_b")
 
@@ -145,7 +146,7 @@ def join_by_name_unique(terms: DataFrame, external: DataFrame, name: str = "name
 def midline_distance(labels: DataFrame, nz: int, voxel_mm: float) -> DataFrame:
     """Median lateral place of each region's right half, as mm from the midline."""
     right = labels.where(F.col("z") <= nz / 2)
-    return right.groupBy("region_id").agg(((nz / 2 - F.percentile("z", F.lit(0.5))) * voxel_mm).alias("distance"))
+    return group_quantiles(right, ["region_id"], "z", {"_m": 0.5}).select("region_id", ((nz / 2 - F.col("_m")) * voxel_mm).alias("distance"))
 
 
 def regions_under_implant(pixels: DataFrame, terms: DataFrame | None = None) -> DataFrame:

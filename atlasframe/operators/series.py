@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from atlasframe.functions import matmul
+from atlasframe.operators.quantiles import group_quantiles
 
 
 def moving_median(series: DataFrame, r: int, by: Sequence[str], order: str, value: str, out: str = "median") -> DataFrame:
@@ -26,7 +27,7 @@ def moving_median(series: DataFrame, r: int, by: Sequence[str], order: str, valu
 def robust_outliers(points: DataFrame, r: int, by: Sequence[str], order: str, value: str, limit: float = 3.0) -> DataFrame:
     """Adds outlier: farther from the moving median than limit robust SD of the group's distances to it."""
     rows = moving_median(points, r, by, order, value, "_m").withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    sd = rows.groupBy(*by).agg((F.percentile("_d", F.lit(0.5)) * 1.4826).alias("_sd"))
+    sd = group_quantiles(rows, by, F.col("_d") * 1.4826, {"_sd": 0.5})
     return rows.join(sd, list(by)).withColumn("outlier", F.col("_d") > limit * F.col("_sd")).drop("_m", "_d", "_sd")
 
 

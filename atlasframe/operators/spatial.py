@@ -167,6 +167,15 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _done(df: DataFrame) -> None:
+    """Delete the table behind a _cut() that nothing reads any more; a checkpoint is Spark's to clean."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("points-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _heads(points: DataFrame, key: str, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Points folded by equal coordinates: (key, cols) of the smallest key of each
     place, and (key, _head) of the others. Points without a place (null, NaN) are in neither."""
@@ -248,7 +257,9 @@ def thin_points(points: DataFrame, d: float, order: str = "point_id", cols: Sequ
         spread = spread.withColumn("_own", (F.col("_base") == F.array(*tile)) & (F.col("_s") == 0))
         # An own point comes once: in its base tile. Kept points are needed where something waits.
         found = spread.join(busy, tile, "left_semi").groupBy(*tile).applyInPandas(decide, schema)
-        now = cut(now.where("_s <> 0").unionByName(found))
+        after = cut(now.where("_s <> 0").unionByName(found))
+        _done(now)
+        now = after
         if fits(now.where("_s = 0"), 2 * width):
             width *= 2
     gone = now.where("_s < 0").select(F.col("_k").alias(order))

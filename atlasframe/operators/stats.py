@@ -57,7 +57,7 @@ def intensity_map(voxels: DataFrame, weights: DataFrame, box: Sequence[tuple[int
     inside = voxels
     for c, (a, b) in zip("yxz", box):
         inside = inside.where(F.col(c).between(a, b))
-    base = inside.where("value > 0").groupBy("sample_id", *by).agg(F.percentile("value", F.lit(0.5)).alias("_b"))
+    base = group_quantiles(inside.where("value > 0"), ["sample_id", *by], "value", {"_b": 0.5})
     rows = voxels.join(base, ["sample_id", *by]).join(weights, "sample_id")
     return rows.groupBy(*by, "y", "x", "z").agg(F.sum(F.col("weight") * (F.col("value") - F.col("_b")) / F.col("_b")).alias("value"))
 
@@ -272,7 +272,7 @@ def fit_cylinders(points: DataFrame, by: str = "implant_id", radius: float = 0.0
 
 def depth_profile(pixels: DataFrame) -> DataFrame:
     """Median intensity inside the circle per implant, depth and channel."""
-    return pixels.where("g1 * g1 + g2 * g2 <= radius * radius").groupBy("implant_id", "depth", "channel").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    return group_quantiles(pixels.where("g1 * g1 + g2 * g2 <= radius * radius"), ["implant_id", "depth", "channel"], "value", {"median": 0.5})
 
 
 def retention_report(points: DataFrame, by: Sequence[str], flag: str = "kept") -> DataFrame:
