@@ -274,7 +274,7 @@ def test_cells_from_planes_equal_cells_from_voxels(spark, tmp_path):
     for z, y, x in ((8, 10, 10), (8, 30, 28), (12, 20, 40)):
         a[z - 2 : z + 2, y - 2 : y + 2, x - 2 : x + 2] = 200
     (tmp_path / "a.raw").write_bytes(a[:9].tobytes())
-    (tmp_path / "b.raw").write_bytes(a[9:].tobytes() + b"rest")
+    (tmp_path / "b.raw").write_bytes(a[9:].tobytes())
     planes = sources.read_raw_planes(spark, str(tmp_path / "*.raw"), 40, 44, "S")
     options = tiles.Detection(2.0, 0.5, 0.25, 16, 24)
     flat = tiles.plane_voxels(planes).toPandas()
