@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from atlasframe.llm import importance, queries
 
@@ -81,7 +82,7 @@ def test_odd_rows(spark):
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, len(drawn) + 1))
     assert importance.resample(df.where("false"), target).count() == 0
     assert {r["weight"] for r in importance.resample(df, target.where("false")).collect()} >= {0}
-    as_text = importance.resample(df.withColumnRenamed("doc_id", "old").withColumnRenamed("rank", "key").withColumn("key", df["rank"].cast("string")), target, id_col="key")
+    as_text = importance.resample(df.withColumnRenamed("doc_id", "old").withColumnRenamed("rank", "key").withColumn("key", F.col("key").cast("string")), target, id_col="key")
     assert as_text.count() == len(rows)
 
 

@@ -76,7 +76,7 @@ def test_small_blocks_and_other_partitions_give_the_same(spark, vectors, monkeyp
 
 def test_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(1, [1.0, 2.0, 0.5]), (2, [2.0, 1.0, -0.5]), (2, [2.0, 1.0, -0.5]), (None, [0.0, 3.0, 1.5]), (3, None), (4, [1.0, None, 2.0]), (5, [1.0, nan, 2.0]), (6, [inf, 1.0, 2.0]), (7, [1.0, 2.0]), (8, []), (9, [5.0, -3.0, 1e9])]
+    rows = [(1, [1.0, 2.0, 0.5]), (2, [2.0, 1.0, -0.5]), (2, [2.0, 1.0, -0.5]), (None, [0.0, 3.0, 2.5]), (3, None), (4, [1.0, None, 2.0]), (5, [1.0, nan, 2.0]), (6, [inf, 1.0, 2.0]), (7, [1.0, 2.0]), (8, []), (9, [5.0, -3.0, 40.0])]
     df = spark.createDataFrame([(*r, "a", 1, [1]) for r in rows], "vec_id long, embedding array<double>, x string, m int, ids array<int>")
     got = whitening.whiten(df, 8).collect()
     kept = [v for _, v in rows if v and len(v) == 3 and all(c is not None and abs(c) < inf for c in v)]
@@ -84,6 +84,10 @@ def test_odd_rows(spark):
     assert len(got) == 5 * 3 and {r["deviation"] for r in got} == {Decimal(f) for f in far}
     assert sorted(r["component"] for r in got if r["vec_id"] is None) == [1, 2, 3]
     assert np.allclose(sorted(abs(r["whitened"]) for r in got if r["component"] == 1), sorted(np.abs(y[:, 0])))
+    wide = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 1e9]), (3, [4.0, -1e9])], "vec_id long, embedding array<double>")
+    # Beyond a long, and exact; the component below rounding of the first has no row.
+    large = whitening.whiten(wide).collect()
+    assert {r["deviation"] for r in large} == {Decimal(f) for f in brute([[1.0, 2.0], [3.0, 1e9], [4.0, -1e9]], 1)[1]} and {r["component"] for r in large} == {1}
     assert whitening.whiten(df.where("vec_id > 2 and vec_id < 7")).count() == 0 and whitening.whiten(df.where("false")).count() == 0
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "vec_id long, embedding array<double>")
     assert whitening.whiten(same).count() == 0  # no variance, no component
