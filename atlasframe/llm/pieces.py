@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -56,7 +57,10 @@ class Pieces:
         self.ids = {p.piece: i for i, p in plain}
         self.score = {p.piece: p.score for i, p in plain}
         self.unknown_score = min(self.score.values()) - 10
-        self.ends = {p[i:] for p in self.ids for i in range(len(p))}
+        self.tails = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
+        self.lone: dict[str, int] = {}  # characters that are no piece, numbered behind the pieces
+        self.parts = list(self.names)
+        self.sizes = [len(p) for p in self.parts]
         self.longest = max(map(len, self.ids))
         inside = re.compile(f"[^{MARK}]{MARK}")
         if any(inside.search(p) for p in self.ids):
@@ -64,7 +68,7 @@ class Pieces:
         # A line feed that no piece holds stands alone as well.
         lone = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = re.compile(f"{lone or '(?!)'}|{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+").findall
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -81,54 +85,103 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, a: str, b: str) -> bool:
-        """True if BPE leaves the pieces a and b, side by side, as they are; for a = '' if it makes b."""
-        key = (a, b)
+    def _number(self, char: str) -> int:
+        """The number of a single character, a piece or not."""
+        found = self.ids.get(char)
+        if found is None:
+            found = self.lone.get(char)
+            if found is None:
+                found = self.lone[char] = len(self.parts)
+                self.parts.append(char)
+                self.sizes.append(1)
+        return found
+
+    def _fits(self, a: int, b: int) -> bool:
+        """True if BPE leaves the pieces a and b, side by side, as they are; for a = -1 if it makes b."""
+        key = (a << 24) + b
         known = self.apart.get(key)
         if known is None:
             if len(self.apart) > PAIRS:
                 self.apart.clear()
-            known = self.apart[key] = self.merged(a + b) == ([a, b] if a else [b])
+            pair = [self.parts[b]] if a < 0 else [self.parts[a], self.parts[b]]
+            known = self.apart[key] = self.merged("".join(pair)) == pair
         return known
 
+    def _last(self, word: str, last: list[int], i: int) -> int:
+        """The last piece of word[:i] among all that end there; the character alone if none fits."""
+        for j in range(i - 1, max(-1, i - self.longest - 1), -1):
+            piece = self._number(word[j]) if j == i - 1 else self.tails.get(word[j:i])
+            if piece is None:
+                break
+            if piece >= 0 and self._fits(last[j], piece):
+                return piece
+        return self._number(word[i - 1])
+
+    def encode_merged(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Each distinct word with its packed ids, for a BPE model. Words are sorted, and
+        each last piece is kept for as long as the next word shares its prefix. One
+        piece fits, so the order of trial is free: first those that begin where a piece
+        of the prefix before does."""
+        ids, tails, apart, fits, sizes = self.ids, self.tails, self.apart, self._fits, self.sizes
+        before, last = "", [-1]
+        for word in sorted(set(words)):
+            n, shared = len(word), 0
+            for a, b in zip(word, before):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            for i in range(shared + 1, n + 1):
+                j = i - 1
+                piece = ids.get(word[j])
+                if piece is None:
+                    piece = self._number(word[j])
+                while True:
+                    if piece >= 0:
+                        known = apart.get((last[j] << 24) + piece)
+                        if fits(last[j], piece) if known is None else known:
+                            break
+                    j -= sizes[last[j]] if j else 1
+                    piece = tails.get(word[j:i]) if j >= 0 else None
+                    if piece is None:
+                        piece = self._last(word, last, i)
+                        break
+                last.append(piece)
+            before = word
+            out, i = [], n
+            while i:
+                out.append(last[i])
+                i -= sizes[last[i]]
+            out.reverse()
+            if self.lone and max(out) >= len(self.names):
+                yield word, np.array(self._ids([self.parts[k] for k in out]), "<i4").tobytes()
+            else:
+                yield word, struct.pack(f"<{len(out)}i", *out)
+
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of each distinct word; words are sorted and each forward
-        state is kept for as long as the next word shares its prefix."""
-        ends, ids, longest, unigram, fits = self.ends, self.ids, self.longest, self.unigram, self._fits
+        """The pieces of each distinct word, for a unigram model; words are sorted and
+        each forward state is kept for as long as the next word shares its prefix."""
+        longest = self.longest
         before, back, best = "", [0], [0.0]  # by prefix length: start of the last piece, score
-        last = [""]
         for word in sorted(set(words)):
-            n = len(word)
-            shared = 0
+            n, shared = len(word), 0
             for a, b in zip(word, before):
                 if a != b:
                     break
                 shared += 1
-            del back[shared + 1 :], best[shared + 1 :], last[shared + 1 :]
+            del back[shared + 1 :], best[shared + 1 :]
             for i in range(shared + 1, n + 1):
-                start, piece, top = i - 1, word[i - 1], None
-                if unigram:
-                    for j in range(max(0, i - longest), i):
-                        s = self.score.get(word[j:i], self.unknown_score if j == i - 1 else None)
-                        if s is not None and (top is None or best[j] + s > top):
-                            start, top = j, best[j] + s
-                    piece = word[start:i]
-                else:
-                    for j in range(i - 1, max(-1, i - longest - 1), -1):
-                        piece = word[j:i]
-                        if piece not in ends and j < i - 1:
-                            break
-                        if (j == i - 1 or piece in ids) and fits(last[j], piece):
-                            start = j
-                            break
-                    piece = word[start:i]
+                start, top = i - 1, None
+                for j in range(max(0, i - longest), i):
+                    s = self.score.get(word[j:i], self.unknown_score if j == i - 1 else None)
+                    if s is not None and (top is None or best[j] + s > top):
+                        start, top = j, best[j] + s
                 back.append(start)
                 best.append(top or 0.0)
-                last.append(piece)
             before = word
             parts, i = [], n
             while i:
-                parts.append(last[i])
+                parts.append(word[back[i] : i])
                 i = back[i]
             yield word, parts[::-1]
 
@@ -153,8 +206,10 @@ class Pieces:
         if len(cache) > CACHE:
             cache.clear()
         new = {w for words in cut for w in words if w not in cache}
-        for word, parts in self.encode_words(new):
-            cache[word] = np.array(self._ids(parts), "<i4").tobytes()
+        if self.unigram:
+            cache.update((word, np.array(self._ids(parts), "<i4").tobytes()) for word, parts in self.encode_words(new))
+        else:
+            cache.update(self.encode_merged(new))
         return [b"".join(map(cache.__getitem__, words)) for words in cut]
 
     def decode(self, ids: bytes) -> str:
