@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasframe.operators import blocks
@@ -72,6 +72,63 @@ def boundary_points(labels: DataFrame, n: int) -> DataFrame:
     return sample_per_group(hit, n, ["z"], "_k").drop("_k", "boundary")
 
 
+def white_matter_ids(tree: DataFrame, words: Sequence[str] = ("fasciculus", "funiculus")) -> DataFrame:
+    """(region_id) of the children of regions whose name holds one of the words, in any
+    case; children are numbers joined by commas, and what is no number is left out."""
+    named = tree.where(F.lower("name").rlike("|".join(words)))
+    ids = named.select(F.explode(F.split("children", ",")).alias("id")).select(F.trim("id").try_cast("int").alias("region_id"))
+    return ids.where("region_id is not null").distinct()
+
+
+def _edge(rows: DataFrame, masks: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """rows with masks (0 or 1) replaced by whether their 3 x 3 Sobel gradient in y and x is
+    not zero; a missing neighbour counts as equal to the voxel beside it."""
+
+    def beside(c: str, f, w: Window, axis: str):
+        return F.coalesce(F.when(F.abs(f(axis).over(w) - F.col(axis)) == 1, f(c).over(w)), F.col(c))
+
+    down, across = Window.partitionBy(*by, "x").orderBy("y"), Window.partitionBy(*by, "y").orderBy("x")
+    # Both gradients are a difference along one axis of a (1, 2, 1) sum along the other: one pass an axis.
+    first = {}
+    for m in masks:
+        low, high = beside(m, F.lag, down, "y"), beside(m, F.lead, down, "y")
+        first |= {f"_s{m}": low + 2 * F.col(m) + high, f"_d{m}": high - low}
+    rows = rows.withColumns(first)
+    second = {}
+    for m in masks:
+        gx = beside(f"_s{m}", F.lead, across, "x") - beside(f"_s{m}", F.lag, across, "x")
+        gy = beside(f"_d{m}", F.lead, across, "x") + 2 * F.col(f"_d{m}") + beside(f"_d{m}", F.lag, across, "x")
+        second[m] = (gx != 0) | (gy != 0)
+    return rows.withColumns(second).drop(*first)
+
+
+def one_a_box(points: DataFrame, most: int, by: Sequence[str], cols: Sequence[str] = ("x", "y")) -> DataFrame:
+    """One point of each box of a grid that follows the points' density: a group's
+    points are cut to strips along the first column and the strips to boxes of at
+    most `most` points along the second; the middle point of each box stays."""
+    a, b = cols
+    group = Window.partitionBy(*by)
+    n = F.count("*").over(group)
+    strips = F.ceil(F.sqrt(F.ceil(n / most)))
+    rows = points.withColumn("_strip", F.floor((F.row_number().over(group.orderBy(a, b)) - 1) / F.ceil(n / strips)))
+    strip = Window.partitionBy(*by, "_strip")
+    rows = rows.withColumn("_at", F.row_number().over(strip.orderBy(b, a)) - 1).withColumn("_box", F.floor(F.col("_at") / most))
+    middle = F.floor((F.least(F.lit(most), F.count("*").over(strip) - F.col("_box") * most) - 1) / 2)
+    return rows.withColumn("_middle", middle).where(F.col("_at") % most == F.col("_middle")).drop("_strip", "_at", "_box", "_middle")
+
+
+def cord_edge_points(labels: DataFrame, white: DataFrame, by: Sequence[str] = ("z",), most: int = 6) -> DataFrame:
+    """(by, y, x) of voxels on the outer edge of labelled tissue or on the edge of its
+    white matter (labels in white, (region_id)), thinned to one of `most` neighbouring
+    ones in each slice. labels: (by, y, x, region_id), 0 or null outside. Labels are
+    joined with the few regions of an atlas; two shuffles of the voxels, one an axis,
+    find the edges, and only edges are thinned."""
+    ids = white.select("region_id").distinct().withColumn("_white", F.lit(1))
+    rows = labels.select(*by, "y", "x", "region_id").join(ids, "region_id", "left")
+    rows = rows.select(*by, "y", "x", F.coalesce("_white", F.lit(0)).alias("_w"), F.coalesce((F.col("region_id") > 0).cast("int"), F.lit(0)).alias("_in"))
+    return one_a_box(_edge(rows, ["_w", "_in"], by).where("_w or _in").select(*by, "y", "x"), most, by)
+
+
 def augment_views(candidates: DataFrame, key: str = "cell_id", seed: int = 1, view: str = "view", parts: int = 3) -> DataFrame:
     """Each of the parts of a view turned round or not by the bits of the key's hash, all alike for one axis."""
     size = (F.size(view) / parts).cast("int")

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from atlasframe.functions import matmul
 from atlasframe.operators.quantiles import group_quantiles
@@ -110,7 +110,7 @@ def compose_along(transforms: DataFrame, by: Sequence[str], order: str, m: str =
 
 def _five_diagonals(main: np.ndarray, one: np.ndarray, two: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Solution of a symmetric positive definite system with two diagonals beside the
-    main one, by its LDL' factors: linear in the number of rows."""
+    main one, for each column of right, by its LDL' factors: linear in the number of rows."""
     n = len(main)
     d, l1, l2, x = main.astype(float).copy(), np.zeros(n), np.zeros(n), right.astype(float).copy()
     for i in range(n):
@@ -126,34 +126,139 @@ def _five_diagonals(main: np.ndarray, one: np.ndarray, two: np.ndarray, right: n
             l1[i] = one[i] / d[i]
         if i + 2 < n:
             l2[i] = two[i] / d[i]
-    x /= d
+    x /= d.reshape(-1, *[1] * (x.ndim - 1))
     for i in range(n - 2, -1, -1):
         x[i] -= l1[i] * x[i + 1] + (l2[i] * x[i + 2] if i + 2 < n else 0)
     return x
 
 
-def smooth_path(path: DataFrame, by: str, order: str, values: Sequence[str], penalty: float) -> DataFrame:
+class _Stretch:
+    """Rows start, start + 1, ... of the normal equations of a path of n rows, those of
+    one block. Its first two rows (none in the first block) join it to the block
+    before; the inner rows touch only these and the first two of the next block."""
+
+    def __init__(self, start: int, known: np.ndarray, n: int, penalty: float) -> None:
+        at = start + np.arange(len(known))
+        first, middle, last = at <= n - 3, (at >= 1) & (at <= n - 2), at >= 2
+        # Sums of squares of (1, -2, 1) at every place; a touch on the main diagonal
+        # keeps a path with few known values solvable.
+        self.main = known + penalty * (first + 4.0 * middle + last) + 1e-9
+        self.one = -2.0 * penalty * (first + 1.0 * middle)
+        self.two = penalty * first.astype(float)
+        self.joint = 0 if start == 0 else min(2, len(known))
+        j, m = self.joint, len(known)
+        #: Entries between the inner rows and (own first two, next block's first two).
+        self.beside = np.zeros((m - j, 4))
+        if m > j:
+            if j:
+                self.beside[0, 0], self.beside[0, 1] = self.two[0], self.one[1]
+                if m > 3:
+                    self.beside[1, 1] = self.two[1]
+            self.beside[-1, 2] += self.one[-1]
+            self.beside[-1, 3] += self.two[-1]
+            if m - j > 1:
+                self.beside[-2, 2] += self.two[-2]
+
+    def inner(self, right: np.ndarray) -> np.ndarray:
+        j = self.joint
+        return _five_diagonals(self.main[j:], self.one[j:], self.two[j:], right)
+
+    def folded(self, right: np.ndarray) -> list[float]:
+        """What is left of the block for its joints when its inner rows are solved: 4 x 4
+        and 4 numbers of the fold, and the joint rows' own 2 x 2 entries and right sides."""
+        j = self.joint
+        x = self.inner(np.column_stack([self.beside, right[j:]]))
+        own, side = np.eye(2), np.zeros(2)
+        for i in range(j):
+            own[i, i], side[i] = self.main[i], right[i]
+        if j == 2:
+            own[0, 1] = own[1, 0] = self.one[0]
+        return [*(self.beside.T @ x).ravel().tolist(), *own.ravel().tolist(), *side.tolist()]  # 4 x 5, 2 x 2, 2
+
+    def solved(self, right: np.ndarray, joints: np.ndarray) -> np.ndarray:
+        """All rows' values, given those of the own joint rows and the next block's."""
+        j = self.joint
+        return np.concatenate([joints[:j], self.inner(right[j:] - self.beside @ joints)])
+
+
+def _joints(folds: np.ndarray) -> np.ndarray:
+    """The joint rows' values (blocks, 4: own and the next block's) from the folds of
+    a path's blocks in order: 2 x 2 elimination down and back."""
+    k = len(folds)
+    fold, own, side = folds[:, :20].reshape(k, 4, 5), folds[:, 20:24].reshape(k, 2, 2), folds[:, 24:].copy()
+    x = np.zeros((k + 1, 2))
+    main, above = np.zeros((k, 2, 2)), np.zeros((k, 2, 2))
+    for i in range(1, k):
+        main[i] = own[i] - fold[i, :2, :2] - fold[i - 1, 2:, 2:4]
+        side[i] -= fold[i, :2, 4] + fold[i - 1, 2:, 4]
+        above[i] = -fold[i, :2, 2:4]
+        if i > 1:
+            back = np.linalg.solve(main[i - 1], above[i - 1]).T
+            main[i] -= back @ above[i - 1]
+            side[i] -= back @ side[i - 1]
+    for i in range(k - 1, 0, -1):
+        x[i] = np.linalg.solve(main[i], side[i] - above[i] @ x[i + 1])
+    return np.hstack([x[:-1], x[1:]])
+
+
+def smooth_path(path: DataFrame, by: str, order: str, values: Sequence[str], penalty: float, block: int = 20_000) -> DataFrame:
     """Values for every slice from few annotated ones: least squares with a penalty
-    on second differences. One sample's path (its slices) is one task, of linear cost."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        n = len(pdf)
-        main, one, two = np.zeros(n), np.zeros(n), np.zeros(n)
-        for at, part in enumerate((1.0, -2.0, 1.0)):  # sums of squares of (1, -2, 1) at every place
-            main[at : n - 2 + at] += part**2
-        one[: n - 2] -= 2
-        one[1 : n - 1] -= 2
-        two[: n - 2] += 1
-        for v in values:
-            y = pdf[v].to_numpy(float)
-            known = ~np.isnan(y)
-            if known.sum() >= 2:
-                # A touch on the main diagonal keeps a path with few known values solvable.
-                pdf[v] = _five_diagonals(known + penalty * main + 1e-9, penalty * one, penalty * two, np.where(known, y, 0)) if n > 2 else y
-        return pdf
-
-    return path.groupBy(by).applyInPandas(solve, path.schema)
+    on second differences. Null and NaN are unknown; a value with fewer than two known
+    ones in its path, and paths of fewer than three rows, stay as they are.
+
+    Paths are cut into blocks of `block` rows (5 or more) by place. Each block, a task's
+    group, solves its inner rows against its two first rows and the next block's; what is
+    left, two rows a block, is one small system a path; with its solution each block
+    fills in its own rows. So a path of any length is many tasks and none holds
+    more than a block or two rows of each. Rows of one place (ties) come in any order.
+    """
+    if block < 5:
+        raise ValueError("a block has 5 rows or more")
+    spark, columns = path.sparkSession, path.columns
+    known = lambda v: F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
+    dealt = path.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # A row for each path and range that holds rows of it.
+    sizes = dealt.groupBy(by, "_part").agg(F.count("*").alias("_c"), *(F.count_if(known(v)).alias(f"_k{i}") for i, v in enumerate(values)))
+    whole = Window.partitionBy(by)
+    sizes = sizes.select(
+        F.col(by).alias("_by"), F.col("_part").alias("_at"), (F.sum("_c").over(whole.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_n"),
+        F.array(*(F.sum(f"_k{i}").over(whole) >= 2 for i in range(len(values)))).alias("_fit"),
+    )
+    place = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) - 1 + F.col("_before")
+    rows = dealt.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at"))).withColumn("_i", place.cast("long"))
+    rows = rows.withColumn("_block", F.floor(F.col("_i") / block).cast("long")).drop("_part", "_by", "_at", "_before").checkpoint()
+
+    def stretches(pdf: pd.DataFrame):
+        """(value's number, system, right side) of the values that are fitted."""
+        n, start, fit = int(pdf["_n"].iloc[0]), int(pdf["_i"].iloc[0]), pdf["_fit"].iloc[0]
+        for at, v in enumerate(values):
+            if fit[at] and n > 2:
+                y = pdf[v].to_numpy(float)
+                there = ~np.isnan(y)
+                yield at, _Stretch(start, there.astype(float), n, penalty), np.where(there, y, 0)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        out = [(pdf[by].iloc[0], pdf["_block"].iloc[0], at, system.folded(right)) for at, system, right in stretches(pdf)]
+        return pd.DataFrame(out, columns=[by, "_block", "_value", "_fold"])
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        return pdf.assign(_joint=_joints(np.array(pdf["_fold"].tolist())).tolist())[[by, "_block", "_value", "_joint"]]
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        for at, system, right in stretches(pdf):
+            pdf[values[at]] = system.solved(right, np.array(pdf["_joints"].iloc[0][at], float))
+        return pdf[columns]
+
+    keys = [path.schema[by], StructField("_block", LongType()), StructField("_value", IntegerType())]
+    folds = rows.groupBy(by, "_block").applyInPandas(fold, StructType([*keys, StructField("_fold", ArrayType(DoubleType()))]))
+    joints = folds.groupBy(by, "_value").applyInPandas(join_up, StructType([*keys, StructField("_joint", ArrayType(DoubleType()))]))
+    joints = joints.groupBy(by, "_block").agg(F.map_from_entries(F.collect_list(F.struct("_value", "_joint"))).alias("_joints"))  # one entry a value
+    joints = joints.select(F.col(by).alias("_by"), F.col("_block").alias("_at"), "_joints")
+    met = rows.join(joints, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_at")), "left").drop("_by", "_at")
+    return met.groupBy(by, "_block").applyInPandas(fill, path.schema)
 
 
 def smooth_transforms(series: DataFrame, r: int, by: Sequence[str], order: str, shifts: Sequence[str], angle: str) -> DataFrame:

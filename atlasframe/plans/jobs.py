@@ -3,14 +3,17 @@ extraction, and files written from the given tables and read back."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasframe import sources
+from atlasframe import sources, streaming
 from atlasframe.operators import align, blocks, clean, points, sections, spatial, stats, stencil, tiles
 from atlasframe.plans import fixtures as fx
 from atlasframe.plans.queries import BY, J24_SQL, J25_SQL, MATRIX, NX, NY, SCALED, SIZE, TURN, query, rounded
@@ -302,6 +305,85 @@ def s21_write_volume(s, d):
     return s.read.parquet(path).select("sample_id", "channel", "z_block", "y", "x", "z", "value")
 
 
+def _stack(s, d) -> DataFrame:
+    """Planes with the number of the file (sample and channel) that they go to."""
+    return _planes(s, d).withColumn("file", (F.substring("sample_id", 2, 9).cast("int") * 3 + F.col("channel")))
+
+
+def _raw_files(s, d) -> str:
+    """A folder of headerless files plane<number>, the planes of one sample and channel in order of z."""
+    path = scratch(s, "raw")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        fs, folder = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(f"{folder}/plane{pdf['file'].iloc[0]}") as f:
+            for data in pdf.sort_values("z")["data"]:
+                f.write(data)
+        return pdf[["file"]].head(1)
+
+    _stack(s, d).groupBy("file").applyInPandas(write, "file int").count()
+    return path
+
+
+_STACK = ", st as (select cast(substr(sample_id, 2) as int) * 3 + channel as file, z, sum(floor(least(value, 65535) + 0.5)) as total from voxels group by all)"
+
+
+@query(_STACK + " select cast(row_number() over (order by file, z) as int) as z, total from st")
+def s1_read_raw_planes(s, d):
+    """plane2 comes before plane10."""
+    back = tiles.plane_voxels(sources.read_raw_planes(s, _raw_files(s, d), NY, NX))
+    return back.groupBy("z").agg(F.sum("value").alias("total"))
+
+
+@query(_STACK + " select concat('plane', file) as name, count(*) * 1920 as length, 1.0 * count(*) as planes from st group by file")
+def s2_plane_catalog(s, d):
+    return sources.plane_catalog(s, _raw_files(s, d), NY, NX).select(F.substring_index("path", "/", -1).alias("name"), "length", "planes")
+
+
+@query("select s_suppkey as id, 1.0 * s_nationkey as x, s_suppkey / 4.0 as y, level, case level when 1 then s_acctbal else s_suppkey + 0.5 end as first, case level when 1 then 2 else 3 end as n from supplier, (values (1), (2)) as l(level) where level = 1 or s_suppkey % 2 = 0", False)
+def s14_read_tile_xml(s, d):
+    """Tiles as XML, blocks of a level missing in half of them."""
+    path = scratch(s, "tiles")
+    rows = s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as ID", "1.0D * s_nationkey as X", "s_suppkey / 4.0D as Y", "concat(cast(s_acctbal as double), ', 7') as HS_1", "case when s_suppkey % 2 = 0 then concat(s_suppkey, '.5 1,2') end as HS_2")
+    rows.write.format("xml").option("rowTag", "Cell").option("rootTag", "Cells").save(path)
+    got = sources.read_tile_xml(s, path)
+    return got.select(F.col("ID").alias("id"), F.col("X").cast("double").alias("x"), F.col("Y").cast("double").alias("y"), "level", F.get("values", F.lit(0)).alias("first"), F.size("values").alias("n"))
+
+
+@query("""with t as (select s_suppkey as id, s_suppkey % 3 as kind, s_nationkey / 50.0 as a, s_suppkey / 8.0 as b from supplier),
+e as (select id, i, case when kind = 0 then case i when 3 then b when 7 then a when 11 then 2 when 0 then 1 when 5 then 1 when 10 then 1 when 15 then 1 else 0 end
+  when kind = 1 then case i when 0 then cos(a) when 1 then -sin(a) when 4 then sin(a) when 5 then cos(a) when 10 then 1 when 15 then 1 when 3 then b + 5 - (cos(a) * 5 - sin(a) * 6) when 7 then 1 + 6 - (sin(a) * 5 + cos(a) * 6) when 11 then 2 else 0 end
+  else case i when 0 then 1 + a when 1 then a when 5 then 1 when 6 then -a when 10 then 2 when 15 then 1 when 3 then b + 5 - ((1 + a) * 5 + a * 6) when 7 then 1 + 6 - (6 - a * 7) when 11 then 2 + 7 - 14 else 0 end end as v from t, range(16) as g(i))
+select id, cast(i as int) as place, round(v, 5) + 0 as value from e""", False)
+def s15_transforms_from_text(s, d):
+    """Translations, turns and affine maps about (5, 6, 7), a file each."""
+    path = scratch(s, "transforms")
+    parts = {
+        0: ("Translation", "concat_ws(' ', b, a, 2)"),
+        1: ("Euler", "concat_ws(' ', 0, 0, a, b, 1, 2)"),
+        2: ("Affine", "concat_ws(' ', 1 + a, a, 0, 0, 1, -a, 0, 0, 2, b, 1, 2)"),
+    }
+    text = " ".join(f"""when {k} then concat('(Transform "{name}Transform")\n(TransformParameters ', {p}, ')\n(CenterOfRotationPoint 5 6 7)')""" for k, (name, p) in parts.items())
+    t = s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as id", "s_suppkey % 3 as kind", "s_nationkey / 50.0D as a", "s_suppkey / 8.0D as b")
+    t.select("id", F.expr(f"case kind {text} end").alias("value")).repartition("id").write.partitionBy("id").text(path)
+    got = sources.transforms_from_text(s, path)
+    got = got.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("id"), F.posexplode("m").alias("place", "value"))
+    return rounded(got, ["value"], 5)
+
+
+@query()
+def t1_stream_cells(s, d):
+    """A stream of files of planes, as many as the shuffle has partitions, a few a batch: cells leave when their tile is whole."""
+    source, out, state = (scratch(s, n) for n in ("planes", "stream-cells", "stream-state"))
+    _planes(s, d).repartition("z").write.parquet(source)
+    stored = s.read.parquet(source).schema
+    planes = s.readStream.schema(stored).option("maxFilesPerTrigger", 3).parquet(source)
+    cells = streaming.stream_cells(planes, SIZE[2])
+    cells.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(cells.schema).parquet(out)
+
+
 # Alignment, each slice from where it was moved to
 
 

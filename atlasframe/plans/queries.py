@@ -211,17 +211,17 @@ def p13_edge_margin(s, d):
     return clean.edge_margin(fx.points(s, d), (38, 22, 30), 0.1).select("point_id")
 
 
-@query("""select c.sample_id, round(sum(case when v = 0 then coalesce(m, 0) else v end), 2) as total from (select sample_id, channel, diameter % 7 as v from cells) c left join
-(select sample_id, channel, v as m from (select sample_id, channel, diameter % 7 as v, row_number() over (partition by sample_id, channel order by count(*) desc, diameter % 7) as r from cells where diameter % 7 > 0 group by 1, 2, 3) where r = 1) using (sample_id, channel) group by 1""")
+@query("""select sample_id, channel, case when v = 0 then coalesce(m, 0) else v end as value, count(*) as n from (select sample_id, channel, diameter % 7 as v from cells) c left join
+(select sample_id, channel, v as m from (select sample_id, channel, diameter % 7 as v, row_number() over (partition by sample_id, channel order by count(*) desc, diameter % 7) as r from cells where diameter % 7 > 0 group by 1, 2, 3) where r = 1) using (sample_id, channel) group by all""")
 def p14_fill_zeros_with_mode(s, d):
     v = fx.cells(s, d).withColumn("value", F.col("diameter") % 7)
-    return rounded(clean.fill_zeros_with_mode(v, BY).groupBy("sample_id").agg(F.sum("value").alias("total")), ["total"], 2)
+    return _rows(clean.fill_zeros_with_mode(v, BY), [*BY, "value"])
 
 
-@query("select sample_id, channel, count(*) as n, round(sum(case when diameter <> 0 then greatest((intensity - diameter) / diameter, 0) else 0 end), 3) as total from cells group by all")
+@query("select sample_id, channel, round(case when diameter <> 0 then greatest((intensity - diameter) / diameter, 0) else 0 end, 7) as intensity, count(*) as n from cells group by all")
 def p15_relative_to_background(s, d):
     c = clean.relative_to_background(fx.cells(s, d).withColumn("background", F.col("diameter")), "intensity", clip=True)
-    return rounded(c.groupBy(*BY).agg(F.count("*").alias("n"), F.sum("intensity").alias("total")), ["total"], 3)
+    return _rows(rounded(c, ["intensity"], 7), [*BY, "intensity"])
 
 
 @query("""select sample_id, channel, cast(round(least(greatest((value - lo) / (hi - lo), 0), 1) * 255) as double) as value, count(*) as n from voxels join
@@ -230,11 +230,10 @@ def p16_rescale_to_range(s, d):
     return _rows(clean.rescale_to_range(fx.voxels(s, d), BY), [*BY, "value"])
 
 
-@query("""select sample_id, channel, round(min(v), 4) as low, round(max(v), 4) as high, round(sum(v), 4) as total from (select sample_id, channel, least(greatest(value, lo), hi) as v from voxels join
-(select sample_id, channel, quantile_cont(value, 0.1) as lo, quantile_cont(value, 0.9) as hi from voxels where value > 0 group by all) using (sample_id, channel)) group by all""")
+@query("""select sample_id, channel, y, x, z, round(least(greatest(value, lo), hi), 4) as value from voxels join
+(select sample_id, channel, quantile_cont(value, 0.1) as lo, quantile_cont(value, 0.9) as hi from voxels where value > 0 group by all) using (sample_id, channel)""")
 def p17_clamp_background(s, d):
-    c = clean.clamp_background(fx.voxels(s, d), BY).groupBy(*BY).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").alias("total"))
-    return rounded(c, ["low", "high", "total"])
+    return rounded(clean.clamp_background(fx.voxels(s, d), BY).select(*BY, "y", "x", "z", "value"), ["value"])
 
 
 @query("select view_id, side, ordinal from controls where view_id in (select view_id from controls group by 1 having count(case when side = 'sample' then 1 end) = count(case when side = 'atlas' then 1 end))")
@@ -258,10 +257,10 @@ def p21_points_in_regions(s, d):
     return _rows(lookup.points_in_regions(kept, fx.annotation(s, d), [2, 7, 11]), ["sample_id", "region_id"])
 
 
-@query("""select sample_id, channel, count(*) as n, count(case when value >= med - 2 * sd and value >= 5 then 1 end) as good from voxels join (select sample_id, channel, quantile_cont(value, 0.5) as med from voxels group by all) m using (sample_id, channel)
-join (select sample_id, channel, 1.4826 * quantile_cont(abs(value - med), 0.5) as sd from voxels join (select sample_id, channel, quantile_cont(value, 0.5) as med from voxels group by all) using (sample_id, channel) group by all) using (sample_id, channel) group by all""")
+@query("""select sample_id, channel, y, x, z, value >= med - 2 * sd and value >= 5 as good from voxels join (select sample_id, channel, quantile_cont(value, 0.5) as med from voxels group by all) m using (sample_id, channel)
+join (select sample_id, channel, 1.4826 * quantile_cont(abs(value - med), 0.5) as sd from voxels join (select sample_id, channel, quantile_cont(value, 0.5) as med from voxels group by all) using (sample_id, channel) group by all) using (sample_id, channel)""")
 def p22_signal_qc(s, d):
-    return clean.signal_qc(fx.voxels(s, d), BY, floor=5.0).groupBy(*BY).agg(F.count("*").alias("n"), F.count_if("good").alias("good"))
+    return clean.signal_qc(fx.voxels(s, d), BY, floor=5.0).select(*BY, "y", "x", "z", "good")
 
 
 @query("select z - 9 as z, count(*) as n from voxels where z between 10 and 20 group by 1")
@@ -269,11 +268,11 @@ def p23_crop_axis(s, d):
     return _rows(clean.crop_axis(fx.voxels(s, d), "z", 10, 20), ["z"])
 
 
-@query("select vec_id as cell_id, cast(len(embedding) as int) as n, round(list_sum(list_transform(v, lambda x: (x - lo) / (hi - lo))), 3) as total from (select *, list_transform(embedding, lambda x: cast(x as double) / norm) as v from (select *, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings)), (select min(list_min(v)) as lo, max(list_max(v)) as hi from (select list_transform(embedding, lambda x: cast(x as double) / norm) as v from (select *, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings)))", False)
+@query("select vec_id as cell_id, cast(j as int) as place, round((v[j + 1] - lo) / (hi - lo), 4) as value from (select *, unnest(range(len(embedding))) as j from (select *, list_transform(embedding, lambda x: cast(x as double) / norm) as v from (select *, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings))), (select min(list_min(v)) as lo, max(list_max(v)) as hi from (select list_transform(embedding, lambda x: cast(x as double) / norm) as v from (select *, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings)))", False)
 def p24_normalise_views(s, d):
     e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("cell_id"), F.transform("embedding", lambda x: x.cast("double")).alias("view"))
     out = clean.normalise_views(e)
-    return out.select("cell_id", F.size("view").alias("n"), F.round(F.aggregate("view", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return rounded(out.select("cell_id", F.posexplode("view").alias("place", "value")), ["value"])
 
 
 @query("""select region_id, count(*) as n, round(max(level), 4) as level from labelled join (select region_id, case when hi > lo then (n - lo) / (hi - lo) * 254 + 1 else 1 end as level from (select region_id, count(*) as n from labelled group by 1) join (select region_id, name from terms where term_set = 'division' and lower(name) like '%a%') using (region_id),
@@ -692,10 +691,9 @@ def w11_run_lengths(s, d):
     return rounded(lookup.run_lengths(_line_samples(s, d), per_voxel=4), ["d0", "d1"])
 
 
-@query(""", m as (select slice, point_id, value, median(value) over (partition by slice order by point_id rows between 3 preceding and 3 following) as m from points) select slice, count(*) as n, count(case when abs(value - m) > 2 * sd then 1 end) as outliers from m join (select slice, 1.4826 * quantile_cont(abs(value - m), 0.5) as sd from m group by 1) using (slice) group by 1""")
+@query(""", m as (select slice, point_id, value, median(value) over (partition by slice order by point_id rows between 3 preceding and 3 following) as m from points) select slice, point_id, abs(value - m) > 2 * sd as outlier from m join (select slice, 1.4826 * quantile_cont(abs(value - m), 0.5) as sd from m group by 1) using (slice)""")
 def w12_robust_outliers(s, d):
-    out = series.robust_outliers(fx.points(s, d), 3, ["slice"], "point_id", "value", 2.0)
-    return out.groupBy("slice").agg(F.count("*").alias("n"), F.count_if("outlier").alias("outliers"))
+    return series.robust_outliers(fx.points(s, d), 3, ["slice"], "point_id", "value", 2.0).select("slice", "point_id", "outlier")
 
 
 _GAPS = """, g as (select slice, point_id, case when point_id % 7 < 3 then value end as v from points), h as (select *, last_value(v ignore nulls) over (partition by slice order by point_id rows unbounded preceding) as v0, last_value(case when v is not null then point_id end ignore nulls) over (partition by slice order by point_id rows unbounded preceding) as p0,
@@ -1196,4 +1194,43 @@ def w17_smooth_path(s, d):
     return rounded(series.smooth_path(path, "slice", "point_id", ["v"], 0.5), ["v"], 3)
 
 
+#: The LDL' factors of the whole path's system, one row after another, down and back.
+@query(""", r as (select slice, point_id, value / 1000 as y, row_number() over (partition by slice order by point_id) as r, count(*) over (partition by slice) as n from points),
+a as (select slice, point_id, r, n, case when r % 3 = 1 then y end as y, case when r % 3 = 1 then 1.0 else 0.0 end + 5.0 * (case when r <= n - 2 then 1 else 0 end + case when r between 2 and n - 1 then 4 else 0 end + case when r >= 3 then 1 else 0 end) + 1e-9 as main,
+  -10.0 * (case when r <= n - 2 then 1 else 0 end + case when r between 2 and n - 1 then 1 else 0 end) as one, case when r <= n - 2 then 5.0 else 0.0 end as two from r where n >= 4),
+down as (
+  select slice, r, n, main::double as d, (one / main)::double as l1, (two / main)::double as l2, coalesce(y, 0)::double as z, 0::double as pd, 0::double as pl, 0::double as pz from a where r = 1
+  union all
+  select slice, r, n, e, (one - l1 * l2 * d) / e, two / e, coalesce(y, 0) - l1 * z - pl * pz, d, l2, z from (select a.slice, a.r, a.n, one, two, y, main - l1 * l1 * d - pl * pl * pd as e, d, l1, l2, z, pl, pz from down join a on a.slice = down.slice and a.r = down.r + 1)),
+up as (
+  select slice, r, z / d as v, 0::double as w from down where r = n
+  union all select t.slice, t.r, t.z / t.d - t.l1 * up.v - t.l2 * up.w, up.v from up join down t on t.slice = up.slice and t.r = up.r - 1)
+select r.slice, point_id, round(coalesce(up.v, case when r.r % 3 = 1 then y end), 3) + 0 as v from r left join up on up.slice = r.slice and up.r = r.r""")
+def w17_smooth_path_in_blocks(s, d):
+    w = Window.partitionBy("slice").orderBy("point_id")
+    p = fx.points(s, d).select("slice", "point_id", F.col("value") / 1000, F.row_number().over(w).alias("r")).toDF("slice", "point_id", "y", "r")
+    path = p.select("slice", "point_id", F.when(F.col("r") % 3 == 1, F.col("y")).alias("v"))
+    return rounded(series.smooth_path(path, "slice", "point_id", ["v"], 5.0, block=16), ["v"], 3)
+
+
+_WHITE = ["concat(n_name, case when n_nationkey % 4 = 0 then ' FUNICULUS' when n_nationkey % 7 = 3 then ' fasciculus' else '' end) as name", "concat(n_nationkey, ', ,x', n_name, ', ', n_nationkey + 6) as children"]
+
+
+@query(""", l as (select sample_id, channel, y, x, z, cast(floor(value) as bigint) % 25 as region_id from voxels),
+wm as (select n_nationkey as region_id from nation where n_nationkey % 4 = 0 or n_nationkey % 7 = 3 union select n_nationkey + 6 from nation where n_nationkey % 4 = 0 or n_nationkey % 7 = 3),
+m as (select sample_id, channel, z, y, x, case when region_id in (select region_id from wm) then 1 else 0 end as w, case when region_id > 0 then 1 else 0 end as i from l),
+c as (select m.*, coalesce(u.w, m.w) as uw, coalesce(d.w, m.w) as dw, coalesce(u.i, m.i) as ui, coalesce(d.i, m.i) as di from m left join m u on u.sample_id = m.sample_id and u.channel = m.channel and u.z = m.z and u.x = m.x and u.y = m.y - 1
+  left join m d on d.sample_id = m.sample_id and d.channel = m.channel and d.z = m.z and d.x = m.x and d.y = m.y + 1),
+s as (select sample_id, channel, z, y, x, uw + 2 * w + dw as sw, dw - uw as gw, ui + 2 * i + di as si, di - ui as gi from c),
+e as (select s.sample_id, s.channel, s.z, s.y, s.x from s left join s l on l.sample_id = s.sample_id and l.channel = s.channel and l.z = s.z and l.y = s.y and l.x = s.x - 1 left join s r on r.sample_id = s.sample_id and r.channel = s.channel and r.z = s.z and r.y = s.y and r.x = s.x + 1
+  where coalesce(r.sw, s.sw) <> coalesce(l.sw, s.sw) or coalesce(l.gw, s.gw) + 2 * s.gw + coalesce(r.gw, s.gw) <> 0 or coalesce(r.si, s.si) <> coalesce(l.si, s.si) or coalesce(l.gi, s.gi) + 2 * s.gi + coalesce(r.gi, s.gi) <> 0),
+t as (select *, floor((row_number() over (partition by sample_id, channel, z order by x, y) - 1) / ceil(n / ceil(sqrt(ceil(n / 6))))) as strip from (select *, count(*) over (partition by sample_id, channel, z)::double as n from e)),
+b as (select *, row_number() over (partition by sample_id, channel, z, strip order by y, x) - 1 as j, count(*) over (partition by sample_id, channel, z, strip) as k from t)
+select sample_id, channel, z, y, x from b where j % 6 = (least(6, k - (j // 6) * 6) - 1) // 2""")
+def d12_cord_edge_points(s, d):
+    labels = fx.voxels(s, d).withColumn("region_id", (F.floor("value") % 25).cast("int"))
+    white = points.white_matter_ids(s.read.parquet(f"{d}/nation.parquet").selectExpr(*_WHITE))
+    return points.cord_edge_points(labels, white, [*BY, "z"])
+
+
 from atlasframe.plans import jobs  # noqa: E402, F401  (registers its queries)

@@ -64,7 +64,8 @@ def stream_cells(planes: DataFrame, n_planes: int, options: Detection = Detectio
     order and over any batches, a repeated one once. When the last piece of a tile with its halo
     is there the tile is searched, its cells leave and its pieces are dropped; so
     state holds the tiles that the acquisition is in, and no cell is cut by a batch.
-    A tile of which a plane never comes is never searched. Works on a batch as well.
+    A tile of which a plane never comes is never searched. For a table that is no
+    stream use tiles.detect_cells_in_planes.
     """
     nz, hz = options.nz, options.halo[0]
     columns = [*by, "x", "y", "z", "intensity", "diameter", "elongation"]

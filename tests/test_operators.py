@@ -945,3 +945,67 @@ def test_a_stream_of_planes_finds_the_cells_of_the_batch(spark, tmp_path, per_ba
     key = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in q) for q in df.collect())
     want = key(tiles.detect_cells_in_planes(batch, options))
     assert len(want) >= 4 and key(spark.read.parquet(out)) == want
+
+
+def test_smooth_path_in_blocks_equals_dense_solve(spark):
+    """Blocks of all remainders, a null key, unknown ends, a second value with too few known ones, rows out of order."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for key, n in (("a", 61), ("b", 5), ("c", 7), ("d", 2), (None, 23)):
+        y = [None if rng.random() < 0.5 else float(rng.normal()) for _ in range(n)]
+        y[1], y[-1] = 1.0, 2.0
+        lone = [5.0 if i == 1 else float("nan") if i % 2 else None for i in range(n)]
+        a, b = np.zeros((n, n)), np.zeros(n)
+        for i, v in enumerate(y):
+            if v is not None:
+                a[i, i] += 1
+                b[i] = v
+        for i in range(n - 2):
+            r = np.zeros(n)
+            r[i : i + 3] = 1, -2, 1
+            a += 3.0 * np.outer(r, r)
+        solved = np.linalg.solve(a + 1e-9 * np.eye(n), b) if n > 2 else y
+        want |= {(key, i): v for i, v in enumerate(solved)}
+        rows += [(key, i, v, w, "kept") for i, (v, w) in enumerate(zip(y, lone))]
+    rng.shuffle(rows)
+    path = spark.createDataFrame(rows, "k string, i int, v double, w double, other string")
+    for block in (5, 6, 7, 23, 100):
+        got = series.smooth_path(path, "k", "i", ["v", "w"], 3.0, block=block).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            expected = want[r["k"], r["i"]]
+            assert r["other"] == "kept" and (r["v"] is None if expected is None else abs(r["v"] - expected) < 1e-6)
+            assert r["w"] == 5.0 if r["i"] == 1 else r["w"] is None or math.isnan(r["w"])
+    assert series.smooth_path(path.where("false"), "k", "i", ["v"], 3.0).count() == 0
+    with pytest.raises(ValueError):
+        series.smooth_path(path, "k", "i", ["v"], 3.0, block=4)
+
+
+def test_cord_edges_against_filters(spark):
+    """Edges of tissue and white matter by 3 x 3 filters over padded planes; thinning keeps one of six or fewer."""
+    rng = np.random.default_rng(6)
+    planes = rng.integers(0, 4, (2, 14, 11)) * (rng.random((2, 14, 11)) < 0.5)
+    planes[0, 3:11, 2:8] = 2
+    planes[0, 5:9, 4:6] = 3
+    rows = [(z, y + 1, x + 1, int(planes[z, y, x]) or (None if (y + x) % 2 else 0)) for z in range(2) for y in range(14) for x in range(11)]
+    labels = spark.createDataFrame(rows, "z int, y int, x int, region_id int")
+    tree = spark.createDataFrame([("Cuneate Fasciculus", "3, x,"), ("grey", "2"), ("lateral FUNICULUS", "9,3"), ("dorsal funiculus", None)], "name string, children string")
+    white = points.white_matter_ids(tree)
+    assert sorted(r[0] for r in white.collect()) == [3, 9]
+    want = set()
+    for z in range(2):
+        for mask in (planes[z] == 3, planes[z] > 0):
+            p = np.pad(mask.astype(int), 1, mode="edge")
+            at = lambda i, k: p[i : i + 14, k : k + 11]  # noqa: B023, E731
+            gx = at(0, 2) + 2 * at(1, 2) + at(2, 2) - at(0, 0) - 2 * at(1, 0) - at(2, 0)
+            gy = at(2, 0) + 2 * at(2, 1) + at(2, 2) - at(0, 0) - 2 * at(0, 1) - at(0, 2)
+            want |= {(z, int(y) + 1, int(x) + 1) for y, x in zip(*np.nonzero((gx != 0) | (gy != 0)))}
+    every = points.cord_edge_points(labels, white, most=1)
+    assert {tuple(r) for r in every.select("z", "y", "x").collect()} == want and every.count() == len(want)
+    thin = [tuple(r) for r in points.cord_edge_points(labels, white).select("z", "y", "x").collect()]
+    assert set(thin) <= want and len(set(thin)) == len(thin)
+    for z in range(2):
+        n = sum(w[0] == z for w in want)
+        assert n / 6 <= sum(t[0] == z for t in thin) <= n / 3 + 1
+    only = points.cord_edge_points(labels.where("false"), white)
+    assert only.count() == 0 and only.columns == ["z", "y", "x"]
