@@ -1210,7 +1210,7 @@ def w17_smooth_path_in_blocks(s, d):
     w = Window.partitionBy("slice").orderBy("point_id")
     p = fx.points(s, d).select("slice", "point_id", F.col("value") / 1000, F.row_number().over(w).alias("r")).toDF("slice", "point_id", "y", "r")
     path = p.select("slice", "point_id", F.when(F.col("r") % 3 == 1, F.col("y")).alias("v"))
-    return rounded(series.smooth_path(path, "slice", "point_id", ["v"], 5.0, block=16), ["v"], 3)
+    return rounded(series.smooth_path(path, "slice", "point_id", ["v"], 5.0, block=40), ["v"], 3)
 
 
 _WHITE = ["concat(n_name, case when n_nationkey % 4 = 0 then ' FUNICULUS' when n_nationkey % 7 = 3 then ' fasciculus' else '' end) as name", "concat(n_nationkey, ', ,x', n_name, ', ', n_nationkey + 6) as children"]
