@@ -163,7 +163,9 @@ def sample_disc(implants: DataFrame, labels: DataFrame, size: Sequence[int], dep
 
 def sample_disc_intensity(implants: DataFrame, voxels: DataFrame, size: Sequence[int], depths: Sequence[float], step: float = 1.0) -> DataFrame:
     """Linear intensity of each channel over the same grid."""
-    every = disc_grid(implants, size, depths, step).join(voxels.select("channel").distinct(), F.lit(True))  # a row per channel
+    # All channels in a single row: Spark takes the side of the implants for the smaller one, not counting the grid's rows.
+    channels = F.broadcast(voxels.select("channel").distinct().agg(F.collect_list(F.struct("channel")).alias("_channels")))
+    every = disc_grid(implants, size, depths, step).join(channels, F.lit(True)).select("*", F.inline("_channels")).drop("_channels")
     return interpolate(every, voxels, {c: c for c in GRID}, {"value": "value"}, also=["channel"])
 
 

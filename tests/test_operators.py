@@ -1009,3 +1009,14 @@ def test_cord_edges_against_filters(spark):
         assert n / 6 <= sum(t[0] == z for t in thin) <= n / 3 + 1
     only = points.cord_edge_points(labels.where("false"), white)
     assert only.count() == 0 and only.columns == ["z", "y", "x"]
+
+
+def test_disc_grid_is_never_the_side_that_is_broadcast(spark):
+    flat = spark.createDataFrame([(c, 1, 1, 1, float(c)) for c in (1, 2)], "channel int, y int, x int, z int, value double").where("value > 0")
+    axes = {"uy": 1.0, "ux": 0.0, "uz": 0.0, "vy": 0.0, "vx": 1.0, "vz": 0.0, "ny": 0.0, "nx": 0.0, "nz": 1.0}
+    one = spark.createDataFrame([(7, 1.0, 1.0, 1.0, 1.0)], "implant_id int, cy double, cx double, cz double, radius double").withColumns({k: F.lit(v) for k, v in axes.items()})
+    got = lookup.sample_disc_intensity(one, flat, (2, 2, 2), [0.0])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin BuildLeft" not in plan and "Cartesian" not in plan
+    values = {(r["channel"], r["g1"], r["g2"]): r["value"] for r in got.collect()}
+    assert len(values) == 50 and values[2, 0.0, 0.0] == 2.0 and values[1, 2.0, 2.0] == 0.0
