@@ -32,11 +32,11 @@ def robust_outliers(points: DataFrame, r: int, by: Sequence[str], order: str, va
 
 
 def _around(by: Sequence[str], order: str, value: str):
-    w = Window.partitionBy(*by).orderBy(order)
     known = F.col(value).isNotNull()
     place = F.when(known, F.col(order))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return F.last(value, True).over(back), F.last(place, True).over(back), F.first(value, True).over(ahead), F.first(place, True).over(ahead)
+    # Both from the start of a window: a frame to its end is gone through anew for every row.
+    back, ahead = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(order), F.desc(order)))
+    return F.last(value, True).over(back), F.last(place, True).over(back), F.last(value, True).over(ahead), F.last(place, True).over(ahead)
 
 
 def fill_nearest(series: DataFrame, by: Sequence[str], order: str, value: str) -> DataFrame:
