@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlasframe.operators.spatial import link_components
+from atlasframe.operators.spatial import _cut, link_components
 
 AXES = ("y", "x", "z")
 
@@ -73,12 +73,13 @@ def connected_components(mask: DataFrame, by: Sequence[str], connectivity: int =
     (26; 8 in two dimensions); edges go through distributed label propagation."""
     most = 2 if connectivity == 18 else len(axes)
     steps = [s for s in product((-1, 0, 1), repeat=len(axes)) if 0 < sum(map(abs, s)) <= most and s > (0,) * len(axes)]
-    cut = checkpoint or (lambda df: df.checkpoint())
+    cut = checkpoint or _cut
     nodes = cut(mask.withColumn("_id", F.struct(*by, *axes)))
     near = nodes.select(*by, *axes, F.col("_id").alias("a"), F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))).alias("_s"))
     near = near.select("a", *by, *((F.col(c) + F.get("_s", F.lit(i))).cast(mask.schema[c].dataType).alias(c) for i, c in enumerate(axes)))
-    edges = near.join(nodes.select(*by, *axes, F.col("_id").alias("b")), [*by, *axes]).select("a", "b")
-    return nodes.join(link_components(edges, nodes, "_id", checkpoint), "_id").drop("_id")
+    # Spark's size check does not count the rows of the steps, so neither side may be broadcast.
+    edges = near.join(nodes.select(*by, *axes, F.col("_id").alias("b")).hint("merge"), [*by, *axes]).select("a", "b")
+    return nodes.join(link_components(edges, nodes, "_id", checkpoint).hint("merge"), "_id").drop("_id")
 
 
 def largest_component(components: DataFrame, by: Sequence[str]) -> DataFrame:
