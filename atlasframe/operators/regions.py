@@ -126,20 +126,33 @@ def rollup_cord(stats: DataFrame, tree: DataFrame, targets: Sequence[int], by: S
     return stats.join(under, "region_id").groupBy(*by, "target").agg(F.sum("volume").alias("volume"), F.when(F.sum(w) > 0, F.sum(F.col("signal") * w) / F.sum(w)).alias("signal"))
 
 
+def _held_in(inner: DataFrame, outer: DataFrame, longer: bool) -> DataFrame:
+    """(_i, _o): distinct names _i of inner that lie in names _o of outer, in longer ones only
+    or in equal ones as well. A name is cut to its parts of the lengths that inner
+    has, and parts meet equal names: an equi-join, nothing is compared with all others."""
+    sizes = F.broadcast(inner.select(F.length("_i").alias("_s")).distinct().agg(F.collect_list("_s").alias("_all")))  # a single row
+    rows = outer.join(sizes, F.lit(True)).select("_o", F.explode("_all").alias("_s"))
+    rows = rows.where(F.col("_s") < F.length("_o") if longer else F.col("_s") <= F.length("_o"))
+    parts = rows.select("_o", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_o") - F.col("_s") + 1), lambda i: F.substring(F.col("_o"), i, F.col("_s"))))).alias("_i"))
+    # Spark's size check does not count the parts.
+    return parts.join(inner.select("_i").hint("merge"), "_i")
+
+
 def join_by_name_unique(terms: DataFrame, external: DataFrame, name: str = "name", key: str = "ext_name", value: str = "ext_value") -> DataFrame:
     """External rows whose name (lower case, no commas) holds that of a term or is
     held by it, anywhere in it, where exactly one does; else the value is missing.
-    Empty names hold and are held by none. A name meets those that it may lie in by
-    its first three characters, so no name is compared with all others."""
+    Empty names hold and are held by none. Equal names of a side are one, with the
+    number of their rows; a name of a term gets the number of all that it meets."""
     clean = lambda c: F.trim(F.translate(F.lower(c), ",", ""))
-    parts = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substring(F.col(c), i, F.lit(k)) for k in (1, 2, 3))))))).alias("_w")
-    head = lambda c: F.substring(c, 1, 3).alias("_w")
-    t = terms.select("region_id", clean(name).alias("_t")).where("_t <> ''")
-    e = external.select(key, value, clean(key).alias("_e")).where("_e <> ''")
-    held = t.select("*", head("_t")).join(e.select("*", parts("_e")), "_w").where(F.col("_e").contains(F.col("_t")))
-    holds = t.select("*", parts("_t")).join(e.select("*", head("_e")), "_w").where(F.col("_t").contains(F.col("_e")))
-    hits = held.unionByName(holds).select("region_id", key, value).distinct()
-    one = hits.groupBy("region_id").agg(F.count("*").alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
+    t = terms.select("region_id", clean(name).alias("_t")).where("_t <> ''").distinct()
+    e = external.select(key, value, clean(key).alias("_e")).where("_e <> ''").distinct().groupBy("_e").agg(F.count("*").alias("_c"), F.min(value).alias("_v"))
+    ours, theirs = t.select("_t").distinct(), e.select("_e")
+    held = _held_in(ours.withColumnRenamed("_t", "_i"), theirs.withColumnRenamed("_e", "_o"), False).toDF("_t", "_e")
+    holds = _held_in(theirs.withColumnRenamed("_e", "_i"), ours.withColumnRenamed("_t", "_o"), True).toDF("_e", "_t")
+    met = held.unionByName(holds).join(e, "_e").groupBy("_t").agg(F.sum("_c").alias("_c"), F.min("_e").alias("_e"), F.min("_v").alias("_v"))
+    # A region of several names: each must meet one row alone, and all of them the same.
+    one = t.join(met, "_t").groupBy("region_id").agg(F.max("_c").alias("_c"), F.min("_e").alias("_a"), F.max("_e").alias("_b"), F.min("_v").alias(value))
+    one = one.where("_c = 1 and _a = _b").select("region_id", value)
     return terms.select("region_id", name).join(one, "region_id", "left")
 
 
