@@ -158,4 +158,5 @@ def highlight_regions(labels: DataFrame, names: DataFrame, text: str, values: st
     held = names.where(F.lower("name").contains(text.lower()))
     ends = F.broadcast(held.agg(F.min(values).alias("_lo"), F.max(values).alias("_hi")))  # a single row
     level = F.when(F.col("_hi") > F.col("_lo"), (F.col(values) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 254 + 1).otherwise(1.0)
-    return labels.join(held.join(ends, F.lit(True)).select("region_id", level.alias("level")), "region_id")
+    # A row a region of the atlas: voxels are neither shuffled nor sorted by the few regions.
+    return labels.join(F.broadcast(held.join(ends, F.lit(True)).select("region_id", level.alias("level"))), "region_id")
