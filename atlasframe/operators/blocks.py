@@ -6,7 +6,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -289,7 +291,8 @@ def candidate_views(cells: DataFrame, v: Volume, half: int, key: str = "cell_id"
     """(key, view_yx, view_zx, view_zy array<double>): greatest-value projections of
     the box of +-half round each cell (by, y, x, z), rows of (2 half + 1)^2 values in
     order of the view's first axis, voxels outside the volume and absent ones 0. Cells go
-    to the halo cube that they lie in, so a voxel is never a row. Cells without a place are left out."""
+    to the halo cube that they lie in, so a voxel is never a row; each voxel that holds cells is
+    projected once, and its cells take the views from it. Cells without a place are left out."""
     edge, by, side = v.edge, list(v.by), 2 * half + 1
     halos = halo_cubes(v, half, every=True)
     at = cells.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in by), *(F.round(F.col(a), 0).cast("int").alias(f"_{a}") for a in AXES)).where("_y is not null and _x is not null and _z is not null")
@@ -301,7 +304,7 @@ def candidate_views(cells: DataFrame, v: Volume, half: int, key: str = "cell_id"
         if len(cube):
             data, low = np.frombuffer(cube["data"].iloc[0]).reshape(cube["shape"].iloc[0]), cube["low"].iloc[0]
         out = []
-        for cell, *centre in here[["_key", "_y", "_x", "_z"]].itertuples(index=False, name=None):
+        for centre in here[["_y", "_x", "_z"]].itertuples(index=False, name=None):
             box = np.zeros((side,) * 3)
             if data is not None:
                 first = [c - half - a for c, a in zip(centre, low)]
@@ -309,12 +312,16 @@ def candidate_views(cells: DataFrame, v: Volume, half: int, key: str = "cell_id"
                 to = tuple(slice(s.start - f, s.start - f + max(0, s.stop - s.start)) for s, f in zip(src, first))
                 box[to] = data[src]
             # Of y, x, z: along z for (y, x), along y for (z, x), along x for (z, y).
-            out.append((cell, box.max(2).ravel().tolist(), box.max(0).T.ravel().tolist(), box.max(1).T.ravel().tolist()))
-        return pd.DataFrame(out, columns=[key, *names])
-
-    kind = cells.schema[key].dataType.simpleString()
-    groups = at.groupBy(*(f"_{c}" for c in [*by, *PLACE])).cogroup(halos.groupBy(*by, *PLACE))
-    return groups.applyInPandas(views, f"`{key}` {kind}, " + ", ".join(f"{n} array<double>" for n in names))
+            out.append((*(here[f"_{c}"].iloc[0] for c in by), *centre, box.max(2).ravel().tolist(), box.max(0).T.ravel().tolist(), box.max(1).T.ravel().tolist()))
+        return pd.DataFrame(out, columns=[*at_voxel, *names])
+
+    at_voxel = [f"_{c}" for c in [*by, *AXES]]
+    kind = ", ".join(f"`{c}` {at.schema[c].dataType.simpleString()}" for c in at_voxel)
+    centres = at.select(*at_voxel, *(f"_{p}" for p in PLACE)).distinct()
+    groups = centres.groupBy(*(f"_{c}" for c in [*by, *PLACE])).cogroup(halos.groupBy(*by, *PLACE))
+    seen = groups.applyInPandas(views, f"{kind}, " + ", ".join(f"{n} array<double>" for n in names)).withColumnsRenamed({c: f"_at{c}" for c in at_voxel})
+    met = at.join(seen.hint("merge"), reduce(and_, (F.col(c).eqNullSafe(F.col(f"_at{c}")) for c in at_voxel)))
+    return met.select(F.col("_key").alias(key), *names)
 
 
 def cube_quantile(cubes: DataFrame, q: float) -> float | None:

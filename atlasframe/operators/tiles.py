@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -293,14 +295,22 @@ def detect_cells_2d(planes: DataFrame, options: Detection = Detection(), by: Seq
 
 def candidate_views(cells: DataFrame, voxels: DataFrame, half: int, by: Sequence[str] = ("sample_id", "channel"), key: str = "cell_id") -> DataFrame:
     """(cell, view, u, v, value): three greatest-value projections of the box round
-    each cell, u and v from -half to half; voxels outside the volume count as 0."""
+    each cell, u and v from -half to half; voxels outside the volume count as 0. Each voxel that
+    holds cells is projected once, and its cells take the views from it."""
     steps = F.sequence(F.lit(-half), F.lit(half))
-    box = cells.select(key, *by, *(F.round(F.col(a), 0).cast("int").alias(f"_{a}") for a in AXES))
+    at = cells.select(key, *by, *(F.round(F.col(a), 0).cast("int").alias(f"_{a}") for a in AXES))
+    centre = [*by, *(f"_{a}" for a in AXES)]
+    box = at.select(*centre).distinct()
     for a in AXES:
         box = box.withColumn(f"d{a}", F.explode(steps)).withColumn(a, (F.col(f"_{a}") + F.col(f"d{a}")).cast("int"))
     rows = box.join(voxels.select(*by, *AXES, "value"), [*by, *AXES], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    pick = lambda n, u, v: rows.groupBy(key, F.lit(n).alias("view"), F.col(f"d{u}").alias("u"), F.col(f"d{v}").alias("v")).agg(F.max("value").alias("value"))
-    return pick("yx", "y", "x").unionByName(pick("zx", "z", "x")).unionByName(pick("zy", "z", "y"))
+    pick = lambda n, u, v: F.struct(F.lit(n).alias("view"), F.col(f"d{u}").alias("u"), F.col(f"d{v}").alias("v"))
+    rows = rows.select(*centre, F.explode(F.array(pick("yx", "y", "x"), pick("zx", "z", "x"), pick("zy", "z", "y"))).alias("_p"), "value")
+    rows = rows.groupBy(*centre, "_p").agg(F.max("value").alias("value"))
+    # 3 (2 half + 1)^2 entries a voxel.
+    views = rows.groupBy(*centre).agg(F.collect_list(F.struct("_p.*", "value")).alias("_views")).withColumnsRenamed({c: f"_at{c}" for c in centre})
+    met = at.join(views.hint("merge"), reduce(and_, (F.col(c).eqNullSafe(F.col(f"_at{c}")) for c in centre)))
+    return met.select(key, F.inline("_views"))
 
 
 def preprocess_volume(planes: DataFrame, out: str, factor: int = 2, options: Detection = Detection()) -> tuple[DataFrame, DataFrame]:

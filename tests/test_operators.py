@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atlasframe import functions as fn
 from atlasframe import sources, streaming
-from atlasframe.operators import align, blocks, geometry, lookup, points, quantiles, regions, sections, series, spatial, stats, stencil, tiles, udf
+from atlasframe.operators import align, blocks, clean, geometry, lookup, points, quantiles, regions, sections, series, spatial, stats, stencil, tiles, udf
 from atlasframe.plans import fixtures as fx
 from atlasframe.plans import queries
 from conftest import DATA
@@ -1064,3 +1064,68 @@ def test_no_window_frame_runs_to_the_end(spark):
     assert not any("currentrow$(), unboundedfollowing$()" in _plan(j).lower() or "1, unboundedfollowing$()" in _plan(j).lower() for j in jobs)
     assert [r["v"] for r in jobs[0].orderBy("p").collect()] == [0, 0, 3, 3, 3, 6, 6, 6, 9, 9]
     assert all(r["nearest"] == min((0, 5, 10, 15), key=lambda x: (abs(x - r["pos"]), x)) for r in jobs[2].collect())
+
+
+def test_equal_names_meet_once_and_count_all_their_rows(spark):
+    terms = spark.createDataFrame([(1, "Cortex"), (2, "Cortex"), (3, "Pons"), (3, "PONS, "), (4, "Tectum"), (4, "Cortex"), (5, "left pons 2"), (6, "gyrus gyrus")], "region_id int, name string")
+    other = spark.createDataFrame([("big cortex", 7), ("pons", 1), ("pons", 1), ("gyrus", 4)], "ext_name string, ext_value int")
+    got = regions.join_by_name_unique(terms, other)
+    assert "NestedLoopJoin LeftOuter" not in _plan(got) and "Contains" not in _plan(got)
+    want = {(1, "Cortex", 7), (2, "Cortex", 7), (3, "Pons", 1), (3, "PONS, ", 1), (4, "Tectum", 7), (4, "Cortex", 7), (5, "left pons 2", 1), (6, "gyrus gyrus", 4)}
+    assert {tuple(r) for r in got.collect()} == want
+    twice = regions.join_by_name_unique(terms, other.unionByName(spark.createDataFrame([("a cortex", 7)], other.schema)))
+    assert {r["region_id"]: r["ext_value"] for r in twice.where("name = 'Cortex'").collect()} == {1: None, 2: None, 4: None}
+
+
+def test_cells_of_one_voxel_share_their_views(spark):
+    cells = spark.createDataFrame([(i, "a", 1, 1.0 + 0.1 * (i % 3), 2.0, 1.0) for i in range(60)] + [(60, "a", 1, 3.0, 2.0, 9.0)], "cell_id int, sample_id string, channel int, y double, x double, z double")
+    voxels = spark.createDataFrame([("a", 1, y, x, z, float(y * 16 + x * 4 + z)) for y in (1, 2, 3) for x in (1, 2, 3) for z in (1, 2)], "sample_id string, channel int, y int, x int, z int, value double")
+    rows = tiles.candidate_views(cells, voxels, 1)
+    got = {(r["cell_id"], r["view"], r["u"], r["v"]): r["value"] for r in rows.collect()}
+    value = lambda y, x, z: float(y * 16 + x * 4 + z) if min(y, x, z) >= 1 and y <= 3 and x <= 3 and z <= 2 else 0.0
+    cubes = {r["cell_id"]: r for r in blocks.candidate_views(cells, blocks.volume(voxels, 4, size=(3, 3, 2)), 1).collect()}
+    assert len(got) == 61 * 27 and len(cubes) == 61
+    for i in (0, 31, 60):
+        z = 9 if i == 60 else 1
+        y = 3 if i == 60 else 1
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                assert got[i, "yx", a, b] == max(value(y + a, 2 + b, z + c) for c in (-1, 0, 1)) == cubes[i]["view_yx"][3 * a + b + 4]
+                assert got[i, "zx", a, b] == max(value(y + c, 2 + b, z + a) for c in (-1, 0, 1)) == cubes[i]["view_zx"][3 * a + b + 4]
+                assert got[i, "zy", a, b] == max(value(y + b, 2 + c, z + a) for c in (-1, 0, 1)) == cubes[i]["view_zy"][3 * a + b + 4]
+    # The boxes are of voxels: no join carries the cells' keys together with their steps.
+    assert all("cell_id" not in line for line in _plan(rows).split("\n") if "Generate explode" in line)
+
+
+def test_highlighted_voxels_are_not_sorted_by_region(spark):
+    labels = spark.range(50).select((F.col("id") % 3).cast("int").alias("region_id"))
+    names = spark.createDataFrame([(0, "area", 1.0), (1, "Arc", 3.0), (2, "pons", 9.0)], "region_id int, name string, value double")
+    got = clean.highlight_regions(labels, names.repartition(2).groupBy("region_id", "name").agg(F.sum("value").alias("value")), "a")
+    assert "SortMergeJoin" not in _plan(got)
+    assert {tuple(r) for r in got.distinct().collect()} == {(0, 1.0), (1, 255.0)}
+
+
+def test_slices_of_many_copies_are_refined_by_all_their_places(spark):
+    r = np.random.default_rng(5)
+    places = r.uniform(0, 40, (3000, 2))
+    pdf = pd.DataFrame(np.repeat(places, 3, 0), columns=["x", "y"]).assign(slice=1)
+    p = spark.createDataFrame(pdf)
+    got = align.refine_per_slice(p, p, most=500, most_atlas=400).first()
+    assert (got["n"], got["n_atlas"]) == (9000, 9000) and max(got["error"], got["back"], got["uneven"]) < 1e-9
+    flipped = align.flip_decision(p.withColumn("x", 41 - F.col("x")), p, 40).first()
+    assert flipped["flipped"] and flipped["error"] < 1e-9
+
+
+def test_offset_of_equal_places_is_told_by_their_points(spark):
+    rows = [(float(z), float(i % 7), float(i // 7)) for z in (0, 1) for i in range(49) for _ in range(1 + (i * 5 + z * 3) % 4)]
+    atlas = spark.createDataFrame(rows, "z double, x double, y double")
+    slices = atlas.where("z = 1").select(F.lit("s").alias("slice"), F.lit(0.0).alias("pos"), "x", "y")
+    got = align.best_offset(slices, atlas, [0.0, 1.0], 0.4, 20).first()
+    assert got["offset"] == 1.0 and got["error"] + got["back"] < 1e-9
+
+
+def test_weighted_quantile_is_that_of_repeated_values():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        v, n = r.normal(size=9), r.integers(1, 5, 9)
+        assert abs(align._quantile(v, n.astype(float), 0.9) - np.quantile(np.repeat(v, n), 0.9)) < 1e-12
