@@ -109,10 +109,12 @@ def compose_along(transforms: DataFrame, by: Sequence[str], order: str, m: str =
 
 
 def _five_diagonals(main: np.ndarray, one: np.ndarray, two: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Solution of a symmetric positive definite system with two diagonals beside the
-    main one, for each column of right, by its LDL' factors: linear in the number of rows."""
+    """Solutions of symmetric positive definite systems with two diagonals beside the
+    main one, by their LDL' factors: linear in the number of rows. Systems of as many
+    rows are solved at once: diagonals are (rows, systems), right is (rows, right sides,
+    systems); one alone is (rows) and (rows, right sides) or (rows)."""
     n = len(main)
-    d, l1, l2, x = main.astype(float).copy(), np.zeros(n), np.zeros(n), right.astype(float).copy()
+    d, l1, l2, x = main.astype(float).copy(), np.zeros(main.shape), np.zeros(main.shape), right.astype(float).copy()
     for i in range(n):
         if i >= 2:
             d[i] -= l2[i - 2] ** 2 * d[i - 2]
@@ -126,29 +128,30 @@ def _five_diagonals(main: np.ndarray, one: np.ndarray, two: np.ndarray, right: n
             l1[i] = one[i] / d[i]
         if i + 2 < n:
             l2[i] = two[i] / d[i]
-    x /= d.reshape(-1, *[1] * (x.ndim - 1))
+    x /= d.reshape(n, *[1] * (x.ndim - d.ndim), *d.shape[1:])
     for i in range(n - 2, -1, -1):
         x[i] -= l1[i] * x[i + 1] + (l2[i] * x[i + 2] if i + 2 < n else 0)
     return x
 
 
-class _Stretch:
-    """Rows start, start + 1, ... of the normal equations of a path of n rows, those of
-    one block. Its first two rows (none in the first block) join it to the block
-    before; the inner rows touch only these and the first two of the next block."""
+class _Stretches:
+    """Blocks of as many rows each of the normal equations of a path of n rows: block
+    k has the rows start[k], start[k] + 1, ..., known is (rows, blocks). Its first two rows
+    (none in the path's first block, which comes alone) join it to the block before; the
+    inner rows touch only these and the first two of the next block."""
 
-    def __init__(self, start: int, known: np.ndarray, n: int, penalty: float) -> None:
-        at = start + np.arange(len(known))
+    def __init__(self, start: np.ndarray, known: np.ndarray, n: int, penalty: float) -> None:
+        m = len(known)
+        at = start + np.arange(m)[:, None]
         first, middle, last = at <= n - 3, (at >= 1) & (at <= n - 2), at >= 2
         # Sums of squares of (1, -2, 1) at every place; a touch on the main diagonal
         # keeps a path with few known values solvable.
         self.main = known + penalty * (first + 4.0 * middle + last) + 1e-9
         self.one = -2.0 * penalty * (first + 1.0 * middle)
         self.two = penalty * first.astype(float)
-        self.joint = 0 if start == 0 else min(2, len(known))
-        j, m = self.joint, len(known)
+        self.joint = j = 0 if start[0] == 0 else min(2, m)
         #: Entries between the inner rows and (own first two, next block's first two).
-        self.beside = np.zeros((m - j, 4))
+        self.beside = np.zeros((m - j, 4, len(start)))
         if m > j:
             if j:
                 self.beside[0, 0], self.beside[0, 1] = self.two[0], self.one[1]
@@ -160,25 +163,39 @@ class _Stretch:
                 self.beside[-2, 2] += self.two[-2]
 
     def inner(self, right: np.ndarray) -> np.ndarray:
-        j = self.joint
-        return _five_diagonals(self.main[j:], self.one[j:], self.two[j:], right)
-
-    def folded(self, right: np.ndarray) -> list[float]:
-        """What is left of the block for its joints when its inner rows are solved: 4 x 4
+        system = [x[self.joint :] for x in (self.main, self.one, self.two)]
+        if right.shape[2] > 1:
+            return _five_diagonals(*system, right)
+        # One block alone: a loop over numbers is quicker than one over arrays of one.
+        lone = right.reshape(right.shape[:2] if right.shape[1] > 1 else len(right))
+        return _five_diagonals(*(x[:, 0] for x in system), lone).reshape(right.shape)
+
+    def folded(self, right: np.ndarray) -> np.ndarray:
+        """What is left of each block (a row) for its joints when its inner rows are solved: 4 x 4
         and 4 numbers of the fold, and the joint rows' own 2 x 2 entries and right sides."""
-        j = self.joint
-        x = self.inner(np.column_stack([self.beside, right[j:]]))
-        own, side = np.eye(2), np.zeros(2)
+        j, k = self.joint, right.shape[1]
+        x = self.inner(np.concatenate([self.beside, right[j:, None]], axis=1))
+        own, side = np.zeros((k, 2, 2)), np.zeros((k, 2))
+        own[:, [0, 1], [0, 1]] = 1
         for i in range(j):
-            own[i, i], side[i] = self.main[i], right[i]
+            own[:, i, i], side[:, i] = self.main[i], right[i]
         if j == 2:
-            own[0, 1] = own[1, 0] = self.one[0]
-        return [*(self.beside.T @ x).ravel().tolist(), *own.ravel().tolist(), *side.tolist()]  # 4 x 5, 2 x 2, 2
+            own[:, 0, 1] = own[:, 1, 0] = self.one[0]
+        return np.hstack([np.einsum("rak,rbk->kab", self.beside, x).reshape(k, 20), own.reshape(k, 4), side])  # 4 x 5, 2 x 2, 2
 
     def solved(self, right: np.ndarray, joints: np.ndarray) -> np.ndarray:
-        """All rows' values, given those of the own joint rows and the next block's."""
+        """All rows' values, given those of the own joint rows and the next block's (blocks, 4)."""
         j = self.joint
-        return np.concatenate([joints[:j], self.inner(right[j:] - self.beside @ joints)])
+        inner = right[j:] - np.einsum("rak,ka->rk", self.beside, joints)
+        return np.concatenate([joints[:, :j].T, self.inner(inner[:, None])[:, 0]])
+
+
+def _cut(m: int, start: int, block: int) -> list[tuple[int, int, int]]:
+    """(from, to, rows of a block) of a run of m rows that begins at a block's start: the
+    path's first block, whole blocks, and what is left of the path's last."""
+    first = min(block, m) if start == 0 else 0
+    whole = first + (m - first) // block * block
+    return [(a, b, size) for a, b, size in ((0, first, first), (first, whole, block), (whole, m, m - whole)) if b > a]
 
 
 def _joints(folds: np.ndarray) -> np.ndarray:
@@ -201,19 +218,25 @@ def _joints(folds: np.ndarray) -> np.ndarray:
     return np.hstack([x[:-1], x[1:]])
 
 
+#: Rows of a path that a task solves at a time, about: as many whole blocks, one at least.
+RUN_ROWS = 20_000
+
+
 def smooth_path(path: DataFrame, by: str, order: str, values: Sequence[str], penalty: float, block: int = 20_000) -> DataFrame:
     """Values for every slice from few annotated ones: least squares with a penalty
     on second differences. Null and NaN are unknown; a value with fewer than two known
     ones in its path, and paths of fewer than three rows, stay as they are.
 
-    Paths are cut into blocks of `block` rows (5 or more) by place. Each block, a task's
-    group, solves its inner rows against its two first rows and the next block's; what is
-    left, two rows a block, is one small system a path; with its solution each block
-    fills in its own rows. So a path of any length is many tasks and none holds
-    more than a block or two rows of each. Rows of one place (ties) come in any order.
+    Paths are cut into blocks of `block` rows (5 or more) by place, and a run of blocks is a
+    task's group. Each block solves its inner rows against its two first rows and the next
+    block's, the blocks of a run all at once; what is left, two rows a block, is one small
+    system a path; with its solution each block fills in its own rows. So a path of any
+    length is many tasks and none holds more than a run or two rows of each block. Rows of
+    one place (ties) come in any order.
     """
     if block < 5:
         raise ValueError("a block has 5 rows or more")
+    run = max(1, RUN_ROWS // block)
     spark, columns = path.sparkSession, path.columns
     known = lambda v: F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
     dealt = path.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, order).withColumn("_part", F.spark_partition_id()).checkpoint()
@@ -222,43 +245,50 @@ def smooth_path(path: DataFrame, by: str, order: str, values: Sequence[str], pen
     whole = Window.partitionBy(by)
     sizes = sizes.select(
         F.col(by).alias("_by"), F.col("_part").alias("_at"), (F.sum("_c").over(whole.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_n"),
-        F.array(*(F.sum(f"_k{i}").over(whole) >= 2 for i in range(len(values)))).alias("_fit"),
+        *((F.sum(f"_k{i}").over(whole) >= 2).alias(f"_fit{i}") for i in range(len(values))),
     )
     place = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) - 1 + F.col("_before")
     rows = dealt.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at"))).withColumn("_i", place.cast("long"))
-    rows = rows.withColumn("_block", F.floor(F.col("_i") / block).cast("long")).drop("_part", "_by", "_at", "_before").checkpoint()
+    rows = rows.withColumn("_run", F.floor(F.col("_i") / (block * run)).cast("long")).drop("_part", "_by", "_at", "_before").checkpoint()
 
-    def stretches(pdf: pd.DataFrame):
-        """(value's number, system, right side) of the values that are fitted."""
-        n, start, fit = int(pdf["_n"].iloc[0]), int(pdf["_i"].iloc[0]), pdf["_fit"].iloc[0]
+    def systems(pdf: pd.DataFrame):
+        """(value's number, [(from, to, number of the first block, system, right side)]) of the values that are fitted."""
+        n, start = int(pdf["_n"].iloc[0]), int(pdf["_i"].iloc[0])
         for at, v in enumerate(values):
-            if fit[at] and n > 2:
+            if pdf[f"_fit{at}"].iloc[0] and n > 2:
                 y = pdf[v].to_numpy(float)
                 there = ~np.isnan(y)
-                yield at, _Stretch(start, there.astype(float), n, penalty), np.where(there, y, 0)
+                right, parts = np.where(there, y, 0), []
+                for a, b, size in _cut(len(y), start, block):
+                    cut = lambda x: x[a:b].reshape(-1, size).T  # noqa: E731, B023
+                    parts.append((a, b, (start + a) // block, _Stretches(np.arange(start + a, start + b, size), cut(there).astype(float), n, penalty), cut(right)))
+                yield at, parts
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        out = [(pdf[by].iloc[0], pdf["_block"].iloc[0], at, system.folded(right)) for at, system, right in stretches(pdf)]
+        pdf, out = pdf.sort_values("_i"), []
+        for at, parts in systems(pdf):
+            for _, _, k, system, right in parts:
+                out += [(pdf[by].iloc[0], k + i, at, f) for i, f in enumerate(system.folded(right))]
         return pd.DataFrame(out, columns=[by, "_block", "_value", "_fold"])
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
         return pdf.assign(_joint=_joints(np.array(pdf["_fold"].tolist())).tolist())[[by, "_block", "_value", "_joint"]]
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        for at, system, right in stretches(pdf):
-            pdf[values[at]] = system.solved(right, np.array(pdf["_joints"].iloc[0][at], float))
+    def fill(pdf: pd.DataFrame, joints: pd.DataFrame) -> pd.DataFrame:
+        pdf, joints = pdf.sort_values("_i"), joints.sort_values("_block")
+        for at, parts in systems(pdf):
+            met = np.array(joints.loc[joints["_value"] == at, "_joint"].tolist(), float)
+            first = parts[0][2]
+            solved = [system.solved(right, met[k - first : k - first + right.shape[1]]).T.ravel() for _, _, k, system, right in parts]
+            pdf[values[at]] = np.concatenate(solved)
         return pdf[columns]
 
     keys = [path.schema[by], StructField("_block", LongType()), StructField("_value", IntegerType())]
-    folds = rows.groupBy(by, "_block").applyInPandas(fold, StructType([*keys, StructField("_fold", ArrayType(DoubleType()))]))
+    folds = rows.groupBy(by, "_run").applyInPandas(fold, StructType([*keys, StructField("_fold", ArrayType(DoubleType()))]))
     joints = folds.groupBy(by, "_value").applyInPandas(join_up, StructType([*keys, StructField("_joint", ArrayType(DoubleType()))]))
-    joints = joints.groupBy(by, "_block").agg(F.map_from_entries(F.collect_list(F.struct("_value", "_joint"))).alias("_joints"))  # one entry a value
-    joints = joints.select(F.col(by).alias("_by"), F.col("_block").alias("_at"), "_joints")
-    met = rows.join(joints, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_at")), "left").drop("_by", "_at")
-    return met.groupBy(by, "_block").applyInPandas(fill, path.schema)
+    joints = joints.withColumn("_run", F.floor(F.col("_block") / run).cast("long"))
+    return rows.groupBy(by, "_run").cogroup(joints.groupBy(by, "_run")).applyInPandas(fill, path.schema)
 
 
 def smooth_transforms(series: DataFrame, r: int, by: Sequence[str], order: str, shifts: Sequence[str], angle: str) -> DataFrame:

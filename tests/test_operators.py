@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, on small cases worked out by hand or by brute force."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -981,6 +982,22 @@ def test_smooth_path_in_blocks_equals_dense_solve(spark):
         series.smooth_path(path, "k", "i", ["v"], 3.0, block=4)
 
 
+def test_smooth_path_solves_runs_of_blocks(spark, monkeypatch):
+    """Runs of one block, of a few and of all blocks give what one block gives; a task's group is a run, so there are few groups of small blocks."""
+    rng = np.random.default_rng(6)
+    rows = [(key, i, float(rng.normal()) if i % 3 == 1 else None) for key, n in (("a", 83), ("b", 40), (None, 21), ("c", 6)) for i in range(n)]
+    path = spark.createDataFrame(rows, "k string, i int, v double")
+    key = lambda df: {(r["k"], r["i"]): r["v"] for r in df.collect()}
+    want = key(series.smooth_path(path, "k", "i", ["v"], 3.0, block=1000))
+    for run in (4, 15, 20, 20_000):
+        monkeypatch.setattr(series, "RUN_ROWS", run)
+        found = series.smooth_path(path, "k", "i", ["v"], 3.0, block=5)
+        got = key(found)
+        assert got.keys() == want.keys() and all(abs(got[at] - v) < 1e-6 for at, v in want.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [keys for keys in re.findall(r"GroupsInPandas \[([^\]]*)\]", plan) if "_block" in keys]
+
+
 def test_cord_edges_against_filters(spark):
     """Edges of tissue and white matter by 3 x 3 filters over padded planes; thinning keeps one of six or fewer."""
     rng = np.random.default_rng(6)
