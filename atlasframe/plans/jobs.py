@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -357,7 +358,7 @@ e as (select id, i, case when kind = 0 then case i when 3 then b when 7 then a w
   else case i when 0 then 1 + a when 1 then a when 5 then 1 when 6 then -a when 10 then 2 when 15 then 1 when 3 then b + 5 - ((1 + a) * 5 + a * 6) when 7 then 1 + 6 - (6 - a * 7) when 11 then 2 + 7 - 14 else 0 end end as v from t, range(16) as g(i))
 select id, cast(i as int) as place, round(v, 5) + 0 as value from e""", False)
 def s15_transforms_from_text(s, d):
-    """Translations, turns and affine maps about (5, 6, 7), a file each."""
+    """Translations, turns and affine maps about (5, 6, 7), a file each, written by as many tasks as the shuffle has partitions, a folder each."""
     path = scratch(s, "transforms")
     parts = {
         0: ("Translation", "concat_ws(' ', b, a, 2)"),
@@ -366,7 +367,23 @@ def s15_transforms_from_text(s, d):
     }
     text = " ".join(f"""when {k} then concat('(Transform "{name}Transform")\n(TransformParameters ', {p}, ')\n(CenterOfRotationPoint 5 6 7)')""" for k, (name, p) in parts.items())
     t = s.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey as id", "s_suppkey % 3 as kind", "s_nationkey / 50.0D as a", "s_suppkey / 8.0D as b")
-    t.select("id", F.expr(f"case kind {text} end").alias("value")).repartition("id").write.partitionBy("id").text(path)
+    uri = re.sub(r"^file:/+", "file:///", path)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, folder = FileSystem.from_uri(uri)
+        for b in batches:
+            for lot in b["lot"].unique():
+                fs.create_dir(f"{folder}/lot={lot}", recursive=True)
+            for lot, i, value in b.itertuples(index=False):
+                with fs.open_output_stream(f"{folder}/lot={lot}/id={i}.txt") as f:
+                    f.write(value.encode())
+            yield b[["id"]]
+
+    fs, folder = FileSystem.from_uri(uri)
+    fs.create_dir(folder, recursive=True)
+    # A number of partitions is kept as it is; without one so few bytes would be one task, which writes all files.
+    dealt = t.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "id")
+    dealt.select(F.spark_partition_id().alias("lot"), "id", F.expr(f"case kind {text} end").alias("value")).mapInPandas(write, "id long").count()
     got = sources.transforms_from_text(s, path)
     got = got.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("id"), F.posexplode("m").alias("place", "value"))
     return rounded(got, ["value"], 5)

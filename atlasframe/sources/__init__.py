@@ -161,10 +161,11 @@ def transforms_from_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, m): registration text files '(Name v ...)' as 4 x 4 row-major
     matrices: translation, Euler, similarity (versor and scale) and affine, about
     their centre of rotation; other kinds are an error when read."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     field = lambda n: F.regexp_extract("value", rf"\({n}\s+([^)]*)\)", 1)
     numbers = lambda n: F.transform(F.filter(F.split(F.trim(field(n)), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
-    rows = text.select("path", F.regexp_replace(field("Transform"), '"', "").alias("kind"), numbers("TransformParameters").alias("p"), numbers("CenterOfRotationPoint").alias("c"))
+    # The file's name is not deterministic. Beside the numbers it keeps filters on m (exploding it
+    # makes one) above them; below, the text would be split anew for each use of a number.
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace(field("Transform"), '"', "").alias("kind"), numbers("TransformParameters").alias("p"), numbers("CenterOfRotationPoint").alias("c"))
     p = lambda i: F.get("p", F.lit(i))
     one = [F.lit(float(i == j)) for i in range(3) for j in range(3)]
     cx, sx, cy, sy, cz, sz = F.cos(p(0)), F.sin(p(0)), F.cos(p(1)), F.sin(p(1)), F.cos(p(2)), F.sin(p(2))

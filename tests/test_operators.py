@@ -13,7 +13,7 @@ from atlasframe import sources, streaming
 from atlasframe.operators import align, blocks, clean, geometry, lookup, points, quantiles, regions, sections, series, spatial, stats, stencil, tiles, udf
 from atlasframe.plans import fixtures as fx
 from atlasframe.plans import queries
-from conftest import DATA
+from conftest import DATA, same
 
 
 @pytest.fixture(scope="module")
@@ -998,6 +998,31 @@ def test_smooth_path_solves_runs_of_blocks(spark, monkeypatch):
     assert not [keys for keys in re.findall(r"GroupsInPandas \[([^\]]*)\]", plan) if "_block" in keys]
 
 
+def test_transform_files_are_written_by_many_tasks(spark, duck, tmp_path, monkeypatch):
+    """A file for each supplier, in a folder a task and not a folder each; no supplier, no row."""
+    from atlasframe.plans import jobs
+
+    rows = [(i, i % 25) for i in range(400)]
+    for name, kept in (("some", rows), ("none", [])):
+        spark.createDataFrame(kept, "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / name / "supplier.parquet"))
+    monkeypatch.setattr(jobs, "scratch", lambda s, name: f"file://{tmp_path}/{name}")
+    got = jobs.s15_transforms_from_text(spark, str(tmp_path / "some")).toPandas()
+    files = [f for f in (tmp_path / "transforms").rglob("*id=*") if f.is_file()]
+    assert len(files) == 400 and 1 < len({f.parent for f in files}) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = duck.cursor()
+    own.sql(f"create temp view supplier as select * from '{tmp_path}/some/supplier.parquet/*.parquet'")
+    same(got, own.sql(queries.ORACLES["s15_transforms_from_text"]).df())
+    monkeypatch.setattr(jobs, "scratch", lambda s, name: f"file://{tmp_path}/empty-{name}")
+    assert jobs.s15_transforms_from_text(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_exploded_transforms_split_each_text_once(spark, tmp_path):
+    (tmp_path / "t.txt").write_text('(Transform "TranslationTransform")\n(TransformParameters 1 2 3)')
+    got = sources.transforms_from_text(spark, str(tmp_path)).select("path", F.posexplode("m"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert [r["col"] for r in got.orderBy("pos").collect()] == [1, 0, 0, 1, 0, 1, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1]
+
+
 def test_cord_edges_against_filters(spark):
     """Edges of tissue and white matter by 3 x 3 filters over padded planes; thinning keeps one of six or fewer."""
     rng = np.random.default_rng(6)
