@@ -418,7 +418,7 @@ def a5_refine_per_slice(s, d):
     p = fx.points(s, d).select("slice", "x", "y")
     c, n = float(np.cos(0.015)), float(np.sin(0.015))
     moved = p.select("slice", (F.col("x") * c - F.col("y") * n + 3).alias("x"), (F.col("x") * n + F.col("y") * c - 2).alias("y"))
-    found = align.refine_per_slice(p, moved, most=1500)
+    found = align.refine_per_slice(p, moved)
     centre = p.groupBy("slice").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     m = lambda i: F.get("m", F.lit(i))
     at = found.join(centre, "slice").select("slice", m(0).alias("m0"), m(1).alias("m1"), (m(0) * F.col("cx") + m(1) * F.col("cy") + m(2)).alias("at_x"), (m(3) * F.col("cx") + m(4) * F.col("cy") + m(5)).alias("at_y"), "error")

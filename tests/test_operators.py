@@ -1158,6 +1158,36 @@ def test_slices_of_many_copies_are_refined_by_all_their_places(spark):
     assert flipped["flipped"] and flipped["error"] < 1e-9
 
 
+def _next_step(m, slab, section):
+    """How far one more rigid step of all the slab's points, by brute force, would take them; m maps the section onto the slab."""
+    at = slab @ (inv := np.linalg.inv(np.array(m).reshape(3, 3)))[:2, :2].T + inv[:2, 2]
+    d = ((at[:, None] - section[None]) ** 2).sum(2)
+    near, d = section[d.argmin(1)], np.sqrt(d.min(1))
+    use = d <= np.quantile(d, 0.9)
+    a, b = at[use] - at[use].mean(0), near[use] - near[use].mean(0)
+    t = math.atan2((a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]).sum(), (a * b).sum())
+    turned = (at - at[use].mean(0)) @ np.array([[math.cos(t), math.sin(t)], [-math.sin(t), math.cos(t)]]) + near[use].mean(0)
+    return np.abs(turned - at).max()
+
+
+def _corner(seed, scale=1.0):
+    """2,400 places of a lattice without a corner, each a little off."""
+    x, y = np.indices((60, 50)).reshape(2, -1)
+    at = np.column_stack([x, y])[(x < 30) | (y < 30)]
+    return at * scale + np.random.default_rng(seed).normal(0, 0.1, at.shape)
+
+
+def test_best_offset_fits_all_places_of_a_slab(spark):
+    """More places than 1,500: the map found must be at rest for all of the slab's points, not for some."""
+    slab = {0: _corner(70, 1.3), 1: _corner(204)}  # a case in which the tolerance of the mean does not end the rounds before rest
+    section = _corner(104) + [0.2, -0.1]
+    atlas = spark.createDataFrame([(*map(float, p), float(z)) for z, c in slab.items() for p in c], "x double, y double, z double")
+    slices = spark.createDataFrame([("s", 0.0, *map(float, p)) for p in section], "slice string, pos double, x double, y double")
+    assert [r["n_atlas"] for r in align.offset_errors(slices, atlas, [0.0, 1.0], 0.4).collect()] == [2400, 2400]
+    got = align.best_offset(slices, atlas, [0.0, 1.0], 0.4).first()
+    assert got["offset"] == 1.0 and _next_step(got["m"], slab[1], section) < 1e-6
+
+
 def test_offset_of_equal_places_is_told_by_their_points(spark):
     rows = [(float(z), float(i % 7), float(i // 7)) for z in (0, 1) for i in range(49) for _ in range(1 + (i * 5 + z * 3) % 4)]
     atlas = spark.createDataFrame(rows, "z double, x double, y double")
