@@ -1188,6 +1188,14 @@ def test_best_offset_fits_all_places_of_a_slab(spark):
     assert got["offset"] == 1.0 and _next_step(got["m"], slab[1], section) < 1e-6
 
 
+def test_flip_decision_fits_all_places_of_a_slice(spark):
+    section, neighbour = _corner(90) + [20.2, 9.9], _corner(91) + [20.0, 10.0]
+    frame = lambda a: spark.createDataFrame([(1, *map(float, p)) for p in a], "slice int, x double, y double")
+    for p, flipped in ((section, False), (section * [-1, 1] + [101, 0], True)):
+        got = align.flip_decision(frame(p), frame(neighbour), 100).first()
+        assert got["flipped"] is flipped and _next_step(got["m"], neighbour, section) < 1e-6
+
+
 def test_offset_of_equal_places_is_told_by_their_points(spark):
     rows = [(float(z), float(i % 7), float(i // 7)) for z in (0, 1) for i in range(49) for _ in range(1 + (i * 5 + z * 3) % 4)]
     atlas = spark.createDataFrame(rows, "z double, x double, y double")
